@@ -1,0 +1,22 @@
+"""Water balance."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import calendar as C
+from ..functions import stats as S
+
+KEY = ("series_id",)
+
+
+def annual_totals(
+    df: DataFrame, keys: Sequence[str] = KEY, kind: str = "hydrological", start_month: int = C.HYDRO_START
+) -> DataFrame:
+    """Sum per period; a period without any value totals zero."""
+    return df.groupBy(*keys, C.period(F.col("date"), kind, start_month).alias("period")).agg(
+        F.coalesce(F.sum("value"), F.lit(0.0)).alias("total")
+    )
