@@ -46,6 +46,18 @@ def presentable_sql(sql: str, doubles: str, dates: str) -> str:
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql}) AS q"
 
 
+def joined_sql(*parts: tuple[str, str]) -> str:
+    """Join the SQL of several queries on ``series_id``; each part is (column prefix, name or SQL)."""
+    out, keep = "", []
+    for i, (prefix, part) in enumerate(parts):
+        sql = REGISTRY[part].sql if part in REGISTRY else part
+        named = f"(SELECT series_id AS k{i}, COLUMNS('(.*)') AS 'p{i}_{prefix}\\1' FROM ({sql}))"
+        out += named if not out else f" JOIN {named} ON k0 = k{i}"
+        keep.append(f"COLUMNS('p{i}_(.*)') AS '\\1'")
+    inner = f"SELECT k0 AS _id, {', '.join(keep)} FROM {out}"
+    return f"SELECT _id AS series_id, COLUMNS(lambda c: c <> '_id' AND NOT contains(c, 'series_id')) FROM ({inner})"
+
+
 def query(name: str, covers: str, sql: str | None = None, doubles: str = "", dates: str = ""):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``covers`` lists inventory ids."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as C
 from ..operators import signatures as S
 from ..sources import tables as T
-from .registry import query
+from .registry import joined_sql, presentable_sql, query
 
 Q = "quantile_cont(value, {})".format
 SLOPE = f"CASE WHEN {Q(0.67)} > 0 AND {Q(0.34)} > 0 THEN (ln({Q(0.67)}) - ln({Q(0.34)})) / 33.0 * 100 END"
@@ -182,7 +182,8 @@ def sig_flood_indices(spark, sf):
     return S.flood_indices(T.flow(spark, sf))
 
 
-@query("sig_extreme_metrics", "SIG-14")
+@query("sig_extreme_metrics", "SIG-14", joined_sql(
+    ("", "sig_flow_quantiles"), ("", "sig_threshold_events"), ("", "sig_low_flow_indices"), ("", "sig_flood_indices")))
 def sig_extreme_metrics(spark, sf):
     return S.extreme_metrics(T.flow(spark, sf))
 
@@ -275,11 +276,6 @@ def sig_rate_of_change(spark, sf):
     return S.rate_of_change_indices(T.flow(spark, sf))
 
 
-@query("sig_comprehensive_indices", "SIG-21")
-def sig_comprehensive_indices(spark, sf):
-    return S.comprehensive_indices(T.flow(spark, sf))
-
-
 # ---- timing ----
 
 _HFD = """c AS (SELECT series_id, hy, date, sum(value) OVER (PARTITION BY series_id, hy ORDER BY date) AS run,
@@ -307,7 +303,8 @@ def sig_seasonal_flows(spark, sf):
     return S.seasonal_flows(T.flow(spark, sf))
 
 
-@query("sig_timing_metrics", "SIG-27")
+@query("sig_timing_metrics", "SIG-27", joined_sql(
+    ("", "sig_seasonal_flows"), ("", "sig_half_flow_date"), ("", "sig_extreme_timing"), ("", "sig_flow_duration_timing")))
 def sig_timing_metrics(spark, sf):
     return S.timing_metrics(T.flow(spark, sf))
 
@@ -392,11 +389,25 @@ def sig_interannual_variability(spark, sf):
     return S.interannual_variability(T.flow(spark, sf))
 
 
-@query("sig_variability_metrics", "SIG-35")
+@query("sig_variability_metrics", "SIG-35", joined_sql(*[("", f"sig_{n}") for n in (
+    "basic_statistics", "temporal_variability", "autocorrelation", "flashiness", "seasonal_variability", "interannual_variability")]))
 def sig_variability_metrics(spark, sf):
     return S.variability_metrics(T.flow(spark, sf))
 
 
+_FD_FLOW = presentable_sql(_legacy_sql(3.0, 0.1, _SRC_FLOW), _FD, "")
+_FREQ = f"SELECT series_id, fh01, fh02, fl01, fl02 FROM ({_FD_FLOW})"
+_DUR = f"SELECT series_id, dh01, dh02, dl01, dl02 FROM ({_FD_FLOW})"
+
+
+@query("sig_comprehensive_indices", "SIG-21", joined_sql(
+    ("magnitude_", "sig_magnitude_indices"), ("frequency_", _FREQ), ("duration_", _DUR), ("timing_", "sig_timing_indices"),
+    ("rate_", "sig_rate_of_change"), ("fdc_", "sig_fdc_metrics"), ("extreme_", "sig_extreme_metrics"),
+    ("timing_detailed_", "sig_timing_metrics"), ("variability_", "sig_variability_metrics")))
+def sig_comprehensive_indices(spark, sf):
+    return S.comprehensive_indices(T.flow(spark, sf))
+
+
 @query("sig_stability_index", "SIG-36", flow_sql("""
   SELECT *, greatest(0, least(1, 1.0 - (cv_component * 0.4 + (1 - autocorr_component) * 0.3 + flashiness_component * 0.3))) AS stability_index
   FROM (SELECT series_id, least(cv / 2, 1.0) AS cv_component, greatest(0.0, coalesce(r1, 0)) AS autocorr_component,
@@ -492,7 +503,8 @@ def sig_network_summary(spark, sf):
 
 @query("sig_slope_agreement", "SIG-44", "WITH " + period_sql(T.FORCING_SQL, "value") + f""",
    a AS (SELECT series_id, avg(fdc_slope) AS an FROM pm GROUP BY 1), w AS (SELECT series_id, {SLOPE} AS wh FROM forcing GROUP BY 1),
-   b AS (SELECT *, rank() OVER (ORDER BY an) AS ra, rank() OVER (ORDER BY wh) AS rw FROM a JOIN w USING (series_id) WHERE an IS NOT NULL AND wh IS NOT NULL)
+   b AS (SELECT *, rank() OVER (ORDER BY an) + (count(*) OVER (PARTITION BY an) - 1) / 2.0 AS ra,
+     rank() OVER (ORDER BY wh) + (count(*) OVER (PARTITION BY wh) - 1) / 2.0 AS rw FROM a JOIN w USING (series_id) WHERE an IS NOT NULL AND wh IS NOT NULL)
   SELECT count(*) AS n, avg(CASE WHEN sign(an) = sign(wh) THEN 1.0 ELSE 0.0 END) AS sign_agreement, corr(ra, rw) AS rho,
    median((an - wh) / wh) AS median_rel_diff FROM b""", "sign_agreement rho median_rel_diff")
 def sig_slope_agreement(spark, sf):

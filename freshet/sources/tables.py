@@ -31,11 +31,11 @@ def forcing(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_shipdate"),
         value=F.sum("l_quantity"),
         gappy=F.sum(F.when(disc >= 0.05, F.col("l_quantity"))),
-        p_a=F.round(F.sum(price) / 1000.0, 4),
-        p_b=F.round(F.sum(F.when(disc >= 0.02, price * (1.0 - disc))) / 1000.0, 4),
-        p_c=F.round(F.sum(price * (1.0 + tax)) / 1000.0, 4),
-        t=F.round(F.avg(disc) * 400.0 - 20.0, 4),
-        pet=F.round(F.sum(price * tax) / 100.0, 4),
+        p_a=F.round(F.sum(price) / 1000.0, 5),
+        p_b=F.round(F.sum(F.when(disc >= 0.02, price)) / 1000.0, 5),
+        p_c=F.round(F.sum(F.when(tax >= 0.01, price)) / 1000.0, 5),
+        t=F.round(F.avg(disc) * 400.0 - 20.0, 6),
+        pet=F.round(F.sum(F.when(tax >= 0.04, price)) / 1000.0, 5),
     )
 
 
@@ -47,7 +47,7 @@ def supplier_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse series: one per supplier, with natural gaps between ship days."""
     return daily_sum(
         table(spark, sf, "lineitem"), F.col("l_suppkey"), F.col("l_shipdate"),
-        value=F.sum("l_quantity"), p=F.round(F.sum("l_extendedprice") / 1000.0, 4),
+        value=F.sum("l_quantity"), p=F.round(F.sum("l_extendedprice") / 1000.0, 5),
     )
 
 
@@ -55,11 +55,11 @@ FORCING_SQL = """forcing AS (
   SELECT l_returnflag || l_linestatus AS series_id, CAST(l_shipdate AS DATE) AS date,
          sum(l_quantity) AS value,
          sum(CASE WHEN l_discount >= 0.05 THEN l_quantity END) AS gappy,
-         round(sum(l_extendedprice) / 1000.0, 4) AS p_a,
-         round(sum(CASE WHEN l_discount >= 0.02 THEN l_extendedprice * (1.0 - l_discount) END) / 1000.0, 4) AS p_b,
-         round(sum(l_extendedprice * (1.0 + l_tax)) / 1000.0, 4) AS p_c,
-         round(avg(l_discount) * 400.0 - 20.0, 4) AS t,
-         round(sum(l_extendedprice * l_tax) / 100.0, 4) AS pet
+         round(sum(l_extendedprice) / 1000.0, 5) AS p_a,
+         round(sum(CASE WHEN l_discount >= 0.02 THEN l_extendedprice END) / 1000.0, 5) AS p_b,
+         round(sum(CASE WHEN l_tax >= 0.01 THEN l_extendedprice END) / 1000.0, 5) AS p_c,
+         round(avg(l_discount) * 400.0 - 20.0, 6) AS t,
+         round(sum(CASE WHEN l_tax >= 0.04 THEN l_extendedprice END) / 1000.0, 5) AS pet
   FROM lineitem GROUP BY 1, 2)"""
 
 FLOW_SQL = (
@@ -70,5 +70,5 @@ FLOW_SQL = (
 
 SUPPLIER_SQL = """sup AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS date,
-         sum(l_quantity) AS value, round(sum(l_extendedprice) / 1000.0, 4) AS p
+         sum(l_quantity) AS value, round(sum(l_extendedprice) / 1000.0, 5) AS p
   FROM lineitem GROUP BY 1, 2)"""
