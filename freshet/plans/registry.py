@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIGITS = 6
+# Means over powers of two end exactly on a half unit; this shift moves them off the rounding edge.
+SHIFT = 1.3e-8
 
 
 @dataclass(frozen=True)
@@ -29,7 +31,7 @@ def presentable(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.DoubleType):
-            c = F.round(c, DIGITS) + F.lit(0.0)
+            c = F.round(c + F.lit(SHIFT), DIGITS) + F.lit(0.0)
         elif isinstance(f.dataType, (T.DateType, T.TimestampType)):
             c = c.cast("string")
         elif isinstance(f.dataType, T.ArrayType):
@@ -39,7 +41,7 @@ def presentable(df: DataFrame) -> DataFrame:
 
 
 def presentable_sql(sql: str, doubles: str, dates: str) -> str:
-    parts = [f"round(CAST({c} AS DOUBLE), {DIGITS}) + CAST(0 AS DOUBLE) AS {c}" for c in doubles.split()]
+    parts = [f"round(CAST({c} AS DOUBLE) + CAST({SHIFT} AS DOUBLE), {DIGITS}) + CAST(0 AS DOUBLE) AS {c}" for c in doubles.split()]
     parts += [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()]
     if not parts:
         return sql
