@@ -238,7 +238,7 @@ def trd_piecewise(spark, sf):
 
 @query("trd_variance_breakpoints", "TRD-04")
 def trd_variance_breakpoints(spark, sf):
-    return TR.variance_breakpoints(tr_daily(spark, sf))
+    return TR.variance_breakpoints(T.supplier_flow(spark, sf))
 
 
 @query("trd_annual", "TRD-05", f"""WITH {OBS}, an AS (SELECT series_id, make_date(CAST(year(date) AS INTEGER), 12, 31) AS date, avg(value) AS value FROM d GROUP BY 1, 2), {_mk('an', 'series_id')}, l AS ({_lin('an')})

@@ -72,3 +72,55 @@ SUPPLIER_SQL = """sup AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CAST(l_shipdate AS DATE) AS date,
          sum(l_quantity) AS value, round(sum(l_extendedprice) / 1000.0, 5) AS p
   FROM lineitem GROUP BY 1, 2)"""
+
+
+# --- spatial demonstration data derived from keys and amounts ------------------------------------------
+
+
+def sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers laid out on a map with a spread, rows of 2,000, so density does not grow with the data."""
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(
+        k.cast("string").alias("series_id"), (30.0 + 0.02 * (k % 2000)).alias("lon"),
+        (50.0 + 0.5 * F.floor(k / 2000) + 0.01 * (k % 7)).alias("lat"), (0.03 + 0.2 * (F.col("s_acctbal") + 1000.0) / 11000.0).alias("r"),
+    )
+
+
+def _corners(df: DataFrame, corners: list[tuple[float, float]]) -> DataFrame:
+    pts = F.array(*[
+        F.struct(F.lit(i).alias("seq"), (F.col("lon") + F.col("r") * dx).alias("x"), (F.col("lat") + F.col("r") * dy).alias("y"))
+        for i, (dx, dy) in enumerate(corners)
+    ])
+    return df.select(F.col("series_id").alias("poly_id"), F.lit(1).alias("part"), F.explode(pts).alias("p")).select(
+        "poly_id", "part", "p.seq", F.col("p.x").alias("lon"), F.col("p.y").alias("lat")
+    )
+
+
+def diamonds(spark: SparkSession, sf: str) -> DataFrame:
+    """Four-cornered catchments around the sites."""
+    return _corners(sites(spark, sf), [(-1.0, 0.0), (0.0, -1.0), (1.0, 0.0), (0.0, 1.0)])
+
+
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rectangular catchments, twice as wide as high."""
+    return _corners(sites(spark, sf), [(-1.0, -0.5), (1.0, -0.5), (1.0, 0.5), (-1.0, 0.5)])
+
+
+def field(spark: SparkSession, sf: str) -> DataFrame:
+    """Gridded daily field at 0.1 degrees: quantity as water, discount as temperature."""
+    k = F.col("l_suppkey")
+    lon = 30.0 + 0.1 * F.floor((k % 2000) / 5)
+    lat = 50.0 + 0.5 * F.floor(k / 2000) + 0.1 * (F.col("l_linenumber") - 4)
+    return table(spark, sf, "lineitem").groupBy(
+        lat.alias("lat"), lon.alias("lon"), F.to_date("l_shipdate").alias("date")
+    ).agg(F.sum("l_quantity").alias("prcp"), F.round(F.avg("l_discount") * 400.0 - 20.0, 6).alias("t"))
+
+
+SITES_SQL = """sites AS (SELECT CAST(s_suppkey AS VARCHAR) AS series_id, 30.0 + CAST(0.02 AS DOUBLE) * (s_suppkey % 2000) AS lon,
+   CAST(50.0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (s_suppkey // 2000) + CAST(0.01 AS DOUBLE) * (s_suppkey % 7) AS lat,
+   CAST(0.03 AS DOUBLE) + CAST(0.2 AS DOUBLE) * (s_acctbal + 1000.0) / 11000.0 AS r FROM supplier)"""
+DIAMONDS_SQL = SITES_SQL + """, vert AS (SELECT series_id AS poly_id, seq, lon + r * dx AS lon, lat + r * dy AS lat FROM sites
+   CROSS JOIN (VALUES (0, -1.0, 0.0), (1, 0.0, -1.0), (2, 1.0, 0.0), (3, 0.0, 1.0)) AS v(seq, dx, dy))"""
+FIELD_SQL = """field AS (SELECT CAST(50.0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (l_suppkey // 2000) + CAST(0.1 AS DOUBLE) * (l_linenumber - 4) AS lat,
+   CAST(30.0 AS DOUBLE) + CAST(0.1 AS DOUBLE) * ((l_suppkey % 2000) // 5) AS lon, CAST(l_shipdate AS DATE) AS date,
+   sum(l_quantity) AS prcp, round(avg(l_discount) * 400.0 - 20.0, 6) AS t FROM lineitem GROUP BY 1, 2, 3)"""
