@@ -14,14 +14,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import corr
+
 BUCKETS = 64
 
 
-def value_ranks(df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """``keys, value, lo, hi, n``: first and last rank of each distinct value, and the group size."""
+def value_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS, weight: str | None = None
+) -> DataFrame:
+    """``keys, value, lo, hi, n``: first and last rank of each distinct value, and the group size.
+
+    ``weight`` names an integer column that counts a row more than once.
+    """
+    size = F.sum(weight) if weight else F.count("*")
     k = list(keys)
     cuts = [i / buckets for i in range(1, buckets)]
-    counts = df.where(F.col(value).isNotNull()).groupBy(*k, value).agg(F.count("*").alias("_c"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*k, value).agg(size.alias("_c"))
     bounds = counts.groupBy(*k).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
     v = F.col(value)
     tagged = counts.join(bounds, k).select(
@@ -58,17 +66,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     return picked.select(*keys, *outs)
 
 
-def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank") -> DataFrame:
+def mid_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str = "rank", weight: str | None = None) -> DataFrame:
     """Average rank (ties share the mean rank) attached to every non-null row."""
-    r = value_ranks(df, keys, value).select(*keys, value, ((F.col("lo") + F.col("hi")) / 2).alias(name))
-    return df.join(r, [*keys, value])
+    return df.join(rank_lookup(df, keys, value, name, weight), [*keys, value])
+
+
+def rank_lookup(df: DataFrame, keys: Sequence[str], value: str, name: str, weight: str | None = None) -> DataFrame:
+    """Average rank of each distinct value."""
+    return value_ranks(df, keys, value, weight=weight).select(*keys, value, ((F.col("lo") + F.col("hi")) / 2).alias(name))
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation over rows where both columns are present, for groups of any size."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = mid_ranks(mid_ranks(both, keys, x, "_rx"), keys, y, "_ry")
-    return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n_pairs"))
+    # Both rankings start from the pairs, so the plan holds them side by side instead of nested.
+    rx, ry = rank_lookup(both, keys, x, "_rx"), rank_lookup(both, keys, y, "_ry")
+    ranked = both.join(rx, [*keys, x]).join(ry, [*keys, y])
+    return ranked.groupBy(*keys).agg(corr("_rx", "_ry").alias("rho"), F.count("*").alias("n_pairs"))
 
 
 def spearman_daily(df: DataFrame, keys: Sequence[str], x: str, y: str, extra=()) -> DataFrame:
@@ -82,5 +96,20 @@ def spearman_daily(df: DataFrame, keys: Sequence[str], x: str, y: str, extra=())
         return F.rank().over(o) + (F.count("*").over(same) - 1) / 2
 
     return both.select("*", mid(x).alias("_rx"), mid(y).alias("_ry")).groupBy(*keys).agg(
-        F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n_pairs"), *extra
+        corr("_rx", "_ry").alias("rho"), F.count("*").alias("n_pairs"), *extra
     )
+
+
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, rank: str = "rank") -> DataFrame:
+    """Attach the value at given ranks: ``wanted`` holds ``keys`` and a 1-based rank column.
+
+    Ranks and rank intervals meet on coarse rank buckets, then exactly inside them.
+    """
+    k = list(keys)
+    r = value_ranks(df, keys, value)
+    step = F.greatest(F.lit(1), F.ceil(F.col("n") / 256))
+    spans = r.select(*k, value, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / step), F.floor(F.col("hi") / step))).alias("_rb"))
+    sizes = r.groupBy(*k).agg(F.max("n").alias("_n"))
+    asked = wanted.join(sizes, k).withColumn("_rb", F.floor(F.col(rank) / F.greatest(F.lit(1), F.ceil(F.col("_n") / 256))))
+    hit = asked.join(spans, [*k, "_rb"]).where((F.col(rank) >= F.col("lo")) & (F.col(rank) <= F.col("hi")))
+    return hit.drop("_rb", "_n", "lo", "hi")

@@ -38,6 +38,13 @@ def cv_samp(c: Column | str) -> Column:
     return div(F.stddev_samp(c), F.avg(c))
 
 
+def corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over complete pairs, null for a constant side (ANSI mode would raise)."""
+    a, b = (F.col(v) if isinstance(v, str) else v for v in (x, y))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def adjusted_skew(c: Column | str) -> Column:
     """Bias-adjusted skewness (Spark's built-in is the population moment)."""
     n = F.count(c).cast("double")

@@ -59,7 +59,7 @@ def volume_relationship(
     y = _paired(df, keys, kind, start_month, min_days)
     ok = F.count("*") >= min_years
     return y.groupBy(*keys).agg(
-        F.when(ok, F.corr("p", "q")).alias("prcp_discharge_correlation"),
+        F.when(ok, S.corr("p", "q")).alias("prcp_discharge_correlation"),
         F.when(ok, F.regr_slope("q", "p")).alias("prcp_discharge_slope"),
         F.when(ok, F.regr_intercept("q", "p")).alias("prcp_discharge_intercept"),
         F.when(ok, F.regr_r2("q", "p")).alias("prcp_discharge_r_squared"),

@@ -22,13 +22,17 @@ from ..functions import stats as S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-V = F.col("value")
 KEY = ("series_id",)
 # Parameter range, ensemble seed and size, mirror length, passes.
 ALPHA_RANGE = (0.90, 0.98)
 SEED, SAMPLES, MIRROR, PASSES = 1996, 1000, 30, 3
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 def ensemble_alphas(n: int = SAMPLES) -> list[float]:
     return [float(a) for a in np.random.RandomState(SEED).uniform(*ALPHA_RANGE, n)]
 
@@ -72,7 +76,7 @@ def separate(
         pdf = pdf.sort_values("date")
         return pdf.assign(baseflow=_separate(pdf["value"].to_numpy(float), alphas, passes, mirror))
 
-    base = df.where(V.isNotNull()).select(*keys, "date", F.col("value").cast("double").alias("value"))
+    base = df.where(val().isNotNull()).select(*keys, "date", F.col("value").cast("double").alias("value"))
     schema = base.schema.simpleString()[len("struct<"):-1]
     return base.groupBy(*keys).applyInPandas(one_series, schema.replace(":", " ") + ", baseflow double")
 
@@ -80,14 +84,14 @@ def separate(
 def baseflow_index(df: DataFrame, keys: Sequence[str] = KEY, **kw) -> DataFrame:
     """Mean baseflow over mean flow (0 where the mean flow is 0)."""
     return separate(df, keys, **kw).groupBy(*keys).agg(
-        F.when(F.avg(V) == 0, 0.0).otherwise(S.div(F.avg("baseflow"), F.avg(V))).alias("bfi")
+        F.when(F.avg(val()) == 0, 0.0).otherwise(S.div(F.avg("baseflow"), F.avg(val()))).alias("bfi")
     )
 
 
 def baseflow_stats(df: DataFrame, keys: Sequence[str] = KEY, **kw) -> DataFrame:
     b = F.col("baseflow")
     out = separate(df, keys, **kw).groupBy(*keys).agg(
-        F.when(F.avg(V) == 0, 0.0).otherwise(S.div(F.avg(b), F.avg(V))).alias("bfi"),
+        F.when(F.avg(val()) == 0, 0.0).otherwise(S.div(F.avg(b), F.avg(val()))).alias("bfi"),
         F.avg(b).alias("baseflow_mean"), S.quantile(b, 0.5).alias("baseflow_median"),
         F.stddev_pop(b).alias("baseflow_std"), S.cv_pop(b).alias("baseflow_cv"),
         F.min(b).alias("baseflow_min"), F.max(b).alias("baseflow_max"),
@@ -108,7 +112,7 @@ def index_at_alphas(df: DataFrame, alphas: Sequence[float], keys: Sequence[str]
             row[n] = [_separate(q, np.array([a]), PASSES, MIRROR).mean() / q.mean() if enough else None]
         return pd.DataFrame(row)
 
-    base = df.where(V.isNotNull()).select(*keys, "date", F.col("value").cast("double").alias("value"))
+    base = df.where(val().isNotNull()).select(*keys, "date", F.col("value").cast("double").alias("value"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name in keys)
     return base.groupBy(*keys).applyInPandas(one_series, types + "".join(f", {n} double" for n in names))
 
@@ -116,8 +120,8 @@ def index_at_alphas(df: DataFrame, alphas: Sequence[float], keys: Sequence[str]
 def recession_constant(df: DataFrame, keys: Sequence[str] = KEY, min_days: int = 30) -> DataFrame:
     """Median ratio to the previous day on falling days, kept in 0.90..0.99 (0.98 if too few)."""
     prev = F.lag("value").over(R.ordered(keys))
-    base = df.where(V.isNotNull()).select(*keys, "value", prev.alias("prev"))
-    ratio = F.when((V < F.col("prev")) & (F.col("prev") > 0), S.div(V, F.col("prev")))
+    base = df.where(val().isNotNull()).select(*keys, "value", prev.alias("prev"))
+    ratio = F.when((val() < F.col("prev")) & (F.col("prev") > 0), S.div(val(), F.col("prev")))
     return base.groupBy(*keys).agg(
         F.when(F.count(ratio) < min_days, 0.98)
         .otherwise(F.least(F.lit(0.99), F.greatest(F.lit(0.90), S.quantile(ratio, 0.5)))).alias("alpha"),
@@ -134,8 +138,8 @@ def two_parameter_index(
     the array holds one series, which the calendar bounds.
     """
     alpha = recession_constant(df, keys)
-    arrays = df.where(V.isNotNull()).groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("q")
+    arrays = df.where(val().isNotNull()).groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("date", "value"))), lambda s: s["value"]).alias("q")
     )
     joined = arrays.join(alpha, list(keys)).where(F.col("n_values") >= min_values)
     a, cap = F.col("alpha"), F.lit(float(bfi_max))

@@ -15,11 +15,15 @@ from ..functions import distributions as D
 from ..functions import runs as R
 from ..functions import stats as S
 
-V = F.col("value")
 KEY = ("series_id",)
 TIMESCALES = (1, 3, 6, 12, 24, 48)
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 def monthly_totals(df: DataFrame, keys: Sequence[str] = KEY, value: str = "value", how: str = "sum") -> DataFrame:
     """Dense monthly series from daily rows: totals (0 for empty months) or means (null)."""
     fold = F.coalesce(F.sum(value), F.lit(0.0)) if how == "sum" else F.avg(value)
@@ -76,7 +80,7 @@ def pet_hargreaves(t: Column) -> Column:
 def climatic_balance(df: DataFrame, keys: Sequence[str] = KEY, method: str = "thornthwaite") -> DataFrame:
     """Monthly input minus evaporation from ``(keys, month, value, t)``; undefined months count 0."""
     pet = {"thornthwaite": pet_thornthwaite, "hargreaves": pet_hargreaves}[method]
-    return df.select(*keys, "month", F.coalesce(V - pet(F.col("t")), F.lit(0.0)).alias("value"))
+    return df.select(*keys, "month", F.coalesce(val() - pet(F.col("t")), F.lit(0.0)).alias("value"))
 
 
 def spei(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, method: str = "thornthwaite") -> DataFrame:
@@ -94,7 +98,7 @@ def spei(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, method: str = "t
 def cumulative_departure(df: DataFrame, keys: Sequence[str] = KEY, method: str = "thornthwaite") -> DataFrame:
     """Running departure of the balance from its month normal, over the departure's deviation."""
     b = climatic_balance(df, keys, method).withColumn("m", F.month("month"))
-    b = b.withColumn("dep", V - F.avg(V).over(Window.partitionBy(*keys, "m")))
+    b = b.withColumn("dep", val() - F.avg(val()).over(Window.partitionBy(*keys, "m")))
     run = F.sum("dep").over(R.upto(keys, "month"))
     return b.select(*keys, "month", S.div(run, F.stddev_samp("dep").over(Window.partitionBy(*keys))).alias("pdsi"))
 
@@ -114,7 +118,7 @@ def dry_spells(df: DataFrame, keys: Sequence[str] = KEY, threshold: float = 1.0)
 
     A record without any counts as one run of length zero.
     """
-    m = R.mark_runs(df, V < threshold, keys, contiguous=False)
+    m = R.mark_runs(df, val() < threshold, keys, contiguous=False)
     lengths = m.groupBy(*keys, "run_id").agg(F.count_if("run_flag").alias("len"), F.count("*").alias("rows"))
     n = F.count_if(F.col("len") > 0)
     return lengths.groupBy(*keys).agg(

@@ -169,9 +169,15 @@ def catchment_means(
     return j.groupBy("poly_id", "date").agg(*aggs)
 
 
-def touched_means(field: DataFrame, weights: DataFrame, vertices: DataFrame, variables: Sequence[str], res: float, unit: str = "mm") -> DataFrame:
-    """Plain mean of touched cells; a polygon that touches none takes its whole extent."""
-    ext = cells_in_extent(vertices, field, res)
+def touched_means(
+    field: DataFrame, weights: DataFrame, vertices: DataFrame, variables: Sequence[str], res: float, unit: str = "mm",
+    cells: DataFrame | None = None,
+) -> DataFrame:
+    """Plain mean of touched cells; a polygon that touches none takes its whole extent.
+
+    ``cells`` is the grid ``(lat, lon)``; without it the field is scanned for its cells.
+    """
+    ext = cells_in_extent(vertices, field if cells is None else cells, res)
     touched = weights.where("w > 0").select("poly_id", "lat", "lon").withColumn("_t", F.lit(1))
     tag = ext.join(touched, ["poly_id", "lat", "lon"], "left")
     tag = tag.withColumn("_any", F.max("_t").over(Window.partitionBy("poly_id"))).where("_t = 1 OR _any IS NULL")

@@ -17,7 +17,6 @@ from ..functions import stats as S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-V = F.col("value")
 KEY = ("series_id",)
 # No-data sentinel, cell codes for dried-up and frozen-through, longest bridged gaps.
 SENTINEL = -9999.0
@@ -26,6 +25,11 @@ GAP_RIVER, GAP_RESERVOIR = 6, 15
 OBSERVED, FILLED, ZERO_REPLACED, MISSING = 0, 1, 2, 3
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 # --- cells and blocks ---------------------------------------------------------------------------------
 
 
@@ -89,9 +93,9 @@ def daily_from_blocks(blocks: DataFrame) -> DataFrame:
     """Daily rows of every block whose cells all parse; sentinel cells become null."""
     cells = unpivot_blocks(blocks)
     w = Window.partitionBy("file", "block", "series_id", "year")
-    bad = F.count_if(V.isNull()).over(w)
+    bad = F.count_if(val().isNull()).over(w)
     ok = cells.withColumn("_bad", bad).where("_bad = 0").drop("_bad", "text")
-    return ok.withColumn("date", F.make_date("year", "month", "day")).withColumn("value", F.nullif(V, F.lit(SENTINEL)))
+    return ok.withColumn("date", F.make_date("year", "month", "day")).withColumn("value", F.nullif(val(), F.lit(SENTINEL)))
 
 
 # --- merging ---------------------------------------------------------------------------------------------
@@ -111,7 +115,7 @@ def merge_fragments(
     Without bounds the calendar of a series runs from its first to its last fragment day.
     """
     k = list(keys)
-    cells = fragments.where(V.isNotNull()).groupBy(*k, "date").agg(F.min_by("value", order).alias("value"))
+    cells = fragments.where(val().isNotNull()).groupBy(*k, "date").agg(F.min_by("value", order).alias("value"))
     span = fragments.groupBy(*k).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     grid = C.dense_days(span, start, end, keys)
     return grid.join(cells, [*k, "date"], "left")
@@ -144,11 +148,11 @@ def build_compound(flow: DataFrame, stage: DataFrame, sites: DataFrame) -> DataF
 def gap_runs(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Length of the null run of every row and whether it lies strictly inside the data."""
     w = R.ordered(keys)
-    null = V.isNull()
+    null = val().isNull()
     marked = R.mark_runs(df, null, keys, contiguous=False, prefix="gap")
     length = F.sum(F.col("gap_flag").cast("int")).over(Window.partitionBy(*keys, "gap_id"))
-    before = F.max(V).over(w.rowsBetween(Window.unboundedPreceding, -1)).isNotNull()
-    after = F.max(V).over(w.rowsBetween(1, Window.unboundedFollowing)).isNotNull()
+    before = F.max(val()).over(w.rowsBetween(Window.unboundedPreceding, -1)).isNotNull()
+    after = F.max(val()).over(w.rowsBetween(1, Window.unboundedFollowing)).isNotNull()
     return marked.select(*df.columns, F.when(null, length).otherwise(0).alias("gap_length"), (null & before & after).alias("gap_inside"))
 
 
@@ -206,7 +210,7 @@ def fill_short_gaps(df: DataFrame, max_gap: int = GAP_RIVER, keys: Sequence[str]
     are filled is decided by windows and returned as ``was_filled``.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    tagged = gap_runs(df.select(*keys, "date", V.cast("double").alias("value")), keys)
+    tagged = gap_runs(df.select(*keys, "date", val().cast("double").alias("value")), keys)
     tagged = tagged.select(
         *keys, "date", "value", (F.col("gap_inside") & (F.col("gap_length") <= max_gap)).alias("was_filled")
     )
@@ -224,20 +228,20 @@ def fill_short_gaps(df: DataFrame, max_gap: int = GAP_RIVER, keys: Sequence[str]
         return pdf.assign(value=y, was_filled=todo)
 
     ddl = ", ".join(f"{k} {types[k]}" for k in keys) + ", date date, value double, was_filled boolean"
-    return tagged.groupBy(*keys).applyInPandas(one, ddl).withColumn("value", F.nanvl(V, F.lit(None)))
+    return tagged.groupBy(*keys).applyInPandas(one, ddl).withColumn("value", F.nanvl(val(), F.lit(None)))
 
 
 def clean_discharge(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """First value per day, negatives to null, short gaps filled."""
     once = df.groupBy(*keys, "date").agg(F.min_by("value", "file").alias("value"))
-    return fill_short_gaps(once.withColumn("value", F.when(V >= 0, V)), GAP_RIVER, keys)
+    return fill_short_gaps(once.withColumn("value", F.when(val() >= 0, val())), GAP_RIVER, keys)
 
 
 def replace_zeros(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Zero values become the median of the non-zero values of the same calendar day."""
     w = Window.partitionBy(*keys, F.month("date"), F.dayofmonth("date"))
-    med = S.quantile(F.when(V != 0, V), 0.5).over(w)
-    return df.select(*[c for c in df.columns if c != "value"], F.when(V == 0, med).otherwise(V).alias("value"))
+    med = S.quantile(F.when(val() != 0, val()), 0.5).over(w)
+    return df.select(*[c for c in df.columns if c != "value"], F.when(val() == 0, med).otherwise(val()).alias("value"))
 
 
 def clean_level(df: DataFrame, keys: Sequence[str] = KEY, reservoir: bool = False) -> DataFrame:
@@ -312,7 +316,7 @@ def blank_cells(df: DataFrame, cells: DataFrame, keys: Sequence[str] = KEY) -> D
     """Null the value of the listed (key, day) cells."""
     k = [*keys, "date"]
     hit = cells.select(*k).distinct().withColumn("_hit", F.lit(True))
-    return df.join(hit, k, "left").withColumn("value", F.when(F.col("_hit").isNull(), V)).drop("_hit")
+    return df.join(hit, k, "left").withColumn("value", F.when(F.col("_hit").isNull(), val())).drop("_hit")
 
 
 def quality_codes(present: Column, filled: Column) -> Column:
@@ -323,9 +327,9 @@ def quality_codes(present: Column, filled: Column) -> Column:
 def out_of_range(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Mark altered values outside the observed range of their own series."""
     w = Window.partitionBy(*keys)
-    seen = F.when(F.col("flag") == OBSERVED, V)
-    altered = F.col("flag").isin(FILLED, ZERO_REPLACED) & V.isNotNull()
-    outside = (V < F.min(seen).over(w)) | (V > F.max(seen).over(w))
+    seen = F.when(F.col("flag") == OBSERVED, val())
+    altered = F.col("flag").isin(FILLED, ZERO_REPLACED) & val().isNotNull()
+    outside = (val() < F.min(seen).over(w)) | (val() > F.max(seen).over(w))
     return df.withColumn("out_of_range", F.coalesce(altered & outside, F.lit(False)))
 
 
@@ -334,14 +338,14 @@ def reversion_counts(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     r = F.col("out_of_range")
     return out_of_range(df, keys).groupBy(*keys).agg(
         F.count_if(r).alias("n_reverted"), F.count_if(r & (F.col("flag") == FILLED)).alias("n_from_fill"),
-        F.count_if(r & (F.col("flag") == ZERO_REPLACED)).alias("n_from_zero"), F.count_if(V < 0).alias("n_negative"),
-        F.count_if((V < 0) & ~r).alias("n_negative_kept"),
+        F.count_if(r & (F.col("flag") == ZERO_REPLACED)).alias("n_from_zero"), F.count_if(val() < 0).alias("n_negative"),
+        F.count_if((val() < 0) & ~r).alias("n_negative_kept"),
     ).where("n_reverted > 0")
 
 
 def specific_anomaly(df: DataFrame, keys: Sequence[str] = KEY, limit: float = 20.0) -> DataFrame:
     """1 where the median depth exceeds the limit, 0 otherwise, -1 without data."""
-    m = S.quantile(V, 0.5)
+    m = S.quantile(val(), 0.5)
     return df.groupBy(*keys).agg(F.when(m.isNull(), -1).when(m > limit, 1).otherwise(0).cast("int").alias("anomaly"))
 
 
@@ -350,7 +354,7 @@ def specific_anomaly(df: DataFrame, keys: Sequence[str] = KEY, limit: float = 20
 
 def hourly_to_daily(df: DataFrame, keys: Sequence[str] = KEY, offset: float = -273.15) -> DataFrame:
     """Daily mean, minimum and maximum of ``(keys, ts, value)`` in shifted units."""
-    x = V + offset
+    x = val() + offset
     return df.groupBy(*keys, F.to_date("ts").alias("date")).agg(
         F.avg(x).alias("t_mean"), F.min(x).alias("t_min"), F.max(x).alias("t_max")
     )
@@ -407,7 +411,7 @@ def renormalise(df: DataFrame, columns: Sequence[str], coverage: str) -> DataFra
 def coverage_tracking(df: DataFrame, parts: Sequence[str], coverage: str, limit: float = 0.3) -> DataFrame:
     """Correlation of a fraction sum with the coverage; below the limit nothing is left to divide."""
     total = sum((F.col(c) for c in parts), F.lit(0.0))
-    return df.agg(F.corr(total, F.col(coverage)).alias("r")).withColumn("already_done", F.abs("r") < limit)
+    return df.agg(S.corr(total, F.col(coverage)).alias("r")).withColumn("already_done", F.abs("r") < limit)
 
 
 def classify_coverage(
@@ -417,9 +421,9 @@ def classify_coverage(
     lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
     inside = F.col("date").between(lo, hi)
     out = df.groupBy(*keys).agg(
-        (F.count(V) > 0).alias("has_data"), (F.count(V) < F.count("*")).alias("has_nulls"),
+        (F.count(val()) > 0).alias("has_data"), (F.count(val()) < F.count("*")).alias("has_nulls"),
         F.min(F.when(inside, F.col("date"))).alias("a"), F.max(F.when(inside, F.col("date"))).alias("b"),
-        F.count_if(inside & V.isNull()).alias("holes"),
+        F.count_if(inside & val().isNull()).alias("holes"),
     )
     full = (F.col("a") == lo) & (F.col("b") >= hi) & (F.col("holes") == 0)
     return out.select(

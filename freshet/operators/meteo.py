@@ -12,11 +12,15 @@ from ..functions import distributions as D
 from ..functions import runs as R
 from ..functions import stats as S
 
-V = F.col("value")
 KEY = ("series_id",)
 SEASONS = ("Winter", "Spring", "Summer", "Autumn")
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 def season_name(date: Column) -> Column:
     return F.initcap(C.season(date))
 
@@ -26,23 +30,23 @@ def season_name(date: Column) -> Column:
 
 def basic_statistics(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return df.groupBy(*keys).agg(
-        F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"), F.min(V).alias("min"), F.max(V).alias("max"),
-        S.quantile(V, 0.5).alias("median"), S.quantile(V, 0.25).alias("q25"), S.quantile(V, 0.75).alias("q75"),
-        F.count(V).alias("count"), (F.count("*") - F.count(V)).alias("missing_count"),
+        F.avg(val()).alias("mean"), F.stddev_samp(val()).alias("std"), F.min(val()).alias("min"), F.max(val()).alias("max"),
+        S.quantile(val(), 0.5).alias("median"), S.quantile(val(), 0.25).alias("q25"), S.quantile(val(), 0.75).alias("q75"),
+        F.count(val()).alias("count"), (F.count("*") - F.count(val())).alias("missing_count"),
     )
 
 
 def annual_statistics(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     r = lambda c: F.round(c, 2)
     return df.groupBy(*keys, F.year("date").alias("year")).agg(
-        r(F.avg(V)).alias("mean"), r(F.min(V)).alias("min"), r(F.max(V)).alias("max"), r(F.stddev_samp(V)).alias("std"),
-        F.count(V).alias("count"), r(S.quantile(V, 0.1)).alias("q10"), r(S.quantile(V, 0.9)).alias("q90"),
+        r(F.avg(val())).alias("mean"), r(F.min(val())).alias("min"), r(F.max(val())).alias("max"), r(F.stddev_samp(val())).alias("std"),
+        F.count(val()).alias("count"), r(S.quantile(val(), 0.1)).alias("q10"), r(S.quantile(val(), 0.9)).alias("q90"),
     )
 
 
 def seasonal_statistics(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return df.groupBy(*keys, F.year("date").alias("year"), season_name(F.col("date")).alias("season")).agg(
-        F.avg(V).alias("mean"), F.min(V).alias("min"), F.max(V).alias("max"), F.stddev_samp(V).alias("std")
+        F.avg(val()).alias("mean"), F.min(val()).alias("min"), F.max(val()).alias("max"), F.stddev_samp(val()).alias("std")
     )
 
 
@@ -50,8 +54,8 @@ def temperature_extremes(
     df: DataFrame, keys: Sequence[str] = KEY, cold: float = -20.0, hot: float = 35.0
 ) -> DataFrame:
     """Cold and hot day counts, shares, longest row runs, coldest and hottest day."""
-    m = R.mark_runs(df, V <= cold, keys, contiguous=False, prefix="c")
-    m = R.mark_runs(m, V >= hot, keys, contiguous=False, prefix="h")
+    m = R.mark_runs(df, val() <= cold, keys, contiguous=False, prefix="c")
+    m = R.mark_runs(m, val() >= hot, keys, contiguous=False, prefix="h")
     m = m.select(
         "*",
         F.sum(F.col("c_flag").cast("int")).over(Window.partitionBy(*keys, "c_id")).alias("c_len"),
@@ -63,16 +67,16 @@ def temperature_extremes(
         F.count_if("c_flag").alias("cold_days_count"), F.count_if("h_flag").alias("hot_days_count"),
         (F.count_if("c_flag") / n * 100).alias("cold_days_percentage"), (F.count_if("h_flag") / n * 100).alias("hot_days_percentage"),
         F.max("c_len").alias("max_consecutive_cold"), F.max("h_len").alias("max_consecutive_hot"),
-        F.min_by("date", F.when(V.isNotNull(), F.struct(V, d))).alias("coldest_date"), F.min(V).alias("coldest"),
-        F.max_by("date", F.when(V.isNotNull(), F.struct(V, -d))).alias("hottest_date"), F.max(V).alias("hottest"),
+        F.min_by("date", F.when(val().isNotNull(), F.struct(val(), d))).alias("coldest_date"), F.min(val()).alias("coldest"),
+        F.max_by("date", F.when(val().isNotNull(), F.struct(val(), -d))).alias("hottest_date"), F.max(val()).alias("hottest"),
     )
 
 
 def degree_days(df: DataFrame, keys: Sequence[str] = KEY, base: float = 10.0) -> DataFrame:
     """Daily growing and heating degree days."""
     zero = F.lit(0.0)
-    return df.where(V.isNotNull()).select(
-        *keys, "date", F.greatest(V - base, zero).alias("growing"), F.greatest(base - V, zero).alias("heating")
+    return df.where(val().isNotNull()).select(
+        *keys, "date", F.greatest(val() - base, zero).alias("growing"), F.greatest(base - val(), zero).alias("heating")
     )
 
 
@@ -84,13 +88,13 @@ def annual_degree_days(df: DataFrame, keys: Sequence[str] = KEY, base: float = 1
 
 def frost_years(df: DataFrame, keys: Sequence[str] = KEY, threshold: float = 0.0) -> DataFrame:
     """First and last frost per year; years without frost are absent."""
-    return df.where(V <= threshold).groupBy(*keys, F.year("date").alias("year")).agg(
+    return df.where(val() <= threshold).groupBy(*keys, F.year("date").alias("year")).agg(
         F.min("date").alias("first_frost"), F.max("date").alias("last_frost"), F.count("*").alias("frost_days")
     )
 
 
 def frost_summary(df: DataFrame, keys: Sequence[str] = KEY, threshold: float = 0.0) -> DataFrame:
-    y = df.groupBy(*keys, F.year("date").alias("year")).agg(F.count_if(V <= threshold).alias("f"), F.count("*").alias("n"))
+    y = df.groupBy(*keys, F.year("date").alias("year")).agg(F.count_if(val() <= threshold).alias("f"), F.count("*").alias("n"))
     return y.groupBy(*keys).agg(
         F.sum("f").alias("total_frost_days"), (F.sum("f") / F.sum("n") * 100).alias("frost_percentage"),
         F.coalesce(F.avg(F.when(F.col("f") > 0, F.col("f"))), F.lit(0.0)).alias("average_frost_days_per_year"),
@@ -108,7 +112,7 @@ def temperature_metrics(df: DataFrame, keys: Sequence[str] = KEY, cold: float =
 
 def percentile_thresholds(df: DataFrame, keys: Sequence[str] = KEY, low: float = 10, high: float = 90) -> DataFrame:
     return df.groupBy(*keys).agg(
-        S.quantile(V, low / 100).alias("low_threshold"), S.quantile(V, high / 100).alias("high_threshold")
+        S.quantile(val(), low / 100).alias("low_threshold"), S.quantile(val(), high / 100).alias("high_threshold")
     )
 
 
@@ -120,12 +124,12 @@ def extreme_periods(
     Duration is the elapsed days from first to last row of the run.
     """
     whole = Window.partitionBy(*keys)
-    lo = S.quantile(V, 0.1).over(whole) if low is None else F.lit(float(low))
-    hi = S.quantile(V, 0.9).over(whole) if high is None else F.lit(float(high))
+    lo = S.quantile(val(), 0.1).over(whole) if low is None else F.lit(float(low))
+    hi = S.quantile(val(), 0.9).over(whole) if high is None else F.lit(float(high))
     base = df.select(*keys, "date", "value", lo.alias("lo"), hi.alias("hi"))
-    aggs = [F.avg(V).alias("intensity_mean"), F.min(V).alias("intensity_min"), F.max(V).alias("intensity_max")]
+    aggs = [F.avg(val()).alias("intensity_mean"), F.min(val()).alias("intensity_min"), F.max(val()).alias("intensity_max")]
     out = None
-    for kind, flag in (("low", V <= F.col("lo")), ("high", V >= F.col("hi"))):
+    for kind, flag in (("low", val() <= F.col("lo")), ("high", val() >= F.col("hi"))):
         e = R.event_table(base, flag, keys, contiguous=False, aggs=aggs).drop("run_id", "n_rows")
         e = e.select(*keys, F.lit(kind).alias("kind"), "start", "end",
                      (F.datediff("end", "start") + 1).alias("duration_days"), "intensity_mean", "intensity_min", "intensity_max")
@@ -136,9 +140,9 @@ def extreme_periods(
 def extreme_shares(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Thresholds with the count and share of days beyond them."""
     whole = Window.partitionBy(*keys)
-    base = df.select(*keys, "value", S.quantile(V, 0.1).over(whole).alias("lo"), S.quantile(V, 0.9).over(whole).alias("hi"))
+    base = df.select(*keys, "value", S.quantile(val(), 0.1).over(whole).alias("lo"), S.quantile(val(), 0.9).over(whole).alias("hi"))
     n = F.count("*")
-    a, b = F.count_if(V <= F.col("lo")), F.count_if(V >= F.col("hi"))
+    a, b = F.count_if(val() <= F.col("lo")), F.count_if(val() >= F.col("hi"))
     return base.groupBy(*keys).agg(
         F.max("lo").alias("low_threshold"), F.max("hi").alias("high_threshold"), a.alias("extreme_low_count"),
         b.alias("extreme_high_count"), (a / n * 100).alias("extreme_low_percentage"), (b / n * 100).alias("extreme_high_percentage"),
@@ -149,8 +153,8 @@ def spell_events(
     df: DataFrame, keys: Sequence[str] = KEY, threshold: float = 30.0, min_days: int = 3, hot: bool = True
 ) -> DataFrame:
     """Runs of at least ``min_days`` rows beyond a threshold (duration counts rows)."""
-    flag = V >= threshold if hot else V <= threshold
-    aggs = [F.avg(V).alias("intensity_mean"), F.min(V).alias("intensity_min"), F.max(V).alias("intensity_max")]
+    flag = val() >= threshold if hot else val() <= threshold
+    aggs = [F.avg(val()).alias("intensity_mean"), F.min(val()).alias("intensity_min"), F.max(val()).alias("intensity_max")]
     e = R.event_table(df, flag, keys, contiguous=False, aggs=aggs)
     return e.where(F.col("n_rows") >= min_days).drop("run_id").withColumnRenamed("n_rows", "duration_days")
 
@@ -170,8 +174,8 @@ def spell_summary(
 
 def annual_extremes(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return df.groupBy(*keys, F.year("date").alias("year")).agg(
-        F.min(V).alias("min"), F.max(V).alias("max"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),
-        S.quantile(V, 0.01).alias("p01"), S.quantile(V, 0.99).alias("p99"),
+        F.min(val()).alias("min"), F.max(val()).alias("max"), F.avg(val()).alias("mean"), F.stddev_samp(val()).alias("std"),
+        S.quantile(val(), 0.01).alias("p01"), S.quantile(val(), 0.99).alias("p99"),
     )
 
 
@@ -194,7 +198,7 @@ def season_table(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     s = season_name(F.col("date"))
     aggs = []
     for n in SEASONS:
-        x = F.when(s == n, V)
+        x = F.when(s == n, val())
         low = n.lower()
         aggs += [
             F.avg(x).alias(f"{low}_mean"), F.sum(x).alias(f"{low}_total"), F.min(x).alias(f"{low}_min"), F.max(x).alias(f"{low}_max")
@@ -204,7 +208,7 @@ def season_table(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 def monthly_climatology(df: DataFrame, keys: Sequence[str] = KEY, years: tuple[int, int] | None = None) -> DataFrame:
     ref = df.where(F.year("date").between(*years)) if years else df
-    return ref.groupBy(*keys, F.month("date").alias("month")).agg(F.avg(V).alias("mean"))
+    return ref.groupBy(*keys, F.month("date").alias("month")).agg(F.avg(val()).alias("mean"))
 
 
 def seasonal_anomalies(df: DataFrame, keys: Sequence[str] = KEY, years: tuple[int, int] | None = None) -> DataFrame:
@@ -213,7 +217,7 @@ def seasonal_anomalies(df: DataFrame, keys: Sequence[str] = KEY, years: tuple[in
     d = df.withColumn("season", season_name(F.col("date"))).withColumn("year", F.year("date"))
     inside = F.col("year").between(*years) if years else F.lit(True)
     y = d.groupBy(*k, "year").agg(
-        F.avg(V).alias("mean"), F.sum(F.when(inside, V)).alias("s"), F.count(F.when(inside, V)).alias("n")
+        F.avg(val()).alias("mean"), F.sum(F.when(inside, val())).alias("s"), F.count(F.when(inside, val())).alias("n")
     )
     w = Window.partitionBy(*k)
     return y.select(*k, "year", (F.col("mean") - S.div(F.sum("s").over(w), F.sum("n").over(w))).alias("anomaly"))
@@ -240,14 +244,14 @@ def annual_cycle(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 
 def onset_dates(df: DataFrame, threshold: float, keys: Sequence[str] = KEY, rising: bool = True) -> DataFrame:
     """First date per year at or beyond a threshold; null where it is never reached."""
-    hit = V >= threshold if rising else V <= threshold
+    hit = val() >= threshold if rising else val() <= threshold
     return df.groupBy(*keys, F.year("date").alias("year")).agg(F.min(F.when(hit, F.col("date"))).alias("onset"))
 
 
 def seasonal_trends(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Least squares of season means on the year with the t test of the slope."""
     k = [*keys, "season"]
-    y = df.groupBy(*keys, season_name(F.col("date")).alias("season"), F.year("date").cast("double").alias("year")).agg(F.avg(V).alias("m"))
+    y = df.groupBy(*keys, season_name(F.col("date")).alias("season"), F.year("date").cast("double").alias("year")).agg(F.avg(val()).alias("m"))
     out = y.where("m IS NOT NULL").groupBy(*k).agg(
         F.count("*").alias("n_years"), F.regr_slope("m", "year").alias("slope"), F.regr_intercept("m", "year").alias("intercept"),
         F.regr_r2("m", "year").alias("r_squared"),
@@ -347,7 +351,7 @@ def product_agreement(
     rows = F.array(*[F.struct(F.lit(f"{a}-{b}").alias("pair"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
     long = forcing.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.pair", "r.x", "r.y").where("x IS NOT NULL AND y IS NOT NULL")
     return long.groupBy(*keys, "pair").agg(
-        F.count("*").alias("n_days"), F.corr("x", "y").alias("r"), F.avg(F.col("x") - F.col("y")).alias("mean_bias")
+        F.count("*").alias("n_days"), S.corr("x", "y").alias("r"), F.avg(F.col("x") - F.col("y")).alias("mean_bias")
     ).where(F.col("n_days") >= min_days)
 
 
@@ -362,4 +366,4 @@ def product_shares(means: DataFrame, a: str, b: str, region: Column) -> DataFram
 def season_means(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Overall mean and the four season means of each series."""
     s = C.season_code(F.col("date"))
-    return df.groupBy(*keys).agg(F.avg(V).alias("mean"), *[F.avg(F.when(s == x, V)).alias(x.lower()) for x in ("DJF", "MAM", "JJA", "SON")])
+    return df.groupBy(*keys).agg(F.avg(val()).alias("mean"), *[F.avg(F.when(s == x, val())).alias(x.lower()) for x in ("DJF", "MAM", "JJA", "SON")])

@@ -17,7 +17,6 @@ from ..functions import distributions as D
 from ..functions import runs as R
 from ..functions import stats as S
 
-V = F.col("value")
 KEY = ("series_id",)
 
 # Months of the ice season and the severity of each flag.
@@ -47,6 +46,11 @@ SEVERITY = {
 }
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 def flag_array(*flags: Column) -> Column:
     """Array of the non-null codes, in argument order."""
     return F.filter(F.array(*flags), lambda f: f.isNotNull())
@@ -63,7 +67,7 @@ def severity_counts(flags: Column) -> dict[str, Column]:
 
 def observed_years(df: DataFrame, keys: Sequence[str] = KEY, start_month: int = C.HYDRO_START) -> DataFrame:
     """Observed days with their hydrological year."""
-    return df.where(V.isNotNull()).withColumn("hydro_year", C.hydro_year(F.col("date"), start_month))
+    return df.where(val().isNotNull()).withColumn("hydro_year", C.hydro_year(F.col("date"), start_month))
 
 
 # --- runs and spikes --------------------------------------------------------------------------
@@ -79,8 +83,8 @@ def constant_runs(
     stays in one run because each value is compared with the one before it.
     """
     w = R.ordered(keys)
-    same = F.abs(V - F.lag("value").over(w)) <= tolerance
-    base = df.where(V.isNotNull()).withColumn("breaks", F.when(same, 0).otherwise(1))
+    same = F.abs(val() - F.lag("value").over(w)) <= tolerance
+    base = df.where(val().isNotNull()).withColumn("breaks", F.when(same, 0).otherwise(1))
     base = base.withColumn("grp", F.sum("breaks").over(R.upto(keys)))
     out = (
         base.groupBy(*keys, "grp")
@@ -106,24 +110,24 @@ def spike_scores(
 ) -> DataFrame:
     """Distance from the centred rolling median in scaled median absolute deviations.
 
-    The frame counts observed rows: half the window before, the rest from the row on.
+    The frame counts observed rows: half the window before, the rest from the row on.  It is read
+    with lag and lead, which stay cheap offset frames, and medians come from the sorted array.
     """
     w = R.ordered(keys)
     half = window_days // 2
-    frame = w.rowsBetween(-half, window_days - half - 1)
-    whole = Window.partitionBy(*keys)
-    base = df.where(V.isNotNull()).select(
-        *keys, "date", "value",
-        F.array_sort(F.collect_list("value").over(frame)).alias("_a"),
-        F.count("*").over(whole).alias("_n"),
+    around = [F.lag("value", i).over(w) for i in range(half, 0, -1)] + [val()]
+    around += [F.lead("value", i).over(w) for i in range(1, window_days - half)]
+    base = df.where(val().isNotNull()).select(
+        *keys, "date", "value", F.sort_array(F.array_compact(F.array(*around))).alias("_a"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("_n"),
     )
     base = base.where((F.col("_n") >= window_days) & (F.size("_a") >= min_periods))
     base = base.withColumn("rolling_median", _median_of_sorted(F.col("_a")))
     m = F.col("rolling_median")
-    base = base.withColumn("_d", F.array_sort(F.transform("_a", lambda x: F.abs(x - m))))
+    base = base.withColumn("_d", F.sort_array(F.transform("_a", lambda x: F.abs(x - m))))
     base = base.withColumn("scaled_mad", _median_of_sorted(F.col("_d")) * 1.4826)
     return base.where("scaled_mad > 0").select(
-        *keys, "date", "value", "rolling_median", (F.abs(V - m) / F.col("scaled_mad")).alias("n_sigma")
+        *keys, "date", "value", "rolling_median", (F.abs(val() - m) / F.col("scaled_mad")).alias("n_sigma")
     )
 
 
@@ -134,7 +138,7 @@ def spikes(df: DataFrame, keys: Sequence[str] = KEY, sigma: float = 8.0, window_
 def spike_sensitivity(df: DataFrame, keys: Sequence[str] = KEY, sigmas: Sequence[float] = (5.0, 8.0)) -> DataFrame:
     """Number and share of series with at least one spike at each level, scored once."""
     per = spike_scores(df, keys).groupBy(*keys).agg(F.max("n_sigma").alias("peak"))
-    total = df.where(V.isNotNull()).select(*keys).distinct()
+    total = df.where(val().isNotNull()).select(*keys).distinct()
     joined = total.join(per, list(keys), "left")
     levels = F.explode(F.array(*[F.lit(float(s)) for s in sigmas]))
     return (
@@ -161,7 +165,7 @@ def annual_variance(
     """
     w = Window.partitionBy(*keys)
     y = observed_years(df, keys, start_month).groupBy(*keys, "hydro_year").agg(
-        F.count("*").alias("n"), F.avg(V).alias("m"), (F.var_pop(V) * F.count("*")).alias("ss")
+        F.count("*").alias("n"), F.avg(val()).alias("m"), (F.var_pop(val()) * F.count("*")).alias("ss")
     )
     n, m, ss = F.col("n"), F.col("m"), F.col("ss")
     y = y.select("*", F.sum(n).over(w).alias("tn"), (F.sum(n * m).over(w) / F.sum(n).over(w)).alias("tm"))
@@ -192,7 +196,7 @@ def annual_variance(
 def data_quality(df: DataFrame, keys: Sequence[str] = KEY, start_month: int = C.HYDRO_START) -> DataFrame:
     """Completeness, negatives and zeros per year with their flags."""
     y = observed_years(df, keys, start_month).groupBy(*keys, "hydro_year").agg(
-        F.count("*").alias("n_days"), F.count_if(V < 0).alias("n_negative_values"), F.count_if(V == 0).alias("n_zero")
+        F.count("*").alias("n_days"), F.count_if(val() < 0).alias("n_negative_values"), F.count_if(val() == 0).alias("n_zero")
     )
     y = y.select(
         *keys, "hydro_year", "n_days",
@@ -288,8 +292,8 @@ def peak_ratios(
     """Maximum over mean per year (30 days or more, positive mean) with the date of the peak."""
     d = F.datediff("date", F.lit("1970-01-01").cast("date"))
     y = observed_years(df, keys, start_month).groupBy(*keys, "hydro_year").agg(
-        F.count("*").alias("n"), F.avg(V).alias("mean_value"), F.max(V).alias("peak_value"),
-        F.max_by("date", F.struct(V, -d)).alias("peak_date"),
+        F.count("*").alias("n"), F.avg(val()).alias("mean_value"), F.max(val()).alias("peak_value"),
+        F.max_by("date", F.struct(val(), -d)).alias("peak_date"),
     )
     enough = F.col("n") >= 30
     ratio = F.when(enough, S.div_pos(F.col("peak_value"), F.col("mean_value")))
@@ -320,10 +324,10 @@ def flat_years(
 def daily_climatology(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Day-of-year statistics over 1..366 for series with at least a year of values."""
     w = Window.partitionBy(*keys)
-    obs = df.where(V.isNotNull()).select("*", F.count("*").over(w).alias("_n")).where("_n >= 365")
-    q = lambda p: S.quantile(V, p)
+    obs = df.where(val().isNotNull()).select("*", F.count("*").over(w).alias("_n")).where("_n >= 365")
+    q = lambda p: S.quantile(val(), p)
     stats = obs.groupBy(*keys, F.dayofyear("date").alias("day_of_year")).agg(
-        F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"), q(0.5).alias("median"), q(0.25).alias("q25"),
+        F.avg(val()).alias("mean"), F.stddev_samp(val()).alias("std"), q(0.5).alias("median"), q(0.25).alias("q25"),
         q(0.75).alias("q75"), q(0.05).alias("q05"), q(0.95).alias("q95"), F.count("*").alias("count"),
     )
     grid = stats.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(366))).alias("day_of_year"))
@@ -339,15 +343,15 @@ def year_deviation(df: DataFrame, keys: Sequence[str] = KEY, start_month: int =
     obs = observed_years(df, keys, start_month).withColumn("doy", F.dayofyear("date"))
     obs = obs.select(
         *keys, "hydro_year", "value",
-        F.avg(V).over(Window.partitionBy(*keys, "doy")).alias("clim"), F.count("*").over(whole).alias("tn"),
+        F.avg(val()).over(Window.partitionBy(*keys, "doy")).alias("clim"), F.count("*").over(whole).alias("tn"),
     )
     obs = obs.withColumn("clim_max", F.max("clim").over(whole)).where("tn >= 365")
     c = F.col("clim")
     y = obs.groupBy(*keys, "hydro_year").agg(
         F.count("*").alias("n_days"),
-        F.corr("value", "clim").alias("r"),
-        F.sqrt(F.avg((V - c) ** 2)).alias("rmse"),
-        F.avg(c).alias("cm"), F.max(V).alias("ym"), F.max("clim_max").alias("xm"), F.avg(V - c).alias("b"),
+        S.corr("value", "clim").alias("r"),
+        F.sqrt(F.avg((val() - c) ** 2)).alias("rmse"),
+        F.avg(c).alias("cm"), F.max(val()).alias("ym"), F.max("clim_max").alias("xm"), F.avg(val() - c).alias("b"),
     )
     ok = F.col("n_days") >= 30
     r = F.when(~F.isnan("r"), F.col("r"))
@@ -421,10 +425,10 @@ def peak_winter_ratio(
 ) -> DataFrame:
     """Annual maximum over January–March mean, for years with coverage and winter days enough."""
     y = observed_years(df, keys)
-    winter = F.when(F.month("date") <= 3, V)
+    winter = F.when(F.month("date") <= 3, val())
     y = y.groupBy(*keys, "hydro_year").agg(
         (F.count("*") / F.first(C.hydro_length(F.col("hydro_year")))).alias("coverage"),
-        F.max(V).alias("peak"), F.avg(winter).alias("winter_mean"), F.count(winter).alias("n_winter"),
+        F.max(val()).alias("peak"), F.avg(winter).alias("winter_mean"), F.count(winter).alias("n_winter"),
     )
     return y.where(
         (F.col("coverage") >= min_coverage) & (F.col("n_winter") >= min_winter_days) & (F.col("winter_mean") > 0)
@@ -444,7 +448,7 @@ def winter_gap_flags(
     df: DataFrame, keys: Sequence[str] = KEY, summer_min: float = 0.8, winter_max: float = 0.5
 ) -> DataFrame:
     """Series observed in summer (June–September) but not in winter (December–March)."""
-    seen = V.isNotNull().cast("double")
+    seen = val().isNotNull().cast("double")
     m = F.month("date")
     out = df.groupBy(*keys).agg(
         F.avg(F.when(m.isin(6, 7, 8, 9), seen)).alias("summer_presence"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -18,7 +18,15 @@ from .quality import flag_array
 
 KEY = ("series_id",)
 YEAR_KEY = ("series_id", "hydro_year")
-V, P = F.col("value"), F.col("p")
+
+
+def val() -> Column:
+    return F.col("value")
+
+
+def inp() -> Column:
+    return F.col("p")
+
 
 
 def precipitation_events(
@@ -62,9 +70,9 @@ def event_response(
         *k, "event_id", "start", "total",
         F.explode(F.sequence(F.date_sub("start", 3), F.date_add("end", lag_window))).alias("date"),
     )
-    q = df.where(V.isNotNull()).select(*k, "date", "value")
-    before = F.when(F.col("date") < F.col("start"), V)
-    after = F.when(F.col("date") >= F.col("start"), V)
+    q = df.where(val().isNotNull()).select(*k, "date", "value")
+    before = F.when(F.col("date") < F.col("start"), val())
+    after = F.when(F.col("date") >= F.col("start"), val())
     per = days.join(q, [*k, "date"], "left").groupBy(*k, "event_id").agg(
         F.avg(before).alias("base"), F.max(after).alias("peak"), F.first("total").alias("total")
     )
@@ -94,7 +102,7 @@ def lag_correlations(
     ahead = [F.max("value").over(w.rangeBetween(k, k)).alias(f"q{k}") for k in range(max_lag + 1)]
     base = base.select(*keys, "_p", *ahead)
     stats = base.groupBy(*keys).agg(
-        *[F.corr("_p", f"q{k}").alias(f"r{k}") for k in range(max_lag + 1)],
+        *[S.corr("_p", f"q{k}").alias(f"r{k}") for k in range(max_lag + 1)],
         *[F.count_if(F.col("_p").isNotNull() & F.col(f"q{k}").isNotNull()).alias(f"n{k}") for k in range(max_lag + 1)],
     )
     rows = F.explode(
@@ -118,8 +126,8 @@ def cross_correlation(
 
 def flashiness(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     w = R.ordered(keys)
-    base = df.where(V.isNotNull()).select(*keys, "value", F.abs(V - F.lag("value").over(w)).alias("d"))
-    total = F.sum(F.when(F.col("d").isNotNull(), V))
+    base = df.where(val().isNotNull()).select(*keys, "value", F.abs(val() - F.lag("value").over(w)).alias("d"))
+    total = F.sum(F.when(F.col("d").isNotNull(), val()))
     return base.groupBy(*keys).agg(S.div_pos(F.sum("d"), total).alias("flashiness_index"))
 
 
@@ -134,8 +142,8 @@ def snow_partition(
     """
     t = F.col("t")
     w = R.upto(keys)
-    ok = P.isNotNull() & t.isNotNull()
-    wet = F.greatest(P, F.lit(0.0))
+    ok = inp().isNotNull() & t.isNotNull()
+    wet = F.greatest(inp(), F.lit(0.0))
     base = df.select(
         *df.columns,
         F.when(ok, F.when(t <= snow_temp, F.lit(0.0)).otherwise(wet)).alias("rain_input"),
@@ -161,7 +169,7 @@ def snow_aware_response(
     part = snow_partition(df, keys, melt_factor=melt_factor)
     zero = F.lit(0.0)
     totals = part.groupBy(*k).agg(
-        S.div_pos(F.coalesce(F.sum("snow_input"), zero), F.sum(F.greatest(P, zero))).alias("snow_fraction"),
+        S.div_pos(F.coalesce(F.sum("snow_input"), zero), F.sum(F.greatest(inp(), zero))).alias("snow_fraction"),
         *[F.coalesce(F.sum(c), zero).alias(n) for c, n in (
             ("rain_input", "rain_total"), ("snow_input", "snow_total"), ("melt_input", "melt_total"),
             ("effective_input", "effective_input_total"))],

@@ -16,22 +16,26 @@ from ..functions import calendar as C
 from ..functions import runs as R
 from ..functions import stats as S
 
-V = F.col("value")
 KEY = ("series_id",)
 # Default exceedance percentages and quantiles.
 EXCEEDANCE = (5, 10, 20, 30, 50, 70, 80, 90, 95, 99)
 QUANTILES = (0.01, 0.05, 0.1, 0.9, 0.95, 0.99)
 
 
+def val() -> Column:
+    return F.col("value")
+
+
+
 def observed(df: DataFrame) -> DataFrame:
-    return df.where(V.isNotNull())
+    return df.where(val().isNotNull())
 
 
 def exceeded(p: float) -> Column:
     """Flow exceeded ``p`` percent of the time: a small ``p`` is a high flow."""
     if not 0 <= p <= 100:
         raise ValueError("exceedance must lie in 0..100")
-    return S.quantile(V, round(1 - p / 100, 6))
+    return S.quantile(val(), round(1 - p / 100, 6))
 
 
 def fdc_slope(p1: float = 33, p2: float = 66) -> Column:
@@ -66,11 +70,11 @@ def fdc_metrics(
         S.div_pos(q(5), q(50)).alias("q5_q50_ratio"),
         S.div_pos(q(50), q(95)).alias("q50_q95_ratio"),
         S.div_pos(q(25) - q(75), q(50)).alias("iqr_ratio"),
-        F.avg(V).alias("mean_flow"),
+        F.avg(val()).alias("mean_flow"),
         q(50).alias("median_flow"),
-        S.cv_pop(V).alias("cv_flow"),
-        S.adjusted_skew(V).alias("skewness"),
-        S.adjusted_kurtosis(V).alias("kurtosis"),
+        S.cv_pop(val()).alias("cv_flow"),
+        S.adjusted_skew(val()).alias("skewness"),
+        S.adjusted_kurtosis(val()).alias("kurtosis"),
     )
 
 
@@ -87,7 +91,7 @@ def flow_regime(
     The slope of any falling curve is positive here, so with the default bounds the class is
     "flat"; the bounds are parameters for callers who want another convention.
     """
-    base = observed(df).groupBy(*keys).agg(fdc_slope().alias("fdc_slope"), S.cv_pop(V).alias("coefficient_variation"))
+    base = observed(df).groupBy(*keys).agg(fdc_slope().alias("fdc_slope"), S.cv_pop(val()).alias("coefficient_variation"))
     s, c = F.col("fdc_slope"), F.col("coefficient_variation")
     out = base.select(
         "*",
@@ -107,9 +111,9 @@ def flow_regime(
 def regime_classification(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Second regime labelling, with its own bounds, plus the low-flow share."""
     base = observed(df).groupBy(*keys).agg(
-        S.cv_pop(V).alias("coefficient_of_variation"),
+        S.cv_pop(val()).alias("coefficient_of_variation"),
         fdc_slope().alias("fdc_slope"),
-        S.div_pos(exceeded(95), F.avg(V)).alias("baseflow_ratio_approx"),
+        S.div_pos(exceeded(95), F.avg(val())).alias("baseflow_ratio_approx"),
     )
     s, c = F.col("fdc_slope"), F.col("coefficient_of_variation")
     label = (
@@ -128,7 +132,7 @@ def regime_classification(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame
 def flow_quantiles(df: DataFrame, keys: Sequence[str] = KEY, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """Plain quantiles, named after their percentage (``q01_0``)."""
     return observed(df).groupBy(*keys).agg(
-        *[S.quantile(V, p).alias(f"q{p * 100:04.1f}".replace(".", "_")) for p in quantiles]
+        *[S.quantile(val(), p).alias(f"q{p * 100:04.1f}".replace(".", "_")) for p in quantiles]
     )
 
 
@@ -145,11 +149,11 @@ def threshold_events(
     whole = Window.partitionBy(*keys)
     base = observed(df).select(
         *keys, "date", "value",
-        (S.quantile(V, 0.5).over(whole) * high_multiplier).alias("hi"),
-        (F.avg(V).over(whole) * low_multiplier).alias("lo"),
+        (S.quantile(val(), 0.5).over(whole) * high_multiplier).alias("hi"),
+        (F.avg(val()).over(whole) * low_multiplier).alias("lo"),
     )
-    marked = R.mark_runs(base, V > F.col("hi"), keys, prefix="h")
-    marked = R.mark_runs(marked, V < F.col("lo"), keys, prefix="l")
+    marked = R.mark_runs(base, val() > F.col("hi"), keys, prefix="h")
+    marked = R.mark_runs(marked, val() < F.col("lo"), keys, prefix="l")
     marked = marked.select(
         "*", R.run_position(keys, prefix="h").alias("h_pos"), R.run_position(keys, prefix="l").alias("l_pos")
     )
@@ -157,7 +161,7 @@ def threshold_events(
     def family(side: str, p: str, level: str, extreme: Column, extreme_name: str) -> list[Column]:
         n = F.count_if(F.col(f"{p}_flag"))
         events = F.count_if(F.col(f"{p}_first"))
-        hit = F.when(F.col(f"{p}_flag"), V)
+        hit = F.when(F.col(f"{p}_flag"), val())
         return [
             F.max(level).alias(f"{side}_flow_threshold"),
             (n / F.count("*") * 100).alias(f"{side}_flow_frequency"),
@@ -169,22 +173,22 @@ def threshold_events(
         ]
 
     return marked.groupBy(*keys).agg(
-        *family("high", "h", "hi", F.max(F.when(F.col("h_flag"), V)), "max"),
-        *family("low", "l", "lo", F.min(F.when(F.col("l_flag"), V)), "min"),
+        *family("high", "h", "hi", F.max(F.when(F.col("h_flag"), val())), "max"),
+        *family("low", "l", "lo", F.min(F.when(F.col("l_flag"), val())), "min"),
     )
 
 
 def low_flow_indices(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """5 % / 10 % quantiles, their ratios and the variation below the 5 % level."""
     whole = Window.partitionBy(*keys)
-    base = observed(df).withColumn("lvl", S.quantile(V, 0.05).over(whole))
-    below = F.when(V <= F.col("lvl"), V)
+    base = observed(df).withColumn("lvl", S.quantile(val(), 0.05).over(whole))
+    below = F.when(val() <= F.col("lvl"), val())
     return base.groupBy(*keys).agg(
         F.max("lvl").alias("q95_flow"),
-        S.quantile(V, 0.1).alias("q90_flow"),
-        S.div_pos(F.max("lvl"), F.avg(V)).alias("bfi_approx"),
+        S.quantile(val(), 0.1).alias("q90_flow"),
+        S.div_pos(F.max("lvl"), F.avg(val())).alias("bfi_approx"),
         S.cv_pop(below).alias("low_flow_cv"),
-        S.div_pos(F.max("lvl"), S.quantile(V, 0.5)).alias("q95_ratio"),
+        S.div_pos(F.max("lvl"), S.quantile(val(), 0.5)).alias("q95_ratio"),
     )
 
 
@@ -194,27 +198,27 @@ def flood_indices(df: DataFrame, keys: Sequence[str] = KEY, min_days: int = 300)
     byyear = yearly.orderBy("date")
     base = observed(df).select(
         *keys, "date", "value", F.year("date").alias("year"),
-        (V - F.lag("value").over(R.ordered(keys))).alias("rise"),
+        (val() - F.lag("value").over(R.ordered(keys))).alias("rise"),
     )
     # The yearly maximum is written on one row per qualifying year only.
     base = base.select(
         "*",
         F.when(
-            (F.count("*").over(yearly) > min_days) & (F.row_number().over(byyear) == 1), F.max(V).over(yearly)
+            (F.count("*").over(yearly) > min_days) & (F.row_number().over(byyear) == 1), F.max(val()).over(yearly)
         ).alias("annual_max"),
     )
     whole = Window.partitionBy(*keys)
-    base = base.withColumn("flood", F.coalesce(F.avg("annual_max").over(whole), F.avg(V).over(whole)))
+    base = base.withColumn("flood", F.coalesce(F.avg("annual_max").over(whole), F.avg(val()).over(whole)))
     rise = F.max("rise")
     return base.groupBy(*keys).agg(
-        S.quantile(V, 0.95).alias("q05_flow"),
-        S.quantile(V, 0.9).alias("q10_flow"),
+        S.quantile(val(), 0.95).alias("q05_flow"),
+        S.quantile(val(), 0.9).alias("q10_flow"),
         F.max("flood").alias("mean_annual_flood"),
         (F.max("flood") * 2).alias("flood_threshold"),
-        (F.count_if(V > 2 * F.col("flood")) / F.count("*") * 100).alias("flood_frequency"),
+        (F.count_if(val() > 2 * F.col("flood")) / F.count("*") * 100).alias("flood_frequency"),
         rise.alias("max_daily_rise"),
         F.avg(F.when(F.col("rise") > 0, F.col("rise"))).alias("mean_daily_rise"),
-        S.div_pos(rise, F.avg(V)).alias("flashiness_index"),
+        S.div_pos(rise, F.avg(val())).alias("flashiness_index"),
     )
 
 
@@ -230,7 +234,7 @@ def extreme_metrics(df: DataFrame, keys: Sequence[str] = KEY, high: float = 2.0,
 
 
 def extreme_ratios(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    q05, q50, q95 = S.quantile(V, 0.95), S.quantile(V, 0.5), S.quantile(V, 0.05)
+    q05, q50, q95 = S.quantile(val(), 0.95), S.quantile(val(), 0.5), S.quantile(val(), 0.05)
     return observed(df).groupBy(*keys).agg(
         S.div_pos(q05, q95).alias("q05_q95_ratio"),
         S.div_pos(q05, q50).alias("q05_q50_ratio"),
@@ -246,11 +250,11 @@ def magnitude_indices(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Mean, median, spread and the twelve monthly means (``ma03`` = January … ``ma14``)."""
     m = F.month("date")
     return observed(df).groupBy(*keys).agg(
-        F.avg(V).alias("ma01"),
-        S.quantile(V, 0.5).alias("ma02"),
-        *[F.avg(F.when(m == i, V)).alias(f"ma{i + 2:02d}") for i in range(1, 13)],
-        F.stddev_pop(V).alias("ma15"),
-        S.div_pos(F.stddev_pop(V), F.avg(V)).alias("ma16"),
+        F.avg(val()).alias("ma01"),
+        S.quantile(val(), 0.5).alias("ma02"),
+        *[F.avg(F.when(m == i, val())).alias(f"ma{i + 2:02d}") for i in range(1, 13)],
+        F.stddev_pop(val()).alias("ma15"),
+        S.div_pos(F.stddev_pop(val()), F.avg(val())).alias("ma16"),
     )
 
 
@@ -267,8 +271,8 @@ def frequency_duration_indices(
     w = R.ordered(keys)
     base = observed(df).select(
         *keys, "date", "value",
-        (V > S.quantile(V, 0.5).over(whole) * high).alias("h"),
-        (V < F.avg(V).over(whole) * low).alias("l"),
+        (val() > S.quantile(val(), 0.5).over(whole) * high).alias("h"),
+        (val() < F.avg(val()).over(whole) * low).alias("l"),
     )
     if legacy:
         cols = []
@@ -321,8 +325,8 @@ def _annual_extreme_days(df: DataFrame, keys: Sequence[str], min_days: int) -> D
         .groupBy(*keys, F.year("date").alias("year"))
         .agg(
             F.count("*").alias("n"),
-            F.dayofyear(F.max_by("date", F.struct(V, -d))).alias("max_doy"),
-            F.dayofyear(F.min_by("date", F.struct(V, d))).alias("min_doy"),
+            F.dayofyear(F.max_by("date", F.struct(val(), -d))).alias("max_doy"),
+            F.dayofyear(F.min_by("date", F.struct(val(), d))).alias("min_doy"),
         )
         .where(F.col("n") >= min_days)
     )
@@ -345,7 +349,7 @@ def rate_of_change_indices(df: DataFrame, keys: Sequence[str] = KEY) -> DataFram
     """Mean and median of rises and falls, and how often the change itself changes."""
     w = R.ordered(keys)
     d = F.col("d")
-    base = observed(df).select(*keys, "date", "value", (V - F.lag("value").over(w)).alias("d"))
+    base = observed(df).select(*keys, "date", "value", (val() - F.lag("value").over(w)).alias("d"))
     base = base.withColumn("pd", F.lag("d").over(w))
     up, down = F.when(d > 0, d), F.when(d < 0, -d)
     zero = F.lit(0.0)
@@ -368,7 +372,7 @@ def half_flow_dates(df: DataFrame, keys: Sequence[str] = KEY, min_days: int = 30
     whole = Window.partitionBy(*k)
     y = y.select(
         *k, "date",
-        F.sum(V).over(R.upto(k)).alias("run"), F.sum(V).over(whole).alias("total"), F.count("*").over(whole).alias("n"),
+        F.sum(val()).over(R.upto(k)).alias("run"), F.sum(val()).over(whole).alias("total"), F.count("*").over(whole).alias("n"),
     )
     return (
         y.where((F.col("n") >= min_days) & (F.col("run") >= F.col("total") / 2))
@@ -388,10 +392,10 @@ def seasonal_flows(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     s = C.season(F.col("date"))
     cols = []
     for name in C.SEASONS:
-        x = F.when(s == name, V)
+        x = F.when(s == name, val())
         cols += [
             F.avg(x).alias(f"{name}_mean"), F.stddev_pop(x).alias(f"{name}_std"),
-            S.cv_pop(x).alias(f"{name}_cv"), S.div(F.avg(x), F.avg(V)).alias(f"{name}_ratio"),
+            S.cv_pop(x).alias(f"{name}_cv"), S.div(F.avg(x), F.avg(val())).alias(f"{name}_ratio"),
         ]
     return observed(df).groupBy(*keys).agg(*cols)
 
@@ -414,7 +418,7 @@ def regime_stability(df: DataFrame, keys: Sequence[str] = KEY, min_days: int = 3
     per = (
         observed(df)
         .groupBy(*keys, F.year("date").alias("year"))
-        .agg(F.count("*").alias("n"), *[F.avg(F.when(s == x, V)).alias(x) for x in C.SEASONS])
+        .agg(F.count("*").alias("n"), *[F.avg(F.when(s == x, val())).alias(x) for x in C.SEASONS])
         .where(F.col("n") >= min_days)
     )
     return per.groupBy(*keys).agg(
@@ -427,10 +431,10 @@ def regime_stability(df: DataFrame, keys: Sequence[str] = KEY, min_days: int = 3
 
 def basic_statistics(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return observed(df).groupBy(*keys).agg(
-        F.avg(V).alias("mean"), S.quantile(V, 0.5).alias("median"), F.stddev_pop(V).alias("std"),
-        F.var_pop(V).alias("variance"), S.cv_pop(V).alias("cv"), S.adjusted_skew(V).alias("skewness"),
-        S.adjusted_kurtosis(V).alias("kurtosis"), F.min(V).alias("min"), F.max(V).alias("max"),
-        (F.max(V) - F.min(V)).alias("range"), (S.quantile(V, 0.75) - S.quantile(V, 0.25)).alias("iqr"),
+        F.avg(val()).alias("mean"), S.quantile(val(), 0.5).alias("median"), F.stddev_pop(val()).alias("std"),
+        F.var_pop(val()).alias("variance"), S.cv_pop(val()).alias("cv"), S.adjusted_skew(val()).alias("skewness"),
+        S.adjusted_kurtosis(val()).alias("kurtosis"), F.min(val()).alias("min"), F.max(val()).alias("max"),
+        (F.max(val()) - F.min(val())).alias("range"), (S.quantile(val(), 0.75) - S.quantile(val(), 0.25)).alias("iqr"),
     )
 
 
@@ -443,13 +447,13 @@ def temporal_variability(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     base = observed(df).select(
         *keys, "date", "value",
         F.trunc("date", "month").alias("ym"),
-        (V - F.lag("value").over(w)).alias("d"),
-        F.when(F.count("*").over(week) == 7, F.avg(V).over(week)).alias("wk"),
+        (val() - F.lag("value").over(w)).alias("d"),
+        F.when(F.count("*").over(week) == 7, F.avg(val()).over(week)).alias("wk"),
     )
     base = base.select(
         "*",
         (F.col("wk") - F.lag("wk").over(w)).alias("wd"),
-        F.when(F.row_number().over(month.orderBy("date")) == 1, F.avg(V).over(month)).alias("mm"),
+        F.when(F.row_number().over(month.orderBy("date")) == 1, F.avg(val()).over(month)).alias("mm"),
     )
     n = F.count("*")
     return base.groupBy(*keys).agg(
@@ -467,8 +471,8 @@ def autocorrelation(df: DataFrame, keys: Sequence[str] = KEY, lags: Sequence[int
     w = R.ordered(keys)
     base = observed(df).select(*keys, "value", *[F.lag("value", k).over(w).alias(f"l{k}") for k in lags])
     first = lags[0]
-    out = [F.corr("value", f"l{k}").alias(f"lag{k}_autocorr") for k in lags]
-    out[0] = F.coalesce(F.corr("value", f"l{first}"), F.lit(0.0)).alias(f"lag{first}_autocorr")
+    out = [S.corr("value", f"l{k}").alias(f"lag{k}_autocorr") for k in lags]
+    out[0] = F.coalesce(S.corr("value", f"l{first}"), F.lit(0.0)).alias(f"lag{first}_autocorr")
     return base.groupBy(*keys).agg(*out)
 
 
@@ -476,8 +480,8 @@ def flashiness(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Sum of absolute day-to-day changes over the flow total without the first day."""
     w = R.ordered(keys)
     d = F.col("d")
-    base = observed(df).select(*keys, "date", "value", F.abs(V - F.lag("value").over(w)).alias("d"))
-    total = F.sum(F.when(d.isNotNull(), V))
+    base = observed(df).select(*keys, "date", "value", F.abs(val() - F.lag("value").over(w)).alias("d"))
+    total = F.sum(F.when(d.isNotNull(), val()))
     return base.groupBy(*keys).agg(
         S.div_pos(F.sum(d), total).alias("flashiness_index"),
         F.avg(d).alias("mean_abs_daily_change"),
@@ -489,7 +493,7 @@ def flashiness(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 def seasonal_variability(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Spread of the monthly means and the mean within-month variation."""
     per = observed(df).groupBy(*keys, F.month("date").alias("month")).agg(
-        F.avg(V).alias("m"), S.cv_samp(V).alias("cv")
+        F.avg(val()).alias("m"), S.cv_samp(val()).alias("cv")
     )
     return per.groupBy(*keys).agg(
         S.cv_pop("m").alias("seasonal_cv"),
@@ -504,7 +508,7 @@ def seasonal_variability(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
 def interannual_variability(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Variation of annual mean, maximum and minimum; slope of the means on their position."""
     per = observed(df).groupBy(*keys, F.year("date").alias("year")).agg(
-        F.avg(V).alias("m"), F.max(V).alias("hi"), F.min(V).alias("lo")
+        F.avg(val()).alias("m"), F.max(val()).alias("hi"), F.min(val()).alias("lo")
     )
     per = per.withColumn("pos", F.row_number().over(R.ordered(keys, "year")) - 1)
     return (
@@ -534,7 +538,7 @@ def stability_index(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """One minus a weighted sum of variation, lag-1 decorrelation and flashiness, in 0..1."""
     k = list(keys)
     base = (
-        observed(df).groupBy(*keys).agg(S.cv_pop(V).alias("cv"))
+        observed(df).groupBy(*keys).agg(S.cv_pop(val()).alias("cv"))
         .join(autocorrelation(df, keys, (1,)), k)
         .join(flashiness(df, keys).select(*keys, "flashiness_index"), k)
     )
@@ -603,21 +607,21 @@ def period_metrics(
     base = base.select(
         *k, "date", "value",
         (F.count("value").over(whole) / F.count("*").over(whole)).alias("frac"),
-        (S.quantile(V, 0.5).over(whole) * 2.0).alias("hi"),
-        (F.avg(V).over(whole) * 0.2).alias("lo"),
-        F.sum(V).over(R.upto(k)).alias("run"),
-        F.sum(V).over(whole).alias("total"),
-    )
-    seen = base.where(V.isNotNull())
-    seen = R.mark_runs(seen, V > F.col("hi"), k, prefix="h")
-    seen = R.mark_runs(seen, V < F.col("lo"), k, prefix="l")
+        (S.quantile(val(), 0.5).over(whole) * 2.0).alias("hi"),
+        (F.avg(val()).over(whole) * 0.2).alias("lo"),
+        F.sum(val()).over(R.upto(k)).alias("run"),
+        F.sum(val()).over(whole).alias("total"),
+    )
+    seen = base.where(val().isNotNull())
+    seen = R.mark_runs(seen, val() > F.col("hi"), k, prefix="h")
+    seen = R.mark_runs(seen, val() < F.col("lo"), k, prefix="l")
     nh, eh = F.count_if("h_flag"), F.count_if("h_first")
     nl, el = F.count_if("l_flag"), F.count_if("l_first")
     zero = F.lit(0.0)
     half = F.min(F.when(F.col("run") >= F.col("total") / 2, F.col("date")))
     metrics = {
-        "mean_discharge": F.avg(V), "median_discharge": S.quantile(V, 0.5), "std_discharge": F.stddev_pop(V),
-        "total_discharge": F.sum(V), "cv_discharge": F.when(F.avg(V) > 0, S.cv_pop(V)), "fdc_slope": fdc_slope(),
+        "mean_discharge": F.avg(val()), "median_discharge": S.quantile(val(), 0.5), "std_discharge": F.stddev_pop(val()),
+        "total_discharge": F.sum(val()), "cv_discharge": F.when(F.avg(val()) > 0, S.cv_pop(val())), "fdc_slope": fdc_slope(),
         "q05": exceeded(5), "q50": exceeded(50), "q95": exceeded(95),
         "high_flow_frequency": nh / F.count("*") * 100,
         "high_flow_avg_duration": F.coalesce(S.div(nh, eh), zero),
@@ -678,8 +682,8 @@ def winter_ratio(
     per = (
         df.groupBy(*keys, y.alias("year"))
         .agg(
-            F.count(F.when(m <= 3, V)).alias("nw"), F.count_if(m <= 3).alias("rw"), F.sum(F.when(m <= 3, V)).alias("sw"),
-            F.count(V).alias("n"), F.sum(V).alias("s"),
+            F.count(F.when(m <= 3, val())).alias("nw"), F.count_if(m <= 3).alias("rw"), F.sum(F.when(m <= 3, val())).alias("sw"),
+            F.count(val()).alias("n"), F.sum(val()).alias("s"),
         )
         .withColumn("ok", S.div(F.col("nw"), F.col("rw")) >= min_fraction)
     )
@@ -701,10 +705,10 @@ def metric_summary(wide: DataFrame, metrics: Sequence[str], ids: Sequence[str] =
     """
     from ..functions.quantiles import exact_quantiles
 
-    long = S.unpivot(wide, ids, metrics).where(V.isNotNull())
+    long = S.unpivot(wide, ids, metrics).where(val().isNotNull())
     stats = long.groupBy("metric").agg(
-        F.count(V).alias("n"), F.avg(V).alias("mean"), F.stddev_samp(V).alias("std"),
-        F.min(V).alias("min"), F.max(V).alias("max"),
+        F.count(val()).alias("n"), F.avg(val()).alias("mean"), F.stddev_samp(val()).alias("std"),
+        F.min(val()).alias("min"), F.max(val()).alias("max"),
     )
     med = exact_quantiles(long, ["metric"], "value", {"median": 0.5})
     return stats.join(med, "metric")
@@ -744,7 +748,7 @@ def seasonal_cycle(df: DataFrame, keys: Sequence[str] = KEY, max_value: float =
         observed(df)
         .where(~((F.month("date") == 2) & (F.dayofmonth("date") == 29)))
         .groupBy(*keys, F.month("date").alias("month"), F.dayofmonth("date").alias("day"))
-        .agg(S.quantile(V, 0.5).alias("med"))
+        .agg(S.quantile(val(), 0.5).alias("med"))
     )
     lo, hi = F.min("med").over(w), F.max("med").over(w)
     return (
@@ -752,3 +756,50 @@ def seasonal_cycle(df: DataFrame, keys: Sequence[str] = KEY, max_value: float =
         .where((F.col("_n") == 365) & (F.col("_hi") < max_value))
         .drop("_n", "_hi")
     )
+
+
+PAPER_METRICS = (
+    "q_mean", "runoff_ratio", "q_cv", "fdc_slope", "flashiness_index", "q05", "q95", "high_flow_freq", "high_flow_dur",
+    "baseflow_index", "low_flow_freq", "low_flow_dur", "half_flow_date", "winter_flow_ratio", "aridity_index", "evaporative_index",
+)
+
+
+def paper_table(
+    forcing: DataFrame, areas: DataFrame, window: tuple[str, str], keys: Sequence[str] = KEY, min_years: int = 5,
+    max_area: float = 50_000.0, samples: int = 1000,
+) -> DataFrame:
+    """The sixteen headline signatures per series with their screens, ordered by id.
+
+    ``forcing`` is ``(keys, date, value, p, pet)`` on a dense calendar, ``areas`` ``(keys, area_km2)``.
+    A tiny catchment with a huge depth is anomalous; a runoff ratio above one fails the water
+    balance screen.
+    """
+    from . import balance as WB
+    from . import baseflow as BF
+
+    k = list(keys)
+    days = forcing.where(F.col("date").between(F.lit(window[0]).cast("date"), F.lit(window[1]).cast("date")))
+    days = days.join(areas.where(F.col("area_km2") < max_area).select(*k), k, "left_semi")
+    q = days.select(*k, "date", "value")
+    per = period_metrics(q, keys)
+    ok = per.where("mean_discharge IS NOT NULL").select(*k, "period")
+    yearly = q.where(val().isNotNull()).withColumn("period", C.hydro_year(F.col("date"))).join(ok, [*k, "period"], "left_semi")
+    bfi = BF.baseflow_index(yearly, [*k, "period"], samples=samples).groupBy(*k).agg(
+        F.when(F.count("bfi") >= min_years, F.avg("bfi")).alias("baseflow_index")
+    )
+    m = aggregate_periods(per, keys, min_periods=min_years).where("mean_discharge IS NOT NULL")
+    out = (
+        m.join(bfi, k, "left").join(flashiness(q, keys).select(*k, "flashiness_index"), k, "left")
+        .join(winter_ratio(q, keys, min_seasons=min_years), k, "left").join(WB.paired_ratios(days, keys, min_years=min_years).drop("n_valid_years"), k, "left")
+        .join(areas, k)
+    )
+    renamed = {
+        "q_mean": "mean_discharge", "q_cv": "cv_discharge", "high_flow_freq": "high_flow_frequency",
+        "high_flow_dur": "high_flow_avg_duration", "low_flow_freq": "low_flow_frequency", "low_flow_dur": "low_flow_avg_duration",
+        "half_flow_date": "mean_half_flow_date",
+    }
+    a, mean = F.col("area_km2"), F.col("mean_discharge")
+    return out.select(
+        *k, a, ((a < 50.0) & (mean > 20.0)).alias("is_anomalous"), F.coalesce(F.col("runoff_ratio") > 1.0, F.lit(False)).alias("water_balance_screen"),
+        *[F.col(renamed.get(n, n)).alias(n) for n in PAPER_METRICS], "winter_coverage", F.col("n_valid_periods").alias("n_valid_years"),
+    ).orderBy(F.col(k[0]).try_cast("bigint"), k[0])

@@ -67,7 +67,7 @@ def in_box(lon: Column, lat: Column) -> Column:
 def rings(vertices: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
     """Vertex arrays in ring order, next to the box."""
     arr = F.transform(
-        F.array_sort(F.collect_list(F.struct("seq", "lon", "lat"))), lambda s: F.struct(s["lon"].alias("x"), s["lat"].alias("y"))
+        F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))), lambda s: F.struct(s["lon"].alias("x"), s["lat"].alias("y"))
     )
     return vertices.groupBy(*keys).agg(
         arr.alias("ring"), F.min("lon").alias("x1"), F.min("lat").alias("y1"), F.max("lon").alias("x2"), F.max("lat").alias("y2")

@@ -247,19 +247,19 @@ WGT = f"""ov AS (SELECT poly_id, lat AS clat, lon AS clon, greatest(a1, lon - 0.
 
 @query("met_cell_extents", "MET-09", f"WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT} SELECT poly_id, lat, lon FROM pc", "lat lon")
 def met_cell_extents(spark, sf):
-    return GR.cells_in_extent(T.boxes(spark, sf), T.field(spark, sf), 0.1)
+    return GR.cells_in_extent(T.boxes(spark, sf), T.field_cells(spark, sf), 0.1)
 
 
 @query("met_fractional_weights", "MET-02", f"WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT} SELECT * FROM wt", "lat lon w")
 def met_fractional_weights(spark, sf):
-    return GR.fractional_weights(T.boxes(spark, sf), T.field(spark, sf).select("lat", "lon").distinct(), 0.1)
+    return GR.fractional_weights(T.boxes(spark, sf), T.field_cells(spark, sf), 0.1)
 
 
 @query("met_weighted_means", "MET-01 MET-03 MET-06", f"""WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT}
   SELECT poly_id, date, round(greatest(sum(prcp * w) / sum(w), 0), 2) AS prcp, round(sum(t * w) / sum(w), 2) AS t FROM field JOIN wt USING (lat, lon) GROUP BY 1, 2""", "prcp t", "date")
 def met_weighted_means(spark, sf):
     f = T.field(spark, sf)
-    w = GR.fractional_weights(T.boxes(spark, sf), f.select("lat", "lon").distinct(), 0.1)
+    w = GR.fractional_weights(T.boxes(spark, sf), T.field_cells(spark, sf), 0.1)
     return two_places(GR.catchment_means(f, w, ["prcp", "t"]), "prcp", "t")
 
 
@@ -268,7 +268,8 @@ def met_weighted_means(spark, sf):
   SELECT poly_id, date, avg(prcp) AS prcp, avg(t) AS t FROM field JOIN tc USING (lat, lon) GROUP BY 1, 2""", "prcp t", "date")
 def met_touched_means(spark, sf):
     f, v = T.field(spark, sf), T.boxes(spark, sf)
-    return GR.touched_means(f, GR.fractional_weights(v, f.select("lat", "lon").distinct(), 0.1), v, ["prcp", "t"], 0.1)
+    c = T.field_cells(spark, sf)
+    return GR.touched_means(f, GR.fractional_weights(v, c, 0.1), v, ["prcp", "t"], 0.1, cells=c)
 
 
 @query("met_catchment_means", "MET-07", f"""WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT}, vb AS (SELECT series_id AS poly_id, seq, lon + r * dx AS lon, lat + r * dy AS lat FROM sites CROSS JOIN (VALUES (0, -1.0, -0.5), (1, 1.0, -0.5), (2, 1.0, 0.5), (3, -1.0, 0.5)) AS v(seq, dx, dy)),
@@ -276,13 +277,13 @@ def met_touched_means(spark, sf):
   SELECT poly_id, date, round(greatest(sum(prcp * w) / sum(w), 0), 2) AS prcp FROM field JOIN we USING (lat, lon) GROUP BY 1, 2""", "prcp", "date")
 def met_catchment_means(spark, sf):
     f, v = T.field(spark, sf), T.boxes(spark, sf)
-    w = GR.fractional_weights(v, f.select("lat", "lon").distinct(), 0.1)
+    w = GR.fractional_weights(v, T.field_cells(spark, sf), 0.1)
     return two_places(GR.catchment_means(f, w, ["prcp"], areas=SP.polygon_areas(v), small_km2=150.0), "prcp")
 
 
 @query("met_stale_weights", "MET-05", f"""WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT} SELECT DISTINCT poly_id FROM pc WHERE lat > 50.15""")
 def met_stale_weights(spark, sf):
-    f, v = T.field(spark, sf), T.boxes(spark, sf)
+    f, v = T.field_cells(spark, sf), T.boxes(spark, sf)
     stored = GR.cells_in_extent(v, f.where("lat <= 50.15"), 0.1)
     return GR.stale_polygons(stored, v, f, 0.1)
 
@@ -302,7 +303,7 @@ def met_upsert_days(spark, sf):
   SELECT band, count(rel) AS n, median(rel) AS median_pct, quantile_cont(rel, 0.9) AS p90_pct FROM x GROUP BY 1""", "median_pct p90_pct")
 def met_band_sensitivity(spark, sf):
     f, v = T.field(spark, sf), T.boxes(spark, sf)
-    w = GR.fractional_weights(v, f.select("lat", "lon").distinct(), 0.1)
+    w = GR.fractional_weights(v, T.field_cells(spark, sf), 0.1)
     a = GR.catchment_means(f, w, ["prcp"])
     b = GR.catchment_means(f, w.withColumn("w", F.lit(1.0)), ["prcp"])
     return GR.band_sensitivity(a, b, SP.polygon_areas(v), "prcp", (0.0, 100.0, 400.0, 1e9), ("small", "middle", "large"))

@@ -106,11 +106,20 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     return _corners(sites(spark, sf), [(-1.0, -0.5), (1.0, -0.5), (1.0, 0.5), (-1.0, 0.5)])
 
 
+def _cell_columns() -> tuple[Column, Column]:
+    k = F.col("l_suppkey")
+    return 50.0 + 0.5 * F.floor(k / 2000) + 0.1 * (F.col("l_linenumber") - 4), 30.0 + 0.1 * F.floor((k % 2000) / 5)
+
+
+def field_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct grid cells, from two columns of the raw table instead of the daily field."""
+    lat, lon = _cell_columns()
+    return table(spark, sf, "lineitem").select(lat.alias("lat"), lon.alias("lon")).distinct()
+
+
 def field(spark: SparkSession, sf: str) -> DataFrame:
     """Gridded daily field at 0.1 degrees: quantity as water, discount as temperature."""
-    k = F.col("l_suppkey")
-    lon = 30.0 + 0.1 * F.floor((k % 2000) / 5)
-    lat = 50.0 + 0.5 * F.floor(k / 2000) + 0.1 * (F.col("l_linenumber") - 4)
+    lat, lon = _cell_columns()
     return table(spark, sf, "lineitem").groupBy(
         lat.alias("lat"), lon.alias("lon"), F.to_date("l_shipdate").alias("date")
     ).agg(F.sum("l_quantity").alias("prcp"), F.round(F.avg("l_discount") * 400.0 - 20.0, 6).alias("t"))
