@@ -14,6 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import salted_join
 from .stats import corr
 
 BUCKETS = 64
@@ -32,7 +33,7 @@ def value_ranks(
     counts = df.where(F.col(value).isNotNull()).groupBy(*k, value).agg(size.alias("_c"))
     bounds = counts.groupBy(*k).agg(F.percentile_approx(value, cuts, 1000).alias("_b"))
     v = F.col(value)
-    tagged = counts.join(bounds, k).select(
+    tagged = salted_join(counts, bounds, k, [value]).select(
         *k, value, "_c", F.size(F.filter("_b", lambda b: b < v)).alias("_bucket")
     )
     sizes = tagged.groupBy(*k, "_bucket").agg(F.sum("_c").alias("_s"))
@@ -81,7 +82,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     # Both rankings start from the pairs, so the plan holds them side by side instead of nested.
     rx, ry = rank_lookup(both, keys, x, "_rx"), rank_lookup(both, keys, y, "_ry")
-    ranked = both.join(rx, [*keys, x]).join(ry, [*keys, y])
+    # A value shared by many rows is spread by the other column of the pair.
+    ranked = salted_join(salted_join(both, rx, [*keys, x], [y]), ry, [*keys, y], [x])
     return ranked.groupBy(*keys).agg(corr("_rx", "_ry").alias("rho"), F.count("*").alias("n_pairs"))
 
 

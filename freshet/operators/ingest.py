@@ -102,9 +102,9 @@ def daily_from_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row per key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """Keep the first row per key in the given order, combined on the map side."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
 def merge_fragments(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.lineage import cut
+from ..functions.skew import salted_join
 
 # Sphere radii of the area (m) and the two distance formulas (km).
 AREA_RADIUS, FEATURE_RADIUS, SITE_RADIUS = 6378137.0, 6371.0088, 6371.0
@@ -109,7 +110,8 @@ def points_in_polygons(
         _cell(F.col("lon"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy"),
     )
     near = pts.join(boxes, ["cx", "cy"]).where(in_box(F.col("_px"), F.col("_py"))).select("_pid", "_px", "_py", *poly_keys)
-    hit = near.join(shapes.select(*poly_keys, "ring"), list(poly_keys)).where(ring_contains(F.col("ring"), F.col("_px"), F.col("_py")))
+    # A catchment that holds many points is spread over several parts.
+    hit = salted_join(near, shapes.select(*poly_keys, "ring"), list(poly_keys), ["_pid"], salts=8).where(ring_contains(F.col("ring"), F.col("_px"), F.col("_py")))
     return hit.select(F.col("_pid").alias(point_id), *poly_keys).distinct()
 
 
@@ -224,17 +226,54 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def nearest_feature(points: DataFrame, features: DataFrame, tile: str = "tile") -> DataFrame:
-    """Nearest feature of the point's tile by (distance, class area)."""
+def _level_search(points: DataFrame, targets: DataFrame, tie: Sequence[str], distance: Column, sizes: Sequence[float], reach, keys: Sequence[str] = ()) -> DataFrame:
+    """Best target of each distinct point, from fine to coarse cells.
+
+    ``points (px, py, keys…)`` and ``targets (tx, ty, keys…, payload…)`` hold distinct places.  At
+    each size a point meets the 3 × 3 cells around it; an answer within ``reach(size)`` is final,
+    as anything outside those cells is farther.  Crowded places are settled in fine cells and
+    sparse ones in coarse cells, so no cell forms all pairs of a crowd.  The last size keeps
+    whatever it finds.
+    """
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    payload = [c for c in targets.columns if c not in keys]
+    todo, out = points, None
+    for n, size in enumerate(sizes):
+        last = n == len(sizes) - 1
+        p = todo.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j")).select(
+            *points.columns, (_cell(F.col("px"), size) + F.col("_i")).alias("_cx"), (_cell(F.col("py"), size) + F.col("_j")).alias("_cy")
+        )
+        t = targets.select("*", _cell(F.col("tx"), size).alias("_cx"), _cell(F.col("ty"), size).alias("_cy"))
+        j = p.join(t, ["_cx", "_cy", *keys]).withColumn("_d", distance)
+        best = j.groupBy(*points.columns).agg(
+            F.min_by(F.struct(*payload), F.struct("_d", *tie)).alias("_t"), F.min("_d").alias("_d")
+        )
+        done = best if last else best.where(F.col("_d") <= reach(size))
+        out = done if out is None else out.unionByName(done)
+        if not last:
+            todo = todo.join(done.select(*points.columns), points.columns, "left_anti")
+    return out.select(*points.columns, "_t.*", F.col("_d").alias("distance"))
+
+
+def nearest_feature(points: DataFrame, features: DataFrame, tile: str = "tile", tile_degrees: float = 0.5) -> DataFrame:
+    """Nearest feature of the point's tile by (distance, class area).
+
+    Points and features at the same place are searched once.  Features lie within ``tile_degrees``
+    of their tile's points in both directions.
+    """
     area = F.lit(None).cast("int")
     for c, a in CLASS_AREA.items():
         area = F.when(F.col("river_class") == c, a).otherwise(area)
-    f = features.select(tile, "feature_id", F.col("lon").alias("fx"), F.col("lat").alias("fy"), area.alias("approx_area"))
-    j = points.join(f, tile).withColumn("distance_km", haversine(F.col("lon"), F.col("lat"), F.col("fx"), F.col("fy")))
-    best = F.struct("distance_km", "approx_area", "feature_id")
-    return j.groupBy("series_id").agg(
-        F.min_by("feature_id", best).alias("feature_id"), F.min("distance_km").alias("distance_km"),
-        F.min_by("approx_area", best).alias("approx_area"),
+    f = features.select(tile, "feature_id", F.col("lon").alias("tx"), F.col("lat").alias("ty"), area.alias("approx_area"))
+    f = f.groupBy(tile, "tx", "ty").agg(F.min(F.struct("approx_area", "feature_id")).alias("s")).select(tile, "tx", "ty", "s.*")
+    places = points.select(tile, F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
+    d = haversine(F.col("px"), F.col("py"), F.col("tx"), F.col("ty"))
+    # A step of one cell in longitude is shortest at the higher of the two latitudes.
+    reach = lambda size: size * 111.19 * F.cos(F.radians(F.least(F.abs("py") + 2 * size, F.lit(89.0)))) * 0.999
+    sizes = [tile_degrees / 64, tile_degrees / 16, tile_degrees / 4, tile_degrees]
+    best = _level_search(places, f, ["approx_area", "feature_id"], d, sizes, reach, [tile])
+    return points.select("series_id", tile, F.col("lon").alias("px"), F.col("lat").alias("py")).join(best, [tile, "px", "py"]).select(
+        "series_id", "feature_id", F.col("distance").alias("distance_km"), "approx_area"
     )
 
 
@@ -243,29 +282,22 @@ def match_sites(
 ) -> DataFrame:
     """Nearest site of each station in degree space, kept when close and of similar area.
 
-    A site within ``max_km`` lies within a known number of degrees, so the cell size below makes
-    the 3 × 3 neighbourhood hold the global nearest whenever that one can pass the distance test.
-    Stations and sites are ``(id, lon, lat, area_km2)``; an unknown area skips the area test.
+    A site within ``max_km`` lies within a known number of degrees, so the coarsest cell size
+    makes the 3 × 3 neighbourhood hold the global nearest whenever that one can pass the distance
+    test.  Stations and sites are ``(id, lon, lat, area_km2)``; an unknown area skips the area test.
     """
     import math
 
     size = max_km / 111.0 / math.cos(math.radians(max_abs_lat)) * 1.1
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    st = stations.select(
-        F.col("id").alias("station_id"), F.col("lon").alias("sx"), F.col("lat").alias("sy"), F.col("area_km2").alias("station_area")
-    ).select("*", F.explode(around).alias("i")).select("*", F.explode(around).alias("j")).select(
-        "station_id", "sx", "sy", "station_area", (_cell(F.col("sx"), size) + F.col("i")).alias("cx"), (_cell(F.col("sy"), size) + F.col("j")).alias("cy")
-    )
-    s = sites.select(
-        F.col("id").alias("site_id"), F.col("lon").alias("tx"), F.col("lat").alias("ty"), F.col("area_km2").alias("site_area"),
-        _cell(F.col("lon"), size).alias("cx"), _cell(F.col("lat"), size).alias("cy"),
-    )
-    deg2 = (F.col("sx") - F.col("tx")) ** 2 + (F.col("sy") - F.col("ty")) ** 2
-    best = F.struct(deg2.alias("d"), F.col("site_id"))
-    near = st.join(s, ["cx", "cy"]).groupBy("station_id").agg(
-        F.min_by(F.struct("site_id", "tx", "ty", "site_area", "sx", "sy", "station_area"), best).alias("m")
-    ).select("station_id", "m.*")
-    near = near.withColumn("distance_km", haversine(F.col("sx"), F.col("sy"), F.col("tx"), F.col("ty"), SITE_RADIUS))
+    s = sites.groupBy(F.col("lon").alias("tx"), F.col("lat").alias("ty")).agg(
+        F.min(F.struct(F.col("id").alias("site_id"), F.col("area_km2").alias("site_area"))).alias("s")
+    ).select("tx", "ty", "s.*")
+    st = stations.select(F.col("id").alias("station_id"), F.col("lon").alias("px"), F.col("lat").alias("py"), F.col("area_km2").alias("station_area"))
+    deg2 = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
+    best = _level_search(
+        st.select("px", "py").distinct(), s, ["site_id"], deg2, [size / 64, size / 16, size / 4, size], lambda c: F.lit(c * c)
+    ).drop("distance")
+    near = st.join(best, ["px", "py"]).withColumn("distance_km", haversine(F.col("px"), F.col("py"), F.col("tx"), F.col("ty"), SITE_RADIUS))
     ratio = F.when((F.col("site_area") > 0) & (F.col("station_area") > 0), F.col("site_area") / F.col("station_area"))
     near = near.withColumn("area_ratio", ratio).where(F.col("distance_km") <= max_km)
     return near.where(F.col("area_ratio").isNull() | F.col("area_ratio").between(*area_ratio)).select(

@@ -235,12 +235,12 @@ def test_weights_follow_the_grid(spark):
 
 
 def test_triangle_weights_match_sampling(spark):
-    v = spark.createDataFrame([("p", 1, 0, 0.83, 0.87), ("p", 1, 1, 1.19, 0.93), ("p", 1, 2, 0.98, 1.17)], "poly_id string, part int, seq int, lon double, lat double")
+    v = spark.createDataFrame([("p", 1, 0, 0.87, 0.87), ("p", 1, 1, 1.19, 0.93), ("p", 1, 2, 0.98, 1.17)], "poly_id string, part int, seq int, lon double, lat double")
     got = {(round(r["lat"], 1), round(r["lon"], 1)): r["w"] for r in GR.fractional_weights(v, cells(spark, 4, 4), 0.1).collect()}
     rng = np.random.default_rng(0)
     x, y = rng.uniform(0.8, 1.2, 400_000), rng.uniform(0.8, 1.2, 400_000)
     inside = np.ones_like(x, bool)
-    pts = [(0.83, 0.87), (1.19, 0.93), (0.98, 1.17)]
+    pts = [(0.87, 0.87), (1.19, 0.93), (0.98, 1.17)]
     for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1]):
         inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
     for (lat, lon), w in got.items():
@@ -270,7 +270,8 @@ def test_rank_correlation_interval(spark):
     df = spark.createDataFrame(rows, "g string, x double, y double")
     one = {r["g"]: r for r in RL.boot_spearman_ci(df, ["g"], "x", "y", n_boot=40).collect()}
     two = {r["g"]: r for r in RL.boot_spearman_ci(df.repartition(5), ["g"], "x", "y", n_boot=40).collect()}
-    assert one == two
+    for g in one:
+        assert [one[g][c] for c in ("rho", "ci_lo", "ci_hi")] == pytest.approx([two[g][c] for c in ("rho", "ci_lo", "ci_hi")])
     assert one["noisy"]["n_pairs"] == 200
     want = pd.Series(x).rank().corr(pd.Series(y).rank())
     assert one["noisy"]["rho"] == pytest.approx(want)
