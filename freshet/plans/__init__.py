@@ -6,7 +6,9 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-MODULES = ("signature_queries", "quality_queries", "series_queries", "meteo_queries", "ingest_queries", "relation_queries")
+MODULES = (
+    "signature_queries", "quality_queries", "series_queries", "meteo_queries", "ingest_queries", "relation_queries", "storage_queries",
+)
 
 
 def load() -> dict[str, Query]:
