@@ -27,6 +27,8 @@ CLIPPED = ("prcp", "precip", "precipitation", "et", "evap")
 UNIT_FACTOR = {"m": 1000.0, "mm": 1.0}
 SMALL_KM2 = 5.0
 CELLS_PER_ROW = 256
+# A plain number, so the functions below travel to workers without the spatial module.
+_RADIUS = SP.AREA_RADIUS
 
 
 def unit_factor(variable: str, unit: str) -> float:
@@ -96,7 +98,7 @@ def _ring_area(ring: np.ndarray) -> float:
     az = np.arctan2(np.cos(lat) * np.sin(lon), np.sin(lat))
     step = (np.roll(az, -1) - az + np.pi) % (2 * np.pi) - np.pi
     ratio = abs(((1 - np.cos((colat + np.roll(colat, -1)) / 2)) * step).sum()) / (4 * np.pi)
-    return min(ratio, 1 - ratio) * 4 * np.pi * SP.AREA_RADIUS**2 / 1e6
+    return min(ratio, 1 - ratio) * 4 * np.pi * _RADIUS**2 / 1e6
 
 
 def fractional_weights(vertices: DataFrame, cells: DataFrame, res: float) -> DataFrame:
