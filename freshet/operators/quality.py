@@ -117,17 +117,22 @@ def spike_scores(
     half = window_days // 2
     around = [F.lag("value", i).over(w) for i in range(half, 0, -1)] + [val()]
     around += [F.lead("value", i).over(w) for i in range(1, window_days - half)]
+    def let(value: Column, body) -> Column:
+        """Bind a value to a lambda variable, so it is computed once however often it is used."""
+        return F.transform(F.array(value), body)[0]
+
+    def score(a: Column) -> Column:
+        dev = lambda m: let(F.sort_array(F.transform(a, lambda x: F.abs(x - m))), _median_of_sorted)
+        return let(
+            _median_of_sorted(a), lambda m: F.struct(F.size(a).alias("k"), m.alias("m"), (dev(m) * 1.4826).alias("s"))
+        )
+
     base = df.where(val().isNotNull()).select(
-        *keys, "date", "value", F.sort_array(F.array_compact(F.array(*around))).alias("_a"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("_n"),
+        *keys, "date", "value", F.array_compact(F.array(*around)).alias("_a"), F.count("*").over(Window.partitionBy(*keys)).alias("_n")
     )
-    base = base.where((F.col("_n") >= window_days) & (F.size("_a") >= min_periods))
-    base = base.withColumn("rolling_median", _median_of_sorted(F.col("_a")))
-    m = F.col("rolling_median")
-    base = base.withColumn("_d", F.sort_array(F.transform("_a", lambda x: F.abs(x - m))))
-    base = base.withColumn("scaled_mad", _median_of_sorted(F.col("_d")) * 1.4826)
-    return base.where("scaled_mad > 0").select(
-        *keys, "date", "value", "rolling_median", (F.abs(val() - m) / F.col("scaled_mad")).alias("n_sigma")
+    base = base.where(F.col("_n") >= window_days).withColumn("_s", let(F.sort_array("_a"), score))
+    return base.where((F.col("_s.k") >= min_periods) & (F.col("_s.s") > 0)).select(
+        *keys, "date", "value", F.col("_s.m").alias("rolling_median"), (F.abs(val() - F.col("_s.m")) / F.col("_s.s")).alias("n_sigma")
     )
 
 
