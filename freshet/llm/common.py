@@ -25,12 +25,12 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
-def per_worker(key: str, make: Callable[[], object]) -> object:
-    """An object that lives as long as the Python worker, over all its tasks."""
+def per_worker(key: str, make: Callable[[], object], version: object = None) -> object:
+    """An object that lives as long as the Python worker, over all its tasks; another version replaces it."""
     kept = sys.modules.setdefault("_freshet_worker", types.ModuleType("_freshet_worker")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if key not in kept or kept[key][0] != version:
+        kept[key] = (version, make())
+    return kept[key][1]
 
 
 class Memo(dict):

@@ -145,7 +145,7 @@ def _shared(spark: SparkSession, path: str):
 
 
 def _tokenizer(spec) -> HeapBpe:
-    return per_worker(f"heap_bpe {hash(spec.value)}", lambda: HeapBpe(spec.value))
+    return per_worker("heap_bpe", lambda: HeapBpe(spec.value), spec.value)
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import golay, heap_bpe, repair
-from .common import scratch
+from . import fuzzy_lines, golay, heap_bpe, mixture_lang, repair, url_lm, wu_manber
+from .common import crc_share, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,3 +61,44 @@ def op5_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "shards")
     repair.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
     return repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
+
+
+@query
+def op6_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = wu_manber.search(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", wu_manber.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), wu_manber.contaminated().alias("contaminated"),
+    )
+
+
+@query
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that are copies or near copies of earlier ones."""
+    docs = table(spark, sf_dir, "documents")
+    lines = lambda c: F.size(F.filter(F.split(c, "\n", -1), lambda x: F.trim(x, F.lit(fuzzy_lines.WHITE)) != ""))
+    both = docs.select("doc_id", "text", lines("text").cast("long").alias("n_lines"))
+    slim = fuzzy_lines.deduplicate(both)
+    return slim.select("doc_id", "text", F.greatest("n_lines", F.lit(0)).alias("n_lines"), F.greatest(lines("text"), F.lit(0)).cast("long").alias("n_kept"))
+
+
+@query
+def op4_mixture_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main language of every document, learned from the labelled documents outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_share(F.col("doc_id"), 4) == 2
+    model = mixture_lang.train(docs.where(~held_out))
+    found = mixture_lang.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs", "proportions")
+
+
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query
+def op1_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_lm.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")

@@ -210,7 +210,7 @@ def write(df: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text
     ])
 
     def run(batches):
-        enc = per_worker(f"repair {hash(spec.value)}", lambda: Encoder(spec.value))
+        enc = per_worker("repair", lambda: Encoder(spec.value), spec.value)
         base = max(enc.tokenizer.get_vocab_size(), end_id + 1)
         end = np.asarray([end_id], enc.kind).tobytes()
         part = TaskContext.get().partitionId()
