@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fuzzy_lines, golay, heap_bpe, mixture_lang, repair, url_lm, wu_manber
-from .common import crc_share, scratch
+from . import fuzzy_lines, golay, heap_bpe, mixture_lang, preference, pruned_graph, repair, rule_ensemble, url_lm, wu_manber
+from .common import crc_share, scratch, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,3 +102,64 @@ def op1_url_model_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_lm.judge(pages, RULES).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations as preference records; masks as ``start-end`` ranges."""
+    turns = table(spark, sf_dir, "conversations")
+    records = preference.format_pairs(turns, preference.neighbour_pairs(turns))
+    ranges = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return records.withColumns({"chosen_mask": ranges("chosen_mask"), "rejected_mask": ranges("rejected_mask")})
+
+
+SQL["op2_preference_pairs"] = """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+m AS (SELECT pair_id, turn, role, text, sum(1 - side) AS n0, sum(side) AS n1 FROM t GROUP BY ALL),
+c AS (SELECT pair_id, min(CASE WHEN n0 <> n1 THEN turn END) AS cut, max(n0) AS any0, max(n1) AS any1 FROM m GROUP BY 1),
+s AS (
+  SELECT t.*, c.any0, c.any1, CASE WHEN cut IS NULL OR turn < cut THEN 'p' WHEN side = 0 THEN 'c' ELSE 'r' END AS part,
+    '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS shown
+  FROM t JOIN c USING (pair_id)
+),
+o AS (
+  SELECT *, sum(length(shown)) OVER (PARTITION BY pair_id, part, side ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM s
+),
+f AS (
+  SELECT *, (stop - length(shown) + 13 + length(role))::VARCHAR || '-' || (stop - 1)::VARCHAR AS span FROM o
+)
+SELECT pair_id, 2 * pair_id AS chosen_id, 2 * pair_id + 1 AS rejected_id,
+  count(*) FILTER (part = 'p' AND side = 0) AS n_prompt_turns,
+  coalesce(string_agg(shown, '' ORDER BY turn, role, text) FILTER (part = 'p' AND side = 0), '') AS prompt,
+  CASE WHEN max(any0) > 0 THEN coalesce(string_agg(shown, '' ORDER BY turn, role, text) FILTER (part = 'c'), '') END AS chosen,
+  coalesce(string_agg(span, ',' ORDER BY turn, role, text) FILTER (part = 'c' AND role = 'assistant'), '') AS chosen_mask,
+  CASE WHEN max(any1) > 0 THEN coalesce(string_agg(shown, '' ORDER BY turn, role, text) FILTER (part = 'r'), '') END AS rejected,
+  coalesce(string_agg(span, ',' ORDER BY turn, role, text) FILTER (part = 'r' AND role = 'assistant'), '') AS rejected_mask,
+  count(*) FILTER (part <> 'p') = 0 AS tied
+FROM f GROUP BY pair_id
+"""
+
+
+@query
+def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out third."""
+    held_out = crc_share(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    return rule_ensemble.judge(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth one, among all others."""
+    pts = stash(pruned_graph.points(table(spark, sf_dir, "embeddings")), "vectors")
+    graph = stash(pruned_graph.index(pts), "graph")
+    return pruned_graph.search(graph, pts.where("vec_id % 100 = 0"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
