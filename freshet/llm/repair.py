@@ -3,7 +3,7 @@
 ``write`` range-partitions documents by id, encodes them inside their partition, cuts the run of
 ids into shards of bounded size and compresses each one: every round counts the pairs of
 neighbouring symbols, replaces the frequent ones by new symbols, and stops when no pair is frequent
-any more.  A shard row holds its documents, the rules (left and right symbol), the expansion length
+any more or a round gains next to nothing.  A shard row holds its documents, the rules (left and right symbol), the expansion length
 of every rule and the final sequence.  Lengths give the position of any id without decoding what
 lies before it (``ids_at``).  Spark's writer commits the files, so retried tasks leave no duplicates.
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ SHARD_IDS = 1 << 20
 MARKS = (b".", b",", b"!", b"?", b";", b":")
 MIN_COUNT = 32
 SLOTS = 20  # bits of the lookup table of one round
+LEAST_GAIN = 256  # rounds end once one shortens the sequence by less than this fraction of it
 CUT = 16  # a round takes all pairs with at least this fraction of the top count
 SHARDS = (
     "part int, shard int, n_ids bigint, width int, base bigint, doc_ids array<bigint>, doc_lengths array<int>, "
@@ -41,7 +43,7 @@ SHARDS = (
 class Encoder:
     """The library's ids of a text, remembered per stretch between spaces, which no token spans."""
 
-    def __init__(self, spec: bytes, limit: int = 300_000):
+    def __init__(self, spec: bytes, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -63,7 +65,7 @@ class Encoder:
         self.fresh: dict[bytes, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, self.kind).tobytes()
+        return array("H" if self.width == 2 else "I", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if not self.apart:
@@ -152,6 +154,8 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
+        if step <= min_count and len(at) * LEAST_GAIN < len(seq):
+            break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), lens[base:], seq
 
 
