@@ -1,11 +1,16 @@
 """SimHash near-duplicates found by Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits.  The binary Golay code is perfect:
-each 23-bit word lies within 3 bits of one codeword.  A word's keys are the codewords within 4 bits
-of it (one, or six if the nearest is 3 away); two words at distance 2 or less always share a key.
-Fingerprints that differ in at most 4 bits have at most one segment with 3 errors or more, so two
-of their segments share keys: each fingerprint gets a key for every pair of segments and every
-choice of their codewords, about 84 in all, joined on equality and verified bit by bit.
+each 23-bit word lies within 3 bits of one codeword.  A word's codes are the codewords within 4 bits
+of it (one, or six if the nearest is 3 away); two words at distance 2 or less always share a code.
+Four differing bits fall on the segments in one of two ways, and each gives keys of about 35 bits:
+
+* some segment has none: then another has at most 2, so the first segment itself with a code of the
+  second is a common key (six ordered pairs of segments);
+* every segment has at least one: then two have exactly 1 and the third at most 2.  Of each of the
+  two, one half is untouched, so two halves with a code of the third are a common key.
+
+That makes about 96 keys per fingerprint, joined on equality and verified bit by bit.
 
 Work is done on distinct fingerprints, so exact copies cost one row.  Components are found with
 ``components.linked``, which loses no link and emits no group's pairs.
@@ -25,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, per_worker, raw, ship, stash
+from .common import extend, parts, per_worker, raw, ship, stash
 from .components import linked
 
 ship(__name__)
@@ -87,15 +92,17 @@ class Golay:
 
 def bucket_keys(fp: np.ndarray, golay: Golay) -> tuple[np.ndarray, np.ndarray]:
     """All keys of unsigned fingerprints, and the row each belongs to."""
-    near = [golay.keys((fp >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64)) for a, n in SEGMENTS]
+    segment = [(fp >> np.uint64(a) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
+    codes = [golay.keys(x) for x in segment]
+    halves = [(x & (1 << n // 2) - 1, x >> n // 2) for x, (_, n) in zip(segment, SEGMENTS)]
+    exact = [(x, j) for i, x in enumerate(segment) for j in range(3) if j != i]
+    exact += [(x << 12 | y, 3 - i - j) for i, j in combinations(range(3), 2) for x in halves[i] for y in halves[j]]
     rows, keys = [], []
-    for which, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (ki, ci), (kj, cj) = near[i], near[j]
-        both = (ki[:, :, None] << 12 | kj[:, None, :]) | which << 24
-        used = (np.arange(6)[None, :, None] < ci[:, None, None]) & (np.arange(6)[None, None, :] < cj[:, None, None])
-        row = np.broadcast_to(np.arange(len(fp))[:, None, None], both.shape)
-        rows.append(row[used])
-        keys.append(both[used])
+    for kind, (fixed, other) in enumerate(exact):
+        code, count = codes[other]
+        used = np.arange(6) < count[:, None]
+        keys.append((kind << 40 | fixed[:, None] << 12 | code)[used])
+        rows.append(np.nonzero(used)[0])
     return np.concatenate(keys), np.concatenate(rows)
 
 
@@ -120,7 +127,8 @@ def candidate_keys(distinct: DataFrame) -> DataFrame:
                 keys, rows = bucket_keys(part.view("<u8"), golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "node"])
 
-    return distinct.select("fp").mapInArrow(run, "key bigint, node bigint")
+    # Keys are many times the fingerprints, so these are spread first.
+    return distinct.select("fp").repartition(parts(distinct.sparkSession), "fp").mapInArrow(run, "key bigint, node bigint")
 
 
 def near(pairs: DataFrame, bits: int = BITS) -> DataFrame:
