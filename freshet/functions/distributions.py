@@ -18,69 +18,107 @@ from pyspark.sql import types as T
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 DOUBLE = T.DoubleType()
-_STEPS = 400
+LARGE = 1e5  # shape above which the uniform expansion is exact to about 1e-9
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
     return np.array([math.lgamma(v) if v > 0 else np.nan for v in np.ravel(x)]).reshape(np.shape(x))
 
 
+def _settle(step, n: int) -> None:
+    """Call ``step(k)`` for k = 1, 2, … until the relative changes it returns are all negligible (NaN counts as settled)."""
+    k = 1
+    while n and not np.all(~(step(k) > 1e-15)):
+        k += 1
+
+
+def _large_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) for large a: the leading terms of the uniform expansion around the normal integral."""
+    mu = (x - a) / a
+    half = np.where(np.abs(mu) < 1e-3, mu**2 / 2 - mu**3 / 3 + mu**4 / 4 - mu**5 / 5, mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2 * np.maximum(half, 0))
+    safe = np.where(np.abs(eta) < 1e-2, 1.0, eta)
+    c0 = np.where(np.abs(eta) < 1e-2, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864, 1 / np.where(mu == 0, 1.0, mu) - 1 / safe)
+    return norm_cdf(eta * np.sqrt(a)) - np.exp(-a * eta**2 / 2) / np.sqrt(2 * np.pi * a) * c0
+
+
 def inc_gamma(a, x) -> np.ndarray:
-    """Regularised lower incomplete gamma P(a, x): series below a + 1, continued fraction above."""
+    """Regularised lower incomplete gamma P(a, x).
+
+    Series below a + 1 and continued fraction above, each until it has converged; above ``LARGE``,
+    where both get long, the uniform expansion.
+    """
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.full(a.shape, np.nan)
     ok = (a > 0) & (x >= 0)
-    if not ok.any():
-        return out
     aa, xx = a[ok], x[ok]
+    res = np.zeros(len(aa))
     with np.errstate(all="ignore"):
-        front = np.exp(aa * np.log(xx) - xx - log_gamma(aa))
-        term = 1.0 / aa
+        big = aa > LARGE
+        if big.any():
+            res[big] = _large_gamma(aa[big], xx[big])
+        low = ~big & (xx < aa + 1.0)
+        p, t = aa[low], xx[low]
+        term = 1.0 / p
         total = term.copy()
-        for n in range(1, _STEPS):
-            term = term * xx / (aa + n)
-            total = total + term
-        low = total * front
-        b = xx + 1.0 - aa
-        c = np.full_like(xx, 1e300)
+
+        def series(n: int) -> np.ndarray:
+            term[:] = term * t / (p + n)
+            total[:] = total + term
+            return term / total
+
+        _settle(series, len(p))
+        res[low] = np.exp(p * np.log(t) - t - log_gamma(p)) * total
+        high = ~big & ~low
+        q, u = aa[high], xx[high]
+        b, c = u + 1.0 - q, np.full(len(q), 1e300)
         d = 1.0 / b
         h = d.copy()
-        for n in range(1, _STEPS):
-            an = -n * (n - aa)
-            b = b + 2.0
-            d = an * d + b
-            d = 1.0 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-            c = b + an / c
-            c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-            h = h * d * c
-        high = 1.0 - front * h
-    res = np.where(xx < aa + 1.0, low, high)
+
+        def fraction(n: int) -> np.ndarray:
+            an = -n * (n - q)
+            b[:] = b + 2.0
+            e = an * d + b
+            d[:] = 1.0 / np.where(np.abs(e) < 1e-300, 1e-300, e)
+            e = b + an / c
+            c[:] = np.where(np.abs(e) < 1e-300, 1e-300, e)
+            h[:] = h * d * c
+            return np.abs(d * c - 1.0)
+
+        _settle(fraction, len(q))
+        res[high] = 1.0 - np.exp(q * np.log(u) - u - log_gamma(q)) * h
     out[ok] = np.clip(np.where(xx == 0, 0.0, res), 0.0, 1.0)
     return out
 
 
 def inc_beta(a, b, x) -> np.ndarray:
-    """Regularised incomplete beta by the modified Lentz continued fraction."""
+    """Regularised incomplete beta by the modified Lentz continued fraction, until it has converged."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    tiny = 1e-300
     with np.errstate(all="ignore"):
         swap = x > (a + 1.0) / (a + b + 2.0)
         p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1.0 - x, x)
         front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(t) + q * np.log1p(-t)) / p
-        tiny = 1e-300
         c = np.ones_like(t)
         d = 1.0 - (p + q) * t / (p + 1.0)
         d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
         h = d.copy()
-        for m in range(1, _STEPS):
+
+        def pair(m: int) -> np.ndarray:
+            change = np.zeros_like(t)
             for num in (
                 m * (q - m) * t / ((p + 2 * m - 1) * (p + 2 * m)),
                 -(p + m) * (p + q + m) * t / ((p + 2 * m) * (p + 2 * m + 1)),
             ):
-                d = 1.0 + num * d
-                d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
-                c = 1.0 + num / c
-                c = np.where(np.abs(c) < tiny, tiny, c)
-                h = h * d * c
+                e = 1.0 + num * d
+                d[...] = 1.0 / np.where(np.abs(e) < tiny, tiny, e)
+                e = 1.0 + num / c
+                c[...] = np.where(np.abs(e) < tiny, tiny, e)
+                h[...] = h * d * c
+                change = np.maximum(change, np.abs(d * c - 1.0))
+            return np.where((t <= 0) | (t >= 1), 0.0, change)
+
+        _settle(pair, t.size)
         res = front * h
         res = np.where(t <= 0, 0.0, res)
         res = np.where(swap, 1.0 - res, res)

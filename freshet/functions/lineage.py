@@ -1,20 +1,31 @@
-"""Reliable checkpoints for the few iterative operators."""
+"""Reliable storage for intermediate tables: checkpoints and scratch folders that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where the session names none, FRESHET_SHARED or a folder in its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FRESHET_SHARED")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/freshet-shared").rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/freshet-{name}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
-    Only a session that names none (a local test) gets a temporary folder.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="freshet-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

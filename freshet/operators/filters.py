@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as C
@@ -77,21 +77,32 @@ def keep_grades(daily: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 def grade_statistics(grades: DataFrame) -> DataFrame:
     """Count and share of series per grade."""
-    from pyspark.sql import Window
-
     n = grades.groupBy(F.col("overall_grade").alias("grade")).agg(F.count("*").alias("n_series"))
     # At most six grades, so the total is a window over six rows.
     return n.withColumn("pct_total", 100 * F.col("n_series") / F.sum("n_series").over(Window.partitionBy()))
 
 
-def pick_attribute_columns(columns: Sequence[str]) -> list[str]:
-    """Columns by suffix rule: one variant per base name, the second where there are several."""
-    suffixes = {p + s for p in "us" for s in ("yr", "lt", "av", "se", "pv")}
-    groups: dict[str, list[str]] = {}
-    for c in columns:
-        if c.split("_")[-1] in suffixes:
-            groups.setdefault("_".join(c.split("_")[:2]), []).append(c)
-    return [v[0] if len(v) == 1 else v[1] for v in groups.values()]
+# Spatial extent and kind of statistic that make up the suffix of an attribute column.
+EXTENTS, STATISTICS = ("u", "s"), ("yr", "lt", "av", "se", "pv")
+
+
+def attribute_columns(names: DataFrame) -> DataFrame:
+    """``base, name``: one column per base name (its first two words), the second variant where there are several.
+
+    ``names`` is ``(position, name)``.  Only names that end in an extent and a statistic count.
+    """
+    suffix = f"_({'|'.join(EXTENTS)})({'|'.join(STATISTICS)})$"
+    known = names.where(F.col("name").rlike(suffix)).withColumn("base", F.substring_index("name", "_", 2))
+    order = Window.partitionBy("base").orderBy("position")
+    ranked = known.select("base", "name", F.row_number().over(order).alias("nth"), F.count("*").over(Window.partitionBy("base")).alias("n"))
+    return ranked.where(F.col("nth") == F.least("n", F.lit(2))).select("base", "name")
+
+
+def pick_attributes(df: DataFrame, keep: Sequence[str] = KEY) -> DataFrame:
+    """``keep`` and the columns that ``attribute_columns`` picks, in their order."""
+    rows = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "position int, name string")
+    picked = {r["name"] for r in attribute_columns(rows).collect()}  # column names, not rows
+    return df.select(*keep, *[c for c in df.columns if c in picked and c not in keep])
 
 
 def analysis_subset(signatures: DataFrame, attributes: DataFrame, grades: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:

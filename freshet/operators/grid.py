@@ -27,8 +27,6 @@ CLIPPED = ("prcp", "precip", "precipitation", "et", "evap")
 UNIT_FACTOR = {"m": 1000.0, "mm": 1.0}
 SMALL_KM2 = 5.0
 CELLS_PER_ROW = 256
-# A plain number, so the functions below travel to workers without the spatial module.
-_RADIUS = SP.AREA_RADIUS
 
 
 def unit_factor(variable: str, unit: str) -> float:
@@ -70,64 +68,48 @@ def cells_in_extent(vertices: DataFrame, cells: DataFrame, res: float) -> DataFr
     return e.join(keyed, ["kx", "ky"]).select("poly_id", "lat", "lon")
 
 
-def _clip(ring: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
-    """Cut a ring by an axis-parallel box, one side after the other."""
-    x1, y1, x2, y2 = box
-    for axis, bound, sign in ((0, x1, 1), (0, x2, -1), (1, y1, 1), (1, y2, -1)):
-        if len(ring) == 0:
-            break
-        d = sign * (ring[:, axis] - bound)
-        nxt, dn = np.roll(ring, -1, axis=0), np.roll(d, -1)
-        out = []
-        for p, q, a, b in zip(ring, nxt, d, dn):
-            if a >= 0:
-                out.append(p)
-            if (a > 0 > b) or (a < 0 < b):
-                out.append(p + (q - p) * (a / (a - b)))
-        ring = np.array(out).reshape(-1, 2)
-    return ring
-
-
-def _ring_area(ring: np.ndarray) -> float:
-    """Spherical area of a ring (lon, lat) in km², same formula as the column version."""
-    if len(ring) < 3:
-        return 0.0
-    lon, lat = np.radians(ring[:, 0]), np.radians(ring[:, 1])
-    a = np.sin(lat / 2) ** 2 + np.cos(lat) * np.sin(lon / 2) ** 2
-    colat = 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
-    az = np.arctan2(np.cos(lat) * np.sin(lon), np.sin(lat))
-    step = (np.roll(az, -1) - az + np.pi) % (2 * np.pi) - np.pi
-    ratio = abs(((1 - np.cos((colat + np.roll(colat, -1)) / 2)) * step).sum()) / (4 * np.pi)
-    return min(ratio, 1 - ratio) * 4 * np.pi * _RADIUS**2 / 1e6
+def _half(ring: np.ndarray, axis: int, bound: float, sign: int) -> np.ndarray:
+    """The part of a ring on one side of an axis-parallel line."""
+    if len(ring) == 0:
+        return ring
+    d = sign * (ring[:, axis] - bound)
+    after, dn = np.roll(ring, -1, axis=0), np.roll(d, -1)
+    cross = ((d > 0) & (dn < 0)) | ((d < 0) & (dn > 0))
+    t = np.divide(d, d - dn, out=np.zeros_like(d), where=cross)
+    both = np.stack([ring, ring + (after - ring) * t[:, None]], 1)
+    return both[np.stack([d >= 0, cross], 1)]
 
 
 def fractional_weights(vertices: DataFrame, cells: DataFrame, res: float) -> DataFrame:
     """Overlap share ``(poly_id, lat, lon, w)`` of every cell, summing to one per polygon.
 
-    The cells of a polygon travel in chunks next to its ring, so the ring crosses to Python once
-    per chunk and a continental polygon is spread over many rows.
+    Overlaps of a polygon's rings are added, those of holes taken off.  A ring is cut once per row of
+    the grid, then cell by cell inside that narrow band, so its length enters once per row and
+    not once per cell; the row's cells travel in chunks, and areas are computed as columns.
     """
     half = res / 2.0
+    corners = T.ArrayType(T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])))
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def overlaps(ring: pd.Series, lats: pd.Series, lons: pd.Series) -> pd.Series:
+    @F.pandas_udf(corners)
+    def overlaps(ring: pd.Series, lat: pd.Series, lons: pd.Series) -> pd.Series:
         out = []
-        for r, ys, xs in zip(ring, lats, lons):
+        for r, y, xs in zip(ring, lat, lons):
             pts = np.array([[p["x"], p["y"]] for p in r], float)
-            out.append([_ring_area(_clip(pts, (x - half, y - half, x + half, y + half))) for y, x in zip(ys, xs)])
+            band = _half(_half(pts, 1, y - half, 1), 1, y + half, -1)
+            cut = (_half(_half(band, 0, x - half, 1), 0, x + half, -1) for x in xs)
+            out.append([[{"x": a, "y": b} for a, b in c] for c in cut])
         return pd.Series(out)
 
     pairs = cells_in_extent(vertices, cells, res)
-    w = Window.partitionBy("poly_id").orderBy("lat", "lon")
-    chunk = F.floor((F.row_number().over(w) - 1) / CELLS_PER_ROW)
-    chunks = pairs.withColumn("chunk", chunk).groupBy("poly_id", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct("lat", "lon"))).alias("c")
-    )
-    shapes = SP.rings(vertices).select("poly_id", "ring")
-    area = overlaps("ring", F.transform("c", lambda s: s["lat"]), F.transform("c", lambda s: s["lon"]))
-    rows = chunks.join(shapes, "poly_id").select("poly_id", F.explode(F.arrays_zip("c", area.alias("a"))).alias("z"))
-    raw = rows.select("poly_id", "z.c.lat", "z.c.lon", F.col("z.a").alias("a")).where("a > 0")
-    return raw.select("poly_id", "lat", "lon", (F.col("a") / F.sum("a").over(Window.partitionBy("poly_id"))).alias("w"))
+    # Cells of a row in order of longitude, cut into chunks by the grid itself.
+    chunk = F.floor(F.col("lon") / (CELLS_PER_ROW * res))
+    chunks = pairs.groupBy("poly_id", "lat", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("lon")).alias("lons"))
+    shapes = SP.rings(vertices).where(F.size("vertices") > 2).select("poly_id", "part", "ring", "hole", "vertices")
+    rows = chunks.join(shapes, "poly_id").select("poly_id", "lat", "hole", F.explode(F.arrays_zip("lons", overlaps("vertices", "lat", "lons").alias("c"))).alias("z"))
+    area = SP.ring_area(F.col("z.c"))
+    raw = rows.where(F.size("z.c") > 2).select("poly_id", "lat", F.col("z.lons").alias("lon"), F.when(F.col("hole"), -area).otherwise(area).alias("a"))
+    total = raw.groupBy("poly_id", "lat", "lon").agg(F.sum("a").alias("a")).where("a > 1e-9")  # a cell inside a hole leaves only rounding
+    return total.select("poly_id", "lat", "lon", (F.col("a") / F.sum("a").over(Window.partitionBy("poly_id"))).alias("w"))
 
 
 def grid_signature(cells: DataFrame) -> DataFrame:
@@ -188,12 +170,8 @@ def touched_means(
 
 def band_sensitivity(
     weighted: DataFrame, touched: DataFrame, areas: DataFrame, variable: str, bounds: Sequence[float], labels: Sequence[str],
-    per_band: int | None = None, seed: int = 0,
 ) -> DataFrame:
-    """Relative difference of annual totals between both methods per area band: n, median, p90.
-
-    ``per_band`` draws that many catchments per band by a seeded hash, as the published check does.
-    """
+    """Relative difference of annual totals between both methods per area band: n, median, p90."""
     from ..functions.quantiles import exact_quantiles
 
     a = F.col("area_km2")
@@ -201,9 +179,6 @@ def band_sensitivity(
     for lo, hi, label in reversed(list(zip(bounds[:-1], bounds[1:], labels))):
         band = F.when((a >= lo) & (a < hi), label).otherwise(band)
     sites = areas.select("poly_id", band.alias("band")).where("band IS NOT NULL")
-    if per_band is not None:
-        w = Window.partitionBy("band").orderBy(F.xxhash64("poly_id", F.lit(seed)), "poly_id")
-        sites = sites.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_band).drop("_r")
     year = lambda d, n: d.groupBy("poly_id", F.year("date").alias("year")).agg(F.sum(variable).alias(n))
     j = year(weighted, "a").join(year(touched, "b"), ["poly_id", "year"]).join(sites, "poly_id")
     j = j.withColumn("rel", F.abs(S.div(F.col("a") - F.col("b"), F.col("b"))) * 100)

@@ -1,6 +1,7 @@
 """Areas, point-in-polygon joins, nesting, nearest sites and hexagonal cells.
 
-Geometry is a vertex table ``(poly_id, part, seq, lon, lat)``.  Theta joins become equi-joins on
+Geometry is a vertex table ``(poly_id, part, ring, seq, lon, lat)``; ring 0 is the outline of a part,
+other rings are its holes.  Theta joins become equi-joins on
 grid-cell keys with the exact test as a residual; the ring test is a JVM fold over the vertex
 array, so no vertex rows are multiplied by candidate pairs.
 """
@@ -25,24 +26,28 @@ CLASS_AREA = {"small_rivers": 80, "medium_rivers": 800, "rivers": 8000, "big_riv
 # --- areas and boxes ----------------------------------------------------------------------------------
 
 
+def ring_area(ring: Column, radius: float = AREA_RADIUS) -> Column:
+    """Spherical area in km² of an array of ``(x, y)`` vertices: azimuth steps at mean colatitude, folded around the ring."""
+
+    def polar(p: Column) -> Column:
+        lat, lon = F.radians(p["y"]), F.radians(p["x"])
+        h = F.sin(lat / 2) ** 2 + F.cos(lat) * F.sin(lon / 2) ** 2
+        return F.struct((2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))).alias("c"), F.atan2(F.cos(lat) * F.sin(lon), F.sin(lat)).alias("az"))
+
+    def step(acc: Column, p: Column) -> Column:
+        turn = F.pmod(p["az"] - acc["az"] + F.pi(), 2 * F.pi()) - F.pi()
+        return F.struct(p["c"].alias("c"), p["az"].alias("az"), (acc["s"] + (1 - F.cos((acc["c"] + p["c"]) / 2)) * turn).alias("s"))
+
+    last = polar(F.element_at(ring, -1))
+    start = F.struct(last["c"].alias("c"), last["az"].alias("az"), F.lit(0.0).alias("s"))
+    share = F.abs(F.aggregate(F.transform(ring, polar), start, step, lambda acc: acc["s"])) / (4 * F.pi())
+    return F.when(F.size(ring) > 2, F.least(share, 1 - share) * 4 * F.pi() * radius**2 / 1e6).otherwise(0.0)
+
+
 def polygon_areas(vertices: DataFrame, keys: Sequence[str] = ("poly_id", "part"), radius: float = AREA_RADIUS) -> DataFrame:
-    """Spherical area of each ring in km², from azimuth steps at mean colatitude."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lat, lon = F.radians("lat"), F.radians("lon")
-    a = F.sin(lat / 2) ** 2 + F.cos(lat) * F.sin(lon / 2) ** 2
-    base = vertices.select(
-        *keys, "seq", (2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))).alias("colat"),
-        F.atan2(F.cos(lat) * F.sin(lon), F.sin(lat)).alias("az"),
-    )
-    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
-    base = base.select("*", nxt("colat").alias("colat2"), nxt("az").alias("az2"))
-    step = F.pmod(F.col("az2") - F.col("az") + F.pi(), 2 * F.pi()) - F.pi()
-    part = (1 - F.cos((F.col("colat") + F.col("colat2")) / 2)) * step
-    ratio = F.abs(F.sum(part)) / (4 * F.pi())
-    return base.groupBy(*keys).agg(
-        (F.least(ratio, 1 - ratio) * 4 * F.pi() * radius**2 / 1e6).alias("area_km2")
-    )
+    """Area of each key in km²: its outer rings less its holes."""
+    area = ring_area(F.col("vertices"), radius)
+    return rings(vertices, keys).groupBy(*keys).agg(F.sum(F.when(F.col("hole"), -area).otherwise(area)).alias("area_km2"))
 
 
 def largest_parts(areas: DataFrame) -> DataFrame:
@@ -66,12 +71,18 @@ def in_box(lon: Column, lat: Column) -> Column:
 
 
 def rings(vertices: DataFrame, keys: Sequence[str] = ("poly_id",)) -> DataFrame:
-    """Vertex arrays in ring order, next to the box."""
+    """One row per ring of each key: ``part``, ``ring``, ``hole``, vertex array ``vertices`` in ring order, and the ring's box.
+
+    ``vertices`` may have ``part`` and ``ring`` columns; a ring other than 0 is a hole of its part.
+    """
+    have = lambda c: F.col(c) if c in vertices.columns else F.lit(0)
+    own = [k for k in keys if k not in ("part", "ring")]
+    named = vertices.select(*own, have("part").alias("part"), have("ring").alias("ring"), "seq", "lon", "lat")
     arr = F.transform(
         F.sort_array(F.collect_list(F.struct("seq", "lon", "lat"))), lambda s: F.struct(s["lon"].alias("x"), s["lat"].alias("y"))
     )
-    return vertices.groupBy(*keys).agg(
-        arr.alias("ring"), F.min("lon").alias("x1"), F.min("lat").alias("y1"), F.max("lon").alias("x2"), F.max("lat").alias("y2")
+    return named.groupBy(*own, "part", "ring").agg(
+        (F.col("ring") != 0).alias("hole"), arr.alias("vertices"), F.min("lon").alias("x1"), F.min("lat").alias("y1"), F.max("lon").alias("x2"), F.max("lat").alias("y2")
     )
 
 
@@ -98,21 +109,24 @@ def points_in_polygons(
 ) -> DataFrame:
     """``(point_id, poly_id)`` for every polygon that contains the point.
 
-    Boxes are spread over grid cells and met by the point's own cell; rings join afterwards by
-    polygon key, so a polygon's vertices are never copied per cell.
+    Boxes of rings are spread over grid cells and met by the point's own cell; rings join afterwards,
+    so their vertices are never copied per cell.  A point is inside if an odd number of
+    the polygon's rings, over all its parts and holes, go around it.
     """
     shapes = rings(vertices, poly_keys)
-    boxes = shapes.drop("ring").select(
+    ring = [*[k for k in poly_keys if k not in ("part", "ring")], "part", "ring"]
+    boxes = shapes.select(*ring, "x1", "y1", "x2", "y2").select(
         "*", F.explode(F.sequence(_cell(F.col("x1"), cell), _cell(F.col("x2"), cell))).alias("cx")
     ).select("*", F.explode(F.sequence(_cell(F.col("y1"), cell), _cell(F.col("y2"), cell))).alias("cy"))
     pts = points.select(
         F.col(point_id).alias("_pid"), F.col("lon").alias("_px"), F.col("lat").alias("_py"),
         _cell(F.col("lon"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy"),
-    )
-    near = pts.join(boxes, ["cx", "cy"]).where(in_box(F.col("_px"), F.col("_py"))).select("_pid", "_px", "_py", *poly_keys)
+    ).distinct()
+    near = pts.join(boxes, ["cx", "cy"]).where(in_box(F.col("_px"), F.col("_py"))).select("_pid", "_px", "_py", *ring)
     # A catchment that holds many points is spread over several parts.
-    hit = salted_join(near, shapes.select(*poly_keys, "ring"), list(poly_keys), ["_pid"], salts=8).where(ring_contains(F.col("ring"), F.col("_px"), F.col("_py")))
-    return hit.select(F.col("_pid").alias(point_id), *poly_keys).distinct()
+    met = salted_join(near, shapes.select(*ring, "vertices"), ring, ["_pid"])
+    around = met.where(ring_contains(F.col("vertices"), F.col("_px"), F.col("_py"))).groupBy("_pid", "_px", "_py", *poly_keys).agg(F.count("*").alias("_n"))
+    return around.where("_n % 2 = 1").select(F.col("_pid").alias(point_id), *poly_keys).distinct()
 
 
 # --- nesting -------------------------------------------------------------------------------------------
@@ -226,20 +240,21 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
-def _level_search(points: DataFrame, targets: DataFrame, tie: Sequence[str], distance: Column, sizes: Sequence[float], reach, keys: Sequence[str] = ()) -> DataFrame:
+def _level_search(points: DataFrame, targets: DataFrame, tie: Sequence[str], distance: Column, size: float, reach, keys: Sequence[str] = (), open_at=None) -> DataFrame:
     """Best target of each distinct point, from fine to coarse cells.
 
-    ``points (px, py, keys…)`` and ``targets (tx, ty, keys…, payload…)`` hold distinct places.  At
-    each size a point meets the 3 × 3 cells around it; an answer within ``reach(size)`` is final,
-    as anything outside those cells is farther.  Crowded places are settled in fine cells and
-    sparse ones in coarse cells, so no cell forms all pairs of a crowd.  The last size keeps
-    whatever it finds.
+    ``points (px, py, keys…)`` and ``targets (tx, ty, keys…, payload…)`` hold distinct places.  Cells
+    grow fourfold from ``size / 64`` until they span the globe.  At each size a point meets the
+    3 × 3 cells around it; an answer within ``reach(size)`` is final, as anything outside those cells is
+    farther, and the last size keeps whatever it finds.  Crowded places are settled in fine cells and
+    sparse ones in coarse cells.  ``open_at(size)`` tells which points still want coarser cells; only
+    those go on, from a checkpoint, and the search ends when none is left.
     """
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     payload = [c for c in targets.columns if c not in keys]
-    todo, out = points, None
-    for n, size in enumerate(sizes):
-        last = n == len(sizes) - 1
+    todo, out, size = points, None, size / 64
+    while True:
+        last = size >= 360
         p = todo.select("*", F.explode(around).alias("_i")).select("*", F.explode(around).alias("_j")).select(
             *points.columns, (_cell(F.col("px"), size) + F.col("_i")).alias("_cx"), (_cell(F.col("py"), size) + F.col("_j")).alias("_cy")
         )
@@ -248,55 +263,55 @@ def _level_search(points: DataFrame, targets: DataFrame, tie: Sequence[str], dis
         best = j.groupBy(*points.columns).agg(
             F.min_by(F.struct(*payload), F.struct("_d", *tie)).alias("_t"), F.min("_d").alias("_d")
         )
-        done = best if last else best.where(F.col("_d") <= reach(size))
+        done = cut(best if last else best.where(F.col("_d") <= reach(size)))
         out = done if out is None else out.unionByName(done)
-        if not last:
-            todo = todo.join(done.select(*points.columns), points.columns, "left_anti")
+        todo = todo.join(done.select(*points.columns), points.columns, "left_anti")
+        todo = cut(todo.where(open_at(size)) if open_at else todo)
+        if last or todo.isEmpty():
+            break
+        size *= 4
     return out.select(*points.columns, "_t.*", F.col("_d").alias("distance"))
 
 
 def nearest_feature(points: DataFrame, features: DataFrame, tile: str = "tile", tile_degrees: float = 0.5) -> DataFrame:
-    """Nearest feature of the point's tile by (distance, class area).
+    """Nearest feature of the point's tile by (distance, class area), however far it is.
 
-    Points and features at the same place are searched once.  Features lie within ``tile_degrees``
-    of their tile's points in both directions.
+    Points and features at the same place are searched once.  ``tile_degrees`` is the usual extent of a
+    tile and sets the size of the cells, not how far the search goes.
     """
     area = F.lit(None).cast("int")
     for c, a in CLASS_AREA.items():
         area = F.when(F.col("river_class") == c, a).otherwise(area)
     f = features.select(tile, "feature_id", F.col("lon").alias("tx"), F.col("lat").alias("ty"), area.alias("approx_area"))
     f = f.groupBy(tile, "tx", "ty").agg(F.min(F.struct("approx_area", "feature_id")).alias("s")).select(tile, "tx", "ty", "s.*")
-    places = points.select(tile, F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
+    places = points.join(f.select(tile).distinct(), tile, "left_semi").select(tile, F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
     d = haversine(F.col("px"), F.col("py"), F.col("tx"), F.col("ty"))
     # A step of one cell in longitude is shortest at the higher of the two latitudes.
     reach = lambda size: size * 111.19 * F.cos(F.radians(F.least(F.abs("py") + 2 * size, F.lit(89.0)))) * 0.999
-    sizes = [tile_degrees / 64, tile_degrees / 16, tile_degrees / 4, tile_degrees]
-    best = _level_search(places, f, ["approx_area", "feature_id"], d, sizes, reach, [tile])
+    best = _level_search(places, f, ["approx_area", "feature_id"], d, tile_degrees, reach, [tile])
     return points.select("series_id", tile, F.col("lon").alias("px"), F.col("lat").alias("py")).join(best, [tile, "px", "py"]).select(
         "series_id", "feature_id", F.col("distance").alias("distance_km"), "approx_area"
     )
 
 
-def match_sites(
-    stations: DataFrame, sites: DataFrame, max_km: float = 25.0, area_ratio: tuple[float, float] = (0.5, 2.0), max_abs_lat: float = 75.0
-) -> DataFrame:
+def match_sites(stations: DataFrame, sites: DataFrame, max_km: float = 25.0, area_ratio: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
     """Nearest site of each station in degree space, kept when close and of similar area.
 
-    A site within ``max_km`` lies within a known number of degrees, so the coarsest cell size
-    makes the 3 × 3 neighbourhood hold the global nearest whenever that one can pass the distance
-    test.  Stations and sites are ``(id, lon, lat, area_km2)``; an unknown area skips the area test.
+    A site within ``max_km`` lies within a number of degrees that grows with the station's latitude;
+    a station goes on to coarser cells until they reach that far, so its nearest site is found wherever
+    it can pass the distance test.  Stations and sites are ``(id, lon, lat, area_km2)``; an unknown
+    area skips the area test.
     """
-    import math
-
-    size = max_km / 111.0 / math.cos(math.radians(max_abs_lat)) * 1.1
+    degrees = max_km / 111.0
     s = sites.groupBy(F.col("lon").alias("tx"), F.col("lat").alias("ty")).agg(
         F.min(F.struct(F.col("id").alias("site_id"), F.col("area_km2").alias("site_area"))).alias("s")
     ).select("tx", "ty", "s.*")
     st = stations.select(F.col("id").alias("station_id"), F.col("lon").alias("px"), F.col("lat").alias("py"), F.col("area_km2").alias("station_area"))
     deg2 = (F.col("px") - F.col("tx")) ** 2 + (F.col("py") - F.col("ty")) ** 2
-    best = _level_search(
-        st.select("px", "py").distinct(), s, ["site_id"], deg2, [size / 64, size / 16, size / 4, size], lambda c: F.lit(c * c)
-    ).drop("distance")
+    # The parallel is shortest at the far end of the reach.
+    widest = S.div(F.lit(degrees * 1.1), F.cos(F.radians(F.least(F.abs("py") + degrees, F.lit(90.0)))))
+    open_at = lambda size: F.coalesce(widest, F.lit(360.0)) > size
+    best = _level_search(st.select("px", "py").distinct(), s, ["site_id"], deg2, degrees * 1.1, lambda c: F.lit(c * c), open_at=open_at).drop("distance")
     near = st.join(best, ["px", "py"]).withColumn("distance_km", haversine(F.col("px"), F.col("py"), F.col("tx"), F.col("ty"), SITE_RADIUS))
     ratio = F.when((F.col("site_area") > 0) & (F.col("station_area") > 0), F.col("site_area") / F.col("station_area"))
     near = near.withColumn("area_ratio", ratio).where(F.col("distance_km") <= max_km)

@@ -405,7 +405,7 @@ def flt_attribute_columns(spark, sf):
     s = T.table(spark, sf, "supplier").select(
         "s_suppkey", (F.col("s_acctbal") * 2).alias("pre_mm_uyr"), F.col("s_acctbal").alias("snw_pc_uyr"),
         (F.col("s_acctbal") * 3).alias("snw_pc_syr"), F.col("s_acctbal").alias("ele_mt_max"))
-    return s.select("s_suppkey", *FL.pick_attribute_columns(s.columns))
+    return FL.pick_attributes(s, ["s_suppkey"])
 
 
 @query("flt_analysis_subset", "FLT-11", f"""WITH {OV} SELECT series_id, overall AS overall_grade, least(100.0, greatest(0.0, s_acctbal / 50)) AS permafrost FROM ov JOIN supplier ON series_id = CAST(s_suppkey AS VARCHAR)
@@ -449,9 +449,12 @@ PAIRS = f"""{AREA}, pr AS (SELECT c.series_id AS child, p.series_id AS parent, c
    JOIN pa ca ON ca.poly_id = c.series_id JOIN pa pp ON pp.poly_id = p.series_id WHERE pp.area_km2 > ca.area_km2)"""
 
 
-@query("spa_nested_pairs", "SPA-04", f"WITH {PAIRS} SELECT * FROM pr", "child_area parent_area")
+@query("spa_nested_pairs", "SPA-04", f"""WITH {AREA} SELECT c.series_id AS child, p.series_id AS parent, ca.area_km2 AS child_area, pp.area_km2 AS parent_area FROM sites c JOIN sites p ON c.series_id <> p.series_id AND abs(c.lat - p.lat) < p.r
+   AND ((abs(c.lon - p.lon) + abs(c.lat - p.lat) < p.r AND NOT abs(c.lon - p.lon) + abs(c.lat - p.lat) < CAST(0.4 AS DOUBLE) * p.r) OR abs(c.lon - p.lon - CAST(1.6 AS DOUBLE) * p.r) + abs(c.lat - p.lat) < CAST(0.3 AS DOUBLE) * p.r)
+   JOIN pa ca ON ca.poly_id = c.series_id JOIN pa pp ON pp.poly_id = p.series_id WHERE pp.area_km2 > ca.area_km2""", "child_area parent_area")
 def spa_nested_pairs(spark, sf):
-    return SP.nested_pairs(area_sites(spark, sf), T.diamonds(spark, sf))
+    """Catchments of two parts, one of them with a hole."""
+    return SP.nested_pairs(area_sites(spark, sf), T.holed_diamonds(spark, sf))
 
 
 DEPTH = f"WITH RECURSIVE {PAIRS}, lv AS (SELECT series_id, 0 AS d FROM sites UNION SELECT pr.child, lv.d + 1 FROM lv JOIN pr ON pr.parent = lv.series_id), dp AS (SELECT series_id, max(d) AS depth FROM lv GROUP BY 1)"

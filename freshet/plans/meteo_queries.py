@@ -250,9 +250,19 @@ def met_cell_extents(spark, sf):
     return GR.cells_in_extent(T.boxes(spark, sf), T.field_cells(spark, sf), 0.1)
 
 
-@query("met_fractional_weights", "MET-02", f"WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT} SELECT * FROM wt", "lat lon w")
+HOLED = f"""rg AS (SELECT * FROM (VALUES (1, 1, -1.0, 1.0, 0.5), (2, -1, -0.5, 0.5, 0.25), (3, 1, 1.5, 2.5, 0.25)) AS v(k, sign, dx1, dx2, h)),
+  gc AS (SELECT DISTINCT lat, lon FROM field),
+  ov AS (SELECT series_id AS poly_id, k, sign, g.lat AS clat, g.lon AS clon, greatest(s.lon + s.r * dx1, g.lon - 0.05) AS u1, least(s.lon + s.r * dx2, g.lon + 0.05) AS u2, greatest(s.lat - s.r * h, g.lat - 0.05) AS v1, least(s.lat + s.r * h, g.lat + 0.05) AS v2
+    FROM sites s JOIN gc g ON g.lon BETWEEN s.lon - s.r - 0.1 AND s.lon + 2.5 * s.r + 0.1 AND g.lat BETWEEN s.lat - s.r - 0.1 AND s.lat + s.r + 0.1 CROSS JOIN rg),
+  oc AS (SELECT poly_id, k, sign, clat, clon, seq, CASE WHEN seq IN (0, 3) THEN u1 ELSE u2 END AS lon, CASE WHEN seq < 2 THEN v1 ELSE v2 END AS lat FROM ov CROSS JOIN (SELECT unnest(range(4)) AS seq) WHERE u2 > u1 AND v2 > v1),
+  {area_sql('oc', 'poly_id, k, sign, clat, clon', 'oa')},
+  os AS (SELECT poly_id, clat AS lat, clon AS lon, sum(sign * area_km2) AS a FROM oa GROUP BY 1, 2, 3)"""
+
+
+@query("met_fractional_weights", "MET-02", f"WITH {T.SITES_SQL}, {T.FIELD_SQL}, {HOLED} SELECT poly_id, lat, lon, a / sum(a) OVER (PARTITION BY poly_id) AS w FROM os WHERE a > 1e-9", "lat lon w")
 def met_fractional_weights(spark, sf):
-    return GR.fractional_weights(T.boxes(spark, sf), T.field_cells(spark, sf), 0.1)
+    """Catchments of two parts, one of them with a hole."""
+    return GR.fractional_weights(T.holed_boxes(spark, sf), T.field_cells(spark, sf), 0.1)
 
 
 @query("met_weighted_means", "MET-01 MET-03 MET-06", f"""WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT}

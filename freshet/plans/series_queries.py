@@ -236,7 +236,14 @@ def trd_piecewise(spark, sf):
     return TR.piecewise_trends(d, breaks).drop("p_value", "trend_significant")
 
 
-@query("trd_variance_breakpoints", "TRD-04")
+@query("trd_variance_breakpoints", "TRD-04", f"""WITH {T.SUPPLIER_SQL},
+  r AS (SELECT series_id, date, row_number() OVER o AS i, count(*) OVER p AS n, value - avg(value) OVER p AS z FROM sup WINDOW o AS (PARTITION BY series_id ORDER BY date), p AS (PARTITION BY series_id)),
+  s AS (SELECT *, greatest(5, n // 10) AS w, sum(z) OVER o AS s, sum(z * z) OVER o AS q FROM r WINDOW o AS (PARTITION BY series_id ORDER BY date)),
+  v AS (SELECT a.series_id, a.date, a.i, CASE WHEN a.i - a.w // 2 >= 1 AND b.i IS NOT NULL THEN (b.q - coalesce(c.q, 0) - (b.s - coalesce(c.s, 0)) ** 2 / a.w) / (a.w - 1) END AS v
+    FROM s a LEFT JOIN s b ON b.series_id = a.series_id AND b.i = a.i + (a.w - 1) // 2 LEFT JOIN s c ON c.series_id = a.series_id AND c.i = a.i - a.w // 2 - 1),
+  j AS (SELECT series_id, year(date) AS year, abs(v - lag(v) OVER (PARTITION BY series_id ORDER BY i)) AS jump, year(min(date) OVER p) AS y1, year(max(date) OVER p) AS y2 FROM v WINDOW p AS (PARTITION BY series_id)),
+  t AS (SELECT series_id, quantile_cont(jump, 0.9) AS top FROM j GROUP BY 1)
+  SELECT DISTINCT series_id, year FROM j JOIN t USING (series_id) WHERE jump > top AND year > y1 + 2 AND year < y2 - 2""")
 def trd_variance_breakpoints(spark, sf):
     return TR.variance_breakpoints(T.supplier_flow(spark, sf))
 
@@ -322,13 +329,13 @@ def cpt_cusum(spark, sf):
 
 @query("cpt_binary_segmentation", "CPT-02")
 def cpt_binary_segmentation(spark, sf):
-    return TR.binary_segmentation(tr_daily(spark, sf))
+    return TR.binary_segmentation(tr_daily(spark, sf), max_points=10)
 
 
 @query("cpt_segments", "CPT-02")
 def cpt_segments(spark, sf):
     d = tr_daily(spark, sf)
-    return TR.segment_stats(d, TR.binary_segmentation(d))
+    return TR.segment_stats(d, TR.binary_segmentation(d, max_points=10))
 
 
 @query("cpt_variance", "CPT-03", f"""WITH {OBS}, v AS (SELECT *, CASE WHEN count(*) OVER w = 50 THEN var_samp(value) OVER w END AS va FROM o WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING)),

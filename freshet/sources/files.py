@@ -53,11 +53,15 @@ def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
     return b.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"), F.sha2("content", 256).alias("digest"))
 
 
-def write_series(df: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Long table clustered for later scans: hash bucket folders, sorted by series and day inside."""
+def write_series(df: DataFrame, path: str, buckets: int | None = None, mode: str = "overwrite") -> None:
+    """Long table clustered for later scans: hash bucket folders, sorted by series and day inside.
+
+    As many buckets as the session has shuffle partitions; a bucket too large for one task is cut by Spark.
+    """
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        df.withColumn("series_bucket", F.pmod(F.xxhash64("series_id"), F.lit(buckets)))
-        .repartition("series_bucket")
+        df.withColumn("series_bucket", F.pmod(F.xxhash64("series_id"), F.lit(n)))
+        .hint("rebalance", "series_bucket")
         .sortWithinPartitions("series_id", "date")
         .write.mode(mode).partitionBy("series_bucket").parquet(path)
     )
@@ -74,7 +78,8 @@ def write_months(df: DataFrame, path: str, overwrite: bool = False) -> None:
         except Exception as e:  # the folder does not exist yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    out.repartition("year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    # A month is spread over tasks that AQE sizes, and a large one over several of them.
+    out.hint("rebalance", "year", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
 
 
 def write_by_grade(df: DataFrame, grades: DataFrame, path: str, keys: Sequence[str] = ("series_id",)) -> None:

@@ -106,6 +106,29 @@ def boxes(spark: SparkSession, sf: str) -> DataFrame:
     return _corners(sites(spark, sf), [(-1.0, -0.5), (1.0, -0.5), (1.0, 0.5), (-1.0, 0.5)])
 
 
+def _shapes(df: DataFrame, shapes: dict[tuple[int, int], list[tuple[float, float]]]) -> DataFrame:
+    """Several parts and rings around each site: ``(part, ring) -> corners`` in units of its spread."""
+    pts = F.array(*[
+        F.struct(F.lit(part).alias("part"), F.lit(ring).alias("ring"), F.lit(i).alias("seq"), (F.col("lon") + F.col("r") * dx).alias("x"), (F.col("lat") + F.col("r") * dy).alias("y"))
+        for (part, ring), corners in shapes.items() for i, (dx, dy) in enumerate(corners)
+    ])
+    return df.select(F.col("series_id").alias("poly_id"), F.explode(pts).alias("p")).select(
+        "poly_id", "p.part", "p.ring", "p.seq", F.col("p.x").alias("lon"), F.col("p.y").alias("lat")
+    )
+
+
+def holed_diamonds(spark: SparkSession, sf: str) -> DataFrame:
+    """Diamonds with a hole around the site and a small second part to the east."""
+    ring = lambda r, x=0.0: [(x - r, 0.0), (x, -r), (x + r, 0.0), (x, r)]
+    return _shapes(sites(spark, sf), {(1, 0): ring(1.0), (1, 1): ring(0.4), (2, 0): ring(0.3, 1.6)})
+
+
+def holed_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rectangles with a hole and a small second part to the east."""
+    ring = lambda x1, x2, h: [(x1, -h), (x2, -h), (x2, h), (x1, h)]
+    return _shapes(sites(spark, sf), {(1, 0): ring(-1.0, 1.0, 0.5), (1, 1): ring(-0.5, 0.5, 0.25), (2, 0): ring(1.5, 2.5, 0.25)})
+
+
 def _cell_columns() -> tuple[Column, Column]:
     k = F.col("l_suppkey")
     return 50.0 + 0.5 * F.floor(k / 2000) + 0.1 * (F.col("l_linenumber") - 4), 30.0 + 0.1 * F.floor((k % 2000) / 5)

@@ -8,8 +8,6 @@ continues where it stopped.
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -18,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.ingest import covered_months
+from ..functions.lineage import cut, scratch_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -33,9 +31,8 @@ def read_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", ma
 
 
 def scratch(spark: SparkSession) -> str:
-    """Fresh folder below the shared one named by the session (a temporary one only in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="freshet-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """Fresh folder below the session's shared one."""
+    return scratch_folder(spark, "stream")
 
 
 def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -85,17 +82,46 @@ def wet_sessions(events: DataFrame, threshold: float, gap: str = "3 days", keys:
 # --- upsert ------------------------------------------------------------------------------------------------
 
 
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The table at a path, or None before its first write."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return spark.read.schema(schema).parquet(path) if there else None
+
+
 def month_upsert(path: str, keys: Sequence[str] = KEY):
-    """``foreachBatch`` function: write the months of a batch that are really covered.
+    """``foreachBatch`` function: keep at ``path`` the months in which every known series holds a value.
 
-    A month is taken when every series of the batch holds a value in it; it then replaces the
-    month's folder, so replaying a batch leaves the same files.
+    All rows wait in ``path_pending``, by month.  A batch is merged with what is stored of its
+    months, by series and day, new values winning and absent ones healed by old ones; coverage is
+    judged on the merged months.  A series that was not known before (``path_series``) can take coverage away from any month,
+    so such a batch judges all of them again.  The list of series is written last and every step
+    replaces whole months, so replaying a batch leaves the same files.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        good = covered_months(batch, keys=keys)
-        rows = batch.withColumn("month", F.to_date(F.trunc("date", "month"))).join(good, "month", "left_semi")
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+        spark, k = batch.sparkSession, list(keys)
+        new = batch.withColumn("month", F.to_date(F.trunc("date", "month")))
+        ddl = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        pending, series = f"{path}_pending", f"{path}_series"
+        by_month = lambda df, to, how: df.write.mode("overwrite").option("partitionOverwriteMode", how).partitionBy("month").parquet(to)
+        old, known = _stored(spark, pending, ddl(new)), _stored(spark, series, ddl(batch.select(*k)))
+        ranked = new.withColumn("_age", F.lit(0))
+        if old is not None:
+            ranked = ranked.unionByName(old.join(new.select("month").distinct(), "month", "left_semi").withColumn("_age", F.lit(1)))
+        rest = [c for c in new.columns if c not in (*k, "date", "month")]
+        merged = cut(ranked.groupBy(*k, "date", "month").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_age"))).alias(c) for c in rest]).select(*new.columns))
+        by_month(merged, pending, "dynamic")
+        names = batch.select(*k).distinct()
+        fresh = cut(names if known is None else names.join(known, k, "left_anti"))
+        n_known = fresh.count() + (0 if known is None else known.distinct().count())
+        again = not fresh.isEmpty()
+        judged = spark.read.schema(ddl(new)).parquet(pending) if again else merged
+        held = judged.where(F.col("value").isNotNull()).select("month", *k).distinct().groupBy("month").count()
+        good = judged.join(held.where(F.col("count") == n_known).select("month"), "month", "left_semi")
+        by_month(good, path, "static" if again else "dynamic")
+        if again:
+            fresh.write.mode("append").parquet(series)
 
     return upsert
 
@@ -104,17 +130,23 @@ def month_upsert(path: str, keys: Sequence[str] = KEY):
 
 
 class SnowStorage(StatefulProcessor):
-    """Snow storage of each series, carried from batch to batch."""
+    """Snow storage of each series, carried from batch to batch.
+
+    Storage depends on the order of days: within a batch they are sorted, and a batch must not bring
+    a day at or before the last one that its series has seen, which is an error.
+    """
 
     def __init__(self, snow_temp: float = 0.0, melt_temp: float = 0.0, melt_factor: float = 3.0) -> None:
         self.snow_temp, self.melt_temp, self.melt_factor = snow_temp, melt_temp, melt_factor
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.pack = handle.getValueState("snowpack", "pack double")
+        self.pack = handle.getValueState("snowpack", "pack double, last date")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pack = self.pack.get()[0] if self.pack.exists() else 0.0
+        pack, last = self.pack.get() if self.pack.exists() else (0.0, None)
         days = pd.concat(list(rows)).sort_values("date")
+        if last is not None and days["date"].iloc[0] <= last:
+            raise ValueError(f"day {days['date'].iloc[0]} of series {key[0]} arrived after {last}")
         out = []
         for d, p, t in zip(days["date"], days["p"], days["t"]):
             rain = snow = melt = None
@@ -125,7 +157,7 @@ class SnowStorage(StatefulProcessor):
                 melt = min(pack, self.melt_factor * (t - self.melt_temp)) if t > self.melt_temp else 0.0
                 pack -= melt
             out.append((key[0], d, rain, snow, melt, pack))
-        self.pack.update((float(pack),))
+        self.pack.update((float(pack), days["date"].iloc[-1]))
         yield pd.DataFrame(out, columns=["series_id", "date", "rain_input", "snow_input", "melt_input", "snowpack_proxy"])
 
     def close(self) -> None:

@@ -323,3 +323,51 @@ def test_missing_coordinates_raise(spark):
     want = spark.createDataFrame([("1",), ("2",)], "series_id string")
     with pytest.raises(Exception, match="no valid coordinates for 2"):
         SP.site_coordinates(st, want).collect()
+
+
+SQUARE = ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0))
+EAST, NORTH = 20.0, 10.0  # away from the pole of the area formula
+
+
+def parted(spark):
+    """Two unit squares with a gap; the first has a hole in its middle."""
+    rows = [("p", 1, 0, i, x, y) for i, (x, y) in enumerate(SQUARE)] + [("p", 1, 1, i, 0.4 + 0.2 * x, 0.4 + 0.2 * y) for i, (x, y) in enumerate(SQUARE)]
+    rows += [("p", 2, 0, i, 3 + x, y) for i, (x, y) in enumerate(SQUARE)]
+    rows = [(*r[:4], EAST + r[4], NORTH + r[5]) for r in rows]
+    return spark.createDataFrame(rows, "poly_id string, part int, ring int, seq int, lon double, lat double")
+
+
+def test_parts_and_holes(spark):
+    v = parted(spark)
+    pts = [("in1", 0.2, 0.3), ("hole", 0.5, 0.5), ("gap", 2.0, 0.5), ("in2", 3.5, 0.5), ("out", 5.0, 0.5)]
+    pts = [(i, EAST + x, NORTH + y) for i, x, y in pts]
+    got = SP.points_in_polygons(spark.createDataFrame(pts, "series_id string, lon double, lat double"), v)
+    assert {r["series_id"] for r in got.collect()} == {"in1", "in2"}
+    area = {r["part"]: r["area_km2"] for r in SP.polygon_areas(v).collect()}
+    assert area[1] / area[2] == pytest.approx(0.96, rel=2e-2)
+    grid = spark.createDataFrame([(NORTH + 0.1 + 0.2 * j, EAST + 0.1 + 0.2 * i) for i in range(25) for j in range(5)], "lat double, lon double")
+    w = {(round(r["lon"] - EAST, 1), round(r["lat"] - NORTH, 1)): r["w"] for r in GR.fractional_weights(v, grid, 0.2).collect()}
+    assert sum(w.values()) == pytest.approx(1.0) and len(w) == 49
+    assert (0.5, 0.5) not in w and not any(1.0 < x < 3.0 for x, _ in w)
+    assert w[(0.1, 0.1)] == pytest.approx(1 / 49, rel=2e-2)
+
+
+def test_matches_near_the_pole_and_far_features(spark):
+    st = spark.createDataFrame([("a", 10.0, 85.0, None), ("b", 10.0, 20.0, None), ("c", 0.0, 90.0, None)], "id string, lon double, lat double, area_km2 double")
+    sites = spark.createDataFrame([("s", 12.2, 85.0, None), ("t", 12.2, 20.0, None)], "id string, lon double, lat double, area_km2 double")
+    got = SP.match_sites(st, sites).collect()
+    assert [(r["station_id"], r["site_id"]) for r in got] == [("a", "s")] and got[0]["distance_km"] == pytest.approx(21.3, abs=0.2)
+    pts = spark.createDataFrame([("a", 1, 0.0, 0.0), ("b", 1, 0.1, 0.1), ("c", 2, 0.0, 0.0)], "series_id string, tile int, lon double, lat double")
+    feats = spark.createDataFrame([(1, "f", 2.0, 0.0, "rivers"), (1, "g", -9.0, 0.0, "rivers")], "tile int, feature_id string, lon double, lat double, river_class string")
+    assert {(r["series_id"], r["feature_id"]) for r in SP.nearest_feature(pts, feats).collect()} == {("a", "f"), ("b", "f")}
+
+
+def test_distributions_converge():
+    from freshet.functions import distributions as D
+
+    a = np.array([1e3, 1e4, 9.9e4, 1.1e5, 1e6, 1e8])
+    assert D.inc_gamma(a, a) == pytest.approx(0.5 + 1 / (3 * np.sqrt(2 * np.pi * a)), abs=1e-6)
+    for skew in (1e-6, 1e-3, 1e-2, 0.1):
+        shape = 4 / skew**2
+        assert float(D.inc_gamma(shape, shape)) == pytest.approx(0.5 + 1 / (3 * np.sqrt(2 * np.pi * shape)), abs=1e-5)
+    assert float(D.inc_beta(2e5, 2e5, 0.5)) == pytest.approx(0.5)

@@ -121,6 +121,28 @@ def test_covered_months_upsert(spark, tmp_path):
     assert out.count() == 62 and {str(r[0]) for r in out.select("month").distinct().collect()} == {"2022-01-01"}
 
 
+def month_rows(ids, first, days):
+    return [(i, dt.date(2022, 1, 1) + dt.timedelta(d), float(d)) for i in ids for d in range(first, first + days)]
+
+
+def test_month_in_two_batches_replay_and_late_series(spark, tmp_path):
+    schema, out = "series_id string, date date, value double", str(tmp_path / "out")
+    put = ST.month_upsert(out)
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    put(frame(month_rows(("1", "2"), 0, 16)), 0)
+    put(frame(month_rows(("1", "2"), 16, 15)), 1)
+    put(frame(month_rows(("1", "2"), 16, 15)), 1)
+    assert spark.read.parquet(out).count() == 62
+    put(frame([("1", dt.date(2022, 1, 3), 99.0), ("2", dt.date(2022, 1, 3), None)]), 2)
+    got = {r["series_id"]: r["value"] for r in spark.read.parquet(out).where("date = DATE'2022-01-03'").collect()}
+    assert got == {"1": 99.0, "2": 2.0}
+    # A new series takes coverage away until its own January arrives.
+    put(frame(month_rows(("3",), 31, 5) + month_rows(("1", "2"), 31, 5)), 3)
+    assert {str(r[0]) for r in spark.read.parquet(out).select("month").distinct().collect()} == {"2022-02-01"}
+    put(frame(month_rows(("3",), 0, 31)), 4)
+    assert spark.read.parquet(out).where("month = DATE'2022-01-01'").count() == 93
+
+
 def test_snow_state_is_carried_between_batches(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [("s", dt.date(2021, 1, 1) + dt.timedelta(i), float(i % 4), float((i % 11) - 5)) for i in range(40)]
