@@ -94,6 +94,8 @@ def inc_gamma(a, x) -> np.ndarray:
 def inc_beta(a, b, x) -> np.ndarray:
     """Regularised incomplete beta by the modified Lentz continued fraction, until it has converged."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    shape = a.shape
+    a, b, x = a.reshape(-1), b.reshape(-1), x.reshape(-1)
     tiny = 1e-300
     with np.errstate(all="ignore"):
         swap = x > (a + 1.0) / (a + b + 2.0)
@@ -122,7 +124,7 @@ def inc_beta(a, b, x) -> np.ndarray:
         res = front * h
         res = np.where(t <= 0, 0.0, res)
         res = np.where(swap, 1.0 - res, res)
-    return np.where(np.isnan(x), np.nan, np.clip(res, 0.0, 1.0))
+    return np.where(np.isnan(x), np.nan, np.clip(res, 0.0, 1.0)).reshape(shape)
 
 
 def norm_cdf(x) -> np.ndarray:
