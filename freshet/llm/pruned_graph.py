@@ -201,10 +201,11 @@ def index(pts: DataFrame, k: int = 10, shard_size: int = SHARD, degree: int = DE
 
 def search(graph: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, block_size: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest points found for every query (``vec_id, v``), the query's own id left out."""
-    places = graph.select("dims", "shard").distinct()
+    # New columns: both sides of the cogroup stem from the same table.
+    places = graph.select((F.col("dims") + 0).alias("dims"), (F.col("shard") + 0).alias("shard")).distinct()
     blocks = max(1, math.ceil(queries.count() / block_size))
     asked = queries.select("vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    sent = asked.join(places, "dims")
+    sent = asked.join(places, "dims").select((F.col("dims") + 0).alias("dims"), "shard", "block", "vec_id", "v")
     held = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     schema = "query_id bigint, score double, members array<bigint>"
     types = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("members", pa.list_(pa.int64()))])

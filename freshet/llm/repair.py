@@ -31,6 +31,7 @@ ship(__name__)
 SHARD_IDS = 1 << 20
 MARKS = (b".", b",", b"!", b"?", b";", b":")
 MIN_COUNT = 32
+LEAST_ROOM = 1 << 12  # rules that 16-bit symbols must leave room for
 SLOTS = 20  # bits of the lookup table of one round
 LEAST_GAIN = 256  # rounds end once one shortens the sequence by less than this fraction of it
 CUT = 16  # a round takes all pairs with at least this fraction of the top count
@@ -106,7 +107,7 @@ def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rules (n, 2), their expansion lengths, and the compressed sequence; symbols from ``base`` on are rules."""
-    small = base < 1 << 16
+    small = base <= (1 << 16) - LEAST_ROOM
     kind = np.uint32 if small else np.uint64
     half, room = (16, (1 << 16) - base) if small else (32, 1 << 31)
     mix = kind(0x9E3779B1) if small else kind(0x9E3779B97F4A7C15)

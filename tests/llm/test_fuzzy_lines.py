@@ -65,3 +65,19 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert L.deduplicate(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "same text", "", 0), (1, "same text", "", 0)], SCHEMA)
     assert L.deduplicate(twice).count() == 2
+
+
+def test_crowded_buckets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 4)
+    monkeypatch.setattr(L, "WIDE", 16)
+    r = random.Random(2)
+    base = [f"word{r.randint(100, 999)}" for _ in range(40)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"word{r.randint(100, 999)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    got = {x.doc_id: x.text for x in L.deduplicate(df).collect()}
+    assert [got[i] for i in range(len(texts))] == plain(texts)
