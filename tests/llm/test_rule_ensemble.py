@@ -2,16 +2,21 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from freshet.llm import rule_ensemble as R
 from freshet.llm.queries import QUERIES, table
 
 
-def test_paths_of_a_printed_tree():
-    tree = "Tree (weight 1.0):\n  If (feature 0 <= 0.5)\n   If (feature 2 <= -1.0E-4)\n    Predict: 0.0\n   Else (feature 2 > -1.0E-4)\n    Predict: 1.0\n  Else (feature 0 > 0.5)\n   Predict: 1.0"
-    a, b = (0, "<=", 0.5), (2, "<=", -1e-4)
-    assert R.paths(tree) == [(a,), (a, b), (a, (2, ">", -1e-4)), ((0, ">", 0.5),)]
+def test_rules_find_a_planted_conjunction():
+    r = np.random.default_rng(1)
+    x = r.random((4000, 6))
+    y = ((x[:, 1] > 0.3) & (x[:, 4] <= 0.6)).astype(float)
+    rules = R.fit(x, y, list("abcdef"))
+    z = rules.start + sum(w * np.all([x[:, j] <= c if s == "<=" else x[:, j] > c for j, s, c in rule], axis=0) for rule, w in rules.weighted)
+    assert ((z >= 0) == y).mean() > 0.97
+    assert len(rules.weighted) < 150 and all(len(rule) <= R.DEPTH for rule, _ in rules.weighted)
 
 
 def test_held_out_accuracy(spark, sf):
@@ -31,5 +36,5 @@ def test_defined_cases(spark):
     one = R.judge(df, spark.createDataFrame([(1, 0), (3, 0), (9, 1), (2, None)], "doc_id bigint, quality int")).collect()
     assert all(x.score < 1e-9 and x.predicted == 0 for x in one)
     assert R.judge(df.limit(0), none).count() == 0
-    row = df.where("doc_id = 3").select(*[v.alias(k) for k, v in R.statistics(F.col("text")).items()]).first()
+    row = R.statistics(df.where("doc_id = 3"), "text")[0].select("s.*").first()
     assert row.chars == math.log1p(16) and row.words == math.log1p(3) and row.distinct_words == 1 and row.echoes == 0 and row.capitals == 0
