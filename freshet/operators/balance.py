@@ -156,6 +156,19 @@ def budyko_curve(aridity):
     return F.sqrt(F.greatest(aridity * inv * (1.0 - F.exp(-aridity)), F.lit(0.0)))
 
 
+def departure_by_attribute(ratios: DataFrame, attribute: str, low: float, by: str = "product") -> DataFrame:
+    """Per product: rank correlation of an attribute with the Budyko departure, and medians over series where it is below ``low``."""
+    from ..functions.quantiles import exact_quantiles, spearman
+
+    x, y = F.col("aridity_index"), F.col("evaporative_index")
+    r = ratios.where(x.isNotNull() & y.isNotNull()).withColumn("departure", y - budyko_curve(x))
+    few = r.where(F.col(attribute) < low)
+    out = spearman(r, [by], attribute, "departure").join(few.groupBy(by).agg(F.count("*").alias("n_low")), by, "left")
+    for name, c in (("low_median_departure", "departure"), ("low_median_runoff_ratio", "runoff_ratio")):
+        out = out.join(exact_quantiles(few, [by], c, {name: 0.5}), by, "left")
+    return out
+
+
 def budyko_summary(
     ratios: DataFrame, by: str = "product", x_limits: tuple[float, float] = (0.0, 3.5), y_limits: tuple[float, float] = (-0.3, 1.5)
 ) -> DataFrame:

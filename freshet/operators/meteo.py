@@ -325,6 +325,35 @@ def phase_partition(df: DataFrame, keys: Sequence[str] = KEY, year_days: float =
     )
 
 
+def phase_network(df: DataFrame, products: Sequence[str], keys: Sequence[str] = KEY, year_days: float = 365.25) -> DataFrame:
+    """Per product and phase: annual input below and at or above freezing, averaged over the series.
+
+    ``df`` is ``(keys, date, t, products…)``; years come from the calendar that all series span, and
+    a series without input in a phase counts as zero.
+    """
+    span = df.agg((F.datediff(F.max("date"), F.min("date")) + 1).alias("days"))
+    cold = F.col("t") < 0
+    cells = [F.coalesce(F.sum(F.when(test, F.col(p))), F.lit(0.0)).alias(f"{p}|{phase}") for p in products for phase, test in (("sub_freezing", cold), ("above_freezing", ~cold))]
+    sums = df.groupBy(*keys).agg(*cells)
+    long = S.unpivot(sums, [], [c for c in sums.columns if c not in keys])
+    mean = long.groupBy("metric").agg(F.avg("value").alias("total"))
+    # ``span`` is a single row.
+    return mean.join(F.broadcast(span)).select(
+        F.substring_index("metric", "|", 1).alias("product"), F.substring_index("metric", "|", -1).alias("phase"), (F.col("total") / (F.col("days") / year_days)).alias("mm_per_year"))
+
+
+def precipitation_table(df: DataFrame, products: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
+    """Per product: series with data, their share, and mean, deviation and mean variation of annual input."""
+    k = list(keys)
+    long = df.select(*k, "date", *[F.col(p).cast("double").alias(p) for p in products]).unpivot([*k, "date"], list(products), "product", "p")
+    per = annual_precipitation(long, [*k, "product"])
+    total = df.select(*k).distinct().agg(F.count("*").alias("n_total"))
+    table = per.groupBy("product").agg(
+        F.count("mean_annual_mm").alias("n_series"), F.avg("mean_annual_mm").alias("mean_annual_mm"), F.stddev_samp("mean_annual_mm").alias("std_annual_mm"), F.avg("interannual_cv").alias("mean_cv"))
+    # ``total`` is a single row.
+    return table.join(F.broadcast(total)).select("product", "n_series", (100 * F.col("n_series") / F.col("n_total")).alias("coverage_pct"), "mean_annual_mm", "std_annual_mm", "mean_cv")
+
+
 def annual_precipitation(
     df: DataFrame, keys: Sequence[str] = KEY, annual_rule: str = "mean_times_rows", min_days: int = 1
 ) -> DataFrame:

@@ -108,6 +108,27 @@ def mid_free_positions(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
 # --- bins ------------------------------------------------------------------------------------------------
 
 
+def subset_spearman(df: DataFrame, subsets: dict[str, Column], x: str, y: str) -> DataFrame:
+    """``subset, rho, n_pairs``: rank correlation inside each of some overlapping subsets."""
+    tags = F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in subsets.items()]), lambda t: t.isNotNull()))
+    return spearman(df.select(tags.alias("subset"), x, y), ["subset"], x, y)
+
+
+def lowest_share(df: DataFrame, by: str, share: float = 0.2) -> DataFrame:
+    """Rows whose value is at or below the given quantile of all values."""
+    cut = exact_quantiles(df.withColumn("_all", F.lit("all")), ["_all"], by, {"cut": share}).select("cut")
+    # ``cut`` is a single row.
+    return df.join(F.broadcast(cut)).where(F.col(by) <= F.col("cut")).drop("cut")
+
+
+def window_medians(df: DataFrame, x: str, y: str, windows: dict[str, tuple[float, float]]) -> DataFrame:
+    """``window, n, median``: median of y over rows whose x lies in each window, both ends included."""
+    inside = {n: F.col(x).between(a, b) for n, (a, b) in windows.items()}
+    tags = F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in inside.items()]), lambda t: t.isNotNull()))
+    rows = df.select(tags.alias("window"), F.col(y).cast("double").alias("y")).where("y IS NOT NULL")
+    return rows.groupBy("window").agg(F.count("*").alias("n")).join(exact_quantiles(rows, ["window"], "y", {"median": 0.5}), "window")
+
+
 def right_closed_bin(x: Column, edges: Sequence[float]) -> Column:
     """Index of the right-closed bin, the lowest edge included; null outside."""
     out = F.when(x.isNull() | (x < edges[0]) | (x > edges[-1]), F.lit(None).cast("int"))
@@ -117,15 +138,16 @@ def right_closed_bin(x: Column, edges: Sequence[float]) -> Column:
 
 
 def binned_median(df: DataFrame, x: str, y: str, edges: Sequence[float]) -> DataFrame:
-    """Middle, median, quartiles and count of y per bin of x (clipped to the edges); empty bins stay."""
+    """Middle, median, quartiles and count of y per bin of x (clipped to the edges), and rows of the bin without y; empty bins stay."""
     spark = df.sparkSession
     clipped = F.least(F.greatest(finite(F.col(x).cast("double")), F.lit(float(edges[0]))), F.lit(float(edges[-1])))
-    d = df.select(right_closed_bin(clipped, edges).alias("bin"), finite(F.col(y).cast("double")).alias("y")).where("bin IS NOT NULL AND y IS NOT NULL")
+    rows = df.select(right_closed_bin(clipped, edges).alias("bin"), finite(F.col(y).cast("double")).alias("y")).where("bin IS NOT NULL")
+    d = rows.where("y IS NOT NULL")
     grid = spark.range(len(edges) - 1).select(F.col("id").cast("int").alias("bin"))
     mids = F.element_at(F.array(*[F.lit((a + b) / 2) for a, b in zip(edges, edges[1:])]), F.col("bin") + 1)
-    n = d.groupBy("bin").agg(F.count("*").alias("n"))
+    n = rows.groupBy("bin").agg(F.count("y").alias("n"), F.count_if(F.col("y").isNull()).alias("n_missing"))
     q = exact_quantiles(d, ["bin"], "y", {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return grid.withColumn("center", mids).join(n, "bin", "left").join(q, "bin", "left").fillna(0, ["n"])
+    return grid.withColumn("center", mids).join(n, "bin", "left").join(q, "bin", "left").fillna(0, ["n", "n_missing"])
 
 
 def shape_bands(df: DataFrame, x: str, y: str, bands: Mapping[str, Column]) -> DataFrame:

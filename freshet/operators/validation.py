@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..functions.quantiles import exact_quantiles
 from .spatial import match_sites
 
 KEY = ("series_id",)
@@ -99,10 +100,10 @@ def check_gate(checks: DataFrame) -> DataFrame:
 
 
 def require(checks: DataFrame) -> None:
-    """Raise when any check fails, naming a few."""
-    bad = [r["metric"] for r in checks.where(~F.col("ok")).orderBy("metric").take(10)]
-    if bad:
-        raise ValueError(f"metric checks failed: {', '.join(bad)}")
+    """Raise when any check fails, with their number and the first name; ``checks`` itself lists them all."""
+    n, name = checks.where(~F.col("ok")).agg(F.count("*"), F.min("metric")).first()
+    if n:
+        raise ValueError(f"{n} metric checks failed, the first by name is {name}")
 
 
 # --- ranges, shares, schema ----------------------------------------------------------------------------------
@@ -118,6 +119,14 @@ def range_gates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def percentile_gates(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
+    """1st, 50th and 99th percentile of each column, and whether the outer two lie within its bounds."""
+    long = S.unpivot(df, [], list(bounds))
+    q = exact_quantiles(long, ["metric"], "value", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    low, high = (F.element_at(F.map_from_arrays(F.array(*map(F.lit, bounds)), F.array(*[F.lit(float(b[i])) for b in bounds.values()])), F.col("metric")) for i in (0, 1))
+    return q.select("metric", "p01", "p50", "p99", ((F.col("p01") >= low) & (F.col("p99") <= high)).alias("ok"))
+
+
 def gap_extent(df: DataFrame, column: str, keys: Sequence[str] = KEY) -> DataFrame:
     """Days on which any series misses a column, and series that miss it on any day."""
     miss = df.where(F.col(column).isNull())

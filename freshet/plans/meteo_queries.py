@@ -199,6 +199,24 @@ def met_annual_precipitation(spark, sf):
     return M.annual_precipitation(T.forcing(spark, sf).withColumn("p", F.col("p_a")))
 
 
+_PC = "(VALUES ('p_a', p_a), ('p_b', p_b), ('p_c', p_c)) AS v(product, p)"
+
+
+@query("met_phase_network", "MET-33", f"""WITH {T.FORCING_SQL}, n AS (SELECT (max(date) - min(date) + 1) / 365.25 AS years FROM forcing), l AS (SELECT series_id, date, t, product, p FROM forcing CROSS JOIN LATERAL {_PC}),
+  s AS (SELECT series_id, product, coalesce(sum(p) FILTER (WHERE t < 0), 0) AS sub_freezing, coalesce(sum(p) FILTER (WHERE t >= 0), 0) AS above_freezing FROM l GROUP BY 1, 2),
+  u AS (UNPIVOT s ON sub_freezing, above_freezing INTO NAME phase VALUE v)
+  SELECT product, phase, avg(v) / (SELECT years FROM n) AS mm_per_year FROM u GROUP BY 1, 2""", "mm_per_year")
+def met_phase_network(spark, sf):
+    return M.phase_network(T.forcing(spark, sf), ["p_a", "p_b", "p_c"])
+
+
+@query("met_precipitation_table", "MET-34", f"""WITH {T.FORCING_SQL}, l AS (SELECT series_id, date, product, p FROM forcing CROSS JOIN LATERAL {_PC}),
+  y AS (SELECT series_id, product, year(date) AS y, avg(p) * count(*) AS a FROM l GROUP BY 1, 2, 3 HAVING count(p) >= 1), m AS (SELECT series_id, product, avg(a) AS mean_mm, stddev_samp(a) / avg(a) AS cv FROM y GROUP BY 1, 2)
+  SELECT product, count(mean_mm) AS n_series, 100.0 * count(mean_mm) / (SELECT count(DISTINCT series_id) FROM forcing) AS coverage_pct, avg(mean_mm) AS mean_annual_mm, stddev_samp(mean_mm) AS std_annual_mm, avg(cv) AS mean_cv FROM m GROUP BY 1""", "coverage_pct mean_annual_mm std_annual_mm mean_cv")
+def met_precipitation_table(spark, sf):
+    return M.precipitation_table(T.forcing(spark, sf), ["p_a", "p_b", "p_c"])
+
+
 @query("met_product_agreement", "MET-35", f"""WITH {T.FORCING_SQL}, l AS (SELECT series_id, pair, x, y FROM forcing CROSS JOIN LATERAL (VALUES ('p_a-p_b', p_a, p_b), ('p_a-p_c', p_a, p_c), ('p_b-p_c', p_b, p_c)) AS v(pair, x, y) WHERE x IS NOT NULL AND y IS NOT NULL)
   SELECT series_id, pair, count(*) AS n_days, corr(x, y) AS r, avg(x - y) AS mean_bias FROM l GROUP BY 1, 2 HAVING count(*) >= 365""", "r mean_bias")
 def met_product_agreement(spark, sf):

@@ -113,7 +113,7 @@ def rank_sql(src, x, y, keys):
     return f"SELECT *, rank() OVER ({p} ORDER BY {x}) + (count(*) OVER ({pc(x)}) - 1) / 2.0 AS rx, rank() OVER ({p} ORDER BY {y}) + (count(*) OVER ({pc(y)}) - 1) / 2.0 AS ry FROM {src}"
 
 
-@query("rel_spearman_network", "REL-02 REL-06", f"WITH {MF}, r AS ({rank_sql('mf', 'q_mean', 'q_std', '')}) SELECT 'all' AS \"all\", corr(rx, ry) AS rho, count(*) AS n_pairs FROM r", "rho")
+@query("rel_spearman_network", "REL-02", f"WITH {MF}, r AS ({rank_sql('mf', 'q_mean', 'q_std', '')}) SELECT 'all' AS \"all\", corr(rx, ry) AS rho, count(*) AS n_pairs FROM r", "rho")
 def rel_spearman_network(spark, sf):
     from ..functions.quantiles import spearman
 
@@ -150,10 +150,28 @@ def rel_stage_windows(spark, sf):
     return RL.stage_window_sensitivity(stage_frame(spark, sf), {"may_oct": (5, 6, 7, 8, 9, 10), "jun_sep": (6, 7, 8, 9)}, weak=0.75)
 
 
-@query("rel_binned_median", "REL-05", f"""WITH {MF}, g AS (SELECT * FROM (VALUES (0, 500.0), (1, 1750.0), (2, 3750.0), (3, 7500.0), (4, 15000.0)) AS v(bin, center)), b AS (SELECT CASE WHEN x <= 1000 THEN 0 WHEN x <= 2500 THEN 1 WHEN x <= 5000 THEN 2 WHEN x <= 10000 THEN 3 ELSE 4 END AS bin, q_mean FROM (SELECT least(greatest(s_acctbal, 0), 20000) AS x, q_mean FROM mf))
-  SELECT g.bin, center, count(q_mean) AS n, quantile_cont(q_mean, 0.25) AS q25, median(q_mean) AS median, quantile_cont(q_mean, 0.75) AS q75 FROM g LEFT JOIN b USING (bin) GROUP BY 1, 2""", "center q25 median q75")
+@query("rel_binned_median", "REL-05", f"""WITH {MF}, g AS (SELECT * FROM (VALUES (0, 500.0), (1, 1750.0), (2, 3750.0), (3, 7500.0), (4, 15000.0)) AS v(bin, center)), b AS (SELECT CASE WHEN x <= 1000 THEN 0 WHEN x <= 2500 THEN 1 WHEN x <= 5000 THEN 2 WHEN x <= 10000 THEN 3 ELSE 4 END AS bin, q_mean FROM (SELECT least(greatest(s_acctbal, 0), 20000) AS x, CASE WHEN nation <> 3 THEN q_mean END AS q_mean FROM mf))
+  SELECT g.bin, center, count(q_mean) AS n, count(b.bin) - count(q_mean) AS n_missing, quantile_cont(q_mean, 0.25) AS q25, median(q_mean) AS median, quantile_cont(q_mean, 0.75) AS q75 FROM g LEFT JOIN b USING (bin) GROUP BY 1, 2""", "center q25 median q75")
 def rel_binned_median(spark, sf):
-    return RL.binned_median(metric_frame(spark, sf), "s_acctbal", "q_mean", [0, 1000, 2500, 5000, 10000, 20000])
+    m = metric_frame(spark, sf).withColumn("q_mean", F.when(F.col("nation") != 3, F.col("q_mean")))
+    return RL.binned_median(m, "s_acctbal", "q_mean", [0, 1000, 2500, 5000, 10000, 20000])
+
+
+_TAGGED = "tg AS (SELECT mf.*, subset FROM mf, LATERAL (SELECT unnest(['all', CASE WHEN s_acctbal > 5000 THEN 'rich' END, CASE WHEN nation < 10 THEN 'north' END, CASE WHEN p_max <= (SELECT quantile_cont(p_max, 0.2) FROM mf) THEN 'lowest_fifth' END]) AS subset) WHERE subset IS NOT NULL)"
+
+
+@query("rel_subset_spearman", "REL-06", f"""WITH {MF}, {_TAGGED}, r AS ({rank_sql('tg', 'q_mean', 'q_std', 'subset')}) SELECT subset, corr(rx, ry) AS rho, count(*) AS n_pairs FROM r GROUP BY 1""", "rho")
+def rel_subset_spearman(spark, sf):
+    """Rank correlation in overlapping subsets, one of them the lowest fifth by another metric."""
+    m = metric_frame(spark, sf)
+    low = RL.lowest_share(m, "p_max").select("series_id", F.lit(True).alias("low"))
+    tagged = m.join(low, "series_id", "left").withColumn("low", F.coalesce("low", F.lit(False)))
+    return RL.subset_spearman(tagged, {"all": F.lit(True), "rich": F.col("s_acctbal") > 5000, "north": F.col("nation") < 10, "lowest_fifth": F.col("low")}, "q_mean", "q_std")
+
+
+@query("rel_window_medians", "REL-06", f"""WITH {MF} SELECT w AS "window", count(q_mean) AS n, median(q_mean) AS median FROM mf JOIN (VALUES ('low', -1000.0, 2000.0), ('middle', 1500.0, 6000.0), ('high', 6000.0, 10000.0)) AS v(w, a, b) ON s_acctbal BETWEEN a AND b GROUP BY 1""", "median")
+def rel_window_medians(spark, sf):
+    return RL.window_medians(metric_frame(spark, sf), "s_acctbal", "q_mean", {"low": (-1000.0, 2000.0), "middle": (1500.0, 6000.0), "high": (6000.0, 10000.0)})
 
 
 _SUB = {"all": "true", "rich": "s_acctbal > 5000", "north": "nation < 10"}
@@ -345,10 +363,13 @@ def val_gap_extent(spark, sf):
     return VA.gap_extent(T.forcing(spark, sf), "gappy")
 
 
-@query("val_column_metadata", "VAL-06")
-def val_column_metadata(spark, sf):
-    f = VA.with_metadata(T.forcing(spark, sf), {"value": {"units": "mm", "long_name": "flow", "source": "lines"}})
-    return VA.column_metadata(f)
+_PG = {"value": (0.0, 60.0), "gappy": (0.0, 60.0), "t": (-20.0, 15.0), "pet": (0.0, 100.0)}
+
+
+@query("val_percentile_gates", "VAL-05", f"""WITH {T.FORCING_SQL}, g AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {a}, {b})" for c, (a, b) in _PG.items())}) AS v(metric, low, high)), l AS ({" UNION ALL ".join(f"SELECT '{c}' AS metric, {c} AS v FROM forcing" for c in _PG)}),
+  q AS (SELECT metric, quantile_cont(v, 0.01) AS p01, median(v) AS p50, quantile_cont(v, 0.99) AS p99 FROM l GROUP BY 1) SELECT metric, p01, p50, p99, p01 >= low AND p99 <= high AS ok FROM q JOIN g USING (metric)""", "p01 p50 p99")
+def val_percentile_gates(spark, sf):
+    return VA.percentile_gates(T.forcing(spark, sf), _PG)
 
 
 @query("val_screen_overlap", "VAL-07", f"WITH {MF} SELECT count(*) FILTER (WHERE q_mean > 29) AS n_violations, count(*) FILTER (WHERE q_mean > 29 AND s_acctbal > 5000) AS n_rich, count(*) FILTER (WHERE q_mean > 29 AND nation < 10) AS n_north, count(*) FILTER (WHERE q_mean > 29 AND NOT (s_acctbal > 5000) AND NOT (nation < 10)) AS n_uncaught FROM mf")
@@ -403,11 +424,11 @@ def val_equal_width_classes(spark, sf):
 # ---- release tables ----
 
 
-@query("src_complete_calendar", "SRC-06", f"""WITH {T.SUPPLIER_SQL}, c AS (SELECT series_id, CAST(unnest(generate_series(DATE '1997-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT series_id FROM sup))
+@query("src_complete_calendar", "SRC-06", f"""WITH {T.SUPPLIER_SQL}, c AS (SELECT series_id, CAST(unnest(generate_series(DATE '1992-01-01', DATE '1998-12-31', INTERVAL 1 DAY)) AS DATE) AS date FROM (SELECT DISTINCT series_id FROM sup))
   SELECT c.series_id, c.date, value AS p_a, p AS p_b, round(count(value) OVER w * 100.0 / count(*) OVER w, 0) AS availability FROM c LEFT JOIN sup s ON s.series_id = c.series_id AND s.date = c.date WINDOW w AS (PARTITION BY c.series_id)""", "p_a p_b availability", "date")
 def src_complete_calendar(spark, sf):
     d = T.supplier_flow(spark, sf)
-    return RS.complete_calendar(d.select("series_id", "date", "value"), d.select("series_id", "date", F.col("p").alias("value")), "1997-01-01", "1998-12-31")
+    return RS.complete_calendar(d.select("series_id", "date", "value"), d.select("series_id", "date", F.col("p").alias("value")), "1992-01-01", "1998-12-31")
 
 
 @query("src_common_ids", "SRC-07", "SELECT CAST(s_suppkey AS VARCHAR) AS series_id FROM supplier INTERSECT SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal > 0")

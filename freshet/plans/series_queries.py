@@ -151,7 +151,7 @@ def wb_unpaired_ratios(spark, sf):
     return WB.unpaired_ratios(product_days(spark, sf).withColumn("aet", F.col("pet") * 0.8), PK)
 
 
-@query("wb_budyko_summary", "WB-06 VAL-08", f"""WITH {_L}, {_PR.format(m=3, f=0.3)}, x AS (SELECT *, evaporative_index - sqrt(greatest(aridity_index * tanh(1 / aridity_index) * (1 - exp(-aridity_index)), 0)) AS dep FROM pr WHERE aridity_index IS NOT NULL)
+@query("wb_budyko_summary", "WB-06", f"""WITH {_L}, {_PR.format(m=3, f=0.3)}, x AS (SELECT *, evaporative_index - sqrt(greatest(aridity_index * tanh(1 / aridity_index) * (1 - exp(-aridity_index)), 0)) AS dep FROM pr WHERE aridity_index IS NOT NULL)
   SELECT product, count(*) AS n_series, avg(CASE WHEN runoff_ratio > 1 THEN 100.0 ELSE 0 END) AS runoff_ratio_gt_1_pct, avg(CASE WHEN evaporative_index > aridity_index THEN 100.0 ELSE 0 END) AS aet_wb_gt_pet_pct,
    avg(CASE WHEN dep < 0 THEN 100.0 ELSE 0 END) AS below_budyko_pct, count(*) FILTER (WHERE aridity_index < 0) AS x_below, count(*) FILTER (WHERE aridity_index > 3.5) AS x_above,
    count(*) FILTER (WHERE evaporative_index < -0.3) AS y_below, count(*) FILTER (WHERE evaporative_index > 1.5) AS y_above,
@@ -162,6 +162,17 @@ def wb_budyko_summary(spark, sf):
     return WB.budyko_summary(WB.paired_ratios(product_days(spark, sf), PK, min_fraction=0.3, min_years=3))
 
 
+@query("val_budyko_attribute", "VAL-08", f"""WITH {_L}, {_PR.format(m=3, f=0.3)}, x AS (SELECT product, a, evaporative_index - sqrt(greatest(aridity_index * tanh(1 / aridity_index) * (1 - exp(-aridity_index)), 0)) AS dep, runoff_ratio FROM pr JOIN (SELECT series_id, avg(t) AS a FROM forcing GROUP BY 1) USING (series_id) WHERE aridity_index IS NOT NULL AND evaporative_index IS NOT NULL),
+  r AS (SELECT *, rank() OVER (PARTITION BY product ORDER BY a) + (count(*) OVER (PARTITION BY product, a) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY product ORDER BY dep) + (count(*) OVER (PARTITION BY product, dep) - 1) / 2.0 AS ry FROM x)
+  SELECT product, corr(rx, ry) AS rho, count(*) AS n_pairs, count(*) FILTER (WHERE a < 0.05) AS n_low, median(dep) FILTER (WHERE a < 0.05) AS low_median_departure, median(runoff_ratio) FILTER (WHERE a < 0.05) AS low_median_runoff_ratio FROM r GROUP BY 1""",
+  "rho low_median_departure low_median_runoff_ratio")
+def val_budyko_attribute(spark, sf):
+    """Rank correlation of an attribute with the departure per product, and medians where the attribute is low."""
+    s = T.forcing(spark, sf).groupBy("series_id").agg(F.avg("t").alias("attribute"))
+    return WB.departure_by_attribute(WB.paired_ratios(product_days(spark, sf), PK, min_fraction=0.3, min_years=3).join(s, "series_id"), "attribute", 0.05)
+
+
+
 _CK = (("energy_violation", "evaporative_index > aridity_index"), ("water_limit_violation", "evaporative_index > 1"), ("combined_envelope_violation", "evaporative_index > least(aridity_index, 1)"),
        ("closure_q_gt_p", "evaporative_index < 0"), ("aet_wb_gt_pet", "aet_wb_gt_pet"), ("aet_wb_lt_zero", "aet_wb_lt_zero"))
 _MD = ("aridity_index", "evaporative_index", "q_mm_yr", "p_mm_yr", "aet_wb_mm_yr", "aet_wb_minus_product_mm_yr")

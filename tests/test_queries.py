@@ -12,7 +12,9 @@ SAMPLE = (
     "qc_data_quality", "mr_event_response", "mr_lag_correlations", "grd_series_grades", "met_extreme_periods", "met_climate_class",
     "wb_paired_ratios", "trd_seasonal_mann_kendall", "hom_pettitt", "drt_spei_rank", "ing_gap_runs", "ing_blocks_to_daily",
     "spa_nested_pairs", "spa_match_sites", "att_area_weighted", "rel_stage_consistency", "clu_adjusted_rand", "val_table_diff",
-    "src_release_flow", "str_daily_extremes",
+    "src_release_flow", "str_daily_extremes", "met_fractional_weights", "trd_variance_breakpoints", "flt_attribute_columns", "str_month_upsert",
+    "met_phase_network", "met_precipitation_table", "rel_subset_spearman", "rel_window_medians", "val_percentile_gates", "val_budyko_attribute",
+    "sig_slope_agreement", "src_complete_calendar",
 )
 
 
