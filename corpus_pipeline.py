@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.functions.lineage import scratch_folder
 from freshet.llm import fuzzy_lines, golay, heap_bpe, mixture_lang, wu_manber
-from freshet.llm.common import scratch
 from freshet.llm.queries import table, tokenizer_file
 
 ORACLE_SQL = None  # neither mixtures, shingles nor fingerprints can be put as SQL; the tests compare with plain loops
@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch(spark, name)
+        path = scratch_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

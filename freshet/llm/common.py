@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_folder
+
 SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,15 +54,9 @@ class Memo(dict):
         return value
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/freshet-{name}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
-    path = scratch(df.sparkSession, name)
+    path = scratch_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import scratch_folder
 from . import fuzzy_lines, golay, heap_bpe, mixture_lang, preference, pruned_graph, repair, rule_ensemble, url_lm, wu_manber
-from .common import crc_share, scratch, stash
+from .common import crc_share, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,7 +59,7 @@ def op9_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, written as grammar-compressed shards and read back from the files."""
-    path = scratch(spark, "shards")
+    path = scratch_folder(spark, "shards")
     repair.write(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), path)
     return repair.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids_le").alias("ids_crc32"))
 
