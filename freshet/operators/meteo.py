@@ -262,6 +262,32 @@ def seasonal_trends(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return out.select("*", (F.col("slope") * 10).alias("trend_per_decade"), (F.col("p_value") < 0.05).alias("trend_significant"))
 
 
+def seasonal_union(df: DataFrame, keys: Sequence[str] = KEY, years: tuple[int, int] | None = None) -> DataFrame:
+    """Season tables, climatology, anomalies, annual cycle and trends as one long table.
+
+    ``keys, part, label, year, statistic, value``: label is the month or season, year is null where a
+    part has none, and absent values have no row.
+    """
+    k = list(keys)
+
+    def long(part: str, table: DataFrame, label: str | None, year: bool) -> DataFrame:
+        ids = [*k, F.lit(part).alias("part"), (F.col(label).cast("string") if label else F.lit("")).alias("label"), (F.col("year").cast("int") if year else F.lit(None).cast("int")).alias("year")]
+        values = [c for c in table.columns if c not in (*k, label, "year")]
+        wide = table.select(*ids, *[F.col(c).cast("double").alias(c) for c in values])
+        return wide.unpivot([*k, "part", "label", "year"], values, "statistic", "value").where(F.col("value").isNotNull())
+
+    parts = [
+        long("seasons", season_table(df, keys), None, True), long("climatology", monthly_climatology(df, keys, years), "month", False),
+        long("anomalies", seasonal_anomalies(df, keys, years), "season", True), long("cycle", annual_cycle(df, keys), None, False),
+        long("trends", seasonal_trends(df, keys).drop("trend_significant"), "season", False),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+
 # --- climate classes --------------------------------------------------------------------------------------
 
 

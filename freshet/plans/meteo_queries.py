@@ -9,7 +9,7 @@ from ..operators import ingest as IN
 from ..operators import meteo as M
 from ..operators import spatial as SP
 from ..sources import tables as T
-from .registry import query
+from .registry import REGISTRY, query
 
 TD = T.FORCING_SQL + ", d AS (SELECT series_id, date, t AS value, p_a AS p, t FROM forcing)"
 SEA = "CASE WHEN month(date) IN (12, 1, 2) THEN 'Winter' WHEN month(date) <= 5 THEN 'Spring' WHEN month(date) <= 8 THEN 'Summer' ELSE 'Autumn' END"
@@ -163,11 +163,26 @@ def met_seasonal_trends(spark, sf):
     return M.seasonal_trends(temp(spark, sf)).drop("p_value", "trend_significant")
 
 
-@query("met_seasonal_trend_tests", "MET-29 MET-30")
+@query("met_seasonal_trend_tests", "MET-29")
 def met_seasonal_trend_tests(spark, sf):
     return M.seasonal_trends(temp(spark, sf))
 
 
+def _long_sql(part: str, name: str, label: str, year: str) -> str:
+    gone = ", ".join(c for c in ("series_id", label, "year" if year != "NULL" else "") if c and c != "''")
+    ids = f"series_id, '{part}' AS part, CAST({label} AS VARCHAR) AS label, CAST({year} AS INTEGER) AS year"
+    return f"SELECT * FROM (UNPIVOT (SELECT {ids}, COLUMNS(* EXCLUDE ({gone}))::DOUBLE FROM ({REGISTRY[name].sql})) ON COLUMNS(* EXCLUDE (series_id, part, label, year)) INTO NAME statistic VALUE value)"
+
+
+_PARTS = (("seasons", "met_season_table", "''", "year"), ("climatology", "met_monthly_climatology", "month", "NULL"), ("anomalies", "met_seasonal_anomalies", "season", "year"), ("cycle", "met_annual_cycle", "''", "NULL"), ("trends", "met_seasonal_trends", "season", "NULL"))
+
+
+@query("met_seasonal_union", "MET-30", " UNION ALL ".join(_long_sql(*p) for p in _PARTS), "value")
+def met_seasonal_union(spark, sf):
+    """The union of all seasonal parts; p-values have a query of their own."""
+    return M.seasonal_union(temp(spark, sf), years=(1996, 1999)).where("statistic <> 'p_value'")
+
+
 _NORM = """mn0 AS (SELECT series_id, year(date) AS y, CAST(month(date) AS INTEGER) AS month, sum(t) AS st, count(t) AS nt, sum(p) AS p FROM d GROUP BY 1, 2, 3),
   mn AS (SELECT series_id, month, sum(st) / sum(nt) AS t, avg(p) / 50 AS p FROM mn0 GROUP BY 1, 2)"""
 _KOP = """g AS (SELECT series_id, count(t) AS nt, count(p) AS np, avg(t) AS mat, sum(p) AS map, max(t) AS thot, min(t) AS tcold, min(p) AS pdry, count(*) FILTER (WHERE t > 10) AS m10,
