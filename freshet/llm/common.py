@@ -27,11 +27,21 @@ ship(__name__)
 
 
 def per_worker(key: str, make: Callable[[], object], version: object = None) -> object:
-    """An object that lives as long as the Python worker, over all its tasks; another version replaces it."""
+    """An object that lives over the tasks of a Python worker, until another key or version takes its place.
+
+    Only one is kept, so a worker that goes on to the next operator gives its memory back.
+    """
     kept = sys.modules.setdefault("_freshet_worker", types.ModuleType("_freshet_worker")).__dict__
-    if key not in kept or kept[key][0] != version:
-        kept[key] = (version, make())
-    return kept[key][1]
+    if kept.get("what") != (key, version):
+        kept["what"] = kept["held"] = None
+        kept["held"] = make()
+        kept["what"] = (key, version)
+    return kept["held"]
+
+
+def release() -> None:
+    """Let go of what ``per_worker`` keeps."""
+    per_worker("", lambda: None)
 
 
 class Memo(dict):

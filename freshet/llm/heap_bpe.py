@@ -28,7 +28,7 @@ ship(__name__)
 
 # Fixed value: how byte-level BPE splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS, CHUNKS = 200_000, 300_000
+WORDS, CHUNKS = 100_000, 150_000
 
 
 def byte_letters() -> list[str]:

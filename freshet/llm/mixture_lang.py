@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, pieces, ship
+from .common import extend, pieces, release, ship
 
 ship(__name__)
 
@@ -49,6 +49,7 @@ def counts(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, bucket, n`` summed over all rows with a text and a language."""
 
     def run(batches):
+        release()
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for piece in pieces(batch):
@@ -122,6 +123,7 @@ def identify(df: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
+        release()
         tool = shared.value
 
         def fn(batch):
