@@ -5,9 +5,9 @@ components matter here, so a bucket never emits all its pairs:
 
 1. every member is checked against the smallest and the largest member of its bucket, and the
    verified links are joined to components;
-2. in each bucket the members outside its most frequent component are checked against all members
-   of other components.  This finds every link that joins two components, so nothing is lost, and
-   a bucket full of one group's copies costs time in proportion to its size.
+2. in each bucket that still holds several components, members outside the most frequent one are
+   checked against all members of other components.  This finds every link that joins two
+   components, so nothing is lost, and a bucket full of one group's copies costs nothing more.
 """
 
 from __future__ import annotations
@@ -44,10 +44,24 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """``node, comp`` of the nodes with a link: ``members`` is ``key, node``, each pair of them once.
+def joined_pairs(mixed: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``a, b`` across components, by an equality join on the bucket key and a check of each pair.
+
+    Fits keys so selective that members of different components rarely share one.
+    """
+    rest = mixed.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), "main")
+    other = mixed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    # Two members outside the main component meet once, in the order of their components.
+    pairs = rest.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))))
+    return verify(pairs.select("a", "b"))
+
+
+def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, across: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node, comp`` of the nodes with a link; ``members`` is ``key, node``.
 
     ``verify`` gets candidate pairs ``a, b`` (some repeated) and returns those that are links.
+    ``across`` gets ``key, node, comp, main, size`` of the buckets that hold several components, and
+    returns links ``a, b`` between components, enough of them to connect all that a link connects.
     """
     ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     crowd = stash(members.join(ends, "key"), f"{name}-buckets")
@@ -56,13 +70,9 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
     placed = crowd.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     placed = stash(placed, f"{name}-placed")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1").drop("kinds")
     mixed = placed.join(main, "key")
-    rest = mixed.where("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), "main")
-    other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    # Two members outside the main component meet once, in the order of their components.
-    pairs = rest.join(other, "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("ca") < F.col("cb"))))
-    more = verify(pairs.select("a", "b"))
+    more = across(mixed) if across else joined_pairs(mixed, verify)
     named = more.join(first.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), "a", "left")
     named = named.join(first.select(F.col("node").alias("b"), F.col("comp").alias("_cb")), "b", "left")
     second = cut(components(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))))

@@ -1,10 +1,11 @@
 """Line deduplication that also catches near copies: MinHash, banding, exact check, union-find.
 
-Lines are compared by their sets of 5-character shingles.  48 minima of shingle hashes form 12
+Lines are compared by their sets of 8-character shingles.  48 minima of shingle hashes form 12
 bands of 4; lines that agree in a band are candidates (a pair at similarity 0.8 is found with
 probability 0.998, at 0.9 practically always).  Candidates are confirmed on their texts: Jaccard
 similarity of the exact shingle sets of 0.8 or more.  ``components.linked`` joins them without listing a
-group's pairs, and of each component the first occurrence (smallest document, then position) stays.
+group's pairs: what is left of crowded buckets is compared in blocks inside tasks, from which only links
+come out.  Of each component the first occurrence (smallest document, then position) stays.
 
 A line is its text without white space at the ends, known by its 64-bit hash; blank lines are left
 alone.  Sketches travel as numbers; of the texts only those of candidate lines move.  Lines that
@@ -25,50 +26,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import salted_join
-from .common import Memo, pieces, raw, ship, stash
+from .common import Memo, parts, pieces, release, ship, stash
 from .components import linked
 
 ship(__name__)
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 12, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 8, 12, 4, 0.8
 SEED = 42  # of the line hash, as in Spark's xxhash64
 SEEN = 50_000
+BLOCK = 512  # lines of a bucket that are compared in one piece
+WIDE = 8192  # columns of one matrix product
 BROADCAST_ROWS = 1_000_000
 
 
-def coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Odd multipliers and offsets of the hash functions, from a fixed generator."""
-    r = np.random.default_rng(7)
-    return r.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 1 << 32, n, dtype=np.uint32)
+def coefficients(n: int) -> np.ndarray:
+    """Odd multipliers of the hash functions, from a fixed generator."""
+    return np.random.default_rng(7).integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_hashes(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
-    """A 32-bit hash of every run of k code points."""
-    n = max(1, len(points) - k + 1)
-    h = np.zeros(n, np.uint32)
-    for i in range(min(k, len(points))):
-        h = (h ^ points[i : i + n]) * np.uint32(0x01000193)
-        h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    return h ^ h >> np.uint32(13)
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a * np.uint32(0x9E3779B1) ^ b) * np.uint32(0x85EBCA6B)
+    return h ^ h >> np.uint32(15)
+
+
+def run_hashes(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """A 32-bit hash of every run of k code points, from runs of half the length."""
+    h, size = _mix(points, points >> np.uint32(3)), 1
+    while size < k:
+        step = min(size, k - size)  # the last two runs may overlap
+        h, size = _mix(h[:-step], h[step:]), size + step
+    return h
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
-    """One 64-bit key per line and band."""
-    a, b = coefficients(bands * rows)
-    points = [np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in lines]
-    hashes = [shingle_hashes(p, k) for p in points]
-    at = np.cumsum([0, *map(len, hashes)])[:-1]
-    h = np.concatenate(hashes)
+    """One 64-bit key per line and band; all lines are hashed as one text and minima taken between their ends."""
+    a = coefficients(bands * rows)
+    whole = [s if len(s) >= k else s.ljust(k, "\0") for s in lines]
+    size = np.fromiter(map(len, whole), np.int64, len(whole))
+    first = np.cumsum(size) - size
+    spans = np.stack([first, first + size - k + 1], 1).reshape(-1)
+    h = np.append(run_hashes(np.frombuffer("".join(whole).encode("utf-32-le"), "<u4"), k), np.uint32(0))
+    x = np.empty_like(h)
     keys = np.zeros((len(lines), bands), np.uint64)
     for band in range(bands):
         key = np.full(len(lines), band + 1, np.uint64)
         for j in range(band * rows, (band + 1) * rows):
-            # Mixing after the product makes the order of the values independent between functions.
-            x = h * a[j] + b[j]
-            x ^= x >> np.uint32(16)
-            x *= a[-1 - j]
-            key = (key ^ np.minimum.reduceat(x, at)) * np.uint64(0x9E3779B97F4A7C15)
+            np.multiply(h, a[j], out=x)
+            key = (key ^ np.minimum.reduceat(x, spans)[::2]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
         keys[:, band] = key
     return keys.view(np.int64)
@@ -87,9 +91,10 @@ def _sketches(docs: DataFrame) -> DataFrame:
     """``node, keys`` of every line; a task leaves out lines that it has met just before."""
 
     def run(batches):
+        release()
         for batch in batches:
             seen = Memo(lambda line: True, SEEN)
-            for piece in pieces(batch, 1 << 20):
+            for piece in pieces(batch, 1 << 18):  # small enough for the processor's cache
                 lines = []
                 for text in piece.column(0).to_pylist():
                     for line in (text or "").split("\n"):
@@ -130,21 +135,101 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
+    """Links that connect the components of some lines as far as similar pairs connect them.
+
+    Shared shingles are counted for all pairs at once by a product of 0/1 matrices; shingles of a single
+    line only add to its size.
+    """
+    sets = [shingles(s) for s in lines]
+    count: dict[str, int] = {}
+    for x in sets:
+        for g in x:
+            count[g] = count.get(g, 0) + 1
+    place = {g: i for i, g in enumerate(g for g, n in count.items() if n > 1)}
+    size = np.array([len(x) for x in sets], np.float32)
+    both = np.zeros((len(lines), len(lines)), np.float32)
+    at = [np.array([place[g] for g in x if g in place], np.int64) for x in sets]
+    for lo in range(0, len(place), WIDE):
+        m = np.zeros((len(lines), min(WIDE, len(place) - lo)), np.float32)
+        for i, x in enumerate(at):
+            m[i, x[(x >= lo) & (x < lo + WIDE)] - lo] = 1
+        both += m @ m.T
+    _, comp = np.unique(np.array(comps), return_inverse=True)
+    good = (both >= np.float32(SIMILARITY) * (size[:, None] + size[None, :] - both) - 1e-3) & (comp[:, None] < comp[None, :])
+    up, out = list(range(int(comp.max()) + 1)), []
+
+    def find(c: int) -> int:
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    for i, j in zip(*np.nonzero(good)):
+        c, d = find(int(comp[i])), find(int(comp[j]))
+        if c != d and similar(sets[i], sets[j]):
+            up[c] = d
+            out.append((int(i), int(j)))
+    return out
+
+
+def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components of the same bucket, found inside tasks: a bucket's pairs never become rows.
+
+    A bucket of more than ``BLOCK`` lines is cut into blocks by hash and dealt as pairs of blocks, so
+    a task holds two blocks at most and a hot bucket is spread.
+    """
+    n = F.ceil(F.col("size") / BLOCK)
+    own = F.pmod(F.xxhash64("node"), n)
+    dealt = mixed.select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("with"))
+    dealt = dealt.select("key", "node", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(texts, "node")
+    keys = ["key", "i", "j"]
+    ready = dealt.select(*keys, "node", "comp", "line").repartition(parts(mixed.sparkSession), *keys).sortWithinPartitions(*keys, "node")
+
+    def run(batches):
+        def links(group):
+            rows = list({r[3]: r for r in group}.values())
+            found = spanning([r[5] for r in rows], [r[4] for r in rows])
+            return [(rows[i][3], rows[j][3]) for i, j in found]
+
+        held: list = []
+        for batch in batches:
+            out = []
+            for piece in pieces(batch):
+                for row in zip(*[c.to_pylist() for c in piece.columns]):
+                    if held and held[-1][:3] != row[:3]:
+                        out += links(held)
+                        held = []
+                    held.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        if held:
+            out = links(held)
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return ready.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def line_groups(docs: DataFrame) -> DataFrame:
     """``node, comp`` of lines that have a near copy; ``docs`` is ``doc, text``."""
     sketches = stash(_sketches(docs), "sketches")
     members = sketches.select(F.explode("keys").alias("key"), "node")
 
-    def verify(candidates: DataFrame) -> DataFrame:
-        pairs = stash(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
-        wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "line-nodes")
+    def texts(nodes: DataFrame) -> DataFrame:
+        wanted = stash(nodes.distinct(), "line-nodes")
         if wanted.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond that, a shuffled join
             wanted = F.broadcast(wanted)
         lines = _lines(docs).select(F.xxhash64("line").alias("node"), "line").join(wanted, "node", "left_semi")
-        texts = stash(lines.groupBy("node").agg(F.min("line").alias("line")), "line-texts")
-        return _verified(pairs, texts)
+        return stash(lines.groupBy("node").agg(F.min("line").alias("line")), "line-texts")
+
+    def verify(candidates: DataFrame) -> DataFrame:
+        pairs = stash(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
+        return _verified(pairs, texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))))
+
+    def across(mixed: DataFrame) -> DataFrame:
+        mixed = stash(mixed, "line-mixed")
+        return _across(mixed, texts(mixed.select("node")))
 
-    return linked(members, verify, "lines")
+    return linked(members, verify, "lines", across)
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -165,9 +250,9 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     gone = salted_join(at, decided, ["node"], ["at"]).where("at <> kept").select("at.doc", "at.pos")
     drops = gone.groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
     # The row travels as one struct, so its column names cannot clash with ours.
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc"), F.split(text, "\n", -1).alias("parts"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc"))
     joined = rows.join(drops, "doc", "left")
-    left = F.filter("parts", lambda line, i: ~F.array_contains("_drop", i))
     own = lambda c: F.col("row").getField(c)
+    left = F.filter(F.split(own(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
     slim = F.when(F.col("_drop").isNull(), own(text)).otherwise(F.array_join(left, "\n"))
     return joined.select(*[(slim if c == text else own(c)).alias(c) for c in df.columns])
