@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extend, parts, per_worker, raw, ship, stash
+from .common import extend, parts, per_worker, raw, release, ship, stash
 from .components import linked
 
 ship(__name__)
@@ -110,6 +110,7 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = WORDS) -> DataF
     """Add ``fp bigint``: the fingerprint as a signed number."""
 
     def make():
+        release()
         return lambda batch: [pa.array(np.array([fingerprint(t, words) for t in raw(batch.column(text))], "<u8").view("<i8"))]
 
     return extend(df, [("fp", "bigint")], make)
@@ -127,8 +128,8 @@ def candidate_keys(distinct: DataFrame) -> DataFrame:
                 keys, rows = bucket_keys(part.view("<u8"), golay)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows])], names=["key", "node"])
 
-    # Keys are many times the fingerprints, so these are spread first.
-    return distinct.select("fp").repartition(parts(distinct.sparkSession), "fp").mapInArrow(run, "key bigint, node bigint")
+    # Keys are many times the fingerprints, so these are spread first; another hash keeps the step apart from the grouping before it.
+    return distinct.select("fp").repartition(parts(distinct.sparkSession), F.xxhash64("fp")).mapInArrow(run, "key bigint, node bigint")
 
 
 def near(pairs: DataFrame, bits: int = BITS) -> DataFrame:
