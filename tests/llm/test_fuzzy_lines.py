@@ -81,3 +81,20 @@ def test_crowded_buckets_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA)
     got = {x.doc_id: x.text for x in L.deduplicate(df).collect()}
     assert [got[i] for i in range(len(texts))] == plain(texts)
+
+
+def test_near_copies_by_five_character_shingles(spark):
+    """Pairs of lines against sets of five characters that are written out here, not taken from the module."""
+    r = random.Random(4)
+    five = lambda s: {s[i : i + 5] for i in range(len(s) - 4)}
+    pairs = []
+    for n in range(40, 130):
+        a = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+        a = f"x{a}y"
+        k = 1 if n < 80 else 6  # a changed character, or a replaced word
+        pairs.append((a, a[: n // 2] + "#" * k + a[n // 2 + k :]))
+    near = [len(five(a) & five(b)) >= 0.8 * len(five(a) | five(b)) for a, b in pairs]
+    assert near[:9] == [False] * 9 and all(near[9:40]) and any(near[40:]) and not all(near[40:])
+    df = spark.createDataFrame([(i, f"{a}\n{b}", "", 0) for i, (a, b) in enumerate(pairs)], SCHEMA)
+    got = {x.doc_id: x.text for x in L.deduplicate(df).collect()}
+    assert [got[i] for i in range(len(pairs))] == [a if n else f"{a}\n{b}" for n, (a, b) in zip(near, pairs)]
