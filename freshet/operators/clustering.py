@@ -103,15 +103,16 @@ def silhouettes(labelled: DataFrame, label: str = "cluster", id_col: str = ID) -
 
 
 def silhouette_sweep(vectors: DataFrame, k_min: int = 2, k_max: int = 20, seed: int = 0, id_col: str = ID) -> DataFrame:
-    """k-means for each k with mean and minimum silhouette; the loop is over a parameter."""
-    out = None
+    """k-means for each k with mean and minimum silhouette; the loop is over a parameter.
+
+    Each k is summed up to its one row before the next, so no plan holds more than one k.
+    """
+    rows = []
     for k in range(k_min, k_max + 1):
         model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(vectors)
-        s = silhouettes(model.transform(vectors), id_col=id_col).agg(
-            F.lit(k).alias("k"), F.avg("silhouette").alias("mean_silhouette"), F.min("silhouette").alias("min_silhouette")
-        )
-        out = s if out is None else out.unionByName(s)
-    return out
+        s = silhouettes(model.transform(vectors), id_col=id_col).agg(F.avg("silhouette"), F.min("silhouette")).first()
+        rows.append((k, s[0], s[1]))
+    return vectors.sparkSession.createDataFrame(rows, "k int, mean_silhouette double, min_silhouette double")
 
 
 # --- regimes and end-members ---------------------------------------------------------------------------------

@@ -236,7 +236,7 @@ def clu_silhouettes(spark, sf):
 
 @query("clu_silhouette_sweep", "CLU-01")
 def clu_silhouette_sweep(spark, sf):
-    return CL.silhouette_sweep(vectors(spark, sf).drop("cluster"), 2, 5)
+    return CL.silhouette_sweep(vectors(spark, sf).drop("cluster"))
 
 
 @query("clu_regimes", "CLU-02")
@@ -253,7 +253,7 @@ def clu_relabel_by_size(spark, sf):
 
 @query("clu_end_members", "CLU-03")
 def clu_end_members(spark, sf):
-    e = CL.end_members(vectors(spark, sf).drop("cluster"), min_size=20, micro=30)
+    e = CL.end_members(vectors(spark, sf).drop("cluster"), min_size=20)
     return e.groupBy("end_member").agg(F.count("*").alias("n"), F.avg("membership").alias("mean_membership"))
 
 
@@ -288,10 +288,15 @@ def clu_concordance(spark, sf):
     return CL.concordance(T.table(spark, sf, "events"), "event_type", "user_id")
 
 
+# The minimum sizes of the published sweep, and the number of sites that they were chosen for.
+MIN_SIZES, SIZED_FOR = (25, 30, 40, 50, 60, 80), 2746
+
+
 @query("clu_granularity_sweep", "CLU-06")
 def clu_granularity_sweep(spark, sf):
     v = vectors(spark, sf).drop("cluster")
-    return CL.granularity_sweep(v, CL.regimes(v, k=6), (5, 20), micro=20)
+    n = v.count()
+    return CL.granularity_sweep(v, CL.regimes(v, k=6), [max(2, -(-s * n // SIZED_FOR)) for s in MIN_SIZES])
 
 
 @query("clu_min_max", "CLU-07", f"WITH {AF} SELECT series_id, {', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}' for c in AC)} FROM af", " ".join(AC))
