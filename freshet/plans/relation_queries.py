@@ -98,13 +98,13 @@ MF = f"{T.SUPPLIER_SQL}, mf AS (SELECT series_id, q_mean, q_std, p_max, s_acctba
 @query("rel_boot_median_ci", "REL-01")
 def rel_boot_median_ci(spark, sf):
     e = T.table(spark, sf, "events")
-    return RL.boot_median_ci(e, ["event_type"], "value", n_boot=400)
+    return RL.boot_median_ci(e, ["event_type"], "value")
 
 
 @query("rel_boot_spearman_ci", "REL-02")
 def rel_boot_spearman_ci(spark, sf):
     m = metric_frame(spark, sf).withColumn("all", F.lit("all"))
-    return RL.boot_spearman_ci(m, ["all"], "q_mean", "q_std", n_boot=50)
+    return RL.boot_spearman_ci(m, ["all"], "q_mean", "q_std")
 
 
 def rank_sql(src, x, y, keys):
