@@ -2,7 +2,7 @@
 
 Each stage gets what its predecessor kept, written as Parquet and read again, and returns documents:
 
-1. language: documents of no language (no letters, or no language with two fifths of the text) go;
+1. language: documents of no language (no letters, or trigrams that all its languages explain worse than chance) go;
 2. lines: copies and near copies of earlier lines are taken out of the texts;
 3. near-duplicates: of each group of similar fingerprints the smallest doc_id stays;
 4. benchmark: documents with at least one word in twenty inside benchmark windows go;
@@ -26,8 +26,10 @@ ORACLE_SQL = None  # neither mixtures, shingles nor fingerprints can be put as S
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = mixture_lang.train(docs)
+    if not model.langs:  # nothing was learned, so nothing can be judged
+        return docs
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return mixture_lang.identify(own, model).where(mixture_lang.accepted()).select("row.*")
+    return mixture_lang.identify(own, model, fit="fit").where(mixture_lang.accepted()).select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

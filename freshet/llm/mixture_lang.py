@@ -85,12 +85,13 @@ class Mixture:
                 break
         return share, float(n @ np.log(share @ like))
 
-    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float]]:
+    def infer(self, text: str | None) -> tuple[str, float, list[str], list[float], float | None]:
+        """Language, proportion, all languages and proportions, and the log-likelihood per trigram above that of equally likely buckets."""
         if not text or not self.langs or not LETTERS.search(text):
-            return "und", 0.0, [], []
+            return "und", 0.0, [], [], None
         g, n = np.unique(grams(text), return_counts=True)
         if not len(g):
-            return "und", 0.0, [], []
+            return "und", 0.0, [], [], None
         like = self.like[:, g]
         live = np.arange(len(self.langs))
         share, best = self.fit(like, n, np.full(len(live), 1 / len(live)))
@@ -104,7 +105,7 @@ class Mixture:
             live, share, best = live[rest], fewer, value
         order = np.lexsort((live, -share))
         names, parts = [self.langs[live[i]] for i in order], [min(1.0, float(share[i])) for i in order]
-        return names[0], parts[0], names, parts
+        return names[0], parts[0], names, parts, best / float(n.sum()) + float(np.log(BUCKETS))
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Mixture:
@@ -118,24 +119,29 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> Mixture:
     return Mixture(langs, table)
 
 
-def identify(df: DataFrame, model: Mixture, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` (its proportion), ``langs`` and ``proportions`` (all that remain, largest first)."""
+def identify(df: DataFrame, model: Mixture, text: str = "text", fit: str | None = None) -> DataFrame:
+    """Add ``lang_pred``, ``score`` (its proportion), ``langs`` and ``proportions`` (all that remain, largest first).
+
+    ``fit`` names a further column: how much better than by chance the languages explain a trigram, null without letters.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    fields = [("lang_pred", "string"), ("score", "double"), ("langs", "array<string>"), ("proportions", "array<double>"), *([(fit, "double")] if fit else [])]
+
     def make():
         release()
         tool = shared.value
 
         def fn(batch):
             found = [tool.infer(t) for t in batch.column(text).to_pylist()]
-            kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()))
+            kinds = (pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64())[: len(fields)]
             return [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
 
         return fn
 
-    return extend(df, [("lang_pred", "string"), ("score", "double"), ("langs", "array<string>"), ("proportions", "array<double>")], make)
+    return extend(df, fields, make)
 
 
-def accepted(lang: str = "lang_pred", score: str = "score", least: float = 0.4):
-    """Documents with letters of which one language holds at least two fifths."""
-    return (F.col(lang) != "und") & (F.col(score) >= least)
+def accepted(fit: str = "fit"):
+    """Documents with letters whose languages together explain them at least as well as chance."""
+    return F.coalesce(F.col(fit) >= 0, F.lit(False))
