@@ -167,16 +167,16 @@ def end_members(vectors: DataFrame, min_size: int = 40, micro: int = 60, reach:
                       F.when(F.col("end_member").isNull(), 0.0).otherwise(F.exp(-d2 / scale)).alias("membership"))
 
 
-def stability(vectors: DataFrame, labels: DataFrame, share: float = 0.85, rounds: int = 3, seed: int = 42, id_col: str = ID, **kw) -> DataFrame:
-    """Adjusted Rand index between the labelling and those of hashed subsamples."""
-    out = None
+def stability(vectors: DataFrame, labels: DataFrame, share: float = 0.85, rounds: int = 20, seed: int = 42, id_col: str = ID, **kw) -> DataFrame:
+    """Adjusted Rand index between the labelling and those of hashed subsamples; each round is summed up to its row before the next."""
+    rows = []
     for i in range(rounds):
         pick = F.pmod(F.xxhash64(id_col, F.lit(seed + i)), F.lit(10_000)) < int(share * 10_000)
         sub = end_members(vectors.where(pick), id_col=id_col, **kw).select(id_col, F.col("end_member").alias("b"))
         both = labels.select(id_col, F.col("end_member").alias("a")).join(sub, id_col).where("a >= 0 AND b >= 0")
-        r = adjusted_rand(both, "a", "b").select(F.lit(i).alias("round"), "ari", "n")
-        out = r if out is None else out.unionByName(r)
-    return out
+        r = adjusted_rand(both, "a", "b").first()
+        rows.append((i, r["ari"], r["n"]))
+    return vectors.sparkSession.createDataFrame(rows, "round int, ari double, n long")
 
 
 def profiles(df: DataFrame, columns: Sequence[str], label: str = "cluster", membership: str | None = None) -> DataFrame:

@@ -257,6 +257,12 @@ def clu_end_members(spark, sf):
     return e.groupBy("end_member").agg(F.count("*").alias("n"), F.avg("membership").alias("mean_membership"))
 
 
+@query("clu_stability", "CLU-03")
+def clu_stability(spark, sf):
+    v = vectors(spark, sf).drop("cluster")
+    return CL.stability(v, CL.end_members(v, min_size=20), rounds=20, min_size=20)
+
+
 @query("clu_prepared_components", "CLU-03")
 def clu_prepared_components(spark, sf):
     m = metric_frame(spark, sf)
