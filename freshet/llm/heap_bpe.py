@@ -2,7 +2,7 @@
 
 The vocabulary file is read once on the driver and broadcast (its size is fixed: one tokenizer).
 Documents never leave their partition, so there is no shuffle and a lost executor costs only its
-own tasks.  Texts are cut at spaces into chunks whose ids do not depend on their neighbours; each
+own tasks.  Texts are cut at single spaces into chunks whose ids do not depend on their neighbours; each
 worker remembers the ids of recent chunks, and everything it forgets is computed anew.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; strings of special
@@ -28,6 +28,8 @@ ship(__name__)
 
 # Fixed value: how byte-level BPE splits a text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# A space between two characters that are not white space always begins a unit of the pattern; in a run of white space it need not.
+APART = re.compile(r" (?<!\s )(?!\s)")
 WORDS, CHUNKS = 100_000, 150_000
 
 
@@ -122,10 +124,7 @@ class HeapBpe:
         return self.plain(" " + chunk)
 
     def run(self, text: str) -> bytes:
-        # A run of spaces is one unit of the pattern, so only texts without one are cut at spaces.
-        if "  " in text:
-            return self.plain(text)
-        first, *rest = text.split(" ")
+        first, *rest = APART.split(text)
         return self.plain(first) + b"".join(map(self.chunks.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:

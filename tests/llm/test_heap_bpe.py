@@ -10,12 +10,12 @@ from freshet.llm import heap_bpe
 from freshet.llm.queries import tokenizer_file
 
 PATH = tokenizer_file("byte_bpe_50k.json")
-ALPHABET = [*"ab c  \n\t'sd.,!1²½٣éñ ́字漢😀ǅİſK\x85\x1c", "<|endoftext|>", "  ", "   ", " \n", "'ll", "the "]
+ALPHABET = [*"ab c  \n\t'sd.,!1²½٣éñ ́字漢😀ǅİſK\x85\x1c", "<|endoftext|>", "  ", "   ", " \n", "'ll", "the ", "\xa0", " \xa0", "\u1680", "\u2003", "\u2009", "\u2028", "\u202f", "\u3000"]
 
 
 def texts():
     r = random.Random(1)
-    return ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["x" * 30_000, " " * 5000 + "a", "ab " * 20_000]
+    return ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 60))) for _ in range(4000)] + ["x" * 30_000, " " * 5000 + "a", "ab " * 20_000, "a \xa0 \xa0 \xa0b"]
 
 
 def test_ids_and_text_match_the_library():
