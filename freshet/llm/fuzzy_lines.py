@@ -12,9 +12,8 @@ alone.  Sketches travel as numbers; of the texts only those of candidate lines m
 recur in very many documents are spread over salted parts when decisions are joined back.
 
 Defined cases: null texts stay null; texts without a repeated line come back unchanged; lines
-shorter than a shingle are compared whole; repeated rows of a document lose their later copies'
-lines (ties between equal ids are broken by row); rows without an id sort first; all columns are
-kept, and only the text changes.
+shorter than a shingle are compared whole; of rows equal in id and text one counts as the first and the
+others lose all their lines; rows without an id sort first; all columns are kept, and only the text changes.
 """
 
 from __future__ import annotations
@@ -37,6 +36,7 @@ SEEN = 50_000
 BLOCK = 512  # lines of a bucket that are compared in one piece
 WIDE = 8192  # columns of one matrix product
 BROADCAST_ROWS = 1_000_000
+CHUNK = 4096  # copies of one row that a task writes out
 
 
 def coefficients(n: int) -> np.ndarray:
@@ -251,8 +251,36 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     drops = gone.groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
     # The row travels as one struct, so its column names cannot clash with ours.
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("doc"))
+    repeated = stash(docs.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "line-repeats")
+    late = None
+    if not repeated.isEmpty():
+        rows, late = _first_rows(rows, repeated)
     joined = rows.join(drops, "doc", "left")
     own = lambda c: F.col("row").getField(c)
-    left = F.filter(F.split(own(text), "\n", -1), lambda line, i: ~F.array_contains("_drop", i))
-    slim = F.when(F.col("_drop").isNull(), own(text)).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[(slim if c == text else own(c)).alias(c) for c in df.columns])
+    lines = F.split(own(text), "\n", -1)
+    shown = lambda t: [(t if c == text else own(c)).alias(c) for c in df.columns]
+    left = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_drop", i)), "\n")
+    slim = joined.select(*shown(F.when(F.col("_drop").isNull(), own(text)).otherwise(left)))
+    if late is None:
+        return slim
+    blank = F.array_join(F.filter(lines, lambda line: F.trim(line, F.lit(WHITE)) == ""), "\n")
+    return slim.union(late.select(*shown(blank)))
+
+
+def _first_rows(rows: DataFrame, repeated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that count as the first of their id and text, and the later ones, whose lines all have an earlier copy.
+
+    Rows equal in every column are counted inside tasks; which of the others is first is settled by their hashes.
+    """
+    same = F.col("doc").eqNullSafe(F.col("_doc"))
+    known = repeated.select(F.col("doc").alias("_doc"))
+    marked = rows.join(known, same, "left_semi").select("doc", "row", *[F.xxhash64(F.lit(i), "row").alias(f"h{i}") for i in (1, 2)])
+    kinds = stash(marked.groupBy("doc", "h1", "h2").agg(F.first("row").alias("row"), F.count("*").alias("n")), "line-kinds")
+    first = kinds.groupBy("doc").agg(F.min(F.struct("h1", "h2")).alias("w")).select(F.col("doc").alias("_doc"), "w")
+    led = kinds.join(first, same).withColumn("leads", F.struct("h1", "h2") == F.col("w"))
+    times = F.col("n") - F.col("leads").cast("long")
+    # Many copies of one row are written out in chunks, dealt over all tasks.
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / CHUNK)))
+    late = led.where(times > 0).select("doc", "row", times.alias("times"), chunk.alias("chunk")).repartition(parts(rows.sparkSession), "doc", "chunk")
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK), F.col("times") - F.col("chunk") * CHUNK)))
+    return rows.join(known, same, "left_anti").union(led.where("leads").select("row", "doc")), late.select("row", each.alias("i")).drop("i")

@@ -16,8 +16,8 @@ Work is done on distinct fingerprints, so exact copies cost one row.  Components
 ``components.linked``, which loses no link and emits no group's pairs.
 
 Defined cases: a text that is null, empty or all white space has fingerprint zero and is linked
-like any other; repeated rows keep their rows; null ids get a component id from the others of
-their group, null if there are none.
+like any other; ``groups`` keeps repeated rows, and null ids get a component id from the others of
+their group, null if there are none; ``deduplicate`` keeps one row of each component.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.skew import hot_join
 from .common import extend, parts, per_worker, raw, release, ship, stash
 from .components import linked
 
@@ -136,20 +137,38 @@ def near(pairs: DataFrame, bits: int = BITS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
 
 
-def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """``doc_id, fp, component_id`` for every row; rows of one component are near-duplicates of each other."""
+def _named(prints: DataFrame, first: Column, bits: int) -> DataFrame:
+    """``fp, first, comp``: every distinct fingerprint with the least ``first`` of its rows, and its component (null: alone)."""
     if not 0 <= bits <= BITS:
         raise ValueError("the segment keys find links of up to 4 differing bits")
-    prints = stash(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = stash(prints.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("rows")), "golay-distinct")
     comps = linked(candidate_keys(distinct), lambda pairs: near(pairs, bits).distinct(), "golay")
-    named = distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("comp", "fp").alias("comp"))
-    lowest = named.groupBy("comp").agg(F.min("first").alias("component_id"))
-    return prints.join(named.join(lowest, "comp").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return distinct.join(comps, distinct["fp"] == comps["node"], "left").select("fp", "first", "rows", "comp")
+
+
+def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """``doc_id, fp, component_id`` for every row; rows of one component are near-duplicates of each other."""
+    prints = stash(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "prints")
+    named = stash(_named(prints, F.col("doc_id"), bits), "golay-named")
+    together = named.where("comp IS NOT NULL")
+    lowest = together.groupBy("comp").agg(F.min("first").alias("low"), F.count("*").alias("rows"))
+    total = prints.count()
+    # A fingerprint without a link is its own component; of the others, one component may hold most.
+    of = hot_join(together.select("fp", "comp"), lowest, ["comp"], ["fp"], "rows", total).select(F.col("fp").alias("_fp"), "low")
+    ids = named.join(of, F.col("fp") == F.col("_fp"), "left").select("fp", "rows", F.when(F.col("comp").isNull(), F.col("first")).otherwise(F.col("low")).alias("component_id"))
+    return hot_join(prints, stash(ids, "golay-ids"), ["fp"], ["doc_id"], "rows", total).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows whose id is the smallest of their component; rows that repeat that id, and rows without one, stay."""
-    found = groups(df, doc_id, text, bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    return df.join(gone, doc_id, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    """One row of every component: the smallest id, null ids last; among equal ids the smallest hash of the whole row.
+
+    A row is known by two 64-bit hashes of all its columns, so an id that repeats with other texts loses
+    nothing; rows that are equal in every column count as one.
+    """
+    marks = [F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in df.columns]).alias(f"h{i}") for i in (1, 2)]
+    prints = fingerprints(df.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), *marks)).select("id", "h1", "h2", "fp")
+    named = _named(stash(prints, "prints"), F.struct(F.col("id").isNull().alias("no_id"), "id", "h1", "h2"), bits)
+    winners = named.groupBy(F.coalesce("comp", "fp")).agg(F.min("first").alias("w")).select("w.h1", "w.h2")
+    # Copies of a whole row are brought down to one inside each task, before anything moves.
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *marks).groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    return rows.join(winners, ["h1", "h2"], "left_semi").select("row.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import scratch_folder
-from . import fuzzy_lines, golay, heap_bpe, mixture_lang, preference, pruned_graph, repair, rule_ensemble, url_lm, wu_manber
+from . import bit_planes, fuzzy_lines, golay, heap_bpe, mixture_lang, pca_tiles, preference, pruned_graph, repair, rule_ensemble, token_alignment, url_lm, wu_manber
 from .common import crc_share, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,6 +158,71 @@ def op3_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruned_graph.search(graph, pts.where("vec_id % 100 = 0"))
 
 
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between two tokenizers' tokens of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query
+def op12_bit_plane_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five exact rounds."""
+    return bit_planes.described(*bit_planes.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def _rounds(n: int) -> str:
+    """SQL of n rounds: distances, assignment, centroids."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(
+            f"d{r} AS (SELECT r, c, sum((v.x - t.x) * (v.x - t.x)) AS d FROM v JOIN c{r} t USING (i) GROUP BY r, c), "
+            f"a{r} AS (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{r} GROUP BY r)"
+        )
+        if r < n:
+            steps.append(
+                f"s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM v JOIN a{r} USING (r) GROUP BY c, i), "
+                f"c{r + 1} AS (SELECT t.c, t.i, coalesce((s - ((s % n) + n) % n) // n, t.x) AS x FROM c{r} t LEFT JOIN s{r} USING (c, i))"
+            )
+    return ", ".join(steps)
+
+
+SQL["op12_bit_plane_clusters"] = f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+v AS (SELECT r, unnest(range(64)) AS i, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x FROM k),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST) - 1 AS c FROM k QUALIFY c < 40),
+c0 AS (SELECT c, i, x FROM f JOIN v USING (r)),
+{_rounds(5)},
+m AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a5 JOIN k USING (r) JOIN m USING (c)
+"""
+
+
+@query
+def op13_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every vector."""
+    return pca_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op13_pca_tiles"] = """
+WITH RECURSIVE k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND coalesce(len(embedding) = len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good
+  FROM embeddings
+),
+e AS (SELECT a.r AS a, b.r AS b FROM k a JOIN k b ON a.label = b.label AND a.good AND b.good AND a.r <> b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(r, o) AS (SELECT r, r FROM k UNION SELECT reach.r, e.b FROM reach JOIN e ON reach.o = e.a),
+low AS (SELECT reach.r, min(k.vec_id) AS component_id FROM reach JOIN k ON reach.o = k.r GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM e GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM k JOIN low USING (r) LEFT JOIN n USING (r)
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""

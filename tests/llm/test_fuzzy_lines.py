@@ -64,7 +64,18 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert {x.doc_id: x.text for x in L.deduplicate(df).collect()} == {None: "one line here", 3: "other", 4: None}
     assert L.deduplicate(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "same text", "", 0), (1, "same text", "", 0)], SCHEMA)
-    assert L.deduplicate(twice).count() == 2
+    assert sorted(x.text for x in L.deduplicate(twice).collect()) == ["", "same text"]
+    rows = [(None, "some words\n\nand more of them", "", 0)] * 3 + [(None, "some words\n\nand more of them", "z", 0)] * 2 + [(7, "a line of its own", "", 0), (7, None, "", 0), (7, None, "", 0)]
+    got = sorted((x.doc_id or -1, "-" if x.text is None else x.text, x.line) for x in L.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [x[:2] for x in got[:5]] == [(-1, "")] * 4 + [(-1, "some words\n\nand more of them")] and [x[2] for x in got[:5]].count("z") == 2
+    assert got[5:] == [(7, "-", ""), (7, "-", ""), (7, "a line of its own", "")]
+
+
+def test_many_copies_of_one_row(spark, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK", 16)
+    df = spark.createDataFrame([(None, "the very same line", "", 0)] * 1000 + [(2, "the very same line", "", 0)], SCHEMA)
+    got = [x.text for x in L.deduplicate(df).collect()]
+    assert len(got) == 1001 and sorted(got)[-2:] == ["", "the very same line"]
 
 
 def test_crowded_buckets_in_blocks(spark, monkeypatch):

@@ -86,7 +86,13 @@ def test_groups_match_brute_force(spark):
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e", "", 0), (1, "a b c d e", "", 0), (None, "a b c d e", "", 0), (None, "other words here now", "", 0)], SCHEMA)
     assert sorted(x.component_id or -1 for x in golay.groups(df).collect()) == [-1, 1, 1, 1]
-    assert golay.deduplicate(df).count() == 4
+    assert sorted((x.doc_id or -1, x.text) for x in golay.deduplicate(df).collect()) == [(-1, "other words here now"), (1, "a b c d e")]
+    # An id that repeats with another text: each text keeps one row.
+    a, b = "a b c d e f g h", "other words in this one here now"
+    again = spark.createDataFrame([(1, a, "", 0), (5, a, "", 0), (5, b, "", 0), (9, b, "", 0), (None, a, "", 0), (None, a, "", 0), (9, b, "", 0)], SCHEMA)
+    assert sorted((x.doc_id, x.text) for x in golay.deduplicate(again).collect()) == [(1, a), (5, b)]
+    alone = spark.createDataFrame([(None, a, "", 0), (None, a, "", 0), (None, a, "x", 0)], SCHEMA)
+    assert [(x.doc_id, x.text) for x in golay.deduplicate(alone).collect()] == [(None, a)]
     assert golay.groups(df.limit(0)).count() == 0
 
 
@@ -107,3 +113,14 @@ def test_components(spark):
                 todo.append(x)
         assert got[node] == min(seen)
     assert set(got) == set(near)
+
+
+def test_many_empty_texts_and_one_large_component(spark):
+    """A hot fingerprint and a hot component are spread, and nothing is lost."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, "", "", 0) for i in range(100_000)]
+    rows += [(200_000 + i, " ".join([*base[:-1], f"x{i}"]), "", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = golay.groups(df).groupBy("component_id").count().collect()
+    assert {x["component_id"]: x["count"] for x in got} == {0: 100_000, 200_000: 3000}
+    assert sorted(x.doc_id for x in golay.deduplicate(df).collect()) == [0, 200_000]
