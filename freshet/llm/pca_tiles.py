@@ -300,7 +300,8 @@ def across(cut: DataFrame, models: dict, threshold: float, element: str) -> Data
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("groups"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(11)), F.col("groups")).alias("part"))
     bodies = cut.select("tile", "dim", "vecs", "n", "root")
-    left = dealt.select("a", "part").distinct().join(bodies, F.col("a") == F.col("tile")).drop("tile")
+    left = dealt.select("a", "part").distinct().join(bodies, F.col("a") == F.col("tile"))
+    left = left.select(*[F.col(c).alias(c) for c in ("a", "part", "dim", "vecs", "n", "root")])  # names of its own beside the other side
     right = dealt.join(bodies, F.col("b") == F.col("tile")).drop("tile", "dim")
     kind = np.dtype(element)
     scale = {dim: m[0] for dim, m in models.items()}
