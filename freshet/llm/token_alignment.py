@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 
 import numpy as np
@@ -33,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, per_worker, pieces, ship, stash
+from .common import per_worker, pieces, ship, stash
 from .heap_bpe import byte_letters
 
 ship(__name__)
 
 BLANK = "▁"  # stands for a space in pieces
 APART = re.compile(rf" (?<=[^\s{BLANK}] )(?=[^\s{BLANK}])")
-CHUNKS = 120_000  # remembered by a worker
+CHUNKS = 250_000  # remembered by a worker, twice at most
 SLICE = 1 << 21  # bytes of text that are aligned at once
 HOT = 1_000_000  # pairs in the broadcast
 
@@ -52,6 +53,7 @@ class Pair:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = Tokenizer.from_str(bpe.decode())
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -66,23 +68,45 @@ class Pair:
         if any(BLANK in s.lstrip(BLANK) for s in names):
             raise ValueError("a piece goes on after a space, so texts cannot be cut at spaces")
         self.b_bytes = [bytes([int(s[3:5], 16)]) if self.b.is_byte(i) else s.replace(BLANK, " ").encode() for i, s in enumerate(names)]
-        self.chunks = Memo(self.chunk, CHUNKS, lambda c: len(c) < 64)
-
-    def chunk(self, text: str) -> tuple[bytes, bytes, bytes, bytes] | None:
-        """Ids and byte lengths of both sides for a space and ``text``, None if one side does not spell it."""
-        whole = f" {text}"
-        a, b = self.a.encode(whole, add_special_tokens=False).ids, self.b.encode(text)
-        one, two = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not b"".join(one) == b"".join(two) == whole.encode():
-            return None
-        ints = lambda x: np.array(x, "<i4").tobytes()
-        return ints(a), ints([len(x) for x in one]), ints(b), ints([len(x) for x in two])
-
-    def tokens(self, text: str | None) -> tuple[bytes, bytes, bytes, bytes]:
-        found = [self.chunks[c] for c in APART.split(text)] if text else []
-        if not found or None in found:
-            return b"", b"", b"", b""
-        return tuple(map(b"".join, zip(*found)))
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.kept: dict[str, tuple[bytes, bytes] | None] = {}
+        self.older: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of both sides for a space and each text, empty if one side does not spell it."""
+        chunks = [APART.split(t) if t else [] for t in texts]
+        known = self.ids({c for own in chunks for c in own})
+        out = []
+        for own in chunks:
+            found = [known[c] for c in own]
+            out.append((b"".join([x[0] for x in found]), b"".join([x[1] for x in found])) if found and None not in found else (b"", b""))
+        return out
+
+    def ids(self, chunks: set[str]) -> dict[str, tuple[bytes, bytes] | None]:
+        """Ids of every chunk, from the two last generations of ``CHUNKS`` remembered ones or from the libraries."""
+        if len(self.kept) > CHUNKS:
+            self.kept, self.older = {}, self.kept
+        known = {c: source[c] for source in (self.older, self.kept) for c in chunks & source.keys()}
+        new = list(chunks - known.keys())
+        known.update(zip(new, self.spelled(new)))
+        self.kept.update((c, x) for c, x in known.items() if len(c) < 64)
+        return known
+
+    def spelled(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of both sides for a space and each chunk, None where one side does not spell it."""
+        wholes = [f" {c}" for c in chunks]
+        sides = [e.ids for e in self.a.encode_batch_fast(wholes, add_special_tokens=False)], self.b.encode(chunks, num_threads=1)
+        raw = [w.encode() for w in wholes]
+        good, parts = np.ones(len(chunks), bool), []
+        for ids, names in zip(sides, (self.a_bytes, self.b_bytes)):
+            flat = [i for own in ids for i in own]
+            ends = np.cumsum([0, *map(len, ids)]) * 4
+            packed = np.array(flat, "<i4").tobytes()
+            parts.append([packed[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())])
+            sizes = [sum([len(names[i]) for i in own]) for own in ids]
+            if sizes != list(map(len, raw)) or b"".join([names[i] for i in flat]) != b"".join(raw):
+                good &= [b"".join([names[i] for i in own]) == w for own, w in zip(ids, raw)]
+        return [x if ok else None for x, ok in zip(zip(*parts), good.tolist())]
 
 
 def vocab_sizes(bpe: bytes, pieces_model: bytes) -> tuple[int, int]:
@@ -115,10 +139,11 @@ class Aligner:
 
     def __call__(self, texts: list[str | None]) -> list[pa.Array]:
         """``n_a, n_b, n_groups, n_links, groups_sha256, pairs, times`` of some documents."""
-        found = [self.pair.tokens(t) for t in texts]
-        a_id, a_len, b_id, b_len = (np.frombuffer(b"".join(x), "<i4") for x in zip(*found))
+        found = self.pair.tokens(texts)
+        a_id, b_id = (np.frombuffer(b"".join([x[k] for x in found]), "<i4") for k in (0, 1))
+        a_len, b_len = self.pair.a_size[a_id], self.pair.b_size[b_id]
         n = len(texts)
-        n_a, n_b = (np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 2))
+        n_a, n_b = (np.array([len(x[k]) // 4 for x in found], np.int64) for k in (0, 1))
         a_doc, b_doc = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
         a_end, b_end = np.cumsum(a_len, dtype=np.int64), np.cumsum(b_len, dtype=np.int64)
         at_a, at_b = overlaps(a_doc, a_end - a_len, b_doc, b_end - b_len)
