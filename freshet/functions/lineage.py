@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where the session names none, FRESHET_SHARED or a folder in its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FRESHET_SHARED")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir or FRESHET_SHARED must name a folder that driver and executors share")
     return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/freshet-shared").rstrip("/")
 
 
@@ -22,6 +24,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder."""
     spark = df.sparkSession

@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
-from ..functions.quantiles import exact_quantiles, rank_lookup, ranked_values, spearman, spearman_daily
+from ..functions.quantiles import exact_quantiles, ranked_values, spearman, spearman_daily
+from .bootstrap import N_BOOT, SEED, boot_spearman_ci
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+
+
 KEY = ("series_id",)
 OPEN_WATER = (5, 6, 7, 8, 9, 10)
-N_BOOT, SEED = 2000, 1996
 
 
 def finite(c: Column) -> Column:
@@ -61,50 +63,6 @@ def boot_median_ci(df: DataFrame, keys: Sequence[str], value: str, n_boot: int =
     return sizes.join(exact_quantiles(df, k, value, {"median": 0.5}), k).join(ci, k)
 
 
-def boot_spearman_ci(df: DataFrame, keys: Sequence[str], x: str, y: str, n_boot: int = N_BOOT, seed: int = SEED) -> DataFrame:
-    """Rank correlation with a 95 % percentile-bootstrap interval over complete pairs.
-
-    Draw j of replicate b takes the pair whose position is a hash of (b, j, seed), so the interval
-    does not depend on row order or partitioning.  Draws are counted per pair before ranking.
-    """
-    k = list(keys)
-    pairs = df.select(*k, finite(F.col(x).cast("double")).alias("_x"), finite(F.col(y).cast("double")).alias("_y")).where(
-        "_x IS NOT NULL AND _y IS NOT NULL"
-    )
-    counted = pairs.groupBy(*k, "_x", "_y").agg(F.count("*").alias("_m"))
-    # Positions follow (x, y) order: exact ranks of x, then of y inside equal x.
-    rx = mid_free_positions(counted, k)
-    n = pairs.groupBy(*k).agg(F.count("*").alias("n"))
-    draws = n.select(*k, "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep")).select(
-        "*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("j")
-    ).select(*k, "rep", (F.pmod(F.xxhash64("rep", "j", F.lit(seed)), F.col("n")) + 1).alias("pos"))
-    drawn = draws.groupBy(*k, "rep", "pos").agg(F.count("*").alias("_w"))
-    sample = drawn.join(rx, [*k, "pos"]).select(*k, "rep", "_x", "_y", "_w")
-    kr = [*k, "rep"]
-    ranked = sample.join(rank_lookup(sample, kr, "_x", "_rx", "_w"), [*kr, "_x"]).join(rank_lookup(sample, kr, "_y", "_ry", "_w"), [*kr, "_y"])
-    w = F.col("_w")
-    sums = ranked.groupBy(*kr).agg(
-        F.sum(w).alias("n"), F.sum(w * F.col("_rx")).alias("a"), F.sum(w * F.col("_ry")).alias("b"),
-        F.sum(w * F.col("_rx") ** 2).alias("aa"), F.sum(w * F.col("_ry") ** 2).alias("bb"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("ab"),
-    )
-    c = F.col
-    rho = S.div(c("ab") - c("a") * c("b") / c("n"), F.sqrt((c("aa") - c("a") ** 2 / c("n")) * (c("bb") - c("b") ** 2 / c("n"))))
-    ci = sums.select(*k, rho.alias("r")).groupBy(*k).agg(S.quantile("r", 0.025).alias("ci_lo"), S.quantile("r", 0.975).alias("ci_hi"))
-    point = spearman(pairs, k, "_x", "_y").where("n_pairs >= 3")
-    return point.join(ci, k, "left")
-
-
-def mid_free_positions(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per pair with a position 1..n in (x, y) order, from counted distinct pairs."""
-    from ..functions.quantiles import value_ranks
-
-    k = list(keys)
-    start = value_ranks(counted, k, "_x", weight="_m").select(*k, "_x", F.col("lo").alias("_lo"))
-    inside = Window.partitionBy(*k, "_x").orderBy("_y")
-    at = counted.join(start, [*k, "_x"]).withColumn("_off", F.col("_lo") + F.sum("_m").over(inside) - F.col("_m"))
-    return at.select(*k, "_x", "_y", F.explode(F.sequence(F.col("_off"), F.col("_off") + F.col("_m") - 1)).alias("pos"))
-
-
 # --- bins ------------------------------------------------------------------------------------------------
 
 
