@@ -22,7 +22,6 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats as S
 from ..functions.lineage import stash
 from ..functions.quantiles import spearman
 
@@ -31,6 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 N_BOOT, SEED = 2000, 1996
 CELL = 512  # positions of a leaf of the tree
 BLOCK = 1024  # sorted pairs of a block
+FAN = 256  # parts in which the sums of blocks are added up
 CHUNK = 16  # replicates whose totals are carried along in one group
 
 
@@ -197,7 +197,19 @@ def boot_spearman_ci(df: DataFrame, keys: Sequence[str], x: str, y: str, n_boot:
         b = (_ranks(table["_y"].to_numpy(), counts, carried) - (table["n"][0].as_py() + 1)).astype(float)
         a = np.frombuffer(b"".join(table["rx"].to_pylist()), number).reshape(-1, n_boot).astype(float)
         sums = [(counts * p * q).sum(axis=0) for p, q in ((a, a), (b, b), (a, b))]
-        return named(table, pa.table([pa.array(np.arange(n_boot, dtype=np.int32)), *map(pa.array, sums)], names=["rep", "aa", "bb", "ab"]))
+        return named(table, pa.table([pa.array([table["block"][0].as_py() % FAN]), pa.array([np.stack(sums).tobytes()], pa.binary())], names=["part", "s"]))
+
+    def added(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(b.as_py(), float) for b in table["s"])
+
+    def part_sums(table: pa.Table) -> pa.Table:
+        return named(table, pa.table([pa.array([added(table).tobytes()], pa.binary())], names=["s"]))
+
+    def interval(table: pa.Table) -> pa.Table:
+        aa, bb, ab = added(table).reshape(3, -1)
+        rho = ab[(aa > 0) & (bb > 0)] / np.sqrt(aa * bb)[(aa > 0) & (bb > 0)]
+        lo, hi = np.percentile(rho, [2.5, 97.5]).tolist() if len(rho) else (None, None)
+        return named(table, pa.table([pa.array([x], pa.float64()) for x in (lo, hi)], names=["ci_lo", "ci_hi"]))
 
     def fresh(d: DataFrame) -> DataFrame:
         return d.select(*[F.col(c).alias(c) for c in d.columns])  # columns of its own beside a frame of the same origin
@@ -206,10 +218,8 @@ def boot_spearman_ci(df: DataFrame, keys: Sequence[str], x: str, y: str, n_boot:
     ranked = placed.groupBy("block").cogroup(fresh(carried_x).groupBy("block")).applyInArrow(x_ranks, f"{ids}, _y double, n bigint, w binary, rx binary")
     by_y = stash(_blocks(ranked, k, ["_y"]), "boot-by-y")
     carried_y = stash(_carried(by_y.groupBy("block").applyInArrow(y_totals, f"{ids}, {TOTALS}"), k), "boot-y-carried")
-    sums = by_y.groupBy("block").cogroup(fresh(carried_y).groupBy("block")).applyInArrow(y_sums, f"{ids}, rep int, aa double, bb double, ab double")
-    whole = sums.groupBy(*k, "rep").agg(*[F.sum(c).alias(c) for c in ("aa", "bb", "ab")])
-    rho = whole.select(*k, S.div(F.col("ab"), F.sqrt(F.col("aa")) * F.sqrt(F.col("bb"))).alias("r"))
-    # A fixed number of replicates per group, so the plain percentile is bounded.
-    ci = rho.groupBy(*k).agg(S.quantile("r", 0.025).alias("ci_lo"), S.quantile("r", 0.975).alias("ci_hi"))
+    sums = by_y.groupBy("block").cogroup(fresh(carried_y).groupBy("block")).applyInArrow(y_sums, f"{ids}, part bigint, s binary")
+    # Two levels of sums, so that no task holds the sums of all blocks of a large group.
+    ci = sums.groupBy(*k, "part").applyInArrow(part_sums, f"{ids}, s binary").groupBy(*k).applyInArrow(interval, f"{ids}, ci_lo double, ci_hi double")
     each = counted.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
     return spearman(each, k, "_x", "_y").where("n_pairs >= 3").join(ci, k, "left")
