@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions.lineage import stash
 from ..operators import attributes as AT
 from ..operators import clustering as CL
 from ..operators import filters as FL
+from ..operators import hierarchy as HI
 from ..operators import ingest as IN
 from ..operators import relations as RL
 from ..operators import signatures as SG
@@ -305,6 +307,36 @@ def clu_granularity_sweep(spark, sf):
     return CL.granularity_sweep(v, CL.regimes(v, k=6), [max(2, -(-s * n // SIZED_FOR)) for s in MIN_SIZES])
 
 
+def sized(n: int, size: int = 40) -> int:
+    """A minimum size in proportion to the number of sites that it was chosen for."""
+    return max(2, -(-size * n // SIZED_FOR))
+
+
+@query("clu_ward_regimes", "CLU-02")
+def clu_ward_regimes(spark, sf):
+    return HI.ward_regimes(vectors(spark, sf), k=15).groupBy("regime").agg(F.count("*").alias("n"))
+
+
+@query("clu_density_members", "CLU-03")
+def clu_density_members(spark, sf):
+    v = vectors(spark, sf)
+    return HI.density_members(v, sized(v.count())).select("series_id", "end_member", F.round("membership", 6).alias("membership"))
+
+
+@query("clu_density_stability", "CLU-03")
+def clu_density_stability(spark, sf):
+    v = vectors(spark, sf)
+    m = sized(v.count())
+    return HI.density_stability(v, stash(HI.density_members(v, m), "density-members"), min_size=m)
+
+
+@query("clu_density_sweep", "CLU-06")
+def clu_density_sweep(spark, sf):
+    v = vectors(spark, sf)
+    n = v.count()
+    return HI.density_sweep(v, stash(HI.ward_regimes(v, k=15), "ward-regimes"), [sized(n, s) for s in MIN_SIZES])
+
+
 @query("clu_min_max", "CLU-07", f"WITH {AF} SELECT series_id, {', '.join(f'({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}' for c in AC)} FROM af", " ".join(AC))
 def clu_min_max(spark, sf):
     return CL.min_max(attr_frame(spark, sf), AC)
