@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from .overlay import KM2, covered, overlaps
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -74,6 +75,22 @@ def extract_attributes(
     return j.select(*k, *columns, S.div(F.col("overlap_km2"), F.col("area_km2")).alias("area_fraction_used"), checked.alias("n_polygons"))
 
 
+def extract_from_layer(
+    catchments: DataFrame, polygons: DataFrame, attributes: DataFrame, columns: Sequence[str], scale: Mapping[str, float] | None = None,
+    min_overlap: float = MIN_OVERLAP_KM2,
+) -> DataFrame:
+    """Attribute row per catchment from a layer of polygons: overlaps, bounded weights, means, covered fraction.
+
+    ``catchments`` and ``polygons`` are vertex tables; ``attributes`` is ``(b_id, columns...)`` by polygon.  Catchments
+    without a large enough overlap are left out.
+    """
+    areas = covered(catchments).groupBy(F.col("poly_id").alias("series_id")).agg((F.sum("area") * float(KM2)).alias("area_km2"))
+    met = overlaps(catchments, polygons).where(F.col("overlap_km2") >= min_overlap)
+    found = met.join(attributes, "b_id").select(F.col("a_id").alias("series_id"), "overlap_km2", *columns)
+    inside = areas.join(found.select("series_id").distinct(), "series_id", "left_semi")
+    return extract_attributes(inside, found, columns, scale=scale, min_overlap=min_overlap)
+
+
 def pairwise_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(a, b, r, n)`` for every column pair over rows where both are present.
 

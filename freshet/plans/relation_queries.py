@@ -11,6 +11,7 @@ from ..operators import clustering as CL
 from ..operators import filters as FL
 from ..operators import hierarchy as HI
 from ..operators import ingest as IN
+from ..operators import overlay as OL
 from ..operators import relations as RL
 from ..operators import signatures as SG
 from ..operators import validation as VA
@@ -45,6 +46,39 @@ def att_extract(spark, sf):
     return AT.extract_attributes(s, overlaps(spark, sf), ["size", "price"], scale={"size": 10.0})
 
 
+def customer_boxes(spark, sf):
+    """Rectangles around customers, which carry attributes of their own."""
+    k, r = F.col("c_custkey"), 0.02 + 0.1 * (F.col("c_acctbal") + 1000.0) / 11000.0
+    c = T.table(spark, sf, "customer").select(
+        k.cast("string").alias("series_id"), (30.0 + 0.02 * (k % 2000)).alias("lon"),
+        (50.0 + 0.5 * F.floor(k / 2000) + 0.01 * (k % 7)).alias("lat"), r.alias("r"))
+    return T._corners(c, [(-1.0, -0.5), (1.0, -0.5), (1.0, 0.5), (-1.0, 0.5)])
+
+
+KM2 = OL.KM2
+LAYER_SQL = f"""{T.SITES_SQL}, ab AS (SELECT series_id AS a_id, s, lon + r * u1 AS x1, lon + r * u2 AS x2, lat + r * v1 AS y1, lat + r * v2 AS y2 FROM sites
+    CROSS JOIN (VALUES (1, -1.0, 1.0, -0.5, 0.5), (-1, -0.5, 0.5, -0.25, 0.25), (1, 1.5, 2.5, -0.25, 0.25)) AS u(s, u1, u2, v1, v2)),
+  cu AS (SELECT CAST(c_custkey AS VARCHAR) AS b_id, 30.0 + CAST(0.02 AS DOUBLE) * (c_custkey % 2000) AS lon, CAST(50.0 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (c_custkey // 2000) + CAST(0.01 AS DOUBLE) * (c_custkey % 7) AS lat,
+    CAST(0.02 AS DOUBLE) + CAST(0.1 AS DOUBLE) * (c_acctbal + 1000.0) / 11000.0 AS r, CAST(c_nationkey AS DOUBLE) AS nation, CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS DOUBLE) END AS balance FROM customer),
+  ov AS (SELECT a_id, b_id, any_value(nation) AS nation, any_value(balance) AS balance, {KM2} * sum(s * greatest(0, least(x2, lon + r) - greatest(x1, lon - r))
+    * greatest(0, degrees(sin(radians(least(y2, lat + r / 2)))) - degrees(sin(radians(greatest(y1, lat - r / 2)))))) AS km2 FROM ab JOIN cu ON x1 < lon + r AND x2 > lon - r AND y1 < lat + r / 2 AND y2 > lat - r / 2 GROUP BY 1, 2)"""
+
+
+@query("att_polygon_overlay", "ATT-02 MET-02", f"WITH {LAYER_SQL} SELECT a_id, b_id, km2 AS overlap_km2 FROM ov WHERE km2 > 0.001", "overlap_km2")
+def att_polygon_overlay(spark, sf):
+    return OL.overlaps(T.holed_boxes(spark, sf), customer_boxes(spark, sf)).where("overlap_km2 > 0.001")
+
+
+@query("att_extract_overlay", "ATT-02", f"""WITH {LAYER_SQL}, ca AS (SELECT a_id, {KM2} * sum(s * (x2 - x1) * (degrees(sin(radians(y2))) - degrees(sin(radians(y1))))) AS area FROM ab GROUP BY 1)
+  SELECT a_id AS series_id, sum(km2 * nation) / sum(km2) / 10 AS nation, sum(km2 * balance) / sum(km2) FILTER (WHERE balance IS NOT NULL) AS balance, sum(km2) / any_value(area) AS area_fraction_used, count(*) AS n_polygons
+  FROM ov JOIN ca USING (a_id) WHERE km2 >= 5 GROUP BY 1""", "nation balance area_fraction_used")
+def att_extract_overlay(spark, sf):
+    """Attributes of catchments from the polygons of a layer, by overlaps of 5 km2 or more."""
+    shapes = T.holed_boxes(spark, sf)
+    layer = T.table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("b_id"), F.col("c_nationkey").cast("double").alias("nation"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("double")).alias("balance"))
+    return AT.extract_from_layer(shapes, customer_boxes(spark, sf), layer, ["nation", "balance"], scale={"nation": 10.0})
+
+
 def part_matrix(spark, sf):
     p = T.table(spark, sf, "part")
     return p.select(
