@@ -148,7 +148,9 @@ def covered(vertices: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["poly_id", "level", "cx", "cy", "inner", "area", "rings"])
 
-    return shapes.mapInArrow(run, f"poly_id {ids}, level int, cx bigint, cy bigint, inner boolean, area double, rings array<binary>")
+    # Few bytes but much work each, so adaptive plans must not bring them together in few tasks.
+    spread = shapes.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "poly_id")
+    return spread.mapInArrow(run, f"poly_id {ids}, level int, cx bigint, cy bigint, inner boolean, area double, rings array<binary>")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -190,6 +192,7 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array(out, pa.float64())], names=["a_id", "b_id", "area"])
 
     inside = pairs.where("plain").select("a_id", "b_id", "area")
-    crossed = pairs.where("NOT plain").drop("plain", "area").mapInArrow(run, f"{ids}, area double")
+    work = pairs.where("NOT plain").drop("plain", "area").repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_id", "b_id", "level", "cx", "cy")
+    crossed = work.mapInArrow(run, f"{ids}, area double")
     sums = inside.union(crossed).groupBy("a_id", "b_id").agg((F.sum("area") * float(KM2)).alias("overlap_km2"))
     return sums.where("overlap_km2 > 0")
