@@ -89,7 +89,7 @@ def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixture_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main language of every document, learned from the labelled documents outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = crc_share(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(crc_share(F.col("doc_id"), 4) == 2, F.lit(False))  # rows without an id are not held out
     model = mixture_lang.train(docs.where(~held_out))
     found = mixture_lang.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "langs", "proportions")
@@ -144,7 +144,7 @@ FROM f GROUP BY pair_id
 @query
 def op8_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels outside the held-out third."""
-    held_out = crc_share(F.col("doc_id"), 3) == 1
+    held_out = F.coalesce(crc_share(F.col("doc_id"), 3) == 1, F.lit(False))  # rows without an id are not held out
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
     labels = table(spark, sf_dir, "labels").where(~held_out)
     return rule_ensemble.judge(docs, labels).select("doc_id", "held_out", "score", "predicted")
