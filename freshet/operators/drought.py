@@ -6,15 +6,22 @@ Input is monthly: ``(series_id, month DATE, value)`` with the first day of each
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as D
+from ..functions import pearson3
 from ..functions import runs as R
 from ..functions import stats as S
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEY = ("series_id",)
 TIMESCALES = (1, 3, 6, 12, 24, 48)
 
@@ -46,8 +53,8 @@ def rolling_sum(df: DataFrame, k: int, keys: Sequence[str] = KEY) -> DataFrame:
 def spi(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, distribution: str = "gamma") -> DataFrame:
     """Standardised precipitation index.
 
-    Gamma: location 0, maximum-likelihood shape from mean and mean logarithm.  Pearson III: fitted
-    by moments, which differs slightly from a numerical maximum-likelihood fit.
+    Gamma: location 0, maximum-likelihood shape from mean and mean logarithm.  Pearson III: by maximum
+    likelihood with a shape of at least 1 (``pearson3``), or by moments (``pearson3_moments``).
     """
     w = Window.partitionBy(*keys)
     r = rolling_sum(df, k, keys)
@@ -58,6 +65,11 @@ def spi(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, distribution: str
         r = r.withColumn("shape", D.gamma_shape(F.ln("mu") - F.col("ml")))
         r = r.withColumn("cdf", D.gamma_cdf(y, F.col("shape"), F.col("mu") / F.col("shape")))
     elif distribution == "pearson3":
+        # A series has as many values as months.
+        whole = r.groupBy(*keys).agg(F.collect_list("x").alias("v"))
+        fitted = whole.select(*keys, _pearson3_fit("v").alias("p")).select(*keys, "p.*")
+        r = r.join(fitted, list(keys), "left").withColumn("cdf", D.pearson3_cdf(x, F.col("g"), F.col("mu"), F.col("sd")))
+    elif distribution == "pearson3_moments":
         n = F.col("n_valid").cast("double")
         r = r.select("*", F.avg(x).over(w).alias("mu"), F.stddev_samp(x).over(w).alias("sd"), F.skewness(x).over(w).alias("g1"))
         r = r.withColumn("g", F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
@@ -68,6 +80,12 @@ def spi(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, distribution: str
     return r.select(*keys, "month", F.col("x").alias("total"), F.when(x.isNotNull(), z).alias("spi"))
 
 
+@F.pandas_udf("g double, mu double, sd double")
+def _pearson3_fit(values: pd.Series) -> pd.DataFrame:
+    found = pearson3.fit([np.asarray(v, float) for v in values])
+    return pd.DataFrame([f or (None, None, None) for f in found], columns=["g", "mu", "sd"]).astype(float)
+
+
 def pet_thornthwaite(t: Column) -> Column:
     """Simplified monthly evaporation; undefined below freezing."""
     return F.when(t >= 0, 16 * F.pow(10 * t / 25, F.lit(1.5)))
