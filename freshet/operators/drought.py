@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import distributions as D
 from ..functions import pearson3
@@ -80,7 +81,7 @@ def spi(df: DataFrame, k: int = 12, keys: Sequence[str] = KEY, distribution: str
     return r.select(*keys, "month", F.col("x").alias("total"), F.when(x.isNotNull(), z).alias("spi"))
 
 
-@F.pandas_udf("g double, mu double, sd double")
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("g", "mu", "sd")]))
 def _pearson3_fit(values: pd.Series) -> pd.DataFrame:
     found = pearson3.fit([np.asarray(v, float) for v in values])
     return pd.DataFrame([f or (None, None, None) for f in found], columns=["g", "mu", "sd"]).astype(float)
