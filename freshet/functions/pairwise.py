@@ -85,7 +85,7 @@ def _slopes(y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return (y[j] - y[i]) / (j - i)
 
 
-def median_slope(y: np.ndarray, listed: int = LISTED, sample: int = SAMPLE) -> float | None:
+def median_slope(y: np.ndarray, limit: int = LISTED, sample: int = SAMPLE) -> float | None:
     """Median of ``(y[j] - y[i]) / (j - i)`` over all pairs, the mean of the middle two for an even number."""
     n = len(y)
     total = n * (n - 1) // 2
@@ -93,7 +93,7 @@ def median_slope(y: np.ndarray, listed: int = LISTED, sample: int = SAMPLE) -> f
         return None
     y = np.asarray(y, float)
     low_rank, high_rank = (total - 1) // 2, total // 2
-    if total <= listed:
+    if total <= limit:
         i, j = np.triu_indices(n, 1)
         s = np.partition(_slopes(y, i, j), (low_rank, high_rank))
         return float((s[low_rank] + s[high_rank]) / 2)
@@ -106,7 +106,7 @@ def median_slope(y: np.ndarray, listed: int = LISTED, sample: int = SAMPLE) -> f
     def at_most(m: float) -> int:
         return total - relations(y - m * t)[0]
 
-    while upto - below > listed:
+    while upto - below > limit:
         i, j = rng.integers(0, n, (2, sample))
         s = _slopes(y, np.minimum(i, j)[i != j], np.maximum(i, j)[i != j])
         s = np.sort(s[(s > lo) & (s <= hi)])
@@ -130,16 +130,16 @@ def median_slope(y: np.ndarray, listed: int = LISTED, sample: int = SAMPLE) -> f
                 hi, upto = cut, c
             else:
                 # The middle two lie on either side of the cut.
-                return float((_edge(y, t, lo, cut, below, c, c - 1, listed) + _edge(y, t, cut, hi, c, upto, c, listed)) / 2)
+                return float((_edge(y, t, lo, cut, below, c, c - 1, limit) + _edge(y, t, cut, hi, c, upto, c, limit)) / 2)
         if (lo, hi) == before or hi <= np.nextafter(lo, np.inf):
             return float(hi)
-    return float((_edge(y, t, lo, hi, below, upto, low_rank, listed) + _edge(y, t, lo, hi, below, upto, high_rank, listed)) / 2)
+    return float((_edge(y, t, lo, hi, below, upto, low_rank, limit) + _edge(y, t, lo, hi, below, upto, high_rank, limit)) / 2)
 
 
-def _edge(y: np.ndarray, t: np.ndarray, lo: float, hi: float, below: int, upto: int, rank: int, listed: int) -> float:
+def _edge(y: np.ndarray, t: np.ndarray, lo: float, hi: float, below: int, upto: int, rank: int, limit: int) -> float:
     """The slope of a rank (from 0) that lies in ``(lo, hi]``, of which ``below`` and ``upto`` slopes reach the ends."""
     n, total = len(y), len(y) * (len(y) - 1) // 2
-    while upto - below > listed:
+    while upto - below > limit:
         mid = lo + (hi - lo) / 2
         if not lo < mid < hi:
             return hi
