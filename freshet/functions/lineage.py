@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where the session names none, FRESHET_SHARED or a folder in its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("FRESHET_SHARED")
-    if not base and not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir or FRESHET_SHARED must name a folder that driver and executors share")
     return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/freshet-shared").rstrip("/")
 
