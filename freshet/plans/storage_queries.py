@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import files as FI
+from ..sources import stations as SF
 from ..sources import tables as T
 from ..streaming import streams as ST
 from .ingest_queries import OV, _grades
@@ -30,6 +31,39 @@ def src_grade_folders(spark, sf):
     return FI.read_by_grade(spark, path, ["A", "B"], ["value", "absent"])
 
 
+STATION_SQL = """SELECT CAST(l_suppkey AS VARCHAR) AS series_id, CASE l_suppkey % 3 WHEN 0 THEN 'RU' WHEN 1 THEN 'FI' ELSE 'NO' END AS country, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS value
+  FROM lineitem GROUP BY 1, 2, 3 HAVING sum(l_quantity) < 60"""
+
+
+def station_days(spark, sf):
+    """Days of every supplier; large values count as missing, so the files hold both kinds of lines."""
+    country = F.element_at(F.array(F.lit("RU"), F.lit("FI"), F.lit("NO")), F.col("series_id").cast("int") % 3 + 1)
+    return T.supplier_flow(spark, sf).select("series_id", "date", F.when(F.col("value") < 60, F.col("value")).alias("value"), country.alias("country"))
+
+
+@query("src_station_files", "SRC-02 SRC-18 SRC-19", f"SELECT * FROM ({STATION_SQL}) WHERE country = 'RU'", "value", "date")
+def src_station_files(spark, sf):
+    """Station files of all suppliers, written, and those of one country read through the data source."""
+    path = ST.scratch(spark)
+    FI.write_station_files(station_days(spark, sf), path)
+    SF.register(spark)
+    found = spark.read.format("station_files").option("path", path).load()
+    return found.where("country = 'RU'").select("series_id", "country", "date", "value")
+
+
+@query("str_station_files", "SRC-18 STR-02", f"SELECT series_id, count(*) AS n, sum(value) AS total, min(date) AS first_day, max(date) AS last_day FROM ({STATION_SQL}) GROUP BY 1", "total", "first_day last_day")
+def str_station_files(spark, sf):
+    """Station files in two deliveries, each drained by the same stream from its checkpoint."""
+    path = ST.scratch(spark)
+    days = station_days(spark, sf)
+    SF.register(spark)
+    for part in ("country = 'NO'", "country <> 'NO'"):
+        FI.write_station_files(days.where(part), f"{path}/in")
+        stream = spark.readStream.format("station_files").option("path", f"{path}/in").option("settle", "0").load()
+        out = ST.run_available(stream.select("series_id", "date", "value"), f"{path}/run")
+    return out.groupBy("series_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.min("date").alias("first_day"), F.max("date").alias("last_day"))
+
+
 @query("str_snow_storage", "STR-05 MR-04", f"WITH {D}, {SNOW(k='series_id')} SELECT series_id, date, rain_input, snow_input, melt_input, snowpack_proxy FROM sn", "rain_input snow_input melt_input snowpack_proxy", "date")
 def str_snow_storage(spark, sf):
     """The snow partition as a stream with one storage value per series as state.

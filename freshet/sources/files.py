@@ -47,6 +47,21 @@ def read_station_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_station_files(df: DataFrame, path: str, country: str = "country", mode: str = "append") -> None:
+    """One header-and-body file per series of ``(series_id, date, value, country)``, as ``stations`` reads them.
+
+    A series is bounded by the calendar, so it fits the task that sorts its lines.
+    """
+    text = lambda label, c: F.concat(F.lit(f"# {label}: "), F.col(c).cast("string"))
+    # The header lines of these files, and the number that stands for a missing value.
+    head = F.array(text("GRDC-No.", "series_id"), text("Country", country), F.lit("YYYY-MM-DD;hh:mm; Value"))
+    heads = df.groupBy("series_id").agg(F.max(country).alias(country)).select("series_id", F.posexplode(head).alias("at", "line"))
+    number = F.coalesce(F.format_string("%.3f", "value"), F.lit("-999.000"))
+    body = df.select("series_id", (F.datediff("date", F.lit("0001-01-01").cast("date")) + 3).alias("at"), F.concat_ws(";", F.date_format("date", "yyyy-MM-dd"), F.lit("--:--"), number).alias("line"))
+    lines = heads.unionByName(body).repartition("series_id").sortWithinPartitions("series_id", "at")
+    lines.select("line", F.col("series_id").alias("series")).write.mode(mode).partitionBy("series").text(path)
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(path, digest)`` of every file under a folder."""
     b = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)

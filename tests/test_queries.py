@@ -14,7 +14,7 @@ SAMPLE = (
     "spa_nested_pairs", "spa_match_sites", "att_area_weighted", "rel_stage_consistency", "clu_adjusted_rand", "val_table_diff",
     "src_release_flow", "str_daily_extremes", "met_fractional_weights", "trd_variance_breakpoints", "flt_attribute_columns", "str_month_upsert",
     "met_phase_network", "met_precipitation_table", "rel_subset_spearman", "rel_window_medians", "val_percentile_gates", "val_budyko_attribute",
-    "sig_slope_agreement", "src_complete_calendar",
+    "sig_slope_agreement", "src_complete_calendar", "src_station_files", "str_station_files",
 )
 
 
