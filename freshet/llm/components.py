@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -60,17 +60,20 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
     """``node, comp`` of the nodes with a link; ``members`` is ``key, node``.
 
     ``verify`` gets candidate pairs ``a, b`` (some repeated) and returns those that are links.
-    ``across`` gets ``key, node, comp, main, size`` of the buckets that hold several components, and
-    returns links ``a, b`` between components, enough of them to connect all that a link connects.
+    ``across`` gets ``key, node, comp, main, size, rest`` of the buckets that hold several components
+    (their members, and those outside the main component), and returns links ``a, b`` between components, enough of them to connect all that a link connects.
     """
-    ends = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    crowd = stash(members.join(ends, "key"), f"{name}-buckets")
+    # Ends and members leave the same sorted shuffle; a bucket's rows are spilled, not held.
+    w = Window.partitionBy("key")
+    crowd = members.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi")).where("lo < hi")
+    crowd = stash(crowd, f"{name}-buckets")
     stars = crowd.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     first = cut(components(verify(stars)))
     placed = crowd.select("key", "node").join(first, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     placed = stash(placed, f"{name}-placed")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size")).where("kinds > 1").drop("kinds")
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("rest"))
+    main = main.where("kinds > 1").drop("kinds")
     mixed = placed.join(main, "key")
     more = across(mixed) if across else joined_pairs(mixed, verify)
     named = more.join(first.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), "a", "left")

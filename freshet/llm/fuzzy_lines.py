@@ -176,12 +176,16 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
 def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components of the same bucket, found inside tasks: a bucket's pairs never become rows.
 
-    A bucket of more than ``BLOCK`` lines is cut into blocks by hash and dealt as pairs of blocks, so
-    a task holds two blocks at most and a hot bucket is spread.
+    A bucket's lines are cut by hash into blocks of about ``BLOCK`` and dealt as pairs of blocks, so
+    a task holds two blocks at most and a hot bucket is spread.  Its main component has blocks of its own, which
+    meet the other lines' blocks but not each other.
     """
-    n = F.ceil(F.col("size") / BLOCK)
-    own = F.pmod(F.xxhash64("node"), n)
-    dealt = mixed.select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("with"))
+    zero = F.lit(0).cast("bigint")
+    other, most = F.ceil(F.col("rest") / BLOCK), F.ceil((F.col("size") - F.col("rest")) / BLOCK)
+    outside = F.col("comp") != F.col("main")
+    own = F.when(outside, F.pmod(F.xxhash64("node"), other)).otherwise(other + F.pmod(F.xxhash64("node"), most))
+    last = F.when(outside, other + most - 1).otherwise(other - 1)
+    dealt = mixed.select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(zero, last)).alias("with"))
     dealt = dealt.select("key", "node", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(texts, "node")
     keys = ["key", "i", "j"]
     ready = dealt.select(*keys, "node", "comp", "line").repartition(parts(mixed.sparkSession), *keys).sortWithinPartitions(*keys, "node")
@@ -211,8 +215,7 @@ def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
 
 def line_groups(docs: DataFrame) -> DataFrame:
     """``node, comp`` of lines that have a near copy; ``docs`` is ``doc, text``."""
-    sketches = stash(_sketches(docs), "sketches")
-    members = sketches.select(F.explode("keys").alias("key"), "node")
+    members = _sketches(docs).select(F.explode("keys").alias("key"), "node")
 
     def texts(nodes: DataFrame) -> DataFrame:
         wanted = stash(nodes.distinct(), "line-nodes")
