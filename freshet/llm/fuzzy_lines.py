@@ -138,25 +138,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
     """Links that connect the components of some lines as far as similar pairs connect them.
 
-    Shared shingles are counted for all pairs at once by a product of 0/1 matrices; shingles of a single
-    line only add to its size.
+    Lines outside the most frequent component meet all lines of other components; shared shingles are counted for
+    all these pairs at once by a product of 0/1 matrices, which needs only the shingles of the former.
     """
+    _, comp = np.unique(np.array(comps), return_inverse=True)
+    most = np.bincount(comp).argmax()
+    left = np.flatnonzero(comp != most)
+    if not len(left):
+        return []
     sets = [shingles(s) for s in lines]
-    count: dict[str, int] = {}
-    for x in sets:
-        for g in x:
-            count[g] = count.get(g, 0) + 1
-    place = {g: i for i, g in enumerate(g for g, n in count.items() if n > 1)}
     size = np.array([len(x) for x in sets], np.float32)
-    both = np.zeros((len(lines), len(lines)), np.float32)
+    place = {g: i for i, g in enumerate(set().union(*[sets[i] for i in left]))}
     at = [np.array([place[g] for g in x if g in place], np.int64) for x in sets]
+    both = np.zeros((len(left), len(lines)), np.float32)
     for lo in range(0, len(place), WIDE):
         m = np.zeros((len(lines), min(WIDE, len(place) - lo)), np.float32)
         for i, x in enumerate(at):
             m[i, x[(x >= lo) & (x < lo + WIDE)] - lo] = 1
-        both += m @ m.T
-    _, comp = np.unique(np.array(comps), return_inverse=True)
-    good = (both >= np.float32(SIMILARITY) * (size[:, None] + size[None, :] - both) - 1e-3) & (comp[:, None] < comp[None, :])
+        both += m[left] @ m.T
+    # Two lines outside the most frequent component meet once, in the order of their components.
+    apart = (comp[None, :] == most) | (comp[left][:, None] < comp[None, :])
+    good = (both >= np.float32(SIMILARITY) * (size[left][:, None] + size[None, :] - both) - 1e-3) & apart
     up, out = list(range(int(comp.max()) + 1)), []
 
     def find(c: int) -> int:
@@ -165,7 +167,7 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
             c = up[c]
         return c
 
-    for i, j in zip(*np.nonzero(good)):
+    for i, j in zip(left[np.nonzero(good)[0]], np.nonzero(good)[1]):
         c, d = find(int(comp[i])), find(int(comp[j]))
         if c != d and similar(sets[i], sets[j]):
             up[c] = d

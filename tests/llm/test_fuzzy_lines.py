@@ -109,3 +109,24 @@ def test_near_copies_by_five_character_shingles(spark):
     df = spark.createDataFrame([(i, f"{a}\n{b}", "", 0) for i, (a, b) in enumerate(pairs)], SCHEMA)
     got = {x.doc_id: x.text for x in L.deduplicate(df).collect()}
     assert [got[i] for i in range(len(pairs))] == [a if n else f"{a}\n{b}" for n, (a, b) in zip(near, pairs)]
+
+
+def test_links_between_components_against_all_pairs():
+    r = random.Random(8)
+    for _ in range(200):
+        base = ["".join(r.choice("abcd ") for _ in range(40)) for _ in range(4)]
+        lines = list({"".join(r.choice("abcd") if r.random() < 0.02 else c for c in r.choice(base)) for _ in range(r.randint(2, 30))})
+        comps = [r.randint(0, 5) for _ in lines]
+        sets = [{s[i : i + 5] for i in range(36)} for s in lines]
+
+        def classes(links):
+            up = {c: c for c in comps}
+            for i, j in links:
+                a, b = up[comps[i]], up[comps[j]]
+                up = {c: min(a, b) if u in (a, b) else u for c, u in up.items()}
+            return up
+
+        all_pairs = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        found = L.spanning(lines, comps)
+        assert set(found) <= {(i, j) for x in all_pairs for i, j in (x, x[::-1])}
+        assert classes(found) == classes(all_pairs)
