@@ -35,6 +35,7 @@ SEED = 42  # of the line hash, as in Spark's xxhash64
 SEEN = 50_000
 BLOCK = 512  # lines of a bucket that are compared in one piece
 WIDE = 8192  # columns of one matrix product
+FEW = 64  # pairs that are compared one by one
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4096  # copies of one row that a task writes out
 
@@ -138,8 +139,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
     """Links that connect the components of some lines as far as similar pairs connect them.
 
-    Lines outside the most frequent component meet all lines of other components; shared shingles are counted for
-    all these pairs at once by a product of 0/1 matrices, which needs only the shingles of the former.
+    Lines outside the most frequent component meet all lines of other components: a few pairs one by one; of many,
+    shared shingles are counted at once by a product of 0/1 matrices, which needs only the shingles of the former.
     """
     _, comp = np.unique(np.array(comps), return_inverse=True)
     most = np.bincount(comp).argmax()
@@ -147,18 +148,6 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
     if not len(left):
         return []
     sets = [shingles(s) for s in lines]
-    size = np.array([len(x) for x in sets], np.float32)
-    place = {g: i for i, g in enumerate(set().union(*[sets[i] for i in left]))}
-    at = [np.array([place[g] for g in x if g in place], np.int64) for x in sets]
-    both = np.zeros((len(left), len(lines)), np.float32)
-    for lo in range(0, len(place), WIDE):
-        m = np.zeros((len(lines), min(WIDE, len(place) - lo)), np.float32)
-        for i, x in enumerate(at):
-            m[i, x[(x >= lo) & (x < lo + WIDE)] - lo] = 1
-        both += m[left] @ m.T
-    # Two lines outside the most frequent component meet once, in the order of their components.
-    apart = (comp[None, :] == most) | (comp[left][:, None] < comp[None, :])
-    good = (both >= np.float32(SIMILARITY) * (size[left][:, None] + size[None, :] - both) - 1e-3) & apart
     up, out = list(range(int(comp.max()) + 1)), []
 
     def find(c: int) -> int:
@@ -167,14 +156,32 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
             c = up[c]
         return c
 
-    for i, j in zip(left[np.nonzero(good)[0]], np.nonzero(good)[1]):
+    # Two lines outside the most frequent component meet once, in the order of their components.
+    apart = (comp[None, :] == most) | (comp[left][:, None] < comp[None, :])
+    if apart.size > FEW:
+        apart &= _shared_enough(sets, left)
+    for i, j in zip(left[np.nonzero(apart)[0]].tolist(), np.nonzero(apart)[1].tolist()):
         c, d = find(int(comp[i])), find(int(comp[j]))
         if c != d and similar(sets[i], sets[j]):
             up[c] = d
-            out.append((int(i), int(j)))
+            out.append((i, j))
     return out
 
 
+def _shared_enough(sets: list[set[str]], left: np.ndarray) -> np.ndarray:
+    """Which pairs of a line of ``left`` and any line are similar, up to rounding."""
+    size = np.array([len(x) for x in sets], np.float32)
+    place = {g: i for i, g in enumerate(set().union(*[sets[i] for i in left]))}
+    at = [np.array([place[g] for g in x if g in place], np.int64) for x in sets]
+    both = np.zeros((len(left), len(sets)), np.float32)
+    for lo in range(0, len(place), WIDE):
+        m = np.zeros((len(sets), min(WIDE, len(place) - lo)), np.float32)
+        for i, x in enumerate(at):
+            m[i, x[(x >= lo) & (x < lo + WIDE)] - lo] = 1
+        both += m[left] @ m.T
+    return both >= np.float32(SIMILARITY) * (size[left][:, None] + size[None, :] - both) - 1e-3
+
+
 def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components of the same bucket, found inside tasks: a bucket's pairs never become rows.
 

@@ -111,7 +111,7 @@ def test_near_copies_by_five_character_shingles(spark):
     assert [got[i] for i in range(len(pairs))] == [a if n else f"{a}\n{b}" for n, (a, b) in zip(near, pairs)]
 
 
-def test_links_between_components_against_all_pairs():
+def test_links_between_components_against_all_pairs(monkeypatch):
     r = random.Random(8)
     for _ in range(200):
         base = ["".join(r.choice("abcd ") for _ in range(40)) for _ in range(4)]
@@ -127,6 +127,7 @@ def test_links_between_components_against_all_pairs():
             return up
 
         all_pairs = [(i, j) for i in range(len(lines)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+        monkeypatch.setattr(L, "FEW", r.choice([0, 64]))
         found = L.spanning(lines, comps)
         assert set(found) <= {(i, j) for x in all_pairs for i, j in (x, x[::-1])}
         assert classes(found) == classes(all_pairs)
