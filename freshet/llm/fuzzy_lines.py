@@ -7,6 +7,10 @@ similarity of the exact shingle sets of 0.8 or more.  ``components.linked`` join
 group's pairs: what is left of crowded buckets is compared in blocks inside tasks, from which only links
 come out.  Of each component the first occurrence (smallest document, then position) stays.
 
+Most candidates are far from similar, so marks go before texts: 512 bits, each the parity of the line's distinct
+shingle hashes that fall on it.  Every differing bit needs a shingle that only one line has, and similar
+lines differ in at most a ninth of their shingles together, so no similar pair is ruled out (``near_marks``).
+
 A line is its text without white space at the ends, known by its 64-bit hash; blank lines are left
 alone.  Sketches travel as numbers; of the texts only those of candidate lines move.  Lines that
 recur in very many documents are spread over salted parts when decisions are joined back.
@@ -34,7 +38,7 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 12, 4, 0.8
 SEED = 42  # of the line hash, as in Spark's xxhash64
 SEEN = 50_000
 BLOCK = 512  # lines of a bucket that are compared in one piece
-WIDE = 8192  # columns of one matrix product
+WORDS = 8  # 64-bit words of a line's mark
 FEW = 64  # pairs that are compared one by one
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4096  # copies of one row that a task writes out
@@ -79,6 +83,30 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
     return keys.view(np.int64)
 
 
+def marks(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of k characters of every line, and the parities (n, WORDS) of its distinct run hashes per bit."""
+    whole = [s if len(s) >= k else s.ljust(k, "\0") for s in lines]
+    size = np.fromiter(map(len, whole), np.int64, len(whole))
+    runs = size - k + 1
+    h = run_hashes(np.frombuffer("".join(whole).encode("utf-32-le"), "<u4"), k)
+    row = np.repeat(np.arange(len(lines)), runs)
+    at = np.arange(len(row)) + row * (k - 1)  # runs across the end of a line are left out
+    one = np.sort(row.astype(np.uint64) << np.uint64(32) | h[at])
+    one = one[np.concatenate(([True], one[1:] != one[:-1]))]
+    bit = (one & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+    slot = (one >> np.uint64(32)) * np.uint64(64 * WORDS) + bit % np.uint64(64 * WORDS)
+    odd = np.bincount(slot.astype(np.int64), minlength=len(lines) * 64 * WORDS) & 1
+    return runs, np.packbits(odd.astype(np.uint8).reshape(len(lines), -1), axis=1).view("<u8")
+
+
+def near_marks(gap, runs):
+    """False only if two lines can't be similar: ``gap`` bits differ, ``runs`` is the sum of their runs.
+
+    With a similarity of s, the shingles of one line alone are at most (1 - s) / (1 + s) of all shingles of both.
+    """
+    return gap * 9 <= runs
+
+
 def shingles(line: str, k: int = SHINGLE) -> set[str]:
     return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
@@ -88,8 +116,9 @@ def similar(x: set[str], y: set[str], least: float = SIMILARITY) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
-def _sketches(docs: DataFrame) -> DataFrame:
-    """``node, keys`` of every line; a task leaves out lines that it has met just before."""
+def _by_line(docs: DataFrame, make, schema: str) -> DataFrame:
+    """``node`` and what ``make`` gives for every line; a task leaves out lines that it has met just before."""
+    names = ["node", *[part.split()[0] for part in schema.split(", ")]]
 
     def run(batches):
         release()
@@ -104,12 +133,34 @@ def _sketches(docs: DataFrame) -> DataFrame:
                             seen[line]
                             lines.append(line)
                 if lines:
-                    keys = band_keys(lines)
                     node = np.array([xxhash.xxh64_intdigest(s.encode(), SEED) for s in lines], "<u8").view("<i8")
-                    spread = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), spread], names=["node", "keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node), *make(lines)], names=names)
+
+    return docs.select("text").mapInArrow(run, f"node bigint, {schema}")
+
+
+def _sketches(docs: DataFrame) -> DataFrame:
+    """``node, keys`` of every line."""
+
+    def keys(lines):
+        k = band_keys(lines)
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, k.shape[1], dtype=np.int32)), pa.array(k.reshape(-1)))]
+
+    return _by_line(docs, keys, "keys array<bigint>")
+
 
-    return docs.select("text").mapInArrow(run, "node bigint, keys array<bigint>")
+MARKS = [f"m{i}" for i in range(WORDS)]
+
+
+def _marks(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, runs, m0, ...`` of the lines named by ``nodes``."""
+
+    def made(lines):
+        runs, words = marks(lines)
+        return [pa.array(runs), *[pa.array(np.ascontiguousarray(words[:, i]).view("<i8")) for i in range(WORDS)]]
+
+    schema = ", ".join([f"{c} bigint" for c in ["runs", *MARKS]])
+    return _by_line(docs, made, schema).join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 WHITE = " \t\r\f\v"
@@ -121,6 +172,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     return line.select("doc", "pos", F.trim(F.col("line"), F.lit(WHITE)).alias("line")).where("line <> ''")
 
 
+def _possible(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs that their marks don't rule out."""
+    side = lambda x: marked.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ["runs", *MARKS]])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    gap = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in MARKS), F.lit(0))
+    return both.where(near_marks(gap, F.col("a_runs") + F.col("b_runs"))).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
@@ -136,19 +195,43 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
-    """Links that connect the components of some lines as far as similar pairs connect them.
+def _apart(comps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The lines outside the most frequent one, and which lines each of these has to meet.
 
-    Lines outside the most frequent component meet all lines of other components: a few pairs one by one; of many,
-    shared shingles are counted at once by a product of 0/1 matrices, which needs only the shingles of the former.
+    Two lines outside the most frequent component meet once, in the order of their components.
     """
     _, comp = np.unique(np.array(comps), return_inverse=True)
     most = np.bincount(comp).argmax()
     left = np.flatnonzero(comp != most)
-    if not len(left):
-        return []
-    sets = [shingles(s) for s in lines]
-    up, out = list(range(int(comp.max()) + 1)), []
+    return left, (comp[None, :] == most) | (comp[left][:, None] < comp[None, :])
+
+
+def candidates(comps: list[int], runs: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components that marks don't rule out, one end outside the most frequent component."""
+    if len(comps) * len(comps) <= FEW:
+        most = max(comps, key=comps.count)
+        long = [int.from_bytes(w.tobytes(), "little") for w in words]
+        size = runs.tolist()
+        left = [i for i, c in enumerate(comps) if c != most]
+        found = [
+            (i, j) for i in left for j, d in enumerate(comps)
+            if (d == most or comps[i] < d) and near_marks((long[i] ^ long[j]).bit_count(), size[i] + size[j])
+        ]
+        return np.array([i for i, _ in found], np.int64), np.array([j for _, j in found], np.int64)
+    left, meet = _apart(comps)
+    for row, i in enumerate(left):
+        at = np.flatnonzero(meet[row])
+        gap = np.bitwise_count(words[at] ^ words[i]).sum(1, dtype=np.int64)
+        meet[row, at] = near_marks(gap, runs[at] + runs[i])
+    i, j = np.nonzero(meet)
+    return left[i], j
+
+
+def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
+    """Links that connect the components of some lines as far as similar pairs connect them."""
+    sets: dict[int, set[str]] = {}
+    up = {c: c for c in comps}
+    out = []
 
     def find(c: int) -> int:
         while up[c] != c:
@@ -156,90 +239,109 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
             c = up[c]
         return c
 
-    # Two lines outside the most frequent component meet once, in the order of their components.
-    apart = (comp[None, :] == most) | (comp[left][:, None] < comp[None, :])
-    if apart.size > FEW:
-        apart &= _shared_enough(sets, left)
-    for i, j in zip(left[np.nonzero(apart)[0]].tolist(), np.nonzero(apart)[1].tolist()):
-        c, d = find(int(comp[i])), find(int(comp[j]))
-        if c != d and similar(sets[i], sets[j]):
+    def of(i: int) -> set[str]:
+        if i not in sets:
+            sets[i] = shingles(lines[i])
+        return sets[i]
+
+    for i, j in zip(*[x.tolist() for x in candidates(comps, *marks(lines))]):
+        c, d = find(comps[i]), find(comps[j])
+        if c != d and similar(of(i), of(j)):
             up[c] = d
             out.append((i, j))
     return out
 
 
-def _shared_enough(sets: list[set[str]], left: np.ndarray) -> np.ndarray:
-    """Which pairs of a line of ``left`` and any line are similar, up to rounding."""
-    size = np.array([len(x) for x in sets], np.float32)
-    place = {g: i for i, g in enumerate(set().union(*[sets[i] for i in left]))}
-    at = [np.array([place[g] for g in x if g in place], np.int64) for x in sets]
-    both = np.zeros((len(left), len(sets)), np.float32)
-    for lo in range(0, len(place), WIDE):
-        m = np.zeros((len(sets), min(WIDE, len(place) - lo)), np.float32)
-        for i, x in enumerate(at):
-            m[i, x[(x >= lo) & (x < lo + WIDE)] - lo] = 1
-        both += m[left] @ m.T
-    return both >= np.float32(SIMILARITY) * (size[left][:, None] + size[None, :] - both) - 1e-3
+BLOCKS = ["key", "i", "j"]
+
+
+def _grouped(rows: DataFrame, make, schema: str) -> DataFrame:
+    """``make`` of the rows of every block (``key, i, j, node, comp`` and more), each node once; a task holds one block."""
+    spark = rows.sparkSession
+    ready = rows.repartition(parts(spark), *BLOCKS).sortWithinPartitions(*BLOCKS, "node")
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches):
+        def done(group, out):
+            once = list({r[3]: r for r in group}.values())
+            if len(once) > 1:
+                out += make(once)
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in range(len(names))], names=names)
+
+        held: list = []
+        for batch in batches:
+            out: list = []
+            for piece in pieces(batch):
+                for row in zip(*[c.to_pylist() for c in piece.columns]):
+                    if held and held[-1][:3] != row[:3]:
+                        done(held, out)
+                        held = []
+                    held.append(row)
+            yield batch_of(out)
+        if held:
+            out = []
+            done(held, out)
+            yield batch_of(out)
+
+    return ready.mapInArrow(run, schema)
 
 
-def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(mixed: DataFrame, marked: DataFrame, texts) -> DataFrame:
     """Links between components of the same bucket, found inside tasks: a bucket's pairs never become rows.
 
     A bucket's lines are cut by hash into blocks of about ``BLOCK`` and dealt as pairs of blocks, so
     a task holds two blocks at most and a hot bucket is spread.  Its main component has blocks of its own, which
-    meet the other lines' blocks but not each other.
+    meet the other lines' blocks but not each other.  Blocks are compared by marks first, and only lines
+    with a possible partner come back with their texts.
     """
     zero = F.lit(0).cast("bigint")
     other, most = F.ceil(F.col("rest") / BLOCK), F.ceil((F.col("size") - F.col("rest")) / BLOCK)
     outside = F.col("comp") != F.col("main")
     own = F.when(outside, F.pmod(F.xxhash64("node"), other)).otherwise(other + F.pmod(F.xxhash64("node"), most))
     last = F.when(outside, other + most - 1).otherwise(other - 1)
-    dealt = mixed.select("key", "node", "comp", own.alias("own"), F.explode(F.sequence(zero, last)).alias("with"))
-    dealt = dealt.select("key", "node", "comp", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j")).join(texts, "node")
-    keys = ["key", "i", "j"]
-    ready = dealt.select(*keys, "node", "comp", "line").repartition(parts(mixed.sparkSession), *keys).sortWithinPartitions(*keys, "node")
+    # Marks are joined before the rows are dealt out: a bucket member once, however many blocks it meets.
+    full = mixed.join(marked, "node")
+    dealt = full.select("key", "node", "comp", "runs", *MARKS, own.alias("own"), F.explode(F.sequence(zero, last)).alias("with"))
+    dealt = dealt.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "node", "comp", "runs", *MARKS)
 
-    def run(batches):
-        def links(group):
-            rows = list({r[3]: r for r in group}.values())
-            found = spanning([r[5] for r in rows], [r[4] for r in rows])
-            return [(rows[i][3], rows[j][3]) for i, j in found]
+    def possible(rows):
+        words = np.array([r[6:] for r in rows], "<i8").view("<u8")
+        found = candidates([r[4] for r in rows], np.array([r[5] for r in rows]), words)
+        return [rows[x][:5] for x in np.unique(np.concatenate(found)).tolist()]
 
-        held: list = []
-        for batch in batches:
-            out = []
-            for piece in pieces(batch):
-                for row in zip(*[c.to_pylist() for c in piece.columns]):
-                    if held and held[-1][:3] != row[:3]:
-                        out += links(held)
-                        held = []
-                    held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
-        if held:
-            out = links(held)
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def links(rows):
+        return [(rows[i][3], rows[j][3]) for i, j in spanning([r[5] for r in rows], [r[4] for r in rows])]
 
-    return ready.mapInArrow(run, "a bigint, b bigint").distinct()
+    some = stash(_grouped(dealt, possible, "key bigint, i bigint, j bigint, node bigint, comp bigint"), "line-possible")
+    ready = some.join(texts(some.select("node")), "node").select(*BLOCKS, "node", "comp", "line")
+    return _grouped(ready, links, "a bigint, b bigint").distinct()
 
 
 def line_groups(docs: DataFrame) -> DataFrame:
     """``node, comp`` of lines that have a near copy; ``docs`` is ``doc, text``."""
     members = _sketches(docs).select(F.explode("keys").alias("key"), "node")
+    marked: list[DataFrame] = []
 
-    def texts(nodes: DataFrame) -> DataFrame:
+    def known(nodes: DataFrame) -> DataFrame:
         wanted = stash(nodes.distinct(), "line-nodes")
-        if wanted.count() <= BROADCAST_ROWS:  # 8 bytes each; beyond that, a shuffled join
-            wanted = F.broadcast(wanted)
-        lines = _lines(docs).select(F.xxhash64("line").alias("node"), "line").join(wanted, "node", "left_semi")
+        # 8 bytes each; beyond that, a shuffled join
+        return F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        lines = _lines(docs).select(F.xxhash64("line").alias("node"), "line").join(known(nodes), "node", "left_semi")
         return stash(lines.groupBy("node").agg(F.min("line").alias("line")), "line-texts")
 
     def verify(candidates: DataFrame) -> DataFrame:
         pairs = stash(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "line-pairs")
-        return _verified(pairs, texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))))
+        # Every member of a crowded bucket is an end of a pair, so these are all marks that are needed.
+        marked.append(stash(_marks(docs, known(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))), "line-marks"))
+        left = stash(_possible(pairs, marked[0]), "line-possible-pairs")
+        return _verified(left, texts(left.select(F.col("a").alias("node")).union(left.select("b"))))
 
     def across(mixed: DataFrame) -> DataFrame:
-        mixed = stash(mixed, "line-mixed")
-        return _across(mixed, texts(mixed.select("node")))
+        return _across(mixed, marked[0], texts)
 
     return linked(members, verify, "lines", across)
 

@@ -80,7 +80,6 @@ def test_many_copies_of_one_row(spark, monkeypatch):
 
 def test_crowded_buckets_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 4)
-    monkeypatch.setattr(L, "WIDE", 16)
     r = random.Random(2)
     base = [f"word{r.randint(100, 999)}" for _ in range(40)]
     texts = []
@@ -131,3 +130,20 @@ def test_links_between_components_against_all_pairs(monkeypatch):
         found = L.spanning(lines, comps)
         assert set(found) <= {(i, j) for x in all_pairs for i, j in (x, x[::-1])}
         assert classes(found) == classes(all_pairs)
+
+
+def test_marks_rule_out_no_similar_pair():
+    """Every pair of shingle sets with a similarity of 0.8 passes; repeats, short and very long lines included."""
+    r = random.Random(6)
+    ruled_out = 0
+    for n in (3, 5, 9, 30, 80, 400, 3000):
+        for alphabet in ("ab", "abcdefghij \u6f22"):
+            base = "".join(r.choice(alphabet) for _ in range(n))
+            lines = [base, base + base, ""] + ["".join(r.choice(alphabet) if r.random() < p else c for c in base) for p in (0.002, 0.01, 0.03, 0.1, 0.3) for _ in range(6)]
+            runs, words = L.marks(lines)
+            sets = [{s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in lines]
+            for i, j in combinations(range(len(lines)), 2):
+                possible = L.near_marks(sum((int(a) ^ int(b)).bit_count() for a, b in zip(words[i], words[j])), int(runs[i] + runs[j]))
+                assert possible or 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])
+                ruled_out += not possible
+    assert ruled_out > 1000
