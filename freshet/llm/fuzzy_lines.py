@@ -39,6 +39,8 @@ SEED = 42  # of the line hash, as in Spark's xxhash64
 SEEN = 50_000
 BLOCK = 512  # lines of a bucket that are compared in one piece
 WORDS = 8  # 64-bit words of a line's mark
+MOST_WORDS = 128  # of the wider marks of long lines, which are made and used inside tasks
+TOGETHER = 256  # pairs that are verified at once
 FEW = 64  # pairs that are compared one by one
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4096  # copies of one row that a task writes out
@@ -83,8 +85,8 @@ def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = S
     return keys.view(np.int64)
 
 
-def marks(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of k characters of every line, and the parities (n, WORDS) of its distinct run hashes per bit."""
+def marks(lines: list[str], words: int = WORDS, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of k characters of every line, and the parities (n, words) of its distinct run hashes per bit."""
     whole = [s if len(s) >= k else s.ljust(k, "\0") for s in lines]
     size = np.fromiter(map(len, whole), np.int64, len(whole))
     runs = size - k + 1
@@ -94,9 +96,18 @@ def marks(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     one = np.sort(row.astype(np.uint64) << np.uint64(32) | h[at])
     one = one[np.concatenate(([True], one[1:] != one[:-1]))]
     bit = (one & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-    slot = (one >> np.uint64(32)) * np.uint64(64 * WORDS) + bit % np.uint64(64 * WORDS)
-    odd = np.bincount(slot.astype(np.int64), minlength=len(lines) * 64 * WORDS) & 1
-    return runs, np.packbits(odd.astype(np.uint8).reshape(len(lines), -1), axis=1).view("<u8")
+    slot = (one >> np.uint64(32)) * np.uint64(64 * words) + bit % np.uint64(64 * words)
+    odd = np.zeros(len(lines) * 64 * words, np.uint8)
+    np.add.at(odd, slot.astype(np.int64), np.uint8(1))  # the last bit stays right beyond 255
+    return runs, np.packbits(odd.reshape(len(lines), -1) & 1, axis=1).view("<u8")
+
+
+def wide_marks(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Marks with about two bits for every shingle of the longest line, within bounds."""
+    words = WORDS
+    while words < MOST_WORDS and 64 * words < 2 * max(map(len, lines)):
+        words *= 2
+    return marks(lines, words)
 
 
 def near_marks(gap, runs):
@@ -189,8 +200,14 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 sets = Memo(shingles, 64)
-                good = [similar(sets[x], sets[y]) for x, y in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                for lo in range(0, piece.num_rows, TOGETHER):
+                    some = piece.slice(lo, TOGETHER)
+                    x, y = some.column(2).to_pylist(), some.column(3).to_pylist()
+                    runs, words = wide_marks(x + y)
+                    gap = np.bitwise_count(words[: len(x)] ^ words[len(x) :]).sum(1, dtype=np.int64)
+                    near = near_marks(gap, runs[: len(x)] + runs[len(x) :]).tolist()
+                    good = [n and similar(sets[u], sets[v]) for n, u, v in zip(near, x, y)]
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -244,7 +261,7 @@ def spanning(lines: list[str], comps: list[int]) -> list[tuple[int, int]]:
             sets[i] = shingles(lines[i])
         return sets[i]
 
-    for i, j in zip(*[x.tolist() for x in candidates(comps, *marks(lines))]):
+    for i, j in zip(*[x.tolist() for x in candidates(comps, *wide_marks(lines))]):
         c, d = find(comps[i]), find(comps[j])
         if c != d and similar(of(i), of(j)):
             up[c] = d

@@ -1,7 +1,7 @@
 """Fuzzy line deduplication against a loop over all pairs of lines."""
 
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import types as T
 
@@ -140,9 +140,8 @@ def test_marks_rule_out_no_similar_pair():
         for alphabet in ("ab", "abcdefghij \u6f22"):
             base = "".join(r.choice(alphabet) for _ in range(n))
             lines = [base, base + base, ""] + ["".join(r.choice(alphabet) if r.random() < p else c for c in base) for p in (0.002, 0.01, 0.03, 0.1, 0.3) for _ in range(6)]
-            runs, words = L.marks(lines)
             sets = [{s[i : i + 5] for i in range(max(1, len(s) - 4))} for s in lines]
-            for i, j in combinations(range(len(lines)), 2):
+            for (runs, words), (i, j) in product((L.marks(lines), L.wide_marks(lines)), combinations(range(len(lines)), 2)):
                 possible = L.near_marks(sum((int(a) ^ int(b)).bit_count() for a, b in zip(words[i], words[j])), int(runs[i] + runs[j]))
                 assert possible or 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])
                 ruled_out += not possible
