@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.skew import salted_join
 from .common import stash
 
 
@@ -80,5 +81,5 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
     named = named.join(first.select(F.col("node").alias("b"), F.col("comp").alias("_cb")), "b", "left")
     second = cut(components(named.select(F.coalesce("_ca", "a").alias("a"), F.coalesce("_cb", "b").alias("b"))))
     up = second.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    old = first.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    old = salted_join(first, up, ["comp"], ["node"], how="left").select("node", F.coalesce("top", "comp").alias("comp"))
     return old.union(second.join(first.select("node"), "node", "left_anti"))

@@ -375,9 +375,11 @@ def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     comps = line_groups(docs)
     placed = lines.join(comps, "node", "left").select("node", "first", "n", F.coalesce("comp", "node").alias("comp"), F.col("comp").isNotNull().alias("near"))
     # Only lines that occur again, or have a near copy, decide anything.
-    placed = placed.where("n > 1 OR near")
-    kept = placed.groupBy("comp").agg(F.min("first").alias("kept"))
-    decided = stash(placed.join(kept, "comp").select("node", "kept"), "line-decisions")
+    placed = stash(placed.where("n > 1 OR near"), "line-placed")
+    kept = placed.where("near").groupBy("comp").agg(F.min("first").alias("kept"))
+    # A component may hold a large share of the lines, so its members are spread.
+    grouped = salted_join(placed.where("near").select("node", "comp"), kept, ["comp"], ["node"]).select("node", "kept")
+    decided = stash(grouped.union(placed.where("NOT near").select("node", F.col("first").alias("kept"))), "line-decisions")
     gone = salted_join(at, decided, ["node"], ["at"]).where("at <> kept").select("at.doc", "at.pos")
     drops = gone.groupBy("doc").agg(F.collect_set("pos").alias("_drop"))
     # The row travels as one struct, so its column names cannot clash with ours.
