@@ -2,8 +2,8 @@
 
 ``write`` range-partitions documents by id, encodes them inside their partition, cuts the run of
 ids into shards of bounded size and compresses each one: every round counts the pairs of
-neighbouring symbols, replaces the frequent ones by new symbols, and stops when no pair is frequent
-any more or a round gains next to nothing.  A shard row holds its documents, the rules (left and right symbol), the expansion length
+neighbouring symbols, replaces the most frequent ones by new symbols, and goes on until no pair occurs twice or, for
+vocabularies that leave room for rules in 16 bits, that room is used up; wider symbols would double the sequence.  A shard row holds its documents, the rules (left and right symbol), the expansion length
 of every rule and the final sequence.  Lengths give the position of any id without decoding what
 lies before it (``ids_at``).  Spark's writer commits the files, so retried tasks leave no duplicates.
 
@@ -30,10 +30,9 @@ ship(__name__)
 
 SHARD_IDS = 1 << 20
 MARKS = (b".", b",", b"!", b"?", b";", b":")
-MIN_COUNT = 32
+MIN_COUNT = 2
 LEAST_ROOM = 1 << 12  # rules that 16-bit symbols must leave room for
 SLOTS = 20  # bits of the lookup table of one round
-LEAST_GAIN = 256  # rounds end once one shortens the sequence by less than this fraction of it
 CUT = 16  # a round takes all pairs with at least this fraction of the top count
 SHARDS = (
     "part int, shard int, n_ids bigint, width int, base bigint, doc_ids array<bigint>, doc_lengths array<int>, "
@@ -155,8 +154,6 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq = seq[stay]
-        if step <= min_count and len(at) * LEAST_GAIN < len(seq):
-            break
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)), lens[base:], seq
 
 
