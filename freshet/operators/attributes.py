@@ -156,6 +156,17 @@ def combined_features(selected: Sequence[str], available: Sequence[str], always:
     return sorted({c for c in always if c in available} | set(selected))
 
 
+def combined_feature_table(screened: DataFrame, available: Sequence[str], always: Sequence[str] = ALWAYS_KEPT) -> DataFrame:
+    """``feature, fixed, selected`` of the columns that are always kept (where they exist) or pass ``uncorrelated_features``.
+
+    One row per column of the table, so the result is as small as its schema.
+    """
+    fixed = screened.sparkSession.createDataFrame([(c,) for c in sorted(set(always) & set(available))], "feature string").withColumn("fixed", F.lit(True))
+    kept = screened.where("keep").select("feature", F.lit(True).alias("selected"))
+    no = F.lit(False)
+    return kept.join(fixed, "feature", "full_outer").select("feature", F.coalesce("fixed", no).alias("fixed"), F.coalesce("selected", no).alias("selected"))
+
+
 def cluster_labels(centroids: DataFrame, high: float = 0.65) -> DataFrame:
     """Up to two standout labels per cluster from long centroids ``(cluster, feature, norm, raw)``.
 

@@ -42,6 +42,12 @@ def aggregation_rule(variable: str, totals: bool = False) -> str:
     return "sum" if totals or any(p in variable for p in parts) else "mean"
 
 
+def aggregate_by_rule(df: DataFrame, variables: Sequence[str], by: Sequence[str], totals: Sequence[str] = ()) -> DataFrame:
+    """Every variable summed or averaged per group, as its rule says; ``totals`` names columns of totals products."""
+    rule = {v: F.sum if aggregation_rule(v, v in totals) == "sum" else F.avg for v in variables}
+    return df.groupBy(*by).agg(*[fn(v).alias(v) for v, fn in rule.items()])
+
+
 def snap(v: Column, res: float) -> Column:
     """Integer key of the grid line nearest to a coordinate."""
     return F.floor(v / res + 0.5)

@@ -162,6 +162,15 @@ def column_metadata(df: DataFrame, required: Sequence[str] = ("units", "long_nam
     return df.sparkSession.createDataFrame(rows, ddl)
 
 
+def column_audit(df: DataFrame, required: Sequence[str] = ("units", "long_name", "source")) -> DataFrame:
+    """``column_metadata`` with the rows and nulls of every column, counted in one pass; ``ok`` if nothing is missing."""
+    counts = df.agg(F.count("*").alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_c{i}") for i, c in enumerate(df.columns)])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("n_values")) for i, c in enumerate(df.columns)])
+    held = counts.select(F.col("_n").alias("n_rows"), F.explode(pairs).alias("e")).select("n_rows", "e.*")
+    both = column_metadata(df, required).join(held, "column")
+    return both.withColumn("n_null", F.col("n_rows") - F.col("n_values")).drop("n_values").withColumn("ok", F.col("missing") == "")
+
+
 def with_metadata(df: DataFrame, meta: Mapping[str, Mapping[str, str]]) -> DataFrame:
     """Attach units, long names and sources to columns."""
     return df.select(*[F.col(c).alias(c, metadata=dict(meta[c])) if c in meta else F.col(c) for c in df.columns])

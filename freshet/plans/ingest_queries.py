@@ -113,6 +113,23 @@ def ing_clean_discharge(spark, sf):
     return IN.clean_discharge(dense(spark, sf).withColumn("file", F.lit(1)))
 
 
+CLEAN_MARKS = "SELECT series_id, date, value AS observed, gap_inside AND gap_length <= {gap} AS was_filled FROM gp".format
+
+
+def clean_marks(cleaned):
+    """Which days were filled, and the values of the others; filled values come from a spline."""
+    return cleaned.select("series_id", "date", F.when(~F.col("was_filled"), F.col("value")).alias("observed"), "was_filled")
+
+
+@query("ing_clean_discharge_marks", "ING-12", f"""WITH {DENSE}, cd AS (SELECT series_id, date, CASE WHEN value >= 15 THEN value - 15 END AS value FROM de),
+  {GAPS.format(src='cd')} {CLEAN_MARKS(gap=6)}""", "observed", "date")
+def ing_clean_discharge_marks(spark, sf):
+    """Two files per day of which the first counts, and values below zero."""
+    d = dense(spark, sf)
+    first = d.select("series_id", "date", (F.col("value") - 15).alias("value"), F.lit(1).alias("file"))
+    return clean_marks(IN.clean_discharge(first.union(d.select("series_id", "date", (F.col("value") + 7), F.lit(2)))))
+
+
 @query("ing_replace_zeros", "ING-13", f"""WITH {T.SUPPLIER_SQL}, z AS (SELECT series_id, date, CASE WHEN value < 10 THEN 0 ELSE value END AS value FROM sup), m AS (SELECT series_id, month(date) AS m, day(date) AS d, median(value) AS md FROM z WHERE value <> 0 GROUP BY 1, 2, 3)
   SELECT z.series_id, date, CASE WHEN value = 0 THEN md ELSE value END AS value FROM z LEFT JOIN m ON m.series_id = z.series_id AND m = month(date) AND d = day(date)""", "value", "date")
 def ing_replace_zeros(spark, sf):
@@ -126,6 +143,12 @@ def ing_clean_level(spark, sf):
     return IN.clean_level(d, reservoir=True)
 
 
+@query("ing_clean_level_marks", "ING-14", f"""WITH {DENSE}, z AS (SELECT series_id, date, CASE WHEN value < 10 THEN 0 ELSE value END AS value FROM de), md AS (SELECT series_id, month(date) AS m, day(date) AS d, median(value) AS md FROM z WHERE value <> 0 GROUP BY 1, 2, 3),
+  rz AS (SELECT z.series_id, z.date, CASE WHEN value = 0 THEN md ELSE value END AS value FROM z LEFT JOIN md ON md.series_id = z.series_id AND m = month(z.date) AND d = day(z.date)), {GAPS.format(src='rz')} {CLEAN_MARKS(gap=15)}""", "observed", "date")
+def ing_clean_level_marks(spark, sf):
+    return clean_marks(ing_clean_level(spark, sf))
+
+
 @query("ing_coalesce_datums", "ING-15 ATT-03", """WITH a AS (SELECT s_nationkey AS k, min(s_acctbal) AS h FROM supplier WHERE s_acctbal > 5000 GROUP BY 1), b AS (SELECT c_nationkey AS k, min(c_acctbal) AS h FROM customer GROUP BY 1)
   SELECT CAST(k AS VARCHAR) AS series_id, coalesce(a.h, b.h) AS datum FROM a FULL JOIN b USING (k)""", "datum")
 def ing_coalesce_datums(spark, sf):

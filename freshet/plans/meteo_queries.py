@@ -306,6 +306,14 @@ def met_weighted_means(spark, sf):
     return two_places(GR.catchment_means(f, w, ["prcp", "t"]), "prcp", "t")
 
 
+@query("met_monthly_by_rule", "MET-10", f"""WITH {T.FIELD_SQL}, fm AS (SELECT lat, lon, year(date) AS year, month(date) AS month, prcp, t, prcp AS runoff FROM field)
+  SELECT lat, lon, year, month, sum(prcp) AS prcp, avg(t) AS t, sum(runoff) AS runoff FROM fm GROUP BY 1, 2, 3, 4""", "lat lon prcp t runoff")
+def met_monthly_by_rule(spark, sf):
+    """Months of every cell: water by its name and runoff as a totals product are summed, temperature is averaged."""
+    f = T.field(spark, sf).withColumn("year", F.year("date")).withColumn("month", F.month("date")).withColumn("runoff", F.col("prcp"))
+    return GR.aggregate_by_rule(f, ["prcp", "t", "runoff"], ["lat", "lon", "year", "month"], totals=["runoff"])
+
+
 @query("met_touched_means", "MET-04", f"""WITH {T.SITES_SQL}, {T.FIELD_SQL}, {EXT}, {WGT},
    tc AS (SELECT poly_id, lat, lon FROM pc JOIN (SELECT DISTINCT poly_id FROM wt) USING (poly_id) SEMI JOIN wt USING (poly_id, lat, lon) UNION ALL SELECT poly_id, lat, lon FROM pc ANTI JOIN wt USING (poly_id))
   SELECT poly_id, date, avg(prcp) AS prcp, avg(t) AS t FROM field JOIN tc USING (lat, lon) GROUP BY 1, 2""", "prcp t", "date")

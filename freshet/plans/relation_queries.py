@@ -20,7 +20,8 @@ from ..sources import tables as T
 from ..streaming import streams as ST
 from .ingest_queries import _grades, match_input, OV
 from .quality_queries import supplier_years
-from .registry import query
+from .registry import REGISTRY, query
+from .signature_queries import period_sql
 
 # ---- attributes: parts supplied by suppliers play the overlapping polygons ----
 
@@ -95,14 +96,27 @@ def att_pairwise_correlations(spark, sf):
     return AT.pairwise_correlations(part_matrix(spark, sf), PC).drop("i", "j")
 
 
-@query("att_uncorrelated_features", "ATT-04 ATT-05", f"""WITH {PM}, v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i, avg(CASE WHEN {c} IS NOT NULL AND {c} <> 0 THEN 1.0 ELSE 0 END) AS valid_fraction FROM pm" for i, c in enumerate(PC))}),
+UNCORRELATED = f"""WITH {PM}, v AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS i, avg(CASE WHEN {c} IS NOT NULL AND {c} <> 0 THEN 1.0 ELSE 0 END) AS valid_fraction FROM pm" for i, c in enumerate(PC))}),
   c AS ({" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM pm" for i, a in enumerate(PC) for b in PC[i + 1:])}),
   m AS (SELECT b AS feature, max(abs(r)) AS max_abs_r FROM c JOIN v va ON va.feature = a AND va.valid_fraction >= 0.8 JOIN v vb ON vb.feature = b AND vb.valid_fraction >= 0.8 GROUP BY 1)
-  SELECT feature, valid_fraction, max_abs_r, valid_fraction >= 0.8 AND NOT coalesce(max_abs_r > 0.75, false) AS keep FROM v LEFT JOIN m USING (feature)""", "valid_fraction max_abs_r")
+  SELECT feature, valid_fraction, max_abs_r, valid_fraction >= 0.8 AND NOT coalesce(max_abs_r > 0.75, false) AS keep FROM v LEFT JOIN m USING (feature)"""
+
+
+@query("att_uncorrelated_features", "ATT-04", UNCORRELATED, "valid_fraction max_abs_r")
 def att_uncorrelated_features(spark, sf):
     return AT.uncorrelated_features(part_matrix(spark, sf), PC)
 
 
+FIXED_FEATURES = (PC[-1], PC[0], "not_a_column")
+
+
+@query("att_combined_features", "ATT-05", f"""WITH u AS ({UNCORRELATED}) SELECT feature, feature IN {FIXED_FEATURES} AS fixed, keep AS selected FROM u WHERE keep OR feature IN {FIXED_FEATURES}""")
+def att_combined_features(spark, sf):
+    """Selected columns and those that are always kept, as far as the table has them."""
+    m = part_matrix(spark, sf)
+    return AT.combined_feature_table(AT.uncorrelated_features(m, PC), m.columns, FIXED_FEATURES)
+
+
 def attr_frame(spark, sf):
     c = T.table(spark, sf, "customer")
     return c.select(F.col("c_custkey").cast("string").alias("series_id"), F.col("c_mktsegment").alias("cluster"), (F.col("c_acctbal") / 10).alias("ele_mt_uav"),
@@ -226,7 +240,13 @@ def rel_subset_flow(spark, sf):
     return RL.subset_flow(metric_frame(spark, sf), {"all": F.lit(True), "rich": a, "rich_north": a & b})
 
 
-@query("rel_strict_subset", "REL-09")
+_SEASON_SHARES = ", ".join(f"avg(CASE WHEN month(date) IN {m} THEN CASE WHEN gappy IS NOT NULL THEN 1.0 ELSE 0.0 END END) AS {n}" for n, m in (("winter", (12, 1, 2)), ("spring", (3, 4, 5)), ("summer", (6, 7, 8)), ("autumn", (9, 10, 11))))
+
+
+@query("rel_strict_subset", "REL-09", "WITH " + period_sql(T.FORCING_SQL, "gappy") + f""", se AS (SELECT series_id, {_SEASON_SHARES} FROM forcing GROUP BY 1),
+  co AS (SELECT series_id, count(mean_discharge) AS n_mean_discharge, count(fdc_slope) AS n_fdc_slope FROM pm GROUP BY 1),
+  ok AS (SELECT *, least(coalesce(winter, 0), coalesce(spring, 0), coalesce(summer, 0), coalesce(autumn, 0)) >= 0.7 AS season_complete, least(coalesce(n_mean_discharge, 0), coalesce(n_fdc_slope, 0)) >= 5 AS metric_complete FROM se LEFT JOIN co USING (series_id))
+  SELECT *, season_complete AND metric_complete AS strict FROM ok""", "winter spring summer autumn")
 def rel_strict_subset(spark, sf):
     d = T.forcing(spark, sf).select("series_id", "date", F.col("gappy").alias("value"))
     return RL.strict_subset(d, SG.period_metrics(d), ["mean_discharge", "fdc_slope"])
@@ -401,6 +421,31 @@ def val_external(spark, sf):
     return VA.validate_external(st, s, orders, own)
 
 
+@query("val_external_records", "VAL-02", f"""WITH mt AS (SELECT station_id, site_id FROM ({REGISTRY['spa_match_sites'].sql})), {T.SUPPLIER_SQL},
+  od AS (SELECT CAST(series_id AS BIGINT) AS station_id, date, p AS r FROM sup), ow AS (SELECT CAST(series_id AS BIGINT) AS site_id, date, value AS v FROM sup),
+  x AS (SELECT * FROM mt JOIN od USING (station_id) JOIN ow USING (site_id, date) WHERE r IS NOT NULL AND v IS NOT NULL),
+  g AS (SELECT station_id, site_id, count(*) AS n, min(date) AS overlap_start, max(date) AS overlap_end, CASE WHEN var_pop(r) > 0 AND var_pop(v) > 0 THEN corr(v, r) END AS c, sum((v - r) ** 2) AS ss, var_pop(r) * count(*) AS tot, sum(r) AS sr, sum(v - r) AS d, avg(r) AS mr, avg(v) AS mv FROM x GROUP BY 1, 2)
+  SELECT station_id, site_id, n AS overlap_days, overlap_start, overlap_end, CASE WHEN n >= 30 THEN round(c, 4) END AS r, CASE WHEN n >= 30 AND tot > 0 THEN round(1 - ss / tot, 4) END AS nse, CASE WHEN n >= 30 AND sr > 0 THEN round(100 * d / sr, 1) END AS pbias,
+   CASE WHEN n >= 30 THEN round(sqrt(ss / n), 2) END AS rmse, CASE WHEN n >= 30 THEN round(mr, 1) END AS reference_mean, CASE WHEN n >= 30 THEN round(mv, 1) END AS value_mean FROM g""", "r nse pbias rmse reference_mean value_mean", "overlap_start overlap_end")
+def val_external_records(spark, sf):
+    """Stations whose records share enough days with their site: those with a series of shipments of their own."""
+    st, s = match_input(spark, sf)
+    d = T.supplier_flow(spark, sf).select(F.col("series_id").cast("long").alias("id"), "date", "value", "p")
+    return VA.validate_external(st, s, d.select("id", "date", F.col("p").alias("value")), d.select("id", "date", "value"))
+
+
+# Columns of the audited table: type in Spark, then units, long name and source as far as they are given.
+AUDITED = (("series_id", "string", "1", "site", "register"), ("date", "date", "", "", ""), ("value", "double", "mm", "flow", "gauges"), ("gappy", "double", "mm", "flow with gaps", ""))
+
+
+@query("val_column_audit", "VAL-06", f"""WITH {T.FORCING_SQL}, a AS ({" UNION ALL ".join(f"SELECT '{c}' AS column, '{t}' AS type, '{u}' AS units, '{n}' AS long_name, '{o}' AS source, count(*) AS n_rows, count(*) - count({c}) AS n_null FROM forcing" for c, t, u, n, o in AUDITED)})
+  SELECT *, concat_ws(',', CASE WHEN units = '' THEN 'units' END, CASE WHEN long_name = '' THEN 'long_name' END, CASE WHEN source = '' THEN 'source' END) AS missing, units <> '' AND long_name <> '' AND source <> '' AS ok FROM a""")
+def val_column_audit(spark, sf):
+    """Units, names and sources of a release table's columns, with their rows and nulls."""
+    meta = {c: {k: v for k, v in zip(("units", "long_name", "source"), said) if v} for c, _, *said in AUDITED}
+    return VA.column_audit(VA.with_metadata(T.forcing(spark, sf).select(*meta), meta))
+
+
 @query("val_table_diff", "VAL-03", f"""WITH {T.FORCING_SQL}, o AS (SELECT series_id, date, gappy AS v FROM forcing WHERE date < DATE '2001-01-01'), n AS (SELECT series_id, date, CASE WHEN t > 5 THEN value ELSE gappy END AS v FROM forcing WHERE date >= DATE '1995-06-01'),
    j AS (SELECT o.date AS od, n.date AS nd, o.v AS ov, n.v AS nv FROM o FULL JOIN n USING (series_id, date))
   SELECT count(*) FILTER (WHERE od IS NULL) AS n_added, count(*) FILTER (WHERE nd IS NULL) AS n_removed, count(*) FILTER (WHERE od IS NOT NULL AND nd IS NOT NULL AND ov IS DISTINCT FROM nv) AS n_changed, count(*) FILTER (WHERE od IS NOT NULL AND nd IS NOT NULL AND ov IS NOT DISTINCT FROM nv) AS n_equal, false AS identical FROM j""")
