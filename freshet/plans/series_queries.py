@@ -338,12 +338,30 @@ def cpt_cusum(spark, sf):
     return TR.cusum(T.supplier_flow(spark, sf))
 
 
-@query("cpt_binary_segmentation", "CPT-02")
+def _reduction(a: str, b: str) -> str:
+    """Variance of the values from index a to before b, from prefix sums."""
+    return f"greatest({b}.c2 - {a}.c2 - ({b}.c1 - {a}.c1) ** 2 / ({b}.k - {a}.k), 0) / ({b}.k - {a}.k - 1)"
+
+
+# Every part of a series is split at its best index until none reduces the variance; parts keep 10 days.
+SPLITS = f"""WITH RECURSIVE {OBS}, c AS (SELECT series_id, i - 1 AS k, n, date, value, coalesce(sum(value - m) OVER w, 0) AS c1, coalesce(sum((value - m) ** 2) OVER w, 0) AS c2 FROM o WHERE n >= 20
+    WINDOW w AS (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  sg AS (SELECT series_id, 0 AS lo, n - 1 AS hi, CAST(NULL AS BIGINT) AS cp, CAST(NULL AS DOUBLE) AS score FROM c WHERE k = 0
+    UNION ALL SELECT series_id, unnest([lo, pos]) AS lo, unnest([pos, hi]) AS hi, pos AS cp, sc AS score FROM (
+      SELECT series_id, lo, hi, arg_max(k, sc) AS pos, max(sc) AS sc FROM (
+        SELECT s.series_id, s.lo, s.hi, x.k, 1 - ((x.k - s.lo) * ({_reduction('a', 'x')}) + (s.hi - x.k) * ({_reduction('x', 'b')})) / ((s.hi - s.lo) * nullif({_reduction('a', 'b')}, 0)) AS sc
+        FROM sg s JOIN c a ON a.series_id = s.series_id AND a.k = s.lo JOIN c b ON b.series_id = s.series_id AND b.k = s.hi
+        JOIN c x ON x.series_id = s.series_id AND x.k >= s.lo + 10 AND x.k < s.hi - 10) GROUP BY 1, 2, 3) WHERE sc > 0),
+  sp AS (SELECT DISTINCT series_id, cp, score FROM sg WHERE cp IS NOT NULL)"""
+
+
+@query("cpt_binary_segmentation", "CPT-02", f"{SPLITS} SELECT sp.series_id, date, value, CAST(cp AS INTEGER) AS index, score FROM sp JOIN c ON c.series_id = sp.series_id AND k = cp", "value score", "date")
 def cpt_binary_segmentation(spark, sf):
     return TR.binary_segmentation(tr_daily(spark, sf))
 
 
-@query("cpt_segments", "CPT-02")
+@query("cpt_segments", "CPT-02", f"""{SPLITS}, nb AS (SELECT o.*, CAST(coalesce(sum(CASE WHEN cp IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY o.series_id ORDER BY i), 0) AS BIGINT) AS segment FROM o LEFT JOIN sp ON sp.series_id = o.series_id AND cp = i - 1)
+  SELECT series_id, segment, min(date) AS start_date, max(date) AS end_date, count(*) AS length, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max FROM nb GROUP BY 1, 2""", "mean std min max", "start_date end_date")
 def cpt_segments(spark, sf):
     d = tr_daily(spark, sf)
     return TR.segment_stats(d, TR.binary_segmentation(d))
