@@ -260,7 +260,7 @@ def ing_splice(spark, sf):
 
 
 @query("ing_fill_counts", "ING-27", f"""WITH {T.FORCING_SQL}, f AS (SELECT series_id, gappy IS NULL AND count(gappy) FILTER (WHERE year(date) BETWEEN 1995 AND 2000) OVER w >= 3 AS a, p_b IS NULL AND count(p_b) FILTER (WHERE year(date) BETWEEN 1995 AND 2000) OVER w >= 3 AS b FROM forcing WINDOW w AS (PARTITION BY series_id, dayofyear(date)))
-  SELECT series_id, count(*) FILTER (WHERE a) AS n_gappy, count(*) FILTER (WHERE b) AS n_p_b, 'day-of-year fill: ' || CAST(count(*) FILTER (WHERE a) + count(*) FILTER (WHERE b) AS VARCHAR) || ' cells' AS note FROM f GROUP BY 1""")
+  SELECT series_id, count(*) FILTER (WHERE a) AS n_gappy, count(*) FILTER (WHERE b) AS n_p_b, CASE WHEN count(*) FILTER (WHERE a OR b) > 0 THEN 'day-of-year fill: ' || CAST(count(*) FILTER (WHERE a) + count(*) FILTER (WHERE b) AS VARCHAR) || ' cells' END AS note FROM f GROUP BY 1""")
 def ing_fill_counts(spark, sf):
     f = T.forcing(spark, sf).select("series_id", "date", "gappy", "p_b")
     return IN.fill_counts(IN.climatology_fill(f, ["gappy", "p_b"], (1995, 2000)), ["gappy", "p_b"])
