@@ -185,11 +185,12 @@ def met_seasonal_union(spark, sf):
 
 _NORM = """mn0 AS (SELECT series_id, year(date) AS y, CAST(month(date) AS INTEGER) AS month, sum(t) AS st, count(t) AS nt, sum(p) AS p FROM d GROUP BY 1, 2, 3),
   mn AS (SELECT series_id, month, sum(st) / sum(nt) AS t, avg(p) / 50 AS p FROM mn0 GROUP BY 1, 2)"""
-_KOP = """g AS (SELECT series_id, count(t) AS nt, count(p) AS np, avg(t) AS mat, sum(p) AS map, max(t) AS thot, min(t) AS tcold, min(p) AS pdry, count(*) FILTER (WHERE t > 10) AS m10,
-   avg(t) FILTER (WHERE month BETWEEN 4 AND 9) >= avg(t) FILTER (WHERE month NOT BETWEEN 4 AND 9) AS north FROM mn GROUP BY 1),
+_KOP = """six AS (SELECT series_id, month, CAST(round(t + CAST(1.3e-8 AS DOUBLE), 6) AS DECIMAL(18, 6)) AS t, CAST(round(p + CAST(1.3e-8 AS DOUBLE), 6) AS DECIMAL(18, 6)) AS p FROM mn),
+  g AS (SELECT series_id, count(t) AS nt, count(p) AS np, CAST(sum(t) AS DOUBLE) / count(t) AS mat, CAST(sum(p) AS DOUBLE) AS map, CAST(max(t) AS DOUBLE) AS thot, CAST(min(t) AS DOUBLE) AS tcold, CAST(min(p) AS DOUBLE) AS pdry, count(*) FILTER (WHERE t > 10) AS m10,
+   CAST(sum(t) FILTER (WHERE month BETWEEN 4 AND 9) AS DOUBLE) / count(t) FILTER (WHERE month BETWEEN 4 AND 9) >= CAST(sum(t) FILTER (WHERE month NOT BETWEEN 4 AND 9) AS DOUBLE) / count(t) FILTER (WHERE month NOT BETWEEN 4 AND 9) AS north FROM six GROUP BY 1),
   h AS (SELECT series_id, any_value(mat) AS mat, any_value(map) AS map, any_value(thot) AS thot, any_value(tcold) AS tcold, any_value(pdry) AS pdry, any_value(m10) AS m10, any_value(nt) AS nt, any_value(np) AS np,
-    sum(mn.p) FILTER (WHERE s) AS ss, min(mn.p) FILTER (WHERE s) AS smin, max(mn.p) FILTER (WHERE s) AS smax, sum(mn.p) FILTER (WHERE NOT s) AS ws, min(mn.p) FILTER (WHERE NOT s) AS wmin, max(mn.p) FILTER (WHERE NOT s) AS wmax
-   FROM (SELECT mn.*, (month BETWEEN 4 AND 9) = north AS s FROM mn JOIN g USING (series_id)) mn JOIN g USING (series_id) GROUP BY 1),
+    CAST(sum(six.p) FILTER (WHERE s) AS DOUBLE) AS ss, CAST(min(six.p) FILTER (WHERE s) AS DOUBLE) AS smin, CAST(max(six.p) FILTER (WHERE s) AS DOUBLE) AS smax, CAST(sum(six.p) FILTER (WHERE NOT s) AS DOUBLE) AS ws, CAST(min(six.p) FILTER (WHERE NOT s) AS DOUBLE) AS wmin, CAST(max(six.p) FILTER (WHERE NOT s) AS DOUBLE) AS wmax
+   FROM (SELECT six.*, (month BETWEEN 4 AND 9) = north AS s FROM six JOIN g USING (series_id)) six JOIN g USING (series_id) GROUP BY 1),
   k AS (SELECT *, 2 * mat + CASE WHEN ws >= 0.7 * map THEN 0 WHEN ss >= 0.7 * map THEN 28 ELSE 14 END AS thr, smin < 40 AND smin < wmax / 3 AS ds, wmin < smax / 10 AS dw FROM h),
   l AS (SELECT *, CASE WHEN ds AND dw THEN CASE WHEN ws > ss THEN 's' ELSE 'w' END WHEN ds THEN 's' WHEN dw THEN 'w' ELSE 'f' END AS rn FROM k)
   SELECT series_id, CASE WHEN nt <> 12 OR np <> 12 THEN '' WHEN map < 10 * thr THEN CASE WHEN map < 5 * thr THEN 'BW' ELSE 'BS' END || CASE WHEN mat >= 18 THEN 'h' ELSE 'k' END

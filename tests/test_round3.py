@@ -1,7 +1,9 @@
 """Queries against their SQL on tables where ties, empty fills and distant latitudes occur."""
 
 import duckdb
+import numpy as np
 
+from freshet.operators import meteo as M
 from freshet.plans import load
 
 from tests.oracle_check import TABLES, compare, connect
@@ -29,3 +31,15 @@ def test_no_fill_has_no_note(spark, tmp_path):
     assert rows and all(r["note"] is None and r["n_gappy"] == r["n_p_b"] == 0 for r in rows)
     want = connect(sf).execute(load()["ing_fill_counts"].sql).fetchall()
     assert sorted(want) == sorted((r["series_id"], 0, 0, None) for r in rows)
+
+
+def test_climate_class_does_not_depend_on_the_order_of_months(spark):
+    """Equal sums of both halves are a tie, in whatever order the months are added."""
+    r = np.random.default_rng(4)
+    half, rows = [0.1, 150.7, 33.3, 41.9, 77.7, 20.3], []
+    for i in range(300):
+        p = np.concatenate([r.permutation(half), r.permutation(half)])
+        months = [4, 5, 6, 7, 8, 9, 10, 11, 12, 1, 2, 3]
+        rows += [(str(i), m, 12.0 if k < 6 else -2.0, float(p[k])) for k, m in enumerate(months)]
+    df = spark.createDataFrame(rows, "series_id string, month int, t double, p double")
+    assert {x["climate_class"] for x in M.climate_class(df).collect()} == {"Dwb"}
