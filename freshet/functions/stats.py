@@ -38,6 +38,13 @@ def cv_samp(c: Column | str) -> Column:
     return div(F.stddev_samp(c), F.avg(c))
 
 
+def std_from_sums(c: Column | str) -> Column:
+    """Sample deviation that does not depend on the order of rows, for whole numbers whose squares add up below 2^53."""
+    v = F.col(c) if isinstance(c, str) else c
+    n = F.count(v)
+    return F.when(n > 1, F.sqrt(F.greatest(n * F.sum(v * v) - F.sum(v) * F.sum(v), F.lit(0.0)) / (n * (n - 1))))
+
+
 def corr(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation over complete pairs, null for a constant side (ANSI mode would raise)."""
     a, b = (F.col(v) if isinstance(v, str) else v for v in (x, y))

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.lineage import stash
+from ..functions.stats import std_from_sums
 from ..operators import attributes as AT
 from ..operators import clustering as CL
 from ..operators import filters as FL
@@ -136,8 +137,8 @@ def att_cluster_labels(spark, sf):
 # ---- relations ----
 
 
-def metric_frame(spark, sf):
-    d = T.supplier_flow(spark, sf).groupBy("series_id").agg(F.avg("value").alias("q_mean"), F.stddev_samp("value").alias("q_std"), F.max("p").alias("p_max"))
+def metric_frame(spark, sf, spread=F.stddev_samp):
+    d = T.supplier_flow(spark, sf).groupBy("series_id").agg(F.avg("value").alias("q_mean"), spread("value").alias("q_std"), F.max("p").alias("p_max"))
     s = T.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("series_id"), "s_acctbal", F.col("s_nationkey").alias("nation"))
     return d.join(s, "series_id")
 
@@ -145,6 +146,10 @@ def metric_frame(spark, sf):
 MF = f"{T.SUPPLIER_SQL}, mf AS (SELECT series_id, q_mean, q_std, p_max, s_acctbal, s_nationkey AS nation FROM (SELECT series_id, avg(value) AS q_mean, stddev_samp(value) AS q_std, max(p) AS p_max FROM sup GROUP BY 1) JOIN supplier ON series_id = CAST(s_suppkey AS VARCHAR))"
 
 
+# Spreads that are equal for equal values in any order, so that ranks of ties are not left to rounding.
+RF = MF.replace("stddev_samp(value)", "CASE WHEN count(value) > 1 THEN sqrt(greatest(count(value) * sum(value * value) - sum(value) * sum(value), 0) / (count(value) * (count(value) - 1))) END")
+
+
 @query("rel_boot_median_ci", "REL-01")
 def rel_boot_median_ci(spark, sf):
     e = T.table(spark, sf, "events")
@@ -163,11 +168,11 @@ def rank_sql(src, x, y, keys):
     return f"SELECT *, rank() OVER ({p} ORDER BY {x}) + (count(*) OVER ({pc(x)}) - 1) / 2.0 AS rx, rank() OVER ({p} ORDER BY {y}) + (count(*) OVER ({pc(y)}) - 1) / 2.0 AS ry FROM {src}"
 
 
-@query("rel_spearman_network", "REL-02", f"WITH {MF}, r AS ({rank_sql('mf', 'q_mean', 'q_std', '')}) SELECT 'all' AS \"all\", corr(rx, ry) AS rho, count(*) AS n_pairs FROM r", "rho")
+@query("rel_spearman_network", "REL-02", f"WITH {RF}, r AS ({rank_sql('mf', 'q_mean', 'q_std', '')}) SELECT 'all' AS \"all\", corr(rx, ry) AS rho, count(*) AS n_pairs FROM r", "rho")
 def rel_spearman_network(spark, sf):
     from ..functions.quantiles import spearman
 
-    return spearman(metric_frame(spark, sf).withColumn("all", F.lit("all")), ["all"], "q_mean", "q_std")
+    return spearman(metric_frame(spark, sf, std_from_sums).withColumn("all", F.lit("all")), ["all"], "q_mean", "q_std")
 
 
 @query("rel_shape_bands", "REL-03", f"""WITH {MF}, s AS (SELECT median(q_mean) FILTER (WHERE s_acctbal < 2000) AS baseline_med, median(q_mean) FILTER (WHERE s_acctbal BETWEEN 3000 AND 5000) AS peak_med, median(q_mean) FILTER (WHERE s_acctbal > 7000) AS high_med,
@@ -210,10 +215,10 @@ def rel_binned_median(spark, sf):
 _TAGGED = "tg AS (SELECT mf.*, subset FROM mf, LATERAL (SELECT unnest(['all', CASE WHEN s_acctbal > 5000 THEN 'rich' END, CASE WHEN nation < 10 THEN 'north' END, CASE WHEN p_max <= (SELECT quantile_cont(p_max, 0.2) FROM mf) THEN 'lowest_fifth' END]) AS subset) WHERE subset IS NOT NULL)"
 
 
-@query("rel_subset_spearman", "REL-06", f"""WITH {MF}, {_TAGGED}, r AS ({rank_sql('tg', 'q_mean', 'q_std', 'subset')}) SELECT subset, corr(rx, ry) AS rho, count(*) AS n_pairs FROM r GROUP BY 1""", "rho")
+@query("rel_subset_spearman", "REL-06", f"""WITH {RF}, {_TAGGED}, r AS ({rank_sql('tg', 'q_mean', 'q_std', 'subset')}) SELECT subset, corr(rx, ry) AS rho, count(*) AS n_pairs FROM r GROUP BY 1""", "rho")
 def rel_subset_spearman(spark, sf):
     """Rank correlation in overlapping subsets, one of them the lowest fifth by another metric."""
-    m = metric_frame(spark, sf)
+    m = metric_frame(spark, sf, std_from_sums)
     low = RL.lowest_share(m, "p_max").select("series_id", F.lit(True).alias("low"))
     tagged = m.join(low, "series_id", "left").withColumn("low", F.coalesce("low", F.lit(False)))
     return RL.subset_spearman(tagged, {"all": F.lit(True), "rich": F.col("s_acctbal") > 5000, "north": F.col("nation") < 10, "lowest_fifth": F.col("low")}, "q_mean", "q_std")

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 
 from freshet.operators import meteo as M
 from freshet.plans import load
@@ -33,6 +34,34 @@ def test_no_fill_has_no_note(spark, tmp_path):
     assert sorted(want) == sorted((r["series_id"], 0, 0, None) for r in rows)
 
 
+def test_equal_spreads_share_a_rank(spark, tmp_path):
+    """Every quantity twice, in another order of days: spreads are equal, however they are added up."""
+    r = np.random.default_rng(2)
+    rows = []
+    for pair in range(150):
+        v = r.integers(1, 50, 25)
+        for twin in (0, 1):
+            rows += [(2 * pair + twin, int(d), float(q)) for d, q in enumerate(r.permutation(v) if twin else v)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE made (k BIGINT, d INTEGER, q DOUBLE)")
+    con.executemany("INSERT INTO made VALUES (?, ?, ?)", rows)
+    con.execute(f"COPY made TO '{tmp_path}/made.parquet'")
+    (tmp_path / "sf").mkdir()
+    sf = tables(
+        tmp_path / "sf",
+        lineitem=f"SELECT l.* REPLACE (k AS l_suppkey, q AS l_quantity, TIMESTAMP '1995-01-01' + to_days(d) AS l_shipdate) FROM '{tmp_path}/made.parquet', (SELECT * FROM lineitem LIMIT 1) l ORDER BY hash(k, d)",
+        supplier="SELECT s.* REPLACE (i AS s_suppkey, 37 * i % 9000 AS s_acctbal) FROM range(300) t(i), (SELECT * FROM supplier LIMIT 1) s")
+    by = np.array([[q for k, _, q in rows if k == i] for i in range(300)])
+    n = by.shape[1]
+    mean, spread = by.sum(axis=1), n * (by**2).sum(axis=1) - by.sum(axis=1) ** 2
+    ranks = lambda x: np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
+    want = np.corrcoef(ranks(mean), ranks(spread))[0, 1]
+    assert load()["rel_spearman_network"].build(spark, sf).first()["rho"] == pytest.approx(want, abs=1e-6)
+    assert agree(spark, sf, "rel_spearman_network") is None
+    assert {r["subset"]: r["rho"] for r in load()["rel_subset_spearman"].build(spark, sf).collect()}["all"] == pytest.approx(want, abs=1e-6)
+    assert agree(spark, sf, "rel_subset_spearman") is None
+
+
 def test_climate_class_does_not_depend_on_the_order_of_months(spark):
     """Equal sums of both halves are a tie, in whatever order the months are added."""
     r = np.random.default_rng(4)
