@@ -89,12 +89,89 @@ def overlap_area(a: Sequence[np.ndarray], b: Sequence[np.ndarray] | None = None)
     return float((np.where(inside, height, 0.0) * (right - left)).sum())
 
 
+def _starts(n: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int)
+
+
+def overlap_areas(ea: np.ndarray, na: np.ndarray, eb: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """``overlap_area`` of many pairs at once: the edges of all pairs one after the other, and their numbers by pair."""
+    out = np.zeros(len(na))
+    sides = []
+    some = (na > 0) & (nb > 0)
+    for e, n in ((ea, na), (eb, nb)):
+        row = np.repeat(np.arange(len(n)), n)
+        lo, hi = np.full(len(n), np.inf), np.full(len(n), -np.inf)
+        if len(e):
+            full = np.flatnonzero(n)
+            lo[full], hi[full] = np.minimum.reduceat(e[:, 0], _starts(n)[full]), np.maximum.reduceat(e[:, 2], _starts(n)[full])
+        sides.append((e, row, lo, hi))
+    lo, hi = np.maximum(sides[0][2], sides[1][2]), np.minimum(sides[0][3], sides[1][3])
+    kept = []
+    for e, row, _, _ in sides:  # only strips that both sides reach
+        keep = some[row] & (e[:, 0] < hi[row]) & (e[:, 2] > lo[row])
+        kept.append((e[keep], row[keep], np.bincount(row[keep], minlength=len(na))))
+    (ea, ra, na), (eb, rb, nb) = kept
+    total = np.where((na > 0) & (nb > 0), na + nb, 0)
+    order = np.argsort(total, kind="stable")
+    order = order[total[order] > 0]
+    sa, sb = _starts(na), _starts(nb)
+    while len(order):
+        wide = 1 << int(np.ceil(np.log2(total[order[0]])))  # pairs of similar numbers of edges, in blocks of bounded size
+        many = min(int(np.searchsorted(total[order], wide, side="right")), max(1, 400_000 // wide**2))
+        rows, order = order[:many], order[many:]
+        wide = int(total[rows].max())
+        e = np.full((many, wide, 4), np.nan)
+        spot = np.arange(wide)
+        mine = spot < na[rows][:, None]
+        other = ~mine & (spot < total[rows][:, None])
+        e[mine] = ea[(sa[rows][:, None] + spot)[mine]]
+        e[other] = eb[(sb[rows][:, None] + spot - na[rows][:, None])[other]]
+        out[rows] = _strip_areas(e, mine)
+    return out
+
+
+def _strip_areas(e: np.ndarray, of_a: np.ndarray) -> np.ndarray:
+    """Areas of a block of pairs, ``(pair, edge, 4)`` filled up with NaN."""
+    slope = (e[..., 3] - e[..., 1]) / (e[..., 2] - e[..., 0])
+    base = e[..., 1] - slope * e[..., 0]
+    i, j = np.triu_indices(e.shape[1], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = (base[:, j] - base[:, i]) / (slope[:, i] - slope[:, j])
+    x[~((x > np.maximum(e[:, i, 0], e[:, j, 0])) & (x < np.minimum(e[:, i, 2], e[:, j, 2])))] = np.nan
+    xs = np.sort(np.concatenate([e[..., 0], e[..., 2], x], axis=1), axis=1)
+    xs[:, 1:][xs[:, 1:] == xs[:, :-1]] = np.nan
+    xs = np.sort(xs, axis=1)
+    n = np.maximum((~np.isnan(xs)).sum(axis=1), 2)
+    out = np.zeros(len(e))
+    order = np.argsort(n, kind="stable")
+    while len(order):
+        few = max(1, 400_000 // (int(n[order[0]]) * e.shape[1]))
+        few = min(few, int(np.searchsorted(n[order], 2 * n[order[0]], side="right")))
+        rows, order = order[:few], order[few:]
+        at = xs[rows, : n[rows].max()]
+        left, right = at[:, :-1, None], at[:, 1:, None]
+        block, k, b = e[rows][:, None], slope[rows][:, None], of_a[rows][:, None]
+        here = (block[..., 0] <= left) & (block[..., 2] >= right)
+        y1, y2 = (block[..., 1] + k * (v - block[..., 0]) for v in (left, right))
+        rank = np.argsort(np.where(here, y1 + y2, np.inf), axis=2, kind="stable")
+        here, y1, y2, mine = (np.take_along_axis(v, rank, axis=2) for v in (here, y1, y2, np.broadcast_to(b, here.shape)))
+        inside = (np.cumsum(here & mine, axis=2) % 2 == 1) & (np.cumsum(here & ~mine, axis=2) % 2 == 1)
+        inside = inside[..., :-1] & here[..., 1:]
+        height = (y1[..., 1:] - y1[..., :-1] + y2[..., 1:] - y2[..., :-1]) / 2
+        out[rows] = np.where(inside, height * (right - left), 0.0).sum(axis=(1, 2))
+    return out
+
+
 def clipped(shape: Sequence[np.ndarray], box: tuple[float, float, float, float]) -> list[np.ndarray]:
     """The rings within a box; pieces stay joined along its sides, where they enclose no area."""
     out = []
     for ring in shape:
+        low, high = ring.min(axis=0), ring.max(axis=0)
+        if low[0] >= box[2] or low[1] >= box[3] or high[0] <= box[0] or high[1] <= box[1]:
+            continue
         for axis, bound, sign in ((0, box[0], 1), (0, box[2], -1), (1, box[1], 1), (1, box[3], -1)):
-            ring = _half(ring, axis, bound, sign) if len(ring) else ring
+            if len(ring) and (low[axis] < bound if sign > 0 else high[axis] > bound):
+                ring = _half(ring, axis, bound, sign)
         if len(ring) > 2:
             out.append(ring)
     return out
@@ -107,50 +184,71 @@ def cell_box(level: int, cx: int, cy: int) -> tuple[float, float, float, float]:
 
 def cover(shape: list[np.ndarray]) -> list[tuple[int, int, int, bool, float, list[np.ndarray]]]:
     """``level, cx, cy, inner, area, rings`` of the cells that make up a polygon; inner cells have no rings."""
-    shape = [r for r in shape if len(r) > 2]
-    if not shape:
-        return []
-    points = np.concatenate(shape)
-    low, high = points.min(axis=0), points.max(axis=0)
-    first = int(np.clip(np.floor(np.log2(360.0 / max((high - low).max(), 1e-9))), 0, DEEPEST))
-    size = 360.0 / (1 << first)
-    corner, last = (np.clip(np.floor((v + 180) / size), 0, (1 << first) - 1).astype(int) for v in (low, high))
-    todo = [(first, x, y, shape) for x in range(corner[0], last[0] + 1) for y in range(corner[1], last[1] + 1)]
-    out = []
-    while todo:
-        level, cx, cy, above = todo.pop()
-        box = cell_box(level, cx, cy)
-        own = clipped(above, box)
-        area, whole = overlap_area(own), (box[2] - box[0]) * (box[3] - box[1])
-        if area <= 0:
+    return [cell[1:] for cell in covers([shape])]
+
+
+def covers(shapes: Sequence[list[np.ndarray]]) -> list[tuple[int, int, int, int, bool, float, list[np.ndarray]]]:
+    """The cells of several polygons, each after the polygon's number; areas of one level of splits come together."""
+    todo, out = [], []
+    for k, shape in enumerate(shapes):
+        shape = [r for r in shape if len(r) > 2]
+        if not shape:
             continue
-        if area >= whole * (1 - 1e-12):
-            out.append((level, cx, cy, True, whole, []))
-        elif sum(map(len, own)) <= CORNERS or level >= min(first + DEPTH, DEEPEST):
-            out.append((level, cx, cy, False, area, own))
-        else:
-            todo += [(level + 1, 2 * cx + i, 2 * cy + j, own) for i in (0, 1) for j in (0, 1)]
+        points = np.concatenate(shape)
+        low, high = points.min(axis=0), points.max(axis=0)
+        first = int(np.clip(np.floor(np.log2(360.0 / max((high - low).max(), 1e-9))), 0, DEEPEST))
+        size = 360.0 / (1 << first)
+        corner, last = ([min(max(int((x + 180) // size), 0), (1 << first) - 1) for x in v] for v in (low, high))
+        todo += [(k, first, first, x, y, shape) for x in range(corner[0], last[0] + 1) for y in range(corner[1], last[1] + 1)]
+    while todo:
+        boxes = [cell_box(level, cx, cy) for _, _, level, cx, cy, _ in todo]
+        owns = [clipped(above, box) for (*_, above), box in zip(todo, boxes)]
+        edges = [_edges(own) for own in owns]
+        around = np.array([(x1, y, x2, y) for x1, y1, x2, y2 in boxes for y in (y1, y2)])
+        areas = overlap_areas(np.concatenate(edges), np.array([len(e) for e in edges]), around, np.full(len(boxes), 2))
+        below = []
+        for (k, first, level, cx, cy, _), box, own, area in zip(todo, boxes, owns, areas.tolist()):
+            whole = (box[2] - box[0]) * (box[3] - box[1])
+            if area <= 0:
+                continue
+            if area >= whole * (1 - 1e-12):
+                out.append((k, level, cx, cy, True, whole, []))
+            elif sum(map(len, own)) <= CORNERS or level >= min(first + DEPTH, DEEPEST):
+                out.append((k, level, cx, cy, False, area, own))
+            else:
+                below += [(k, first, level + 1, 2 * cx + i, 2 * cy + j, own) for i in (0, 1) for j in (0, 1)]
+        todo = below
     return out
 
 
 def covered(vertices: DataFrame) -> DataFrame:
-    """Cells of all polygons: ``poly_id, level, cx, cy, inner, area, rings``."""
+    """Cells of all polygons: ``poly_id, level, cx, cy, inner, area, edges, box``, edges and box being those of the part in the cell.
+
+    Polygons with a corner beyond a pole enclose nothing: on the plane they would fold back over others.
+    """
     shapes = rings(vertices).groupBy("poly_id").agg(F.collect_list(F.transform("vertices", lambda p: F.array(p["x"], p["y"]))).alias("rings"))
+    shapes = shapes.where(~F.exists("rings", lambda r: F.exists(r, lambda p: F.coalesce(F.abs(p[1]) > 90, F.lit(False)))))
     ids = shapes.schema["poly_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             rows = []
-            for poly, shape in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                plain = [flat(np.array(r, float)) for r in shape if len(r) > 2 and all(None not in p for p in r)]
-                rows += [(poly, level, cx, cy, inner, area, [r.tobytes() for r in own]) for level, cx, cy, inner, area, own in cover(plain)]
-            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.list_(pa.binary())]
+            polys = batch.column(0).to_pylist()
+            for at in range(0, len(polys), 500):
+                plain = [[flat(np.array(r, float)) for r in shape if len(r) > 2 and all(None not in p for p in r)] for shape in batch.column(1)[at : at + 500].to_pylist()]
+                for k, level, cx, cy, inner, area, own in covers(plain):
+                    x1, y1, x2, y2 = cell_box(level, cx, cy)
+                    edges = np.array([(x1, y1, x2, y1), (x1, y2, x2, y2)]) if inner else _edges(own)
+                    box = [edges[:, 0].min(), edges[:, [1, 3]].min(), edges[:, 2].max(), edges[:, [1, 3]].max()]
+                    rows.append((polys[at + k], level, cx, cy, inner, area, edges.tobytes(), box))
+            types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.binary(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["poly_id", "level", "cx", "cy", "inner", "area", "rings"])
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["poly_id", "level", "cx", "cy", "inner", "area", "edges", "box"])
 
     # Few bytes but much work each, so adaptive plans must not bring them together in few tasks.
-    spread = shapes.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), "poly_id")
-    return spread.mapInArrow(run, f"poly_id {ids}, level int, cx bigint, cy bigint, inner boolean, area double, rings array<binary>")
+    # The key is hashed, as a shuffle by the key itself would be taken from the aggregation before, which they do shrink.
+    spread = shapes.repartition(int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("poly_id"))
+    return spread.mapInArrow(run, f"poly_id {ids}, level int, cx bigint, cy bigint, inner boolean, area double, edges binary, box array<double>")
 
 
 def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -172,27 +270,29 @@ def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
     def met(deep: DataFrame, wide: DataFrame, swapped: bool) -> DataFrame:
         # A wide cell may hold most of the other table's cells.
         both = salted_join(deep, wide, ["l", "x", "y"], ["own"])
+        for low, high in ((0, 2), (1, 3)):
+            for one, two in (("deep", "wide"), ("wide", "deep")):
+                both = both.where(F.col(f"{one}.box")[low] < F.col(f"{two}.box")[high])
         first, second = ("wide", "deep") if swapped else ("deep", "wide")
         return both.select(
             F.col(f"{first}.poly_id").alias("a_id"), F.col(f"{second}.poly_id").alias("b_id"), F.col("wide.inner").alias("plain"), F.col("deep.area").alias("area"),
-            "deep.level", "deep.cx", "deep.cy", F.col("deep.inner").alias("full"), F.when(~F.col("wide.inner"), F.col("deep.rings")).alias("r1"), F.when(~F.col("wide.inner"), F.col("wide.rings")).alias("r2"))
+            "deep.level", "deep.cx", "deep.cy", F.when(~F.col("wide.inner"), F.col("deep.edges")).alias("e1"), F.when(~F.col("wide.inner"), F.col("wide.edges")).alias("e2"))
 
     pairs = met(above(ca, False), holders(cb), False).union(met(above(cb, True), holders(ca), True))
     ids = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("a_id", "b_id"))
 
     def run(batches):
         for batch in batches:
-            r = batch.to_pydict()
-            out = []
-            for level, cx, cy, full, one, two in zip(*[r[c] for c in ("level", "cx", "cy", "full", "r1", "r2")]):
-                box = cell_box(level, cx, cy)
-                read = lambda x: [np.frombuffer(v, float).reshape(-1, 2) for v in x]
-                other = clipped(read(two), box)
-                out.append(overlap_area(other) if full else overlap_area(read(one), other))
+            # The deep part lies in its cell, so the wide one need not be clipped to it.
+            sides = []
+            for side in ("e1", "e2"):
+                v = batch.column(side).to_pylist()
+                sides += [np.frombuffer(b"".join(v), float).reshape(-1, 4), np.array([len(x) // 32 for x in v], int)]
+            out = overlap_areas(*sides)
             yield pa.RecordBatch.from_arrays([batch.column("a_id"), batch.column("b_id"), pa.array(out, pa.float64())], names=["a_id", "b_id", "area"])
 
     inside = pairs.where("plain").select("a_id", "b_id", "area")
-    work = pairs.where("NOT plain").drop("plain", "area").repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_id", "b_id", "level", "cx", "cy")
+    work = pairs.where("NOT plain").drop("plain", "area").repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a_id", "b_id", "level", "cx", "cy").select("a_id", "b_id", "e1", "e2")
     crossed = work.mapInArrow(run, f"{ids}, area double")
     sums = inside.union(crossed).groupBy("a_id", "b_id").agg((F.sum("area") * float(KM2)).alias("overlap_km2"))
     return sums.where("overlap_km2 > 0")

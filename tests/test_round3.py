@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from freshet.operators import meteo as M
+from freshet.operators import overlay as OL
 from freshet.plans import load
 
 from tests.oracle_check import TABLES, compare, connect
@@ -72,3 +73,23 @@ def test_climate_class_does_not_depend_on_the_order_of_months(spark):
         rows += [(str(i), m, 12.0 if k < 6 else -2.0, float(p[k])) for k, m in enumerate(months)]
     df = spark.createDataFrame(rows, "series_id string, month int, t double, p double")
     assert {x["climate_class"] for x in M.climate_class(df).collect()} == {"Dwb"}
+
+
+def test_areas_of_many_pairs_at_once():
+    r = np.random.default_rng(8)
+    star = lambda n, x, y, d: np.stack([x + (w := d * (1 - 0.6 * r.random(n))) * np.cos(t := np.arange(n) * 2 * np.pi / n), y + w * np.sin(t)], axis=1)
+    pairs = [([star(int(r.integers(3, 40)), *r.uniform(0, 3, 2), 1.5) for _ in range(int(r.integers(0, 3)))] for _ in range(2)) for _ in range(300)]
+    pairs = [(list(a), list(b)) for a, b in pairs]
+    pairs += [([np.array([(0, 0), (1, 0), (1, 1), (0, 1.0)])], [np.array([(x, 0), (x + 1, 0), (x + 1, 1), (x, 1.0)])]) for x in (0, 0.5, 1, 2)]
+    edges = [[OL._edges(s) for s in side] for side in zip(*pairs)]
+    flat = [v for side in edges for v in (np.concatenate(side), np.array([len(e) for e in side]))]
+    got = OL.overlap_areas(*flat)
+    assert got == pytest.approx([OL.overlap_area(a, b) for a, b in pairs], rel=1e-9, abs=1e-12)
+    assert (got > 0).sum() > 100 and list(got[-4:]) == pytest.approx([1, 0.5, 0, 0])
+
+
+def test_polygons_beyond_a_pole_do_not_fold_back(spark):
+    box = lambda name, y: [(name, 1, 0, i, 10.0 + dx, y + dy) for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+    table = lambda rows: spark.createDataFrame([(n, p, r, i, float(x), float(y)) for n, p, r, i, x, y in rows], "poly_id string, part int, ring int, seq int, lon double, lat double")
+    got = OL.overlaps(table(box("a", 60) + box("far", 100)), table(box("same", 60.5) + box("mirror", 119.2) + box("near", 79.5))).collect()
+    assert {(r["a_id"], r["b_id"]) for r in got} == {("a", "same")}
