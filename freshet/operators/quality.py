@@ -85,9 +85,9 @@ def constant_runs(
     w = R.ordered(keys)
     same = F.abs(val() - F.lag("value").over(w)) <= tolerance
     base = df.where(val().isNotNull()).withColumn("breaks", F.when(same, 0).otherwise(1))
-    base = base.withColumn("grp", F.sum("breaks").over(R.upto(keys)))
+    base = base.withColumn("grp", F.sum("breaks").over(R.upto(keys))).withColumn("alone", (F.col("breaks") == 1) & (F.coalesce(F.lead("breaks").over(w), F.lit(1)) == 1))
     out = (
-        base.groupBy(*keys, "grp")
+        base.where("NOT alone").groupBy(*keys, "grp")  # most rows are runs of one, which need no group
         .agg(
             F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n_days"),
             F.min_by("value", "date").alias("run_value"),

@@ -3,9 +3,11 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from freshet.operators import meteo as M
 from freshet.operators import overlay as OL
+from freshet.operators import quality as Q
 from freshet.plans import load
 
 from tests.oracle_check import TABLES, compare, connect
@@ -93,3 +95,15 @@ def test_polygons_beyond_a_pole_do_not_fold_back(spark):
     table = lambda rows: spark.createDataFrame([(n, p, r, i, float(x), float(y)) for n, p, r, i, x, y in rows], "poly_id string, part int, ring int, seq int, lon double, lat double")
     got = OL.overlaps(table(box("a", 60) + box("far", 100)), table(box("same", 60.5) + box("mirror", 119.2) + box("near", 79.5))).collect()
     assert {(r["a_id"], r["b_id"]) for r in got} == {("a", "same")}
+
+
+def test_rows_without_a_neighbour_make_no_group(spark):
+    """Only rows of runs of two and more reach the aggregation, however many others there are."""
+    rows = [("a", f"2000-01-{d:02d}", float(v)) for d, v in enumerate([1, 2, 2, 3, 4, 4, 4, 5, 1, 1], 1)] + [("b", "2000-01-01", 7.0), ("c", "2000-01-01", 7.0), ("c", "2000-02-01", 7.0)]
+    df = spark.createDataFrame(rows, "series_id string, date string, value double").withColumn("date", F.to_date("date"))
+    runs = Q.constant_runs(df, min_days=2)
+    got = sorted((r["series_id"], str(r["start"]), r["n_days"], r["run_value"]) for r in runs.collect())
+    assert got == [("a", "2000-01-02", 2, 2.0), ("a", "2000-01-05", 3, 4.0), ("a", "2000-01-09", 2, 1.0), ("c", "2000-01-01", 2, 7.0)]
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Aggregate"):]
+    assert below.index("Filter") < below.index("lead(")
