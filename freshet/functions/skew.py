@@ -35,3 +35,8 @@ def hot_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequen
     last = F.when(F.col(weight) > limit, salts - 1).otherwise(0).cast("long")
     s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     return b.join(s, [*on, "_salt"]).drop("_salt", "_salts", weight)
+
+
+def finer(df: DataFrame, *keys: str, times: int = 4) -> DataFrame:
+    """Shuffle by ``keys`` into several times the session's partitions, for sorts of tables that are much longer than their input."""
+    return df.repartition(times * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as C
 from ..functions import runs as R
+from ..functions.skew import finer
 from ..functions import stats as S
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -118,7 +119,7 @@ def merge_fragments(
     cells = fragments.where(val().isNotNull()).groupBy(*k, "date").agg(F.min_by("value", order).alias("value"))
     span = fragments.groupBy(*k).agg(F.min("date").alias("first_day"), F.max("date").alias("last_day"))
     grid = C.dense_days(span, start, end, keys)
-    return grid.join(cells, [*k, "date"], "left")
+    return finer(grid, *k, "date").join(finer(cells, *k, "date"), [*k, "date"], "left")
 
 
 def coalesce_tables(first: DataFrame, second: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -303,7 +304,7 @@ def edge_fills(df: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """Mark filled runs that do not have an observed row on both sides, from ``(present, filled)``."""
     w = R.ordered(keys)
     seen = F.col("present") & ~F.col("filled")
-    base = R.mark_runs(df.withColumn("_obs", seen), F.col("filled"), keys, contiguous=False, prefix="fr")
+    base = R.mark_runs(finer(df, *keys).withColumn("_obs", seen), F.col("filled"), keys, contiguous=False, prefix="fr")
     base = base.select("*", F.lag("_obs").over(w).alias("_lo"), F.lead("_obs").over(w).alias("_hi"), F.lead("fr_flag").over(w).alias("_nf"))
     run = Window.partitionBy(*keys, "fr_id")
     left = F.max(F.when(F.col("fr_first"), F.coalesce("_lo", F.lit(False)))).over(run)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from freshet.operators import ingest as IN
 from freshet.operators import meteo as M
 from freshet.operators import overlay as OL
 from freshet.operators import quality as Q
@@ -107,3 +108,14 @@ def test_rows_without_a_neighbour_make_no_group(spark):
     plan = runs._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Aggregate"):]
     assert below.index("Filter") < below.index("lead(")
+
+
+def test_calendars_are_sorted_in_small_parts(spark):
+    """A dense calendar is many times longer than its input, so it takes more tasks than the session's shuffles."""
+    rows = [(str(k), f"20{y:02d}-01-01", float(10 + 30 * (y % 2)), 1) for k in range(40) for y in range(3)]
+    d = IN.merge_fragments(spark.createDataFrame(rows, "series_id string, date string, value double, file int").withColumn("date", F.to_date("date")))
+    edges = IN.edge_fills(d.select("series_id", "date", F.col("value").isNotNull().alias("present"), F.coalesce(F.col("value") < 30, F.lit(False)).alias("filled")))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = edges.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert edges.count() == 40 * 732 and edges.where("edge").count() == 80
+    assert d.rdd.getNumPartitions() == edges.rdd.getNumPartitions() == parts and len(sizes) > parts / 4
