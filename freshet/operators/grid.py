@@ -11,12 +11,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats as S
+from ..functions.lineage import stash
+from ..functions.skew import finer
 from . import spatial as SP
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -27,6 +30,9 @@ CLIPPED = ("prcp", "precip", "precipitation", "et", "evap")
 UNIT_FACTOR = {"m": 1000.0, "mm": 1.0}
 SMALL_KM2 = 5.0
 CELLS_PER_ROW = 256
+TILE = 1.0  # side of a block's corner area, in the grid's units
+BLOCK_ROWS = 1 << 16  # weights of a block
+STEP_ROWS = 1 << 21  # records and sums held at once inside a block
 
 
 def unit_factor(variable: str, unit: str) -> float:
@@ -111,7 +117,8 @@ def fractional_weights(vertices: DataFrame, cells: DataFrame, res: float) -> Dat
     chunk = F.floor(F.col("lon") / (CELLS_PER_ROW * res))
     chunks = pairs.groupBy("poly_id", "lat", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("lon")).alias("lons"))
     shapes = SP.rings(vertices).where(F.size("vertices") > 2).select("poly_id", "part", "ring", "hole", "vertices")
-    rows = chunks.join(shapes, "poly_id").select("poly_id", "lat", "hole", F.explode(F.arrays_zip("lons", overlaps("vertices", "lat", "lons").alias("c"))).alias("z"))
+    # Few bytes, much work: without a fixed number of parts adaptive execution would leave one or two tasks.
+    rows = finer(chunks, "poly_id", times=1).join(shapes, "poly_id").select("poly_id", "lat", "hole", F.explode(F.arrays_zip("lons", overlaps("vertices", "lat", "lons").alias("c"))).alias("z"))
     area = SP.ring_area(F.col("z.c"))
     raw = rows.where(F.size("z.c") > 2).select("poly_id", "lat", F.col("z.lons").alias("lon"), F.when(F.col("hole"), -area).otherwise(area).alias("a"))
     total = raw.groupBy("poly_id", "lat", "lon").agg(F.sum("a").alias("a")).where("a > 1e-9")  # a cell inside a hole leaves only rounding
@@ -136,6 +143,87 @@ def stale_polygons(stored: DataFrame, vertices: DataFrame, cells: DataFrame, res
     return j.where("_n IS NULL OR _o IS NULL").select("poly_id").distinct()
 
 
+def _block_sums(variables: Sequence[str]):
+    """Sums of one block: its records and its weights joined by cell, added up by polygon and day."""
+
+    def coded(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+        d = pa.concat_arrays(column.chunks).dictionary_encode("encode")
+        return d.indices.to_numpy(zero_copy_only=False), d.dictionary
+
+    def sums(field: pa.Table, weights: pa.Table) -> pa.Table:
+        if not field.num_rows or not weights.num_rows:
+            return pa.table({})
+        n = field.num_rows
+        code = np.zeros(n + weights.num_rows, np.int64)
+        for c in ("lat", "lon"):
+            values, at = np.unique(np.concatenate([field[c].to_numpy(), weights[c].to_numpy()]), return_inverse=True)
+            code = code * len(values) + at
+        order = np.argsort(code[:n], kind="stable")
+        days, dates = coded(field["date"])
+        polys, ids = coded(weights["poly_id"])
+        by_poly = np.argsort(polys, kind="stable")
+        polys, cells = polys[by_poly], code[n:][by_poly]
+        w = weights["w"].fill_null(0.0).to_numpy()[by_poly]
+        has_w = weights["w"].is_valid().to_numpy()[by_poly]
+        records = code[:n][order]
+        start = np.searchsorted(records, cells, "left")
+        length = np.searchsorted(records, cells, "right") - start
+        day = days[order]
+        x = {v: field[v].fill_null(0.0).to_numpy()[order] for v in variables}
+        valid = {v: field[v].is_valid().to_numpy()[order] for v in variables}
+        # Polygons in steps that hold a bounded number of records and of sums.
+        cost = np.maximum(np.bincount(polys, weights=length, minlength=len(ids)), len(dates))
+        step = (np.cumsum(cost) // STEP_ROWS)[polys]
+        out = []
+        for s in np.unique(step):
+            i = np.flatnonzero(step == s)
+            first, k = polys[i[0]], length[i]
+            at = np.repeat(start[i] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            key = np.repeat(polys[i] - first, k) * np.int64(len(dates)) + day[at]
+            size = int((polys[i[-1]] - first + 1) * len(dates))
+            hit = np.flatnonzero(np.bincount(key, minlength=size))
+            wk, known = np.repeat(w[i], k), np.repeat(has_w[i], k)
+            columns = [ids.take(pa.array(hit // len(dates) + first)), dates.take(pa.array(hit % len(dates)))]
+            for v in variables:
+                ok = valid[v][at] & known
+                none = np.bincount(key, weights=ok, minlength=size)[hit] == 0
+                total, share = np.bincount(key, weights=np.where(ok, x[v][at] * wk, 0.0), minlength=size)[hit], np.bincount(key, weights=np.where(ok, wk, 0.0), minlength=size)[hit]
+                columns += [pa.array(total, mask=none), pa.array(share, mask=none)]
+            out.append(pa.Table.from_arrays(columns, ["poly_id", "date", *[f"{c}_{v}" for v in variables for c in ("_a", "_w")]]))
+        return pa.concat_tables(out)
+
+    return sums
+
+
+def daily_sums(field: DataFrame, weights: DataFrame, variables: Sequence[str], tile: float = TILE) -> DataFrame:
+    """``(poly_id, date, _a_v, _w_v ...)``: sums of value times weight, and of the weights with a value, per variable.
+
+    Polygons that fit a tile are dealt to blocks by the tile of their lowest corner, crowded tiles to several;
+    the records of a cell travel to the blocks that use it, and sums are made there, so that no row
+    stands for a cell, a polygon and a day in a shuffle.  A block holds the records of at most four
+    tiles.  Wider polygons are joined by cell and added up by polygon and day over all tasks.
+    """
+    w = stash(weights.select("poly_id", "lat", "lon", F.col("w").cast("double").alias("w")), "grid-weights")
+    box = w.groupBy("poly_id").agg(*[f(c).alias(n) for f, c, n in ((F.min, "lon", "x1"), (F.max, "lon", "x2"), (F.min, "lat", "y1"), (F.max, "lat", "y2"))], F.count("*").alias("n"))
+    box = box.withColumn("wide", (F.col("x2") - F.col("x1") > tile) | (F.col("y2") - F.col("y1") > tile))
+    f = field.select("lat", "lon", "date", *[F.col(v).cast("double").alias(v) for v in variables])
+    home = box.where("NOT wide").select("poly_id", "n", F.floor(F.col("x1") / tile).alias("tx"), F.floor(F.col("y1") / tile).alias("ty"))
+    crowd = home.groupBy("tx", "ty").agg(F.ceil(F.sum("n") / BLOCK_ROWS).alias("parts"))
+    block = home.join(crowd, ["tx", "ty"]).select("poly_id", F.xxhash64("tx", "ty", F.pmod(F.xxhash64("poly_id"), F.col("parts"))).alias("block"))
+    narrow = stash(w.join(block, "poly_id"), "grid-blocks")
+    spread = f.join(narrow.select("lat", "lon", F.col("block").alias("part")).distinct(), ["lat", "lon"])
+    names = [f"{c}_{v}" for v in variables for c in ("_a", "_w")]
+    schema = T.StructType([T.StructField("poly_id", w.schema["poly_id"].dataType), T.StructField("date", f.schema["date"].dataType), *[T.StructField(c, T.DoubleType()) for c in names]])
+    place = [F.col(c).cast("double").alias(c) for c in ("lat", "lon")]
+    records = spread.select("part", *place, "date", *variables).groupBy("part")
+    sums = records.cogroup(narrow.select("block", "poly_id", *place, "w").groupBy("block")).applyInArrow(_block_sums(list(variables)), schema)
+    far = w.join(box.where("wide").select("poly_id"), "poly_id", "left_semi")
+    if far.isEmpty():
+        return sums
+    aggs = [a for v in variables for a in (F.sum(F.col(v) * F.col("w")).alias(f"_a_{v}"), F.sum(F.when(F.col(v).isNotNull(), F.col("w"))).alias(f"_w_{v}"))]
+    return sums.unionByName(f.join(far, ["lat", "lon"]).groupBy("poly_id", "date").agg(*aggs))
+
+
 def catchment_means(
     field: DataFrame, weights: DataFrame, variables: Sequence[str], areas: DataFrame | None = None,
     unit: str = "mm", small_km2: float = SMALL_KM2,
@@ -151,12 +239,11 @@ def catchment_means(
         w = w.join(areas.select("poly_id", "area_km2"), "poly_id").withColumn(
             "w", F.when(F.col("area_km2") < small_km2, F.col("w")).otherwise(1.0)
         )
-    j = field.join(w.select("poly_id", "lat", "lon", "w"), ["lat", "lon"])
-    aggs = []
+    means = []
     for v in variables:
-        m = S.div(F.sum(F.col(v) * F.col("w")), F.sum(F.when(F.col(v).isNotNull(), F.col("w")))) * unit_factor(v, unit)
-        aggs.append((F.greatest(m, F.lit(0.0)) if v in CLIPPED else m).alias(v))
-    return j.groupBy("poly_id", "date").agg(*aggs)
+        m = S.div(F.col(f"_a_{v}"), F.col(f"_w_{v}")) * unit_factor(v, unit)
+        means.append((F.greatest(m, F.lit(0.0)) if v in CLIPPED else m).alias(v))
+    return daily_sums(field, w, variables).select("poly_id", "date", *means)
 
 
 def touched_means(
