@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.skew import finer
 from ..functions.stats import nan_to_null
+from . import stations
 
 
 def read_attributes(spark: SparkSession, path: str, ids: DataFrame | None = None, id_col: str = "series_id") -> DataFrame:
@@ -52,14 +54,13 @@ def write_station_files(df: DataFrame, path: str, country: str = "country", mode
 
     A series is bounded by the calendar, so it fits the task that sorts its lines.
     """
-    text = lambda label, c: F.concat(F.lit(f"# {label}: "), F.col(c).cast("string"))
-    # The header lines of these files, and the number that stands for a missing value.
-    head = F.array(text("GRDC-No.", "series_id"), text("Country", country), F.lit("YYYY-MM-DD;hh:mm; Value"))
-    heads = df.groupBy("series_id").agg(F.max(country).alias(country)).select("series_id", F.posexplode(head).alias("at", "line"))
-    number = F.coalesce(F.format_string("%.3f", "value"), F.lit("-999.000"))
-    body = df.select("series_id", (F.datediff("date", F.lit("0001-01-01").cast("date")) + 3).alias("at"), F.concat_ws(";", F.date_format("date", "yyyy-MM-dd"), F.lit("--:--"), number).alias("line"))
-    lines = heads.unionByName(body).repartition("series_id").sortWithinPartitions("series_id", "at")
-    lines.select("line", F.col("series_id").alias("series")).write.mode(mode).partitionBy("series").text(path)
+    # The number that stands for a missing value, and its format.
+    number = F.when(F.col("value").isNotNull(), F.format_string("%.3f", "value")).otherwise("-999.000")
+    line = F.concat_ws(";", F.date_format("date", "yyyy-MM-dd"), F.lit("--:--"), number)
+    stations.register(df.sparkSession)
+    # Few bytes make many files, so the parts keep the session's number.
+    lines = finer(df.select("series_id", F.col(country).cast("string").alias("country"), "date", line.alias("line")), "series_id", times=1)
+    lines.sortWithinPartitions("series_id", "date").select(F.col("series_id").cast("string"), "country", "line").write.format("station_files").mode(mode).save(path)
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

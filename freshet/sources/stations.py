@@ -15,6 +15,11 @@ Small files are packed into partitions of about ``partitionBytes``; each file is
 does not grow with it.  Filters on ``series_id`` and ``country`` reach the reader: with the id in the file's
 name other files are not opened, with the id in the header only their headers are read.
 
+Writing takes rows of ``series_id``, ``line`` and perhaps ``country``, those of a series one after another in one
+partition, and makes one headed file per series.  A task fills a hidden folder of its own; the end of the job shows
+these folders, so the driver's part grows with tasks and not with files.  The address needs folders that
+can be renamed (local, HDFS).
+
 A stream's offset is the latest (time of change, path) it has handed out, so a batch is the files
 between two offsets and a replay reads the same ones.  Files must not change once written, and
 appear with the present time; those younger than ``settle`` wait for the next batch.
@@ -30,14 +35,18 @@ import fnmatch
 import math
 import sys
 import time
+import uuid
 from collections.abc import Iterator
 from datetime import date
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pfs
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage,
+)
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -250,8 +259,70 @@ class StreamReader(DataSourceStreamReader):
         """Nothing is held for batches that are done."""
 
 
+class Written(WriterCommitMessage):
+    """The folder that a task has filled."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+
+class Writer(DataSourceArrowWriter):
+    """One headed file per series; a task holds the lines of one series, which the calendar bounds."""
+
+    def __init__(self, set_: Settings, columns: list[str], overwrite: bool):
+        if set_.layout != "headed" or not {"series_id", "line"} <= set(columns):
+            raise ValueError("station files are written with the headed layout, from series_id and line")
+        self.set_, self.overwrite, self.job = set_, overwrite, uuid.uuid4().hex
+
+    def pending(self, root: str) -> str:
+        return f"{root.rstrip('/')}/.pending-{self.job}"
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        fs, root = opened(self.set_.path)
+        folder = f"{self.pending(root)}/{uuid.uuid4().hex}"
+        fs.create_dir(folder, recursive=True)
+        held: list[str] = []
+        series = country = None
+        count = 0
+
+        def put() -> None:
+            marks = [f"# {mark}: {value}" for mark, value in (("GRDC-No.", series), ("Country", country)) if value is not None]
+            body = "\n".join([*marks, f"{self.set_.date};hh:mm; {self.set_.value}", *held, ""])
+            with fs.open_output_stream(f"{folder}/{quote(series or '', safe='')[:150]}-{count}.txt") as f:
+                f.write(body.encode("latin-1", "replace"))
+
+        for batch in iterator:
+            ids, texts = batch.column("series_id").to_pylist(), batch.column("line").to_pylist()
+            places = batch.column("country").to_pylist() if "country" in batch.schema.names else [None] * len(ids)
+            for id_, text, place in zip(ids, texts, places):
+                if id_ != series and held:
+                    put()
+                    held, country, count = [], None, count + 1
+                series = id_
+                country = max(country, place) if country is not None and place is not None else country if place is None else place
+                held.append(text or "")
+        if held:
+            put()
+        return Written(folder)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        fs, root = opened(self.set_.path)
+        if self.overwrite:
+            for f in fs.get_file_info(pfs.FileSelector(root, allow_not_found=True)):
+                if not f.base_name.startswith("."):
+                    fs.delete_file(f.path) if f.is_file else fs.delete_dir(f.path)
+        for n, m in enumerate(m for m in messages if m):
+            fs.move(m.folder, f"{root.rstrip('/')}/part-{n:05d}-{self.job}")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        fs, root = opened(self.set_.path)
+        if fs.get_file_info(self.pending(root)).type != pfs.FileType.NotFound:
+            fs.delete_dir(self.pending(root))
+
+
 class StationFiles(DataSource):
-    """``spark.read.format("station_files")``."""
+    """``spark.read.format("station_files")``, and ``df.write`` with the same format."""
 
     @classmethod
     def name(cls) -> str:
@@ -266,6 +337,9 @@ class StationFiles(DataSource):
     def streamReader(self, schema) -> StreamReader:
         return StreamReader(Settings(self.options))
 
+    def writer(self, schema, overwrite: bool) -> Writer:
+        return Writer(Settings(self.options), schema.names, overwrite)
+
 
 def register(spark: SparkSession) -> None:
     """Make the format known to a session, with its filters passed on to the reader."""

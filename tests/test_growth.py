@@ -7,6 +7,7 @@ import random
 import pytest
 
 from freshet.operators import grid as GR
+from freshet.sources import files as FI
 
 
 def grid_case(spark):
@@ -47,3 +48,22 @@ def test_gridded_means_shuffle_no_row_per_cell_polygon_and_day(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(poly_id" not in plan
     assert df.where("poly_id = 'off'").count() == 0 and GR.catchment_means(f.limit(0), w, ["v"]).count() == 0 and GR.catchment_means(f, w.limit(0), ["v"]).count() == 0
+
+
+def test_station_files_are_shown_by_folder_of_a_task(spark, tmp_path):
+    rows = [(s, dt.date(2001, 1, d), None if d == 3 else d + 0.0005, "RU" if s != "b/ 2" else None) for s in ("a", "b/ 2", "c") for d in (1, 3, 2)]
+    df = spark.createDataFrame(rows, "series_id string, date date, value double, country string")
+    FI.write_station_files(df, str(tmp_path / "in"))
+    shown = sorted((tmp_path / "in").rglob("*"))
+    folders = [p for p in shown if p.is_dir()]
+    # Folders follow tasks, not series, and nothing hidden stays behind.
+    assert all(p.name.startswith("part-") for p in folders) and len([p for p in shown if p.suffix == ".txt"]) == 3 and not any(p.name.startswith(".") for p in shown)
+    texts = {p.name: p.read_text() for p in shown if p.is_file()}
+    assert texts[next(n for n in texts if n.startswith("a-"))] == "# GRDC-No.: a\n# Country: RU\nYYYY-MM-DD;hh:mm; Value\n2001-01-01;--:--;1.001\n2001-01-02;--:--;2.001\n2001-01-03;--:--;-999.000\n"
+    read = lambda: sorted((r.series_id, r.country, r.date.day, r.value) for r in spark.read.format("station_files").load(str(tmp_path / "in")).collect())
+    assert read() == [(s, c, d, d + 0.001) for s, c in (("a", "RU"), ("b/ 2", None), ("c", "RU")) for d in (1, 2)]
+    FI.write_station_files(df.where("series_id = 'c'"), str(tmp_path / "in"), mode="overwrite")
+    assert read() == [("c", "RU", 1, 1.001), ("c", "RU", 2, 2.001)]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"):
+        FI.write_station_files(df.withColumn("value", df.value / 0), str(tmp_path / "in"))
+    assert read() == [("c", "RU", 1, 1.001), ("c", "RU", 2, 2.001)] and not any(p.name.startswith(".") for p in (tmp_path / "in").iterdir())
