@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import calendar as C
 from ..operators import ingest as IN
 
 KEY = ("series_id",)
@@ -17,15 +16,27 @@ RESERVED = "weights"
 
 
 def complete_calendar(a: DataFrame, b: DataFrame, start: str, end: str, keys: Sequence[str] = KEY) -> DataFrame:
-    """Two products on a dense calendar with the availability of the first in percent."""
+    """Two products on a dense calendar with the availability of the first in percent.
+
+    Only days with a value are shuffled and sorted: each is followed by the empty days up to the next
+    one, and a mark before the first day of the calendar by those ahead of the first value.
+    """
     k = list(keys)
-    ids = a.select(*k).distinct()
-    grid = C.dense_days(ids, start, end, keys)
-    j = grid.join(a.select(*k, "date", F.col("value").alias("p_a")), [*k, "date"], "left").join(
-        b.select(*k, "date", F.col("value").alias("p_b")), [*k, "date"], "left"
-    )
-    w = Window.partitionBy(*k)
-    return j.withColumn("availability", F.round(F.count("p_a").over(w) / F.count("*").over(w) * 100, 0))
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    within = lambda d, name: d.where(F.col("date").between(first, last) & F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in k))).select(*k, "date", F.col("value").alias(name))
+    both = within(a, "p_a").join(within(b, "p_b"), [*k, "date"], "full_outer").withColumn("_mark", F.lit(False))
+    marks = a.select(*k).distinct().select(*k, F.date_sub(first, 1).alias("date"), F.lit(True).alias("_mark"))
+    rows = both.unionByName(marks, allowMissingColumns=True)
+    w, order = Window.partitionBy(*k), Window.partitionBy(*k).orderBy("date")
+    rows = rows.withColumn("_next", F.coalesce(F.lead("date").over(order), F.date_add(last, 1)))
+    # Rows that a day stands for: itself, unless it is the mark, and the empty days behind it.
+    gap = F.greatest(F.datediff("_next", "date") - 1, F.lit(0))
+    size = gap + F.when(F.col("_mark"), 0).otherwise(1)
+    rows = rows.withColumn("availability", F.round(F.count("p_a").over(w) / F.sum(size).over(w) * 100, 0)).withColumn("_known", F.max("_mark").over(w)).where("_known")
+    steps = F.sequence(F.col("_mark").cast("int"), gap)
+    days = rows.where(size > 0).select(*k, "date", "p_a", "p_b", "availability", F.explode(steps).alias("_step"))
+    here = F.col("_step") == 0
+    return days.select(*k, F.date_add("date", F.col("_step")).alias("date"), F.when(here, F.col("p_a")).alias("p_a"), F.when(here, F.col("p_b")).alias("p_b"), "availability")
 
 
 def common_ids(a: DataFrame, b: DataFrame, id_col: str = "series_id") -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 from freshet.operators import grid as GR
 from freshet.sources import files as FI
+from freshet.sources import release as RS
 
 
 def grid_case(spark):
@@ -67,3 +68,28 @@ def test_station_files_are_shown_by_folder_of_a_task(spark, tmp_path):
     with pytest.raises(Exception, match="DIVIDE_BY_ZERO|zero"):
         FI.write_station_files(df.withColumn("value", df.value / 0), str(tmp_path / "in"))
     assert read() == [("c", "RU", 1, 1.001), ("c", "RU", 2, 2.001)] and not any(p.name.startswith(".") for p in (tmp_path / "in").iterdir())
+
+
+def test_complete_calendar_by_gaps_equals_plain_fill(spark):
+    rnd = random.Random(3)
+    start = dt.date(2001, 1, 1)
+    days = [start + dt.timedelta(i) for i in range(-3, 15)]
+    a = [(s, d, rnd.choice([None, float(i)])) for s in "abcd" for i, d in enumerate(days) if rnd.random() < (0.0 if s == "d" else 0.5)]
+    a += [("early", days[0], 1.0), ("first", start, 2.0), ("last", start + dt.timedelta(11), 3.0), (None, start, 4.0), ("twice", days[5], 5.0), ("twice", days[5], 6.0)]
+    b = [(s, d, float(-i)) for s in ("a", "d", "first", "only-b") for i, d in enumerate(days) if rnd.random() < 0.5]
+    calendar = [start + dt.timedelta(i) for i in range(12)]
+    want = []
+    for s in {x[0] for x in a}:
+        rows = []
+        for d in calendar:
+            pa, pb = ([v for k, e, v in t if k is not None and k == s and e == d] or [None] for t in (a, b))
+            rows += [(d, x, y) for x in pa for y in pb]
+        share = float(round(sum(x is not None for _, x, _ in rows) / len(rows) * 100))
+        want += [(s, d, x, y, share) for d, x, y in rows]
+    t = "series_id string, date date, value double"
+    df = RS.complete_calendar(spark.createDataFrame(a, t), spark.createDataFrame(b, t), "2001-01-01", "2001-01-12")
+    # The dense days come last: nothing is shuffled or sorted after them.
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and not any(w in plan[: plan.index("Generate")] for w in ("Exchange", "Sort", "Join", "Window"))
+    assert df.columns == ["series_id", "date", "p_a", "p_b", "availability"]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
