@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.lineage import cut
-from ..functions.skew import salted_join
+from ..functions.skew import finer, salted_join
 
 # Sphere radii of the area (m) and the two distance formulas (km).
 AREA_RADIUS, FEATURE_RADIUS, SITE_RADIUS = 6378137.0, 6371.0088, 6371.0
@@ -121,10 +121,13 @@ def points_in_polygons(
     pts = points.select(
         F.col(point_id).alias("_pid"), F.col("lon").alias("_px"), F.col("lat").alias("_py"),
         _cell(F.col("lon"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy"),
-    ).distinct()
+    )
+    # Keys compress to few bytes but meet many times: a fixed number of parts, which adaptive execution does not merge.
+    pts, boxes = finer(pts, "cx", "cy", times=1).distinct(), finer(boxes, "cx", "cy", times=1)
     near = pts.join(boxes, ["cx", "cy"]).where(in_box(F.col("_px"), F.col("_py"))).select("_pid", "_px", "_py", *ring)
-    # A catchment that holds many points is spread over several parts.
-    met = salted_join(near, shapes.select(*ring, "vertices"), ring, ["_pid"])
+    # A catchment that holds many points is spread over several parts.  Rings repeated per part are no small table,
+    # although the planner, which does not see the repetition, would broadcast them.
+    met = salted_join(near, shapes.select(*ring, "vertices").hint("merge"), ring, ["_pid"])
     around = met.where(ring_contains(F.col("vertices"), F.col("_px"), F.col("_py"))).groupBy("_pid", "_px", "_py", *poly_keys).agg(F.count("*").alias("_n"))
     return around.where("_n % 2 = 1").select(F.col("_pid").alias(point_id), *poly_keys).distinct()
 

@@ -7,6 +7,7 @@ import random
 import pytest
 
 from freshet.operators import grid as GR
+from freshet.operators import spatial as SP
 from freshet.sources import files as FI
 from freshet.sources import release as RS
 
@@ -93,3 +94,14 @@ def test_complete_calendar_by_gaps_equals_plain_fill(spark):
     assert plan.count("Generate") == 1 and not any(w in plan[: plan.index("Generate")] for w in ("Exchange", "Sort", "Join", "Window"))
     assert df.columns == ["series_id", "date", "p_a", "p_b", "availability"]
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_points_meet_rings_without_a_broadcast_of_repeated_rings(spark):
+    sites = spark.createDataFrame([(str(i), i % 10 * 0.1, i // 10 * 0.1, float(i)) for i in range(100)], "series_id string, lon double, lat double, area_km2 double")
+    corners = [(-1, 0), (0, -1), (1, 0), (0, 1)]
+    vertices = spark.createDataFrame([(str(i), s, i % 10 * 0.1 + 0.15 * x, i // 10 * 0.1 + 0.15 * y) for i in range(100) for s, (x, y) in enumerate(corners)], "poly_id string, seq int, lon double, lat double")
+    df = SP.nested_pairs(sites, vertices)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any("Broadcast" in line and "_salt" in line for line in plan.splitlines()) and plan.count("REPARTITION_BY_NUM") == 2
+    want = {(str(a), str(b)) for a in range(100) for b in range(a + 1, 100) if abs(a % 10 - b % 10) + abs(a // 10 - b // 10) == 1}
+    assert {(r["child"], r["parent"]) for r in df.collect()} == want
