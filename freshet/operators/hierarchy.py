@@ -31,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAVES = 4096
 FAN = 8
-ROWS = 4096  # vectors that are assigned at once
+ROWS = 512  # vectors that are assigned at once: 16 MB of distances to all leaves
 
 
 @dataclass
@@ -146,6 +146,14 @@ def summarise(vectors: DataFrame, limit: int = LEAVES) -> Leaves | None:
     return Leaves(leaves.n[order], leaves.centre[order], leaves.spread[order])
 
 
+def nearest(x: np.ndarray, centres: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Row of the nearest centre of each vector, given the centres' squared lengths."""
+    d = x @ centres.T
+    d *= -2
+    d += norms
+    return d.argmin(axis=1)
+
+
 def assign(vectors: DataFrame, leaves: Leaves, values: dict[str, tuple[str, np.ndarray]], id_col: str = ID) -> DataFrame:
     """Every vector with the values (type and array) of its nearest leaf, the first among equals."""
     norms = (leaves.centre**2).sum(axis=1)
@@ -155,7 +163,7 @@ def assign(vectors: DataFrame, leaves: Leaves, values: dict[str, tuple[str, np.n
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
-                own = (norms - 2 * x @ leaves.centre.T).argmin(axis=1)
+                own = nearest(x, leaves.centre, norms)
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v[own]) for _, v in values.values()]], names=[id_col, *values])
 
     ids = vectors.select(id_col).schema.fields[0].dataType.simpleString()

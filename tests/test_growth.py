@@ -3,10 +3,13 @@
 import datetime as dt
 import math
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from freshet.operators import grid as GR
+from freshet.operators import hierarchy as HI
 from freshet.operators import spatial as SP
 from freshet.sources import files as FI
 from freshet.sources import release as RS
@@ -105,3 +108,15 @@ def test_points_meet_rings_without_a_broadcast_of_repeated_rings(spark):
     assert not any("Broadcast" in line and "_salt" in line for line in plan.splitlines()) and plan.count("REPARTITION_BY_NUM") == 2
     want = {(str(a), str(b)) for a in range(100) for b in range(a + 1, 100) if abs(a % 10 - b % 10) + abs(a // 10 - b // 10) == 1}
     assert {(r["child"], r["parent"]) for r in df.collect()} == want
+
+
+def test_assigning_vectors_holds_few_distances():
+    rng = np.random.default_rng(1)
+    centres, x = rng.normal(size=(HI.LEAVES, 8)), rng.normal(size=(HI.ROWS, 8))
+    norms = (centres**2).sum(axis=1)
+    tracemalloc.start()
+    own = HI.nearest(x, centres, norms)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24e6
+    assert (own[:50] == ((x[:50, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)).all()
