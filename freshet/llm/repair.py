@@ -13,26 +13,33 @@ the hash of their texts; an empty table writes no shard and reads back as no row
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 from array import array
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, per_worker, pieces, ship
+from .common import per_worker, pieces, ship
 
 ship(__name__)
 
 SHARD_IDS = 1 << 20
-MARKS = (b".", b",", b"!", b"?", b";", b":")
+LONG = 64  # bytes of a stretch that is not remembered
+WORDS = 1000  # plain words that are encoded as one text
+# A word of Latin letters with any marks behind it, between which the splitter always cuts, or else the whole stretch.
+STRETCH = re.compile(r"^(?:([a-zß-öø-ÿA-ZÀ-ÖØ-Þ]+)([!-&(-/:;=-@\[-`{-~]*)|(.+))$", re.M)
 MIN_COUNT = 2
 LEAST_ROOM = 1 << 12  # rules that 16-bit symbols must leave room for
 SLOTS = 20  # bits of the lookup table of one round
+LAST = 1 << 9  # rules that are left for the last rounds
 CUT = 16  # a round takes all pairs with at least this fraction of the top count
 SHARDS = (
     "part int, shard int, n_ids bigint, width int, base bigint, doc_ids array<bigint>, doc_lengths array<int>, "
@@ -41,12 +48,15 @@ SHARDS = (
 
 
 class Encoder:
-    """The library's ids of a text, remembered per stretch between spaces, which no token spans."""
+    """The library's ids of a text, remembered per stretch between spaces, which no token spans.
+
+    They are kept in two generations of about ``limit`` stretches each; that only saves time.
+    """
 
     def __init__(self, spec: bytes, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
         self.tokenizer = Tokenizer.from_str(spec.decode())
         said = json.loads(spec)
@@ -57,42 +67,88 @@ class Encoder:
         self.kind = f"<u{self.width}"
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # Plain words pass the normalizer and the splitter unchanged, so the model alone encodes them.
+        # Plain words pass the normalizer and the splitter with nothing but their case changed, so the model alone encodes them.
         self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.is_plain = re.compile("[a-zß-öø-ÿ]+").fullmatch
-        self.known = Memo(self.one, limit, lambda s: len(s) < 64)
-        self.fresh: dict[bytes, bytes] = {}
+        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab, suffix = self.tokenizer.get_vocab(), said["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)  # tokens that close a word
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.limit, self.known, self.old = limit, {}, {}
 
     def packed(self, ids: list[int]) -> bytes:
         return array("H" if self.width == 2 else "I", ids).tobytes()
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if not self.apart:
-            return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(column.to_pylist(), add_special_tokens=False)]
         # A-Z and a-z have the same ids; a marker of a special token must stay as it is.
-        cut = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in ((t or "").encode() for t in texts)]
-        known, plain, other = self.known, [], []
-        new = {stem(s) for s in set().union(*cut) if s not in known}
-        for s in new:
-            if s not in known and s not in known.old:
-                (plain if self.is_plain(s.decode()) else other).append(s)
-        self.fresh = {}
-        for tool, words in ((self.plain, plain), (self.tokenizer, other)):
-            made = tool.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-            self.fresh.update(zip(words, (self.packed(e.ids) for e in made)))
-        return [b"".join(map(known.__getitem__, stretches)) for stretches in cut]
-
-    def one(self, stretch: bytes) -> bytes:
-        if (root := stem(stretch)) != stretch:
-            return self.known[root] + self.known[stretch[len(root):]]
-        made = self.fresh.get(stretch)
-        return self.packed(self.tokenizer.encode(stretch.decode(), add_special_tokens=False).ids) if made is None else made
-
-
-def stem(stretch: bytes) -> bytes:
-    """A stretch without one closing mark after a plain letter; the splitter always cuts there."""
-    return stretch[:-1] if stretch[-1:] in MARKS and stretch[-2:-1].isalpha() else stretch
+        shown = pc.if_else(pc.match_substring(column, "<|"), column, pc.ascii_lower(column))
+        cut = pc.split_pattern(pc.replace_substring(shown, "\n", " "), " ")
+        coded = pc.dictionary_encode(cut.flatten())
+        stretches = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        with uncollected():
+            long = self.learn(stretches)
+        run = pa.array(list(map(self.known.__getitem__, stretches)), pa.binary()).take(coded.indices)
+        for s in long:
+            del self.known[s]
+        _, ends, data = run.buffers()
+        at = np.frombuffer(ends, "<i4")[cut.offsets.to_numpy()].tolist()
+        whole = data.to_pybytes() if data else b""
+        return [whole[a:b] for a, b in zip(at, at[1:])]
+
+    def learn(self, stretches: list[bytes]) -> set[bytes]:
+        """Put all stretches into ``known``; gives the new ones that are too long to stay there."""
+        known, old = self.known, self.old
+        known[b""] = b""
+        new = []
+        for s in stretches:
+            if s not in known:
+                if s in old:
+                    known[s] = old[s]
+                else:
+                    new.append(s)
+        found = STRETCH.findall(b"\n".join(new).decode())
+        ids = self.made({word.lower() for word, _, _ in found}, self.words) | self.made({marks or other for _, marks, other in found}, self.others)
+        names = {name: name.encode() for name in ids}
+        known.update((names[name], value) for name, value in ids.items())
+        known.update((s, ids[word.lower()] + ids[marks or other]) for s, (word, marks, other) in zip(new, found))
+        return {s for s in (*new, *names.values()) if len(s) >= LONG}
+
+    def made(self, names: set[str], encode) -> dict[str, bytes]:
+        """The ids of words or of other stretches, taken from those known where possible."""
+        ids = {name: self.known.get(key, self.old.get(key)) for name in names for key in [name.encode()]}
+        todo = [name for name, value in ids.items() if value is None]
+        return ids | dict(zip(todo, encode(todo)))
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Plain words are encoded many in one text and parted behind the tokens that close them."""
+        if not words:
+            return []
+        many = [" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)]
+        flat = np.concatenate([np.array(e.ids, self.kind) for e in self.plain.encode_batch_fast(many, add_special_tokens=False)])
+        stops = ((np.flatnonzero(self.ends[flat]) + 1) * self.width).tolist()
+        if len(stops) != len(words) or stops[-1] != flat.nbytes:  # a vocabulary without such tokens, or without a letter
+            return [self.packed(e.ids) for e in self.plain.encode_batch_fast(words, add_special_tokens=False)]
+        run = flat.tobytes()
+        return [run[a:b] for a, b in zip([0, *stops], stops)]
+
+    def others(self, stretches: list[str]) -> list[bytes]:
+        return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)]
+
+
+@contextmanager
+def uncollected():
+    """Without the garbage collector, which walks through everything again and again where millions of tuples are made."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def frequent(key: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +182,9 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
             if step <= min_count:
                 break
             continue
-        order = np.argsort(counts, kind="stable")[::-1][: room - n_rules][::-1]
+        left = room - n_rules
+        # The last rules are chosen among more pairs than there is room for, as overlaps take some of them out.
+        order = np.argsort(counts, kind="stable")[::-1][: left if left > LAST else 4 * left][::-1]
         pairs = pairs[order]
         # The most frequent pair of a slot wins; the others wait for the next round.
         table = np.full(1 << SLOTS, -1, np.int32)
@@ -142,6 +200,8 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
         at, which = at[even], which[even]
         used = np.bincount(which, minlength=len(pairs))
         kept = used >= min(min_count, used.max())
+        if kept.sum() > left:
+            kept[np.argsort(np.where(kept, used, 0), kind="stable")[:-left]] = False
         good = kept[which]
         at, which = at[good], which[good]
         name = np.cumsum(kept) - 1 + base + n_rules
@@ -224,7 +284,7 @@ def write(df: DataFrame, tokenizer: str, path: str, doc_id: str = "doc_id", text
 
         for batch in batches:
             for piece in pieces(batch):
-                for doc, packed in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist())):
+                for doc, packed in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1))):
                     size = len(packed) // enc.width + 1
                     if n and n + size > shard_ids:
                         yield flush()

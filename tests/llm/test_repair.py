@@ -54,3 +54,37 @@ def test_files(spark, tmp_path):
     assert zlib.crc32(bytes(got[0].ids_le)) == zlib.crc32(np.array(by_id[got[0].doc_id][0], "<u4").tobytes())
     repair.write(df.limit(0), PATH, str(tmp_path / "e"))
     assert repair.read(spark, str(tmp_path / "e")).count() == 0
+
+
+class Counted:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, tool):
+        self.tool, self.n = tool, 0
+
+    def encode_batch_fast(self, texts, **more):
+        self.n += len(texts)
+        return self.tool.encode_batch_fast(texts, **more)
+
+
+def test_new_words_are_encoded_together():
+    library, own = Tokenizer.from_file(PATH), repair.Encoder(open(PATH, "rb").read())
+    own.plain, own.tokenizer = Counted(own.plain), Counted(own.tokenizer)
+    words = [f"{a}{b}{c}" for a in ("th", "ÉÀ", "ß", "qx") for b in ("tion", "ou", "ñ", "erst") for c in ("", "a", "ed", "ier")]
+    marks = ["", ".", ",%%%", "!!", "&&&", "?)", "-", "=", "'s", "'", "<", "÷", "×!", "7", "\t."]
+    texts = [" ".join(w + m for w in words) for m in marks]
+    for t, got in zip(texts, own.encode(texts)):
+        assert np.frombuffer(got, own.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert own.plain.n == 1  # one text of 64 words
+    assert own.tokenizer.n <= 7 * len(words) + len(marks)  # only words with an odd mark, and the marks
+    again = own.plain.n, own.tokenizer.n
+    own.encode(texts)
+    assert (own.plain.n, own.tokenizer.n) == again
+
+
+def test_last_rules_use_up_the_room():
+    ids, base = np.random.default_rng(4).integers(0, 200, 200_000), 49_408
+    rules, lens, seq = repair.compress(ids, base)
+    assert base + len(rules) == 1 << 16 and len(seq) < 126_500  # 126,020
+    assert len(np.unique(seq[seq >= base])) + len(np.unique(rules[rules >= base])) >= len(rules)
+    assert (repair.expand(seq, rules, base) == ids).all()
