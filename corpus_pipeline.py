@@ -46,8 +46,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokenizer_file("byte_bpe_50k.json")
-    return heap_bpe.decode(heap_bpe.encode(docs, path), path)
+    return heap_bpe.round_trip(docs, tokenizer_file("byte_bpe_50k.json"))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("tokens", tokens)]

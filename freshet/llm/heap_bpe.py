@@ -16,6 +16,7 @@ import heapq
 import json
 import re
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -147,36 +148,43 @@ def _tokenizer(spec) -> HeapBpe:
     return per_worker("heap_bpe", lambda: HeapBpe(spec.value), spec.value)
 
 
-def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids array<int>``: the token ids of a text column."""
+def _encoded(bpe: HeapBpe, texts: pa.Array) -> pa.ListArray:
+    out = [bpe.encode(t) if t else b"" for t in texts.to_pylist()]
+    ends = np.cumsum([0, *[len(x) // 4 for x in out]]).astype("i4")
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))
+
+
+def _decoded(bpe: HeapBpe, column: pa.ListArray) -> pa.Array:
+    ends, values = column.offsets.to_numpy(), column.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([bpe.decode(values[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)], pa.binary()).cast(pa.string())
+
+
+def _added(df: DataFrame, tokenizer: str, fields: list[tuple[str, str]], fn: Callable[[HeapBpe, pa.RecordBatch], list]) -> DataFrame:
     spec = _shared(df.sparkSession, tokenizer)
 
     def make():
         bpe = _tokenizer(spec)
+        return lambda batch: fn(bpe, batch)
 
-        def fn(batch: pa.RecordBatch) -> list:
-            out = [bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *[len(x) // 4 for x in out]]).astype("i4")
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out), "<i4")))]
+    return extend(df, fields, make)
 
-        return fn
 
-    return extend(df, [(ids, "array<int>")], make)
+def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add ``ids array<int>``: the token ids of a text column."""
+    return _added(df, tokenizer, [(ids, "array<int>")], lambda bpe, batch: [_encoded(bpe, batch.column(text))])
 
 
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``decoded string``: the vocabulary strings of the ids, concatenated."""
-    spec = _shared(df.sparkSession, tokenizer)
+    return _added(df, tokenizer, [(text, "string")], lambda bpe, batch: [_decoded(bpe, batch.column(ids))])
 
-    def make():
-        bpe = _tokenizer(spec)
 
-        def fn(batch: pa.RecordBatch) -> list:
-            column = batch.column(ids)
-            ends, values = column.offsets.to_numpy(), column.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            there = column.is_valid().to_numpy(zero_copy_only=False)
-            return [pa.array([bpe.decode(values[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)], pa.binary()).cast(pa.string())]
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """What ``encode`` and then ``decode`` add, by one Python worker a task instead of two, each with a tokenizer."""
 
-        return fn
+    def both(bpe, batch):
+        made = _encoded(bpe, batch.column(text))
+        return [made, _decoded(bpe, made)]
 
-    return extend(df, [(text, "string")], make)
+    return _added(df, tokenizer, [(ids, "array<int>"), (decoded, "string")], both)

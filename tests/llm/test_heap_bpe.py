@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from freshet.llm import heap_bpe
+import corpus_pipeline
+from freshet.llm import heap_bpe, queries
 from freshet.llm.queries import tokenizer_file
+from tests.llm.conftest import SF
 
 PATH = tokenizer_file("byte_bpe_50k.json")
 ALPHABET = [*"ab c  \n\t'sd.,!1²½٣éñ ́字漢😀ǅİſK\x85\x1c", "<|endoftext|>", "  ", "   ", " \n", "'ll", "the ", "\xa0", " \xa0", "\u1680", "\u2003", "\u2009", "\u2028", "\u202f", "\u3000"]
@@ -47,3 +49,12 @@ def test_columns_nulls_and_empty_table(spark):
     odd = spark.createDataFrame([([50256, -1, 999_999, 50256],), (None,)], "ids array<int>")
     assert [x.decoded for x in heap_bpe.decode(odd, PATH).collect()] == ["<|endoftext|>" * 2, ""]
     assert heap_bpe.decode(heap_bpe.encode(df.limit(0), PATH), PATH).count() == 0
+
+
+def test_round_trip_needs_one_worker_a_task(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Hello  world", "x"), (None, "é<|endoftext|>", None)], "doc_id bigint, text string, Decoded string")
+    once, twice = heap_bpe.round_trip(df, PATH), heap_bpe.decode(heap_bpe.encode(df, PATH), PATH)
+    assert once.columns == twice.columns and once.collect() == twice.collect()
+    assert [x.text for x in heap_bpe.round_trip(df, PATH, decoded="text").collect()] == ["", "", "Hello  world", "é<|endoftext|>"]
+    for made in (once, queries.op10_heap_bpe(spark, SF), corpus_pipeline.tokens(spark, df, SF)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
