@@ -127,6 +127,34 @@ def similar(x: set[str], y: set[str], least: float = SIMILARITY) -> bool:
     return both >= least * (len(x) + len(y) - both)
 
 
+def similar_pairs(x: list[str], y: list[str], least: float = SIMILARITY, k: int = SHINGLE) -> np.ndarray:
+    """``similar`` of the shingles of many pairs of lines, all counted in one sorted run of numbers.
+
+    A number holds the pair, the shingle (its characters by their place among all that occur) and the side.
+    """
+    lines = [line for pair in zip(x, y) for line in pair]
+    points = np.frombuffer("".join(s if len(s) >= k else s.ljust(k, "\0") for s in lines).encode("utf-32-le"), "<u4")
+    there = np.zeros(int(points.max(initial=0)) + 1, bool)
+    there[points] = True
+    bits, size = int(there.sum()).bit_length(), np.fromiter(map(len, lines), np.int64, len(lines))
+    if k * bits + len(lines).bit_length() > 64:  # too many different characters for 64 bits
+        return np.array([similar(shingles(a, k), shingles(b, k), least) for a, b in zip(x, y)], bool)
+    place = np.cumsum(there).astype(np.uint64)[points]  # from 1 on
+    ends = np.cumsum(np.maximum(size, k))
+    for i in np.flatnonzero(size < k).tolist():
+        place[ends[i] - k + size[i] : ends[i]] = 0  # no character: such lines equal only themselves
+    row = np.repeat(np.arange(len(lines)), np.maximum(size - k, 0) + 1)
+    at = np.arange(len(row)) + row * (k - 1)  # runs across the end of a line are left out
+    key = (row >> 1).astype(np.uint64)
+    for j in range(k):
+        key = key << np.uint64(bits) | place[at + j]
+    key = np.sort(key << np.uint64(1) | (row & 1).astype(np.uint64))
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+    pair = (key >> np.uint64(k * bits + 1)).astype(np.int64)
+    both = np.bincount(pair[1:][key[1:] ^ key[:-1] == 1], minlength=len(x))
+    return both >= least * (np.bincount(pair, minlength=len(x)) - both)
+
+
 def _by_line(docs: DataFrame, make, schema: str) -> DataFrame:
     """``node`` and what ``make`` gives for every line; a task leaves out lines that it has met just before."""
     names = ["node", *[part.split()[0] for part in schema.split(", ")]]
@@ -199,15 +227,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
-                sets = Memo(shingles, 64)
                 for lo in range(0, piece.num_rows, TOGETHER):
                     some = piece.slice(lo, TOGETHER)
-                    x, y = some.column(2).to_pylist(), some.column(3).to_pylist()
-                    runs, words = wide_marks(x + y)
-                    gap = np.bitwise_count(words[: len(x)] ^ words[len(x) :]).sum(1, dtype=np.int64)
-                    near = near_marks(gap, runs[: len(x)] + runs[len(x) :]).tolist()
-                    good = [n and similar(sets[u], sets[v]) for n, u, v in zip(near, x, y)]
-                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    good = similar_pairs(some.column(2).to_pylist(), some.column(3).to_pylist())
+                    yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], names=["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -291,7 +314,7 @@ def _grouped(rows: DataFrame, make, schema: str) -> DataFrame:
         for batch in batches:
             out: list = []
             for piece in pieces(batch):
-                for row in zip(*[c.to_pylist() for c in piece.columns]):
+                for row in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in piece.columns]):
                     if held and held[-1][:3] != row[:3]:
                         done(held, out)
                         held = []
@@ -309,15 +332,15 @@ def _across(mixed: DataFrame, marked: DataFrame, texts) -> DataFrame:
     """Links between components of the same bucket, found inside tasks: a bucket's pairs never become rows.
 
     A bucket's lines are cut by hash into blocks of about ``BLOCK`` and dealt as pairs of blocks, so
-    a task holds two blocks at most and a hot bucket is spread.  Its main component has blocks of its own, which
-    meet the other lines' blocks but not each other.  Blocks are compared by marks first, and only lines
+    a task holds two blocks at most and a hot bucket is spread; a bucket of that size is dealt once, as one block.
+    A larger one's main component has blocks of its own, which meet the other lines' blocks but not each other.  Blocks are compared by marks first, and only lines
     with a possible partner come back with their texts.
     """
     zero = F.lit(0).cast("bigint")
     other, most = F.ceil(F.col("rest") / BLOCK), F.ceil((F.col("size") - F.col("rest")) / BLOCK)
-    outside = F.col("comp") != F.col("main")
-    own = F.when(outside, F.pmod(F.xxhash64("node"), other)).otherwise(other + F.pmod(F.xxhash64("node"), most))
-    last = F.when(outside, other + most - 1).otherwise(other - 1)
+    outside, small = F.col("comp") != F.col("main"), F.col("size") <= BLOCK
+    own = F.when(small, zero).when(outside, F.pmod(F.xxhash64("node"), other)).otherwise(other + F.pmod(F.xxhash64("node"), most))
+    last = F.when(small, zero).when(outside, other + most - 1).otherwise(other - 1)
     # Marks are joined before the rows are dealt out: a bucket member once, however many blocks it meets.
     full = mixed.join(marked, "node")
     dealt = full.select("key", "node", "comp", "runs", *MARKS, own.alias("own"), F.explode(F.sequence(zero, last)).alias("with"))

@@ -146,3 +146,28 @@ def test_marks_rule_out_no_similar_pair():
                 assert possible or 5 * len(sets[i] & sets[j]) < 4 * len(sets[i] | sets[j])
                 ruled_out += not possible
     assert ruled_out > 1000
+
+
+def test_pairs_counted_together_match_sets():
+    r = random.Random(9)
+    for letters in ("ab", "abcdefgh \0", "é漢😀ab\0", [chr(i) for i in range(0x4E00, 0x5E00)]):
+        for n in (1, 2, 256):
+            x = ["".join(r.choice(letters) for _ in range(r.choice((1, 2, 3, 4, 5, 6, 30, 100)))) for _ in range(n)]
+            y = [r.choice((s, s[:-1] + r.choice(letters), s + "\0", s + s)) for s in x]
+            assert L.similar_pairs(x, y).tolist() == [L.similar(L.shingles(a), L.shingles(b)) for a, b in zip(x, y)]
+
+
+def test_a_small_bucket_is_dealt_once(spark, monkeypatch):
+    lines = [f"{i} " + "the same end of every line" for i in range(6)]
+    nodes = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "node bigint, line string")
+    dealt, real = [], L._grouped
+    monkeypatch.setattr(L, "_grouped", lambda rows, *more: dealt.append(rows.count()) or real(rows, *more))
+    mixed = nodes.selectExpr("7L as key", "node", "if(node < 3, 0L, node) as comp", "0L as main", "6L as size", "3L as rest")
+    runs, words = L.marks(lines)
+    marked = spark.createDataFrame([(i, int(n), *w) for i, (n, w) in enumerate(zip(runs, words.view("<i8").tolist()))], "node bigint, runs bigint, " + ", ".join(f"{m} bigint" for m in L.MARKS))
+    links = L._across(mixed, marked, lambda some: nodes).collect()
+    assert dealt == [6, 6]
+    joined = {0}
+    for _ in lines:
+        joined |= {c for a, b in links for c in ({0 if a < 3 else a, 0 if b < 3 else b}) if joined & {0 if a < 3 else a, 0 if b < 3 else b}}
+    assert joined == {0, 3, 4, 5}
