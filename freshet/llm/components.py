@@ -4,8 +4,8 @@ Items share bucket keys; a pair counts as a link when it shares a key and passes
 components matter here, so a bucket never emits all its pairs:
 
 1. every member is checked against the smallest and the largest member of its bucket, and the
-   verified links are joined to components;
-2. in each bucket that still holds several components, members outside the most frequent one are
+   verified links are joined to components; in a bucket of up to three this checks every pair;
+2. in each larger bucket that still holds several components, members outside the most frequent one are
    checked against all members of other components.  This finds every link that joins two
    components, so nothing is lost, and a bucket full of one group's copies costs nothing more.
 """
@@ -17,9 +17,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions import lineage
 from ..functions.skew import salted_join
-from .common import stash
+from .common import stash, tidy
+
+CHECKED = 3  # members whose pairs all hold the smallest or the largest of them
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder; what was shuffled for it goes."""
+    with tidy(df.sparkSession):
+        return lineage.cut(df)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,12 +69,12 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
     """``node, comp`` of the nodes with a link; ``members`` is ``key, node``.
 
     ``verify`` gets candidate pairs ``a, b`` (some repeated) and returns those that are links.
-    ``across`` gets ``key, node, comp, main, size, rest`` of the buckets that hold several components
+    ``across`` gets ``key, node, comp, main, size, rest`` of the buckets that hold several components and more than ``CHECKED`` members
     (their members, and those outside the main component), and returns links ``a, b`` between components, enough of them to connect all that a link connects.
     """
     # Ends and members leave the same sorted shuffle; a bucket's rows are spilled, not held.
     w = Window.partitionBy("key")
-    crowd = members.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi")).where("lo < hi")
+    crowd = members.select("key", "node", F.min("node").over(w).alias("lo"), F.max("node").over(w).alias("hi")).where("lo < hi").distinct()
     crowd = stash(crowd, f"{name}-buckets")
     stars = crowd.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
     first = cut(components(verify(stars)))
@@ -74,7 +82,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], name: s
     placed = stash(placed, f"{name}-placed")
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("kinds"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("rest"))
-    main = main.where("kinds > 1").drop("kinds")
+    main = main.where(f"kinds > 1 AND size > {CHECKED}").drop("kinds")
     mixed = placed.join(main, "key")
     more = across(mixed) if across else joined_pairs(mixed, verify)
     named = more.join(first.select(F.col("node").alias("a"), F.col("comp").alias("_ca")), "a", "left")
