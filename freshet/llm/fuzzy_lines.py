@@ -1,8 +1,9 @@
 """Line deduplication that also catches near copies: MinHash, banding, exact check, union-find.
 
-Lines are compared by their sets of 5-character shingles.  48 minima of shingle hashes form 12
-bands of 4; lines that agree in a band are candidates (a pair at similarity 0.8 is found with
-probability 0.998, at 0.9 practically always).  Candidates are confirmed on their texts: Jaccard
+Lines are compared by their sets of 5-character shingles.  126 minima of shingle hashes form 21
+bands of 6; lines that agree in a band are candidates (a pair at similarity 0.8 is found with
+probability 0.998, at 0.9 practically always).  Shorter bands would need fewer keys, but unrelated lines
+then agree so often that candidates grow faster than the input.  Candidates are confirmed on their texts: Jaccard
 similarity of the exact shingle sets of 0.8 or more.  ``components.linked`` joins them without listing a
 group's pairs: what is left of crowded buckets is compared in blocks inside tasks, from which only links
 come out.  Of each component the first occurrence (smallest document, then position) stays.
@@ -34,7 +35,7 @@ from .components import linked
 
 ship(__name__)
 
-SHINGLE, BANDS, ROWS, SIMILARITY = 5, 12, 4, 0.8
+SHINGLE, BANDS, ROWS, SIMILARITY = 5, 21, 6, 0.8
 SEED = 42  # of the line hash, as in Spark's xxhash64
 SEEN = 50_000
 BLOCK = 512  # lines of a bucket that are compared in one piece
@@ -42,6 +43,7 @@ WORDS = 8  # 64-bit words of a line's mark
 MOST_WORDS = 128  # of the wider marks of long lines, which are made and used inside tasks
 TOGETHER = 256  # pairs that are verified at once
 FEW = 64  # pairs that are compared one by one
+TILE = 1 << 16  # shingle hashes that stay in the processor's cache
 BROADCAST_ROWS = 1_000_000
 CHUNK = 4096  # copies of one row that a task writes out
 
@@ -66,22 +68,29 @@ def run_hashes(points: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def band_keys(lines: list[str], bands: int = BANDS, rows: int = ROWS, k: int = SHINGLE) -> np.ndarray:
-    """One 64-bit key per line and band; all lines are hashed as one text and minima taken between their ends."""
+    """One 64-bit key per line and band; many lines are hashed as one text and minima taken from line to line."""
     a = coefficients(bands * rows)
     whole = [s if len(s) >= k else s.ljust(k, "\0") for s in lines]
     size = np.fromiter(map(len, whole), np.int64, len(whole))
-    first = np.cumsum(size) - size
-    spans = np.stack([first, first + size - k + 1], 1).reshape(-1)
-    h = np.append(run_hashes(np.frombuffer("".join(whole).encode("utf-32-le"), "<u4"), k), np.uint32(0))
-    x = np.empty_like(h)
+    runs = size - k + 1
+    h = run_hashes(np.frombuffer("".join(whole).encode("utf-32-le"), "<u4"), k)
+    if len(lines) > 1:  # runs across the end of a line are left out
+        h = np.delete(h, (np.cumsum(size)[:-1, None] - np.arange(1, k)).reshape(-1))
+    ends = np.cumsum(runs)
     keys = np.zeros((len(lines), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(lines), band + 1, np.uint64)
-        for j in range(band * rows, (band + 1) * rows):
-            np.multiply(h, a[j], out=x)
-            key = (key ^ np.minimum.reduceat(x, spans)[::2]) * np.uint64(0x9E3779B97F4A7C15)
-            key ^= key >> np.uint64(29)
-        keys[:, band] = key
+    start, first = 0, 0
+    while start < len(lines):
+        end = max(start + 1, int(np.searchsorted(ends, first + TILE, "right")))
+        table, at = h[first : ends[end - 1]], ends[start:end] - runs[start:end] - first
+        x = np.empty_like(table)
+        for band in range(bands):
+            key = np.full(end - start, band + 1, np.uint64)
+            for j in range(band * rows, (band + 1) * rows):
+                np.multiply(table, a[j], out=x)
+                key = (key ^ np.minimum.reduceat(x, at)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys[start:end, band] = key
+        start, first = end, int(ends[end - 1])
     return keys.view(np.int64)
 
 
@@ -163,7 +172,7 @@ def _by_line(docs: DataFrame, make, schema: str) -> DataFrame:
         release()
         for batch in batches:
             seen = Memo(lambda line: True, SEEN)
-            for piece in pieces(batch, 1 << 18):  # small enough for the processor's cache
+            for piece in pieces(batch, 1 << 20):
                 lines = []
                 for text in piece.column(0).to_pylist():
                     for line in (text or "").split("\n"):

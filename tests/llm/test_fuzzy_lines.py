@@ -171,3 +171,15 @@ def test_a_small_bucket_is_dealt_once(spark, monkeypatch):
     for _ in lines:
         joined |= {c for a, b in links for c in ({0 if a < 3 else a, 0 if b < 3 else b}) if joined & {0 if a < 3 else a, 0 if b < 3 else b}}
     assert joined == {0, 3, 4, 5}
+
+
+def test_unrelated_lines_rarely_share_a_band():
+    """Lines of few syllables agree often in short bands; shared keys must not outgrow the lines."""
+    r = random.Random(3)
+    syllables = "th in er on an ea ti or st en of and the ing ion nd sh wh".split()
+    lines = [" ".join("".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(30)) for _ in range(4000)]
+    keys = L.band_keys(lines)
+    again = [len(keys) - len(set(keys[:, band].tolist())) for band in range(keys.shape[1])]
+    assert sum(again) < len(lines) // 20
+    assert 1 - (1 - 0.8**L.ROWS) ** L.BANDS > 0.998
+    assert (L.band_keys(lines[:50]) == keys[:50]).all() and (L.band_keys(lines[7:8]) == keys[7:8]).all()
