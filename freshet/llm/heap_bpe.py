@@ -12,11 +12,14 @@ columns named like an output are replaced, all others are kept.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 from array import array
 from collections.abc import Callable
+from heapq import heapify
+from heapq import heappop as pop
+from heapq import heappush as push
+from heapq import heapreplace as swap
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,7 @@ ship(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A space between two characters that are not white space always begins a unit of the pattern; in a run of white space it need not.
 APART = re.compile(r" (?<!\s )(?!\s)")
-WORDS, CHUNKS = 100_000, 150_000
+WORDS, CHUNKS = 250_000, 400_000
 
 
 def byte_letters() -> list[str]:
@@ -65,6 +68,7 @@ class HeapBpe:
             self.pieces[i] = bytes(byte_of[c] for c in token)
         for token, i in added.items():
             self.pieces[i] = token.encode()
+        self.strings = pa.array(self.pieces, pa.large_binary())
         self.special = {t: self.packed([i]) for t, i in added.items()}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, added), key=len, reverse=True)) + ")") if added else None
         self.split = regex.compile(PATTERN).findall
@@ -88,25 +92,33 @@ class HeapBpe:
         queue = [r * n + i for i, r in enumerate(now) if r >= 0]
         if not queue:
             return s
+        if n == 2:
+            return [result[now[0]]]
         now.append(-1)
-        heapq.heapify(queue)
-        pop, push = heapq.heappop, heapq.heappush
+        if len(queue) > 1:
+            heapify(queue)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            rank, i = divmod(pop(queue), n)
+            top = queue[0]
+            i = top % n
+            rank = top // n
             if now[i] != rank:
+                pop(queue)
                 continue
             j = after[i]
             new = s[i] = result[rank]
             s[j] = now[j] = -1
             k = after[i] = after[j]
+            r = -1
             if k < n:
                 before[k] = i
-                r = now[i] = rank_of(new * base + s[k], -1)
-                if r >= 0:
-                    push(queue, r * n + i)
+                r = rank_of(new * base + s[k], -1)
+            now[i] = r
+            # The merged pair leaves the queue as its successor enters.
+            if r >= 0:
+                swap(queue, r * n + i)
             else:
-                now[i] = -1
+                pop(queue)
             h = before[i]
             if h >= 0:
                 r = now[h] = rank_of(s[h] * base + new, -1)
@@ -155,9 +167,19 @@ def _encoded(bpe: HeapBpe, texts: pa.Array) -> pa.ListArray:
 
 
 def _decoded(bpe: HeapBpe, column: pa.ListArray) -> pa.Array:
-    ends, values = column.offsets.to_numpy(), column.values.fill_null(-1).to_numpy(zero_copy_only=False)
-    there = column.is_valid().to_numpy(zero_copy_only=False)
-    return pa.array([bpe.decode(values[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)], pa.binary()).cast(pa.string())
+    """The vocabulary strings of all ids of a batch in one run, cut where texts end."""
+    ids = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    known = (ids >= 0) & (ids < len(bpe.pieces))
+    ends = np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()])
+    if not known.all():
+        ends, ids = np.append(0, np.cumsum(known))[ends], ids[known]
+    taken = bpe.strings.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], "<i8")[ends] if len(ids) else ends
+    whole = pa.Array.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(at.astype("<i8")), taken.buffers()[2] or pa.py_buffer(b"")])
+    try:
+        return whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:  # ids that end inside a character
+        return pa.array([x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
 
 
 def _added(df: DataFrame, tokenizer: str, fields: list[tuple[str, str]], fn: Callable[[HeapBpe, pa.RecordBatch], list]) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
@@ -58,3 +59,16 @@ def test_round_trip_needs_one_worker_a_task(spark):
     assert [x.text for x in heap_bpe.round_trip(df, PATH, decoded="text").collect()] == ["", "", "Hello  world", "é<|endoftext|>"]
     for made in (once, queries.op10_heap_bpe(spark, SF), corpus_pipeline.tokens(spark, df, SF)):
         assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_batch_is_decoded_in_one_run(monkeypatch):
+    """Ids that the vocabulary lacks, null lists, slices and ids that end inside a character, without a text at a time."""
+    own = heap_bpe.HeapBpe(open(PATH, "rb").read())
+    inside = np.frombuffer(own.encode("漢😀"), "<i4").tolist()
+    lists = [[1], inside, None, [], [50256, -1, None, 999_999, 50256], inside[:1], inside[:-1] + inside, [0]]
+    want = [b"" if x is None else own.decode(np.array([-1 if i is None else i for i in x], int)) for x in lists]
+    assert any("�" in x.decode() for x in want)
+    monkeypatch.setattr(heap_bpe.HeapBpe, "decode", None)
+    column = pa.array(lists, pa.list_(pa.int32()))
+    for a, b in ((0, 8), (1, 5), (2, 7), (2, 3), (3, 3), (0, 2)):
+        assert [x.as_py().encode() for x in heap_bpe._decoded(own, column.slice(a, b - a))] == want[a:b]
